@@ -15,7 +15,7 @@ SPACE_CHARS = " \t\n\x0b\f\r"
 BROADCAST_ROWS = 1_000_000
 
 #: Rows that one bucket of a running sum aims at.
-BUCKET_ROWS = 100_000
+BUCKET_ROWS = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

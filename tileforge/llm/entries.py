@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
+from . import exact, licenses, mixing, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_documents": sharding.op1_shard_documents,
     "op4_mix_documents": mixing.op4_mix_documents,
+    "op8_quality_rules": quality.op8_quality_rules,
+    "op9_license_scan": licenses.op9_license_scan,
+    "op10_exact_dedup": exact.op10_exact_dedup,
 }
 
 SQL: dict[str, str] = {
     "op1_shard_documents": sharding.OP1_SQL,
     "op4_mix_documents": mixing.OP4_SQL,
+    "op8_quality_rules": quality.OP8_SQL,
+    "op9_license_scan": licenses.OP9_SQL,
+    "op10_exact_dedup": exact.OP10_SQL,
 }
