@@ -1 +1,8 @@
 """Spark jobs for very large collections of multi-band rasters held as tables."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel with their tasks: executors need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
