@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, licenses, mixing, quality, sharding
+from . import chat, exact, licenses, mixing, ngram_join, packing, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_documents": sharding.op1_shard_documents,
+    "op2_ngram_join": ngram_join.op2_ngram_join,
+    "op3_chat_format": chat.op3_chat_format,
     "op4_mix_documents": mixing.op4_mix_documents,
+    "op7_pack_documents": packing.op7_pack_documents,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_exact_dedup": exact.op10_exact_dedup,
@@ -18,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op1_shard_documents": sharding.OP1_SQL,
+    "op3_chat_format": chat.OP3_SQL,
     "op4_mix_documents": mixing.OP4_SQL,
     "op8_quality_rules": quality.OP8_SQL,
     "op9_license_scan": licenses.OP9_SQL,
