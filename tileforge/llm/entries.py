@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact, licenses, mixing, ngram_join, packing, quality, sharding, toxicity
+from . import chat, exact, licenses, mixing, ngram_join, packing, quality, secrets, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_documents": sharding.op1_shard_documents,
     "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_chat_format": chat.op3_chat_format,
     "op4_mix_documents": mixing.op4_mix_documents,
+    "op5_secret_scan": secrets.op5_secret_scan,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_pack_documents": packing.op7_pack_documents,
     "op8_quality_rules": quality.op8_quality_rules,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, SPACE_CLASS, bucket_of, buckets_for, durable, running_sum, table, unit_hash
+from .common import SPACE_CHARS, SPACE_CLASS, bucket_of, buckets_for, durable, running_sum, small, table, unit_hash
 
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
@@ -83,6 +83,19 @@ def mix(docs: DataFrame, size: Column, weights: tuple[int, ...] = WEIGHTS, epoch
     return queued.select(key, source, "size", "source_size", "target", (n * F.col("size")).cast("long").alias("taken"), n.alias("epochs_taken"))
 
 
+def mixed_rows(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it, with their columns as they came.
+
+    Rows find their number by (key, size); texts move only where that table is too large to be sent to every task.
+    Rows equal in key, source and size all come as often as the one of them that is taken most.
+    """
+    sized = docs.select(F.struct(*docs.columns).alias("_row"), F.col(key).alias("_key"), F.col(source).alias("_source"), word_count(F.col(text)).alias("_size"))
+    taken = durable(mix(docs, word_count(F.col(text)), key=key, source=source).groupBy(key, source, "size").agg(F.max("epochs_taken").alias("_times")))
+    taken = taken.select(F.col(key).alias("_k"), F.col(source).alias("_s"), F.col("size").alias("_n"), "_times")
+    met = sized.join(small(taken), F.col("_key").eqNullSafe(F.col("_k")) & F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n")))
+    return met.filter("_times > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")
+
+
 def op4_mix_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents with weights 5, 2, 1 repeating over the sources in code point order, null last."""
     docs = table(spark, sf_dir, "documents")
