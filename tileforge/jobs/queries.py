@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "op097_class_report_rollup"
+from . import geometry_queries
+
+FLAGSHIP = "ras097_class_report_rollup"
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+for _module in (geometry_queries,):
+    QUERIES |= _module.QUERIES
+    SQL |= _module.SQL
