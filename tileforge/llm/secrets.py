@@ -267,18 +267,19 @@ def find(texts: list[str], field: Field) -> list[list[tuple[int, int, int]]]:
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """``docs`` with ``_spans``: array of (start, kind, end) in code points, end exclusive, of every whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(train(sample_texts(docs, key, text, sample_docs)))
+    field = train(sample_texts(docs, key, text, sample_docs))
+    shared = docs.sparkSession.sparkContext.broadcast((field.emit, field.step, field.begin))
 
     @F.pandas_udf("array<struct<start:long,kind:string,end:long>>")
     def spans(texts: pd.Series) -> pd.Series:
-        rows, batch, size = [], [], 0
+        field, rows, batch, size = Field(*shared.value), [], [], 0
         for t in texts:
             batch.append(t or "")
             size += len(batch[-1])
             if size > 1 << 21:
-                rows += find(batch, shared.value)
+                rows += find(batch, field)
                 batch, size = [], 0
-        rows += find(batch, shared.value) if batch else []
+        rows += find(batch, field) if batch else []
         return pd.Series([[{"start": a, "kind": KINDS[k], "end": z} for a, k, z in r] for r in rows])
 
     return docs.withColumn("_spans", spans(text))

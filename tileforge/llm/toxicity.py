@@ -152,11 +152,11 @@ def logistic(model: Model, lists: list[np.ndarray], y: np.ndarray, penalty: floa
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with the score of every whole text, 0 to 1; null texts are empty."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.slot, model.weight, model.bias))
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.scores(texts.tolist()))
+        return pd.Series(Model(*shared.value).scores(texts.tolist()))
 
     return docs.withColumn(out, scored(text))
 
