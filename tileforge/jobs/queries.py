@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import geometry_queries
+from . import geometry_queries, pixel_queries
 
 FLAGSHIP = "ras097_class_report_rollup"
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _module in (geometry_queries,):
+for _module in (geometry_queries, pixel_queries):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
