@@ -30,7 +30,7 @@ from .components import connected
 #: Words of a shingle, and the least Jaccard index in percent, of the registered query; near-duplicate stages elsewhere take their own.
 SHINGLE, PERCENT = 4, 85
 #: Share of the token space that the orders put first.
-REGION = 0.22
+REGION = 0.18
 ORDERS = 3
 #: Most sets and tokens that meet in one task.
 FAMILY_SETS, FAMILY_TOKENS = 4096, 4_000_000
