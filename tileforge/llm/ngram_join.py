@@ -29,8 +29,8 @@ from .components import connected
 
 #: Words of a shingle, and the least Jaccard index in percent, of the registered query; near-duplicate stages elsewhere take their own.
 SHINGLE, PERCENT = 4, 85
-#: Share of the token space that the orders put first.
-REGION = 0.18
+#: Share of the token space that the orders put first, in prefix lengths: a little more than a prefix holds.
+REGION_PREFIXES = 1.25
 ORDERS = 3
 #: Most sets and tokens that meet in one task.
 FAMILY_SETS, FAMILY_TOKENS = 4096, 4_000_000
@@ -170,12 +170,13 @@ def link_group(names: np.ndarray, sets: list[np.ndarray], prefixes: list[list[np
     return [(int(names[i]), least[root[i]]) for i in range(len(sets)) if names[i] != least[root[i]]]
 
 
-def components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT, region: float = REGION, orders: int = ORDERS, family_sets: int = FAMILY_SETS, family_tokens: int = FAMILY_TOKENS) -> DataFrame:
+def components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT, region: float | None = None, orders: int = ORDERS, family_sets: int = FAMILY_SETS, family_tokens: int = FAMILY_TOKENS) -> DataFrame:
     """(key, n_shingles, component_id) for every row; component_id is the least key that links reach.
 
     Null and empty texts have an empty set and are linked with nothing: their component is their own key. Repeated rows
     share a component. Null keys take part in links but never name a component unless all its keys are null.
     """
+    region = REGION_PREFIXES * (1 - percent / 100) if region is None else region
     facts = durable(set_facts(docs, key, text, size))
     active = durable(shared_prefixes(postings(docs, text, size, percent, region), orders))
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, unit_hash
 
 KINDS = ("assign", "access", "hex", "crf")
 #: The base patterns. A match counts from 12 (second group), 18 and 16 characters on.
@@ -31,6 +31,8 @@ KEYWORDS = ("password", "passwd", "secret", "token", "api")
 
 #: Documents with and without base spans that the field is trained on, and tokens on each side of a training window's middle.
 SAMPLE_DOCS, SIDE = 400, 10
+#: Texts of more characters are scanned like all others, but not trained on.
+LONGEST = 20_000
 O, B, I = 0, 1, 2
 #: Words that often stand before a secret.
 HINTS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "key", "auth", "bearer", "credential", "credentials", "private_key", "access_key", "secret_key")
@@ -235,12 +237,19 @@ def train(texts: list[str], rounds: int = 120) -> Field:
 
 
 def sample_texts(docs: DataFrame, key: str, text: str, documents: int) -> list[str]:
-    """``documents`` texts that base patterns may match and as many others, first by a hash of the key; all rows are looked at."""
+    """``documents`` texts that base patterns may match and as many others, first by a hash of the key; all rows are looked at.
+
+    The first pass sorts hashes only and finds where each half ends; the second fetches the texts up to there.
+    """
     likely = F.col(text).rlike("(?i:password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?[A-Za-z0-9+/_.=-]{12}|AKIA[A-Z0-9]{14}|[0-9a-f]{16}")
-    order = [F.md5(F.col(key).cast("string")), F.col(text)]
-    rows = docs.filter(F.col(text).isNotNull() & (F.length(text) <= 20_000)).select(key, text, likely.alias("_likely"))
-    halves = [rows.filter(F.col("_likely") == x).orderBy(*order).limit(documents).select(text) for x in (True, False)]
-    return [r[0] for h in halves for r in h.collect()]
+    rows = docs.filter(F.col(text).isNotNull() & (F.length(text) <= LONGEST)).select(unit_hash(F.lit("secret"), key).alias("_place"), text, likely.alias("_likely"))
+    out = []
+    for half in (True, False):
+        own = rows.filter(F.col("_likely") == half)
+        end = own.select("_place").orderBy("_place").limit(documents).agg(F.max("_place")).first()[0]
+        if end is not None:
+            out += sorted(r[0] for r in own.filter(F.col("_place") <= end).select(text).limit(2 * documents).collect())
+    return out
 
 
 def find(texts: list[str], field: Field) -> list[list[tuple[int, int, int]]]:
