@@ -8,9 +8,9 @@ All orders put a fixed share of the token space (the region) first and sort it b
 region's tokens are ever counted, and tokens that no other set has come first: they fill most prefixes, match nothing and
 are dropped. The orders differ in how they break ties. Sets are the unit of work: equal sets are one row throughout.
 
-Sets that share prefix tokens form families. Within a family (or, where it is too large for one task, within blocks of
-the sets that share one token) pairs of sets that are not in one component yet are verified exactly; what leaves a task
-is a spanning forest of the links, never all pairs.
+Sets that share prefix tokens form families. Within a family (or, where it is too large for one task, within each two of
+its blocks; or, where these are too many, within each two blocks of the sets that share one token) pairs of sets that are
+not in one component yet are verified exactly; what leaves a task is a spanning forest of the links, never all pairs.
 """
 
 from __future__ import annotations
@@ -29,11 +29,12 @@ from .components import connected
 
 #: Words of a shingle, and the least Jaccard index in percent, of the registered query; near-duplicate stages elsewhere take their own.
 SHINGLE, PERCENT = 4, 85
-#: Share of the token space that the orders put first, in prefix lengths: a little more than a prefix holds.
-REGION_PREFIXES = 1.25
+#: Share of the token space that the orders put first, in prefix lengths. Less of it is cheaper to count, but a set whose
+#: prefix it cannot fill with tokens of its own stays a candidate, and families grow.
+REGION_PREFIXES = 2.0
 ORDERS = 3
-#: Most sets and tokens that meet in one task.
-FAMILY_SETS, FAMILY_TOKENS = 4096, 4_000_000
+#: Most sets and tokens that meet in one task, and most blocks that a larger family is cut into.
+FAMILY_SETS, FAMILY_TOKENS, MOST_BLOCKS = 4096, 4_000_000, 64
 
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -72,53 +73,61 @@ def prefix_length(n: int, percent: int) -> int:
     return n + (-percent * n // 100) + 1
 
 
-def set_facts(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """(key, n_shingles, set_key) for every row; set_key is null for empty sets."""
+def posted_part(tokens: np.ndarray, percent: int, region: float) -> np.ndarray:
+    """The region's tokens of a set, or as many as its prefix needs if these are more."""
+    bound = np.uint64(min(int(region * 2**64), 2**64 - 1))
+    return tokens[: max(prefix_length(len(tokens), percent), int(np.searchsorted(tokens, bound)))]
+
+
+def set_facts(docs: DataFrame, key: str, text: str, size: int, percent: int, region: float) -> DataFrame:
+    """(key, n_shingles, set_key, gap) for every row; set_key is null for empty sets.
+
+    ``gap`` is the prefix length less the number of tokens that the set posts.
+    """
 
     def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(t, size) for t in b.column(1).to_pylist()]
-            n = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), n, pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())], [key, "n_shingles", "set_key"])
+            rows = []
+            for t in b.column(1).to_pylist():
+                s = shingle_set(t, size)
+                rows.append((len(s), set_key(s) if len(s) else None, prefix_length(len(s), percent) - len(posted_part(s, percent, region)) if len(s) else 0))
+            n, names, gaps = zip(*rows) if rows else ([], [], [])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(names, pa.int64()), pa.array(gaps, pa.int32())], [key, "n_shingles", "set_key", "gap"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(facts, f"`{key}` {kind}, n_shingles long, set_key long")
+    return docs.select(key, text).mapInArrow(facts, f"`{key}` {kind}, n_shingles long, set_key long, gap int")
 
 
 def postings(docs: DataFrame, text: str, size: int, percent: int, region: float) -> DataFrame:
-    """(token, set_key, gap): the region's tokens of every set, or as many as its prefix needs if these are more.
-
-    ``gap`` is the prefix length less the number of tokens posted. A task posts an equal set once.
-    """
-    bound = np.uint64(int(region * 2**64))
+    """(token, set_key) of what every set posts. A task posts an equal set once."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
-            tokens, keys, gaps = [], [], []
+            tokens, names, sizes = [], [], []
             for t in b.column(0).to_pylist():
                 s = shingle_set(t, size)
                 if not len(s) or (name := set_key(s)) in seen:
                     continue
                 seen.add(name)
-                p = prefix_length(len(s), percent)
-                own = s[: max(p, int(np.searchsorted(s, bound)))]
+                own = posted_part(s, percent, region)
                 tokens.append(own)
-                keys.append((name, len(own)))
-                gaps.append(p - len(own))
+                names.append(name)
+                sizes.append(len(own))
             if tokens:
-                n = [x[1] for x in keys]
-                columns = [np.concatenate(tokens).view(np.int64), np.repeat(np.array([x[0] for x in keys], np.int64), n), np.repeat(np.array(gaps, np.int32), n)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "set_key", "gap"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(names, np.int64), sizes))], ["token", "set_key"])
+
+    return docs.select(text).mapInArrow(post, "token long, set_key long")
 
-    return docs.select(text).mapInArrow(post, "token long, set_key long, gap int")
 
+def shared_prefixes(posted: DataFrame, gaps: DataFrame, orders: int) -> DataFrame:
+    """(set_key, p1 .. pN): of each set that has any, the prefix tokens under each order that another set posts too.
 
-def shared_prefixes(posted: DataFrame, orders: int) -> DataFrame:
-    """(set_key, p1 .. pN): of each set that has any, the prefix tokens under each order that another set posts too."""
+    Tokens of one set alone come first in every order, so what is left of the prefix follows from their number.
+    """
     counts = posted.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("set_key").alias("a"), F.max("set_key").alias("b")).filter("a <> b").select("token", "c")
-    held = posted.join(counts, "token").groupBy("set_key", "gap").agg(F.collect_set(F.struct("token", "c")).alias("held"))
-    held = held.withColumn("q", F.size("held") + F.col("gap")).filter("q > 0")
+    held = posted.join(counts, "token").groupBy("set_key").agg(F.collect_set(F.struct("token", "c")).alias("held"))
+    held = held.join(gaps, "set_key").withColumn("q", F.size("held") + F.col("gap")).filter("q > 0")
 
     def first(k: int):
         rank = F.transform("held", lambda x: F.struct((x["c"] if k == 1 else F.floor(F.log2(x["c"]))).cast("long").alias("c"), F.xxhash64(x["token"], F.lit(k)).alias("h"), x["token"].alias("token")))
@@ -170,26 +179,31 @@ def link_group(names: np.ndarray, sets: list[np.ndarray], prefixes: list[list[np
     return [(int(names[i]), least[root[i]]) for i in range(len(sets)) if names[i] != least[root[i]]]
 
 
-def components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT, region: float | None = None, orders: int = ORDERS, family_sets: int = FAMILY_SETS, family_tokens: int = FAMILY_TOKENS) -> DataFrame:
+def components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT, region: float | None = None, orders: int = ORDERS, family_sets: int = FAMILY_SETS, family_tokens: int = FAMILY_TOKENS, most_blocks: int = MOST_BLOCKS) -> DataFrame:
     """(key, n_shingles, component_id) for every row; component_id is the least key that links reach.
 
     Null and empty texts have an empty set and are linked with nothing: their component is their own key. Repeated rows
     share a component. Null keys take part in links but never name a component unless all its keys are null.
     """
     region = REGION_PREFIXES * (1 - percent / 100) if region is None else region
-    facts = durable(set_facts(docs, key, text, size))
-    active = durable(shared_prefixes(postings(docs, text, size, percent, region), orders))
+    facts = durable(set_facts(docs, key, text, size, percent, region))
+    named = facts.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min(key).alias("_doc"), F.first("n_shingles").alias("n"), F.first("gap").alias("gap"))
+    active = durable(shared_prefixes(postings(docs, text, size, percent, region), named.select("set_key", "gap"), orders))
 
     shared = active.select("set_key", F.explode("p1").alias("token"))
     leaders = shared.groupBy("token").agg(F.min("set_key").alias("leader"))
     families = durable(connected(shared.join(leaders, "token"), "set_key", "leader"))
-    named = facts.groupBy("set_key").agg(F.min(key).alias("_doc"), F.first("n_shingles").alias("n"))
-    members = active.join(families, active["set_key"] == families["node"]).drop("node").join(named, "set_key")
+    members = active.join(families, active["set_key"] == families["node"]).drop("node").join(named.drop("gap"), "set_key")
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("tokens")).filter("sets > 1")
-    members = durable(members.join(sizes, "root").withColumn("whole", (F.col("sets") <= family_sets) & (F.col("tokens") <= family_tokens)))
 
+    def blocks():
+        """One for what fits a task, else so many that any two do."""
+        n = F.greatest(F.ceil(2 * F.col("sets") / family_sets), F.ceil(2 * F.col("tokens") / family_tokens)).cast("int")
+        return F.when((F.col("sets") <= family_sets) & (F.col("tokens") <= family_tokens), 1).otherwise(n)
+
+    members = durable(members.join(sizes.select("root", blocks().alias("blocks")), "root"))
     texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    found = texts.join(small(members), F.col("_key").eqNullSafe(F.col("_doc"))).drop("_key", "_doc")
+    found = texts.join(small(members), F.col("_key").eqNullSafe(F.col("_doc"))).drop("_key", "_doc", "n")
 
     def tokens_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -198,29 +212,36 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
             yield f[[len(s) > 0 and set_key(s) == k for s, k in zip(sets, f["set_key"])]]
 
     p = [f"p{k}" for k in range(1, orders + 1)]
-    kept = found.select("set_key", "root", "whole", *p, "_text")
-    kept = kept.mapInPandas(tokens_of, "set_key long, root long, whole boolean, " + "".join(f"{x} array<long>, " for x in p) + "`set` array<long>")
+    kept = found.select("set_key", F.col("root").alias("part"), "blocks", *p, "_text")
+    kept = kept.mapInPandas(tokens_of, "set_key long, part long, blocks int, " + "".join(f"{x} array<long>, " for x in p) + "`set` array<long>")
 
     def link(f: pd.DataFrame) -> pd.DataFrame:
+        whole = int(f["blocks"].iloc[0])
         f = f.drop_duplicates("set_key").sort_values("set_key")
         arrays = {c: [np.asarray(a, np.int64) for a in f[c]] for c in [*p, "set"]}
-        return pd.DataFrame(link_group(f["set_key"].to_numpy(), arrays["set"], [arrays[c] for c in p], percent), columns=["node", "root"], dtype="int64")
-
-    small_links = kept.filter("whole").groupBy("root").applyInPandas(link, "node long, root long")
-    rows = small_links
-    if members.filter(~F.col("whole")).limit(1).count():
-        # families too large for one task: their sets meet by shared prefix token, in pairs of blocks where these are many
-        large = members.filter(~F.col("whole")).select("set_key", "n", F.explode("p1").alias("token"))
-        lists = large.groupBy("token").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("tokens")).filter("sets > 1")
-        blocks = F.greatest(F.lit(1), F.ceil(2 * F.col("sets") / family_sets), F.ceil(2 * F.col("tokens") / family_tokens)).cast("int")
-        dealt = large.join(lists.select("token", blocks.alias("blocks")), "token")
-        dealt = dealt.withColumn("own", F.pmod(F.xxhash64("set_key", F.lit("block")), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.select("set_key", "token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        met = kept.filter(~F.col("whole")).drop("root", "whole").dropDuplicates(["set_key"]).join(dealt, "set_key")
-        rows = rows.union(connected(met.groupBy("token", "i", "j").applyInPandas(link, "node long, root long"), "node", "root"))
-    roots = durable(rows)
-
-    placed = named.filter("set_key is not null").join(roots, named["set_key"] == roots["node"], "left").select("set_key", F.coalesce("root", "set_key").alias("root"), "_doc")
+        edges = link_group(f["set_key"].to_numpy(), arrays["set"], [arrays[c] for c in p], percent)
+        return pd.DataFrame([(a, b, whole) for a, b in edges], columns=["node", "root", "blocks"]).astype({"node": "int64", "root": "int64", "blocks": "int32"})
+
+    def linked(rows: DataFrame) -> DataFrame:
+        """Each two blocks of a part meet; a part of one block meets once."""
+        dealt = rows.withColumn("_own", F.pmod(F.xxhash64("set_key", F.lit("block")), F.col("blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.withColumns({"i": F.least("_own", "_other"), "j": F.greatest("_own", "_other")}).drop("_own", "_other")
+        return dealt.groupBy("part", "i", "j").applyInPandas(link, "node long, root long, blocks int")
+
+    links = linked(kept.filter(F.col("blocks") <= most_blocks))
+    huge = members.filter(F.col("blocks") > most_blocks)
+    if huge.limit(1).count():
+        by_token = huge.select("set_key", "n", F.explode("p1").alias("token"))
+        lists = by_token.groupBy("token").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("tokens")).filter("sets > 1")
+        dealt = by_token.join(lists.select("token", blocks().alias("blocks")), "token").select("set_key", F.col("token").alias("part"), "blocks")
+        met = kept.filter(F.col("blocks") > most_blocks).drop("part", "blocks").join(dealt, "set_key")
+        links = links.unionByName(linked(met).withColumn("blocks", F.lit(2)))
+    links = durable(links)
+    # what was one task is done: its forest is one star for each component
+    done, open_ = links.filter("blocks = 1").select("node", "root"), links.filter("blocks > 1")
+    roots = durable(done.unionByName(connected(open_, "node", "root"))) if open_.limit(1).count() else done
+
+    placed = named.join(roots, named["set_key"] == roots["node"], "left").select("set_key", F.coalesce("root", "set_key").alias("root"), "_doc")
     least = placed.groupBy("root").agg(F.min("_doc").alias("component_id"))
     by_set = placed.join(least, "root").select("set_key", "component_id", F.lit(True).alias("_has"))
     out = facts.join(by_set, "set_key", "left")
