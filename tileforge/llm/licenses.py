@@ -37,7 +37,7 @@ def words_of(text: Column) -> Column:
     ``lower`` also changes letters beyond ASCII, which no phrase or template holds; the one that would become an ASCII
     letter by it, the Kelvin sign, is set aside first.
     """
-    low = F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("K"), F.lit("ĸ")))
+    low = F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u0138")))
     return F.array_remove(F.split(low, NOT_A_WORD), "")
 
 

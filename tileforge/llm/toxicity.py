@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import durable, small, table, unit_hash
 
-SIZES = (3, 4, 5)
+SIZES = (3, 4, 5, 6)
 BITS = 18
 FEATURES = 2000
 #: Expected labelled rows at most that the logistic model is fitted to; the ratios are counted over all of them.
