@@ -140,7 +140,7 @@ def _box_mean(a):
 
 def _order_tiles(spark, sf, tile, overlap):
     """Tiles that end on the raster's edge and share an overlap, with the boxes they own."""
-    scenes = demo.orders_raster(spark, sf).select("scene_id").distinct().select("scene_id", F.lit(demo.SIDE).alias("width"), F.lit(demo.SIDE).alias("height"))
+    scenes = demo.orders_raster(spark, sf).groupBy("scene_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
     cells = grid.make_tile_grid(scenes, (tile, tile), (overlap, overlap), partials=False, shift_back=True)
     rows = cells.withColumn("y", F.explode(F.sequence("tile.min_y", F.col("tile.max_y") - 1))).withColumn("x", F.explode(F.sequence("tile.min_x", F.col("tile.max_x") - 1)))
     px = rows.join(demo.orders_raster(spark, sf).select(*KEY, "bands"), KEY)
@@ -150,6 +150,10 @@ def _order_tiles(spark, sf, tile, overlap):
     return made.select("scene_id", "tile_row", "tile_col", *[F.col(f"tile.{s}").cast("int").alias(s) for s in G.SIDES], F.lit(2).alias("n_bands"), "data", *[F.col(f"valid.{s}").alias(f"v_{s}") for s in G.SIDES])
 
 
+def _owned(tiles):
+    return tiles.select("scene_id", "tile_row", "tile_col", *[f"v_{s}" for s in G.SIDES])
+
+
 @register("ras086_score_tiles", "SELECT vec_id::VARCHAR AS scene_id, (i // 8)::INT AS y, (i % 8)::INT AS x, round(embedding[i + 1]::DOUBLE * 0.25 + 1, 5) AS p FROM (SELECT *, unnest(range(64)) AS i FROM embeddings)")
 def score_tiles(spark, sf):
     px = scoring.stitch(scoring.score_tiles(demo.embedding_tiles(spark, sf), _model, patch=(4, 4)))
@@ -158,18 +162,17 @@ def score_tiles(spark, sf):
 
 @register("ras087_stitch_owned", f"""
 WITH {demo.PX} SELECT a.scene_id, a.y, a.x, round(avg(b.v), 4) AS p FROM px a JOIN px b ON a.scene_id = b.scene_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1
-WHERE a.y BETWEEN 1 AND 48 AND a.x BETWEEN 1 AND 48 GROUP BY a.scene_id, a.y, a.x""")
+GROUP BY a.scene_id, a.y, a.x HAVING count(*) = 9""")
 def stitch_owned(spark, sf):
     """A 3 x 3 mean over overlapping tiles; every output pixel comes from the tile that owns it."""
     tiles = _order_tiles(spark, sf, 20, 6)
-    valid = tiles.select("scene_id", "tile_row", "tile_col", *[f"v_{s}" for s in G.SIDES])
-    return scoring.stitch(scoring.score_tiles(tiles, _box_mean), valid).select(*KEY, F.round(F.get("probs", F.lit(0)), 4).alias("p"))
+    return scoring.stitch(scoring.score_tiles(tiles, _box_mean), _owned(tiles)).select(*KEY, F.round(F.get("probs", F.lit(0)), 4).alias("p"))
 
 
 @register("ras088_image_to_image", f"WITH {demo.PX} SELECT scene_id, y, x, round(v * 0.25 + w * 2, 4) AS p FROM px")
 def image_to_image(spark, sf):
     tiles = _order_tiles(spark, sf, 25, 0)
-    return scoring.stitch(scoring.score_tiles(tiles, _model)).select(*KEY, F.round(F.get("probs", F.lit(0)), 4).alias("p"))
+    return scoring.stitch(scoring.score_tiles(tiles, _model), _owned(tiles)).select(*KEY, F.round(F.get("probs", F.lit(0)), 4).alias("p"))
 
 
 @register("ras089_score_in_bounds", f"WITH {demo.PX} SELECT scene_id, y, x, round(v * 0.25 + w * 2, 4) AS p FROM px WHERE x >= 5 AND x < 35 AND y >= 10 AND y < 30")
@@ -177,7 +180,7 @@ def score_in_bounds(spark, sf):
     """Only tiles that meet the bounds are read and scored."""
     bounds = G.box(F.lit(5), F.lit(10), F.lit(35), F.lit(30))
     tiles = _order_tiles(spark, sf, 25, 0).filter(G.overlaps(G.box_of(), bounds))
-    px = scoring.stitch(scoring.score_tiles(tiles, _model)).filter("x >= 5 AND x < 35 AND y >= 10 AND y < 30")
+    px = scoring.stitch(scoring.score_tiles(tiles, _model), _owned(tiles)).filter("x >= 5 AND x < 35 AND y >= 10 AND y < 30")
     return px.select(*KEY, F.round(F.get("probs", F.lit(0)), 4).alias("p"))
 
 
