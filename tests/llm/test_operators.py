@@ -90,6 +90,47 @@ def test_mix_meets_targets_and_repeats(spark):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, once.collect()))
 
 
+def filled(sizes, weights, epochs=3):
+    """Targets by plain water filling: sources at their ceiling leave, the rest is shared by weight until none is above."""
+    left, open_, out = float(sum(sizes)), set(range(len(sizes))), [0.0] * len(sizes)
+    while open_:
+        level = left / sum(weights[k] for k in open_)
+        full = [k for k in open_ if level * weights[k] > epochs * sizes[k]]
+        for k in full or open_:
+            out[k] = float(epochs * sizes[k]) if full else level * weights[k]
+        if not full:
+            break
+        left -= sum(out[k] for k in full)
+        open_ -= set(full)
+    return out
+
+
+@pytest.mark.parametrize("sizes", [[100 + k for k in range(20)], [500] + [50] * 20, [10, 10, 1480] + [25] * 6, [1, 900, 900, 0], [7]])
+def test_targets_are_those_of_water_filling(spark, sizes):
+    weights = [mixing.WEIGHTS[k % 3] for k in range(len(sizes))]
+    table = spark.createDataFrame([(f"{k:02d}", n, w) for k, (n, w) in enumerate(zip(sizes, weights))], "_skey string, source_size long, weight int")
+    got = [r.target for r in mixing.source_targets(table, 3).orderBy("_skey").collect()]
+    assert got == pytest.approx(filled(sizes, weights))
+    assert sum(got) == pytest.approx(sum(sizes)) and all(t > 0 for t, n in zip(got, sizes) if n)
+
+
+@pytest.mark.parametrize("shares", [[60] * 20, [500] + [50] * 20])
+def test_what_is_taken_is_near_the_target(spark, shares):
+    rng = random.Random(2)
+    rows = [(f"s{k:02d}", " ".join(["w"] * rng.randint(1, 20))) for k, n in enumerate(shares) for _ in range(n)]
+    docs = spark.createDataFrame([(i, t, s) for i, (s, t) in enumerate(rows)], "doc_id long, text string, source string")
+    sums = mixing.mix(docs, mixing.word_count(F.col("text"))).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("source_size").alias("size")).orderBy("source").collect()
+    assert [r.target for r in sums] == pytest.approx(filled([r["size"] for r in sums], [mixing.WEIGHTS[k % 3] for k in range(len(sums))]))
+    assert all(r.target > 0 and abs(r.taken - r.target) <= 40 for r in sums)
+    assert 0 <= sum(r["size"] for r in sums) - sum(r.taken for r in sums) <= 40
+
+
+def test_mix_agrees_with_sql_of_the_first_level(same):
+    """OP4_SQL with the level of the first row that passes in place of the last one's."""
+    assert mixing.OP4_SQL.count("min(CASE WHEN level") == 1
+    same(entries.QUERIES["op4_mix_documents"], mixing.OP4_SQL.replace("min(CASE WHEN level", "max(CASE WHEN level"))
+
+
 def test_words_are_counted_as_runs(spark):
     df = spark.createDataFrame([(" a\tb \n c",), ("",), (None,), (" x y",)], "t string")
     assert [r[0] for r in df.select(mixing.word_count(F.col("t"))).collect()] == [3, 0, 0, 1]

@@ -22,7 +22,8 @@ def source_targets(sizes: DataFrame, epochs: int, budget: float | None = None) -
 
     The excess of sources that hit their ceiling is shared again by weight until none is above. In the order of ceiling
     over weight the sources at their ceiling come first, so the common level is found with running sums over this table,
-    which has one row for each source.
+    which has one row for each source. It is the level of the first row that is not above its ceiling: after it the sums
+    take sources as full that are not, and the level only falls.
     """
     ceiling = F.lit(epochs) * F.col("source_size")
     everything = Window.partitionBy()
@@ -33,7 +34,7 @@ def source_targets(sizes: DataFrame, epochs: int, budget: float | None = None) -
         .withColumn("_full", F.coalesce(F.sum(ceiling).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("_open", F.sum("weight").over(ordered.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
         .withColumn("_level", (F.col("_total") - F.col("_full")) / F.col("_open"))
-        .withColumn("_level", F.min(F.when(F.col("_level") <= ceiling / F.col("weight"), F.col("_level"))).over(everything))
+        .withColumn("_level", F.max(F.when(F.col("_level") <= ceiling / F.col("weight"), F.col("_level"))).over(everything))
     )
     target = F.least(F.coalesce(F.col("_level") * F.col("weight"), ceiling.cast("double")), ceiling.cast("double"))
     return rows.select("_skey", "source_size", target.alias("target"))
