@@ -167,10 +167,11 @@ def bounding_boxes(spark, sf):
 WITH {demo.BOXES} SELECT a.id AS left_id, b.id AS right_id FROM boxes a JOIN boxes b ON a.id % 10 = 0 AND b.id % 10 = 1
     AND least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0)""")
 def box_overlap_join(spark, sf):
+    """Every two boxes that overlap, once, the lower id left."""
     boxes = demo.customer_boxes(spark, sf)
-    left = boxes.filter(F.col("id") % 10 == 0).select(F.col("id").alias("left_id"), F.col("box").alias("left_box"))
-    right = boxes.filter(F.col("id") % 10 == 1).select(F.col("id").alias("right_id"), F.col("box").alias("right_box"))
-    return grid.box_overlap_join(left, right, "left_box", "right_box", 16).select("left_id", "right_id")
+    left = boxes.select(F.col("id").alias("left_id"), F.col("box").alias("left_box"))
+    right = boxes.select(F.col("id").alias("right_id"), F.col("box").alias("right_box"))
+    return grid.box_overlap_join(left, right, "left_box", "right_box", 16).filter("left_id < right_id").select("left_id", "right_id")
 
 
 @register("ras047_pixels_in_tiles", f"""
