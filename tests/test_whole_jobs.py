@@ -1,11 +1,16 @@
 """Queries that once did a part of their job, against plain loops over the whole tables."""
 
+import collections
+
 from tests.conftest import SMALL
 from tileforge.jobs import demo, queries
 
 
-def run(spark, name):
-    return queries.QUERIES[name](spark, SMALL).collect()
+LARGER = "/root/testdata/sf0.01"
+
+
+def run(spark, name, sf=SMALL):
+    return queries.QUERIES[name](spark, sf).collect()
 
 
 def meet(a, b):
@@ -18,3 +23,13 @@ def test_all_boxes_are_joined_with_all(spark):
     got = [tuple(r) for r in run(spark, "ras046_box_overlap_join")]
     assert len(got) == len(set(got)) and set(got) == want
     assert any((i % 10, j % 10) != (0, 1) for i, j in want)
+
+
+def test_common_areas_are_of_all_scenes(spark):
+    parts = collections.defaultdict(list)
+    for r in demo.supplier_scenes(spark, LARGER).collect():
+        parts[r.scene_id // 4].append((r.gt[0], r.gt[3] - r.height * 0.25, r.gt[0] + r.width * 0.5, r.gt[3]))
+    areas = {k: (max(b[0] for b in p), max(b[1] for b in p), min(b[2] for b in p), min(b[3] for b in p)) for k, p in parts.items()}
+    want = {k: a for k, a in areas.items() if a[0] < a[2] and a[1] < a[3]}
+    got = {r.part: (r.min_x, r.min_y, r.max_x, r.max_y) for r in run(spark, "ras118_common_area", LARGER)}
+    assert got == want and max(want) > 10

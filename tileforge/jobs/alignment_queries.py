@@ -47,7 +47,8 @@ def overlap_region(spark, sf):
 
 @register("ras118_common_area", f"WITH {FOOT} SELECT * FROM (SELECT scene_id % 10 AS part, max(x0) AS min_x, max(y0) AS min_y, min(x1) AS max_x, min(y1) AS max_y FROM f WHERE scene_id <= 40 GROUP BY scene_id % 10) WHERE min_x < max_x AND min_y < max_y")
 def common_area(spark, sf):
-    f = demo.supplier_scenes(spark, sf).filter("scene_id <= 40").select((F.col("scene_id") % 10).alias("part"), G.footprint(F.col("gt"), F.col("width"), F.col("height")).alias("box"))
+    """Of all scenes, in parts of four neighbours."""
+    f = demo.supplier_scenes(spark, sf).select(F.floor(F.col("scene_id") / 4).alias("part"), G.footprint(F.col("gt"), F.col("width"), F.col("height")).alias("box"))
     return align.common_area(f, "box", "part")
 
 
