@@ -4,6 +4,7 @@ import collections
 
 from tests.conftest import SMALL
 from tileforge.jobs import demo, queries
+from tileforge.operators import catalog
 
 
 LARGER = "/root/testdata/sf0.01"
@@ -33,3 +34,26 @@ def test_common_areas_are_of_all_scenes(spark):
     want = {k: a for k, a in areas.items() if a[0] < a[2] and a[1] < a[3]}
     got = {r.part: (r.min_x, r.min_y, r.max_x, r.max_y) for r in run(spark, "ras118_common_area", LARGER)}
     assert got == want and max(want) > 10
+
+
+def test_labels_overlap_their_scene_on_its_date(spark):
+    events = spark.read.parquet(f"{SMALL}/events.parquet").collect()
+    labels = sorted((e.event_id, e.ts.date(), (4 * e.user_id, v, 4 * e.user_id + 12, v + 8)) for e in events if e.event_type in ("click", "view") for v in [e.event_id * 7 % 20])
+    want, most = set(), 0
+    for e in events:
+        if e.event_type not in ("click", "view"):
+            b = (4 * e.user_id, e.event_id % 20, 4 * e.user_id + 60, e.event_id % 20 + 12)
+            met = [k for k, d, o in labels if d == e.ts.date() and meet(b, o)]
+            most = max(most, len(met))
+            want |= {(e.event_id, k) for k in met[:12]}
+    got = [tuple(r) for r in run(spark, "ras029_labels_on_date")]
+    assert len(got) == len(set(got)) and set(got) == want and most > 12
+
+
+def test_twelve_labels_of_the_date_and_place(spark):
+    box = "struct<min_x:int,min_y:int,max_x:int,max_y:int>"
+    scenes = spark.createDataFrame([("a", (0, 0, 40, 40), "2024-01-01"), ("b", (0, 0, 40, 40), "2024-01-02"), ("c", (90, 0, 99, 9), None)], f"scene_id string, box {box}, date string")
+    rows = [(k, (k, k, k + 20, k + 20), "2024-01-01") for k in range(15)] + [(20, (40, 0, 50, 9), "2024-01-02"), (21, (39, 0, 50, 9), "2024-01-02"), (22, (90, 0, 99, 9), None)]
+    labels = spark.createDataFrame(rows, f"label_id int, label_box {box}, date string")
+    got = sorted(tuple(r) for r in catalog.labels_on_date(scenes, labels, 16).collect())
+    assert got == [("a", k) for k in range(12)] + [("b", 21)]

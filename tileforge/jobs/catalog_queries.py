@@ -190,8 +190,9 @@ def mirrored_paths(spark, sf):
 
 @register("ras029_labels_on_date", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id) AS n FROM events WHERE event_type = 'click' OR event_type = 'view') WHERE n <= 2")
 def labels_on_date(spark, sf):
-    e = demo.table(spark, sf, "events").filter("event_type IN ('click', 'view')").withColumn("scene", F.concat_ws("/", "user_id", F.to_date("ts")))
-    return catalog.first_per_scene(e, "scene", ["event_id"], 2).select("user_id", "event_id")
+    """Clicks and views are label tiles, other events scenes; the plane grows with the users."""
+    scenes, labels = demo.event_boxes(spark, sf)
+    return catalog.labels_on_date(scenes, labels, 16)
 
 
 def _labelled_tiles(spark, sf):

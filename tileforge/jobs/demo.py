@@ -77,6 +77,18 @@ BOXES = """boxes AS (
 )"""
 
 
+def event_boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Scenes (scene_id, box, date) of 60 x 12 and label tiles (label_id, label_box, date) of 12 x 8, four columns to a user."""
+    from ..functions.geometry import box
+
+    e = table(spark, sf_dir, "events")
+    k, x = F.col("event_id"), (F.col("user_id") * 4).cast("int")
+    tile, date = F.col("event_type").isin("click", "view"), F.to_date("ts").alias("date")
+    y, v = (k % 20).cast("int"), (k * 7 % 20).cast("int")
+    scenes = e.filter(~tile).select(k.alias("scene_id"), box(x, y, x + 60, y + 12).alias("box"), date)
+    return scenes, e.filter(tile).select(k.alias("label_id"), box(x, v, x + 12, v + 8).alias("label_box"), date)
+
+
 def embedding_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One 8 x 8 tile of one band for each vector."""
     e = table(spark, sf_dir, "embeddings")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pixels import uniform
+from .grid import box_overlap_join
 
 #: Header tags that come with a band number.
 BAND_TAGS = ("RADIANCE_MULT", "RADIANCE_ADD", "REFLECTANCE_MULT", "REFLECTANCE_ADD", "K1_CONSTANT", "K2_CONSTANT", "FILE_NAME")
@@ -141,3 +142,12 @@ def mirrored_path(path: Column, base: str, out: str, prefix: str = "", extension
 def first_per_scene(matches: DataFrame, scene: str, order: list[str], most: int = 12) -> DataFrame:
     """At most ``most`` matches for each scene, first by ``order``."""
     return matches.withColumn("_n", F.row_number().over(Window.partitionBy(scene).orderBy(*order))).filter(F.col("_n") <= most).drop("_n")
+
+
+def labels_on_date(scenes: DataFrame, labels: DataFrame, cell: int, most: int = 12) -> DataFrame:
+    """(scene_id, label_id): label tiles whose box overlaps the scene's on its date, at most ``most`` for each scene.
+
+    ``scenes`` has scene_id, box and date, ``labels`` label_id, label_box and date; the lowest label ids come first.
+    """
+    met = box_overlap_join(scenes, labels, "box", "label_box", cell, on=("date",))
+    return first_per_scene(met, "scene_id", ["label_id"], most).select("scene_id", "label_id")

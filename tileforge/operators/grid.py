@@ -115,8 +115,8 @@ def bounding_box(boxes: DataFrame, box: Column, *keys: str) -> DataFrame:
     return boxes.groupBy(*keys).agg(G.box(F.min(box["min_x"]), F.min(box["min_y"]), F.max(box["max_x"]), F.max(box["max_y"])).alias("box"))
 
 
-def box_overlap_join(left: DataFrame, right: DataFrame, left_box: str, right_box: str, cell: int) -> DataFrame:
-    """All pairs of rows whose boxes overlap (touching is no overlap).
+def box_overlap_join(left: DataFrame, right: DataFrame, left_box: str, right_box: str, cell: int, on: tuple[str, ...] = ()) -> DataFrame:
+    """All pairs of rows whose boxes overlap (touching is no overlap) and that agree in the columns of ``on``.
 
     Both sides are cut into the cells of a grid and joined on the cell; a pair is reported in one cell only, the one that
     holds the lower left corner of its intersection, so no distinct is needed. ``cell`` should be near the median box size.
@@ -129,7 +129,7 @@ def box_overlap_join(left: DataFrame, right: DataFrame, left_box: str, right_box
         rows = df.filter(G.has_area(F.col(b)))
         return rows.withColumn("_cx", F.explode(span("min_x", "max_x"))).withColumn("_cy", F.explode(span("min_y", "max_y")))
 
-    both = cells(left, left_box).join(cells(right, right_box), ["_cx", "_cy"])
+    both = cells(left, left_box).join(cells(right, right_box), [*on, "_cx", "_cy"])
     met = G.intersection(F.col(left_box), F.col(right_box))
     here = (F.floor(met["min_x"] / cell) == F.col("_cx")) & (F.floor(met["min_y"] / cell) == F.col("_cy"))
     return both.filter(G.overlaps(F.col(left_box), F.col(right_box)) & here).drop("_cx", "_cy")
