@@ -57,3 +57,15 @@ def test_twelve_labels_of_the_date_and_place(spark):
     labels = spark.createDataFrame(rows, f"label_id int, label_box {box}, date string")
     got = sorted(tuple(r) for r in catalog.labels_on_date(scenes, labels, 16).collect())
     assert got == [("a", k) for k in range(12)] + [("b", 21)]
+
+
+def test_all_points_of_all_shapes(spark):
+    square = [(0, False, [(10, 10), (30, 10), (30, 30), (10, 30), (10, 10)]), (0, True, [(15, 15), (25, 15), (25, 25), (15, 25), (15, 15)]), (1, False, [(44, 44), (49, 44), (49, 49), (44, 49), (44, 44)])]
+    want = set()
+    for scene in {r.scene_id for r in demo.orders_raster(spark, LARGER).select("scene_id").distinct().collect()}:
+        k = int(scene[1:])
+        triangle = [(0, False, [(k % 5 + 2, 5), (40.5, 8), (20, k % 7 + 38), (k % 5 + 2, 5)])]
+        for shape, rings in ((1, triangle), (2, square)):
+            want |= {(scene, shape, n, poly, hole, i, (x - 1.0) / 0.5, (y - 60.0) / -0.25) for n, (poly, hole, pts) in enumerate(rings) for i, (x, y) in enumerate(pts)}
+    got = [tuple(r) for r in run(spark, "ras091_shapes_to_pixels", LARGER)]
+    assert len(got) == len(want) and set(got) == want

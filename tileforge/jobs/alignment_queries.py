@@ -223,10 +223,11 @@ def shape_bounds(spark, sf):
 @register("ras091_shapes_to_pixels", f"""
 WITH {demo.PX}, s AS (SELECT DISTINCT scene_id, substr(scene_id, 2)::INT AS k FROM px) SELECT scene_id, (k % 5 + 2 - 1.0::DOUBLE) / 0.5 AS x, (5 - 60.0::DOUBLE) / -0.25 AS y FROM s""")
 def shapes_to_pixels(spark, sf):
-    """The first point of each first shape."""
+    """All points of all rings; ``ring`` numbers the rings of a shape, ``position`` the points of a ring."""
     gt = F.array(*map(F.lit, (1.0, 0.5, 0.0, 60.0, 0.0, -0.25)))
-    first = regions.to_pixels(F.col("rings"), gt)[0]["pts"][0]
-    return order_shapes(spark, sf).filter("shape_id = 1").select("scene_id", first["x"].alias("x"), first["y"].alias("y"))
+    rings = order_shapes(spark, sf).select("scene_id", "shape_id", F.posexplode(regions.to_pixels(F.col("rings"), gt)).alias("ring", "r"))
+    points = rings.select("scene_id", "shape_id", "ring", "r.poly", "r.hole", F.posexplode("r.pts").alias("position", "p"))
+    return points.select("scene_id", "shape_id", "ring", "poly", "hole", "position", "p.x", "p.y")
 
 
 @register("ras090_mask_outside_shapes", f"WITH {SHAPES} SELECT scene_id, y, x, CASE WHEN EXISTS (SELECT 1 FROM held h WHERE h.scene_id = px.scene_id AND h.y = px.y AND h.x = px.x) THEN label ELSE 2 END AS label FROM px")
