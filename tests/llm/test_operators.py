@@ -192,6 +192,19 @@ def test_license_labels(spark):
     assert rows[6].score == pytest.approx(0.8) and rows[0].score == 1.0
 
 
+def test_near_misses_have_no_label(spark):
+    texts = ["Released under the GPL license.", "Licensed under CC BY 4.0", "Licensed under the GNU General Public License version 2", "licensed under the GNU Lesser General Public License version 3",
+             "Subject to the terms of the Mozilla Public License v 1.1", "Licensed under the Apache License Version 1.1", "released under the BSD license", "Licensed under the Apache License version 20"]
+    rows = licenses.scan(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.labels, r.score) for r in rows] == [("", 0.0)] * len(texts)
+
+
+def test_notices_are_found_at_every_offset(spark):
+    rows = [(k, at, "filler " * at + text + " more" * 50) for k, (text, *_) in enumerate(licenses.NOTICES) for at in range(0, 70)]
+    found = licenses.scan(spark.createDataFrame(rows, "k int, at int, text string").repartition(4)).select("k", "labels", "score").distinct().collect()
+    assert {r.k: (r.labels, r.score) for r in found} == {k: (n[1], 1.0) for k, n in enumerate(licenses.NOTICES)} and len(found) == len(licenses.NOTICES)
+
+
 # exact deduplication
 
 

@@ -1,9 +1,8 @@
-"""License scans: an exact set-similarity join of text blocks with license notices (native).
+"""License scans: containment of license notices in windows of a text's words (native).
 
-A block (a window of words) meets a template when it holds at least the share ``threshold`` of the template's distinct
-words. Words are ordered by document frequency over the whole corpus, rarest first. A block that meets a template shares
-a word with the template's prefix (prefix filter), holds enough template words at all (length filter), and at the first
-shared word has enough words left on both sides (positional filter); blocks that pass are counted out exactly.
+A text meets a notice when some window of half as many words again as the notice holds at least the share ``threshold`` of
+its distinct words, and the words that name the license among them. A text with too few words of a notice, counted over all
+of it, is out at once; in others every window that starts with a word of the notice and holds its anchor is counted out.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from .common import table
 
 #: Phrases whose words stand consecutively, and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Well-known notices, and the labels that the method adds.
+#: The single sentences among the notices, and the labels that the method adds.
 TEMPLATES = {
     "released under the mit license": "mit",
     "licensed under the apache license version 2 0": "apache-2",
@@ -25,8 +24,51 @@ TEMPLATES = {
     "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
 }
 THRESHOLD = 0.8
-#: Words of a block, and from one block's start to the next: a notice of up to BLOCK - STRIDE words lies whole in a block.
+#: Words of a block of the SQL, and from one block's start to the next.
 BLOCK, STRIDE = 32, 16
+_V2, _V3 = ("version 2", "v 2", "v2", "license 2", "mpl 2", "2 0"), ("version 3", "v 3", "v3", "license 3")
+_APACHE, _GPL, _MPL = (("apache",), _V2), (("gnu general public license",), _V3), (("mozilla public license", "mpl"), _V2)
+#: Notices with label, the word that every window has to hold, and what names the license: of each group one phrase.
+NOTICES = [
+    (t, label, anchor, names)
+    for (t, label), (anchor, names) in zip(
+        TEMPLATES.items(),
+        [("mit", (("mit",),)), ("apache", _APACHE), ("nc", (("cc",), ("nc",))), ("gnu", _GPL), ("public", _MPL), ("binary", (("redistribution",), ("binary",)))],
+    )
+] + [
+    (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software "
+        "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
+        "mit", "sublicense", (("sublicense",), ("granted",)),
+    ),
+    (
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at",
+        "apache-2", "apache", _APACHE,
+    ),
+    ("apache license version 2 0 january 2004 http www apache org licenses terms and conditions for use reproduction and distribution", "apache-2", "apache", _APACHE),
+    (
+        "creative commons attribution noncommercial 4 0 international public license by exercising the licensed rights defined below you accept and agree to be bound by the terms and conditions",
+        "cc-by-nc", "noncommercial", (("creative commons",), ("noncommercial",)),
+    ),
+    (
+        "gnu general public license version 3 29 june 2007 copyright c 2007 free software foundation inc everyone is permitted to copy and distribute verbatim copies of this license document "
+        "but changing it is not allowed",
+        "gpl-3", "gnu", _GPL,
+    ),
+    (
+        "redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+        "gpl-3", "gnu", _GPL,
+    ),
+    (
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at",
+        "mpl-2", "mozilla", _MPL,
+    ),
+    ("mozilla public license version 2 0 1 definitions 1 1 contributor means each individual or legal entity that creates contributes to the creation of or owns covered software", "mpl-2", "mozilla", _MPL),
+    (
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        "bsd", "redistributions", (("redistributions",), ("retain",), ("disclaimer",)),
+    ),
+]
 #: Anything but letters, digits and characters beyond ASCII.
 NOT_A_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -56,43 +98,30 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
-def template_words(templates: dict[str, str]) -> list[str]:
-    return sorted({w for t in templates for w in t.split()})
-
-
-def frequency_order(texts: DataFrame, words: str, templates: dict[str, str]) -> list[str]:
-    """The templates' words, rarest in the corpus first (ties by the word). Counts cover all texts; one row per template word comes back."""
-    vocabulary = template_words(templates)
-    found = texts.select(F.explode(F.array_intersect(F.array(*map(F.lit, vocabulary)), F.col(words))).alias("w"))
-    counts = {r["w"]: r["n"] for r in found.groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
-
+def _one_of(phrases: tuple[str, ...], text: Column) -> Column:
+    out = text.contains(f" {phrases[0]} ")
+    for p in phrases[1:]:
+        out = out | text.contains(f" {p} ")
+    return out
 
-def template_matches(words: str, order: list[str], templates: dict[str, str], threshold: float) -> tuple[Column, Column]:
-    """The blocks as arrays of ranks, to be named ``_blocks``; and, of each template that one of them meets, label and best share."""
-    rank = {w: k for k, w in enumerate(order)}
-    ranks = F.create_map(*[x for w, k in rank.items() for x in (F.lit(w), F.lit(k))])
-    n = F.size(words)
-    known = F.transform(words, lambda w: F.coalesce(ranks[w], F.lit(-1)))
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(STRIDE))).otherwise(F.array().cast("array<int>"))
-    blocks = F.transform(starts, lambda s: F.array_sort(F.array_distinct(F.filter(F.slice(known, s + 1, BLOCK), lambda r: r >= 0))))
-    sides = []
-    for template, label in templates.items():
-        own = sorted({rank[w] for w in template.split()})
-        need = least_overlap(len(own), threshold)
-        sides.append(F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, own)).alias("own"), F.lit(need).alias("need"), F.array(*map(F.lit, own[: len(own) - need + 1])).alias("prefix")))
 
-    def meets(block: Column, t: Column) -> Column:
-        prefix = F.slice(block, 1, F.size(block) - t["need"] + 1)
-        first = F.array_min(F.array_intersect(t["prefix"], prefix))
-        left = 1 + F.least(F.size(t["own"]) - F.array_position(t["own"], first), F.size(block) - F.array_position(block, first))
-        return F.when((F.size(block) >= t["need"]) & F.arrays_overlap(t["prefix"], prefix), left >= t["need"]).otherwise(False)
+def notice_share(words: str, known: str, notice: tuple, threshold: float) -> Column:
+    """The best share of the notice in a window of ``words`` that meets it, else NULL; ``known`` has the text's distinct notice words."""
+    text, _, anchor, names = notice
+    own = F.array(*map(F.lit, sorted(set(text.split()))))
+    need = least_overlap(len(set(text.split())), threshold)
+    block = len(text.split()) * 3 // 2
+    here = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i) == anchor)
+    starts = F.array_distinct(F.flatten(F.transform(here, lambda i: F.sequence(F.greatest(F.lit(0), i - block + 1), i))))
+    starts = F.filter(starts, lambda s: F.array_contains(own, F.get(words, s)))
 
-    def score(t: Column) -> Column:
-        shares = F.transform(F.filter("_blocks", lambda b: meets(b, t)), lambda b: F.size(F.array_intersect(t["own"], b)))
-        return F.array_max(F.filter(shares, lambda x: x >= t["need"])) / F.size(t["own"])
+    def share(s: Column) -> Column:
+        window = F.slice(words, s + 1, block)
+        return F.struct(F.size(F.array_intersect(own, window)).alias("n"), F.concat(F.lit(" "), F.array_join(window, " "), F.lit(" ")).alias("text"))
 
-    return blocks, F.filter(F.transform(F.array(*sides), lambda t: F.struct(t["label"].alias("label"), score(t).alias("score"))), lambda x: x["score"].isNotNull())
+    met = F.filter(F.transform(starts, share), lambda w: (w["n"] >= need) & _all([_one_of(g, w["text"]) for g in names]))
+    hopeful = F.array_contains(known, anchor) & (F.size(F.array_intersect(known, own)) >= need)
+    return F.when(hopeful, F.array_max(F.transform(met, lambda w: w["n"])) / len(set(text.split())))
 
 
 def least_overlap(size: int, threshold: float) -> int:
@@ -100,21 +129,19 @@ def least_overlap(size: int, threshold: float) -> int:
     return next(k for k in range(size + 1) if k / size >= threshold)
 
 
-def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", notices: list[tuple] = NOTICES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with n_words, n_base, first_word, last_word, base_labels, labels and score.
 
     Null texts have no words; labels are distinct, sorted and joined with commas, empty where there is none; the score is
-    the best share of a template that some block meets, 0 where none does.
+    the best share of a notice that some window meets, 0 where none does.
     """
-    worded = docs.withColumn("_words", words_of(F.col(text)))
-    order = frequency_order(docs.select(words_of(F.col(text)).alias("_words")), "_words", templates)
-    need = {t: least_overlap(len(set(t.split())), threshold) for t in templates}
-    prefixes = sorted({w for t, k in need.items() for w in sorted(set(t.split()), key=order.index)[: len(set(t.split())) - k + 1]})
-    blocks, found = template_matches("_words", order, templates, threshold)
-    hopeful = F.arrays_overlap("_words", F.array(*map(F.lit, prefixes)))
-    rows = worded.withColumn("_hopeful", hopeful)
-    rows = rows.withColumns({"_blocks": F.when(F.col("_hopeful"), blocks), "_places": F.array(*[phrase_places("_words", p) for p in phrases])})
-    rows = rows.withColumns({"_found": F.when(F.col("_hopeful"), found), "_all": F.flatten("_places"), "_named": F.filter(F.array(*[F.when(F.size(F.get("_places", k)) > 0, F.lit(x)) for k, x in enumerate(phrases.values())]), lambda x: x.isNotNull())})
+    vocabulary = F.array(*map(F.lit, sorted({w for t, *_ in notices for w in t.split()})))
+    rows = docs.withColumn("_words", words_of(F.col(text)))
+    rows = rows.withColumns({"_known": F.array_intersect("_words", vocabulary), "_places": F.array(*[phrase_places("_words", p) for p in phrases])})
+    found = F.array(*[F.struct(F.lit(n[1]).alias("label"), notice_share("_words", "_known", n, threshold).alias("score")) for n in notices])
+    least = min(least_overlap(len(set(t.split())), threshold) for t, *_ in notices)
+    rows = rows.withColumn("_found", F.when(F.size("_known") >= least, F.filter(found, lambda x: x["score"].isNotNull())))
+    rows = rows.withColumns({"_all": F.flatten("_places"), "_named": F.filter(F.array(*[F.when(F.size(F.get("_places", k)) > 0, F.lit(x)) for k, x in enumerate(phrases.values())]), lambda x: x.isNotNull())})
     added = F.coalesce(F.transform("_found", lambda x: x["label"]), F.array().cast("array<string>"))
     return rows.withColumns(
         {
@@ -126,7 +153,7 @@ def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] = TEMPLA
             "labels": F.array_join(F.array_sort(F.array_union("_named", added)), ","),
             "score": F.coalesce(F.array_max(F.transform("_found", lambda x: x["score"])), F.lit(0.0)),
         }
-    ).drop("_words", "_hopeful", "_blocks", "_places", "_found", "_all", "_named")
+    ).drop("_words", "_known", "_places", "_found", "_all", "_named")
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
