@@ -2,7 +2,11 @@
 
 import collections
 
+import numpy as np
+import pytest
+
 from tests.conftest import SMALL
+from tileforge.functions import kernels
 from tileforge.jobs import demo, queries
 from tileforge.operators import catalog
 
@@ -69,3 +73,16 @@ def test_all_points_of_all_shapes(spark):
             want |= {(scene, shape, n, poly, hole, i, (x - 1.0) / 0.5, (y - 60.0) / -0.25) for n, (poly, hole, pts) in enumerate(rings) for i, (x, y) in enumerate(pts)}
     got = [tuple(r) for r in run(spark, "ras091_shapes_to_pixels", LARGER)]
     assert len(got) == len(want) and set(got) == want
+
+
+@pytest.mark.parametrize("name, kernel", [("ras124_fill_nodata", lambda p: kernels.fill_gaps(p, 16)), ("ras126_gaussian_blur", lambda p: kernels.blur(p, 9.0))])
+def test_windows_are_those_of_the_reference(spark, name, kernel):
+    """Reach 16 and sigma 9 on each scene in one piece."""
+    planes = collections.defaultdict(lambda: np.full((demo.SIDE, demo.SIDE), np.nan))
+    for r in demo.orders_raster(spark, SMALL).collect():
+        planes[r.scene_id][r.y, r.x] = np.nan if name.startswith("ras124") and r.label == demo.NODATA else r.bands[0]
+    rows = run(spark, name)
+    height = {s: max(r.y for r in rows if r.scene_id == s) + 1 for s in planes}
+    want = {s: kernel(p[: height[s]]) for s, p in planes.items()}
+    near = lambda r: r.value == pytest.approx(want[r.scene_id][r.y, r.x], abs=1e-3) if r.value is not None else np.isnan(want[r.scene_id][r.y, r.x])
+    assert rows and all(near(r) for r in rows)

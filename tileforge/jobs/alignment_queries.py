@@ -120,13 +120,13 @@ def _gappy(spark, sf):
 
 @register("ras124_fill_nodata")
 def fill_nodata(spark, sf):
-    return scoring.fill_nodata(_gappy(spark, sf), reach=4, tile=25).select(*KEY, F.round("value", 4).alias("value"))
+    return scoring.fill_nodata(_gappy(spark, sf), tile=25).select(*KEY, F.round("value", 4).alias("value"))
 
 
 @register("ras126_gaussian_blur")
 def gaussian_blur(spark, sf):
     px = demo.orders_raster(spark, sf).select(*KEY, F.get("bands", F.lit(0)).alias("value"))
-    return scoring.gaussian_blur(px, 2.0, tile=25).select(*KEY, F.round("value", 4).alias("value"))
+    return scoring.gaussian_blur(px, tile=25).select(*KEY, F.round("value", 4).alias("value"))
 
 
 def _model(a):
