@@ -2,7 +2,7 @@
 
 A rule rejects a document when a ratio exceeds a cutoff. The cutoffs come from labelled documents: for each stratum and
 rule the strictest cutoff of a grid is taken whose false rejection rate (the share of good documents that it rejects) is
-shown to be at most ``alpha`` by an exact binomial test, with the error probability ``delta`` divided over all strata and
+shown to be at most ``alpha`` by an exact binomial test, with the error probability ``risk`` divided over all strata and
 rules (Bonferroni). Along a grid the tests go from the loosest cutoff to the strictest and stop at the first that fails,
 so no further correction is needed within it.
 """
@@ -23,7 +23,7 @@ GRID = 20
 #: Ratio and the loosest cutoff of its grid.
 RULES = {"symbols": ("n_symbols", "word_chars", 0.5), "dup_lines": ("n_dup_lines", "n_lines", 1.0), "repeats": ("n_repeat_words", "n_words", 0.5)}
 #: Bound of the false rejection rate of all rules together in a stratum, and of the probability that any bound fails.
-ALPHA, DELTA = 0.05, 0.1
+ALPHA, RISK = 0.05, 0.1
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 
 
@@ -112,7 +112,7 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(F.exp(first) * F.aggregate(steps, start, step, lambda a: a["sum"]))
 
 
-def calibrate(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA, grid: int = GRID) -> DataFrame:
+def calibrate(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", alpha: float = ALPHA, risk: float = RISK, grid: int = GRID) -> DataFrame:
     """(_stratum, rule, cutoff) from all documents that are labelled good (quality 1 in every label row of theirs).
 
     Documents that fail the base rules are rejected anyway and do not count. A stratum and rule for which no cutoff can
@@ -126,7 +126,7 @@ def calibrate(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     tests = counts.select("_stratum").distinct().count() * len(RULES)
     steps = counts.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))).groupBy("_stratum", "rule", "j")
     steps = steps.agg(F.sum("n").cast("double").alias("n"), F.coalesce(F.sum(F.when(F.col("above") >= grid - F.col("j"), F.col("n"))), F.lit(0)).cast("double").alias("k"))
-    safe = steps.filter(binomial_tail(F.col("k"), F.col("n"), alpha / len(RULES)) <= delta / max(1, tests))
+    safe = steps.filter(binomial_tail(F.col("k"), F.col("n"), alpha / len(RULES)) <= risk / max(1, tests))
     lists = F.create_map(*[x for r in RULES for x in (F.lit(r), F.array(*map(F.lit, cutoffs(r, grid))))])
     return safe.groupBy("_stratum", "rule").agg(F.max("j").alias("j")).select("_stratum", "rule", F.get(lists[F.col("rule")], F.col("j")).alias("cutoff"))
 
@@ -185,7 +185,7 @@ counts AS (
     FROM counts
 ), chosen AS (
     SELECT stratum, rule, arg_max(cut, j) AS cut FROM tails
-    WHERE tail <= {DELTA} / ({len(RULES)} * (SELECT count(DISTINCT stratum) FROM counts)) GROUP BY stratum, rule
+    WHERE tail <= {RISK} / ({len(RULES)} * (SELECT count(DISTINCT stratum) FROM counts)) GROUP BY stratum, rule
 ), bad AS (SELECT DISTINCT r FROM ratios JOIN chosen USING (stratum, rule) WHERE ratio > cut)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.r IS NULL AS kept
 FROM m LEFT JOIN bad USING (r)
