@@ -169,7 +169,7 @@ WITH rows AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
     UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), sized AS (
-    SELECT *, CASE role {marks} END + length(text)
+    SELECT *, CASE role {marks} ELSE {sum(map(len, OTHER))} + length(role) + length(role) - length(translate(role, '\\]', '')) END + length(text)
         + CASE WHEN regexp_matches(text, '{control}|\\\\') THEN len(regexp_extract_all(text, '{control}|\\\\')) ELSE 0 END AS chars
     FROM rows
 )

@@ -116,7 +116,7 @@ levels AS (
               / (sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level
     FROM weighted WINDOW o AS (ORDER BY (3 * source_size)::DOUBLE / weight, skey)
 ), targets AS (
-    SELECT skey, source_size, total, least((min(CASE WHEN level <= (3 * source_size)::DOUBLE / weight THEN level END) OVER ()) * weight, (3 * source_size)::DOUBLE) AS target
+    SELECT skey, source_size, total, least((max(CASE WHEN level <= (3 * source_size)::DOUBLE / weight THEN level END) OVER ()) * weight, (3 * source_size)::DOUBLE) AS target
     FROM levels
 ), items AS (
     SELECT r, doc_id, skey, size, source_size, total, target, place, e,
