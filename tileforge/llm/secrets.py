@@ -2,15 +2,19 @@
 
 Tokens are runs of the characters that secrets are made of. The field tags them as begin (B), inside (I) or outside (O) of a
 secret; its features are the token's shape, the neighbouring words, the characters between them and the file's make-up. It
-is trained on what the base patterns find in a bounded sample of documents. Decoding is by Viterbi over whole texts: where
-the emission for O leads by more than all transitions together could make up, every best path is at O, so the chain falls
-apart there and only the short stretches in between are searched.
+is trained on a bounded sample of the corpus into which made-up secrets of many forms are planted, so that it learns what
+secrets look like in these texts and not what the base patterns match; look-alikes (addresses, numbers, dates, paths) are
+planted as plain text. A tag I follows B or I only. Decoding is by Viterbi over whole texts: where the emission for O leads
+by more than all other scores together could make up, every best path is at O, so the chain falls apart there and only the
+short stretches in between are searched.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, unit_hash
+from .common import table
 
 KINDS = ("assign", "access", "hex", "crf")
 #: The base patterns. A match counts from 12 (second group), 18 and 16 characters on.
@@ -29,28 +33,32 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # runs are maximal, so that shorter ones nee
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 KEYWORDS = ("password", "passwd", "secret", "token", "api")
 
-#: Documents with and without base spans that the field is trained on, and tokens on each side of a training window's middle.
-SAMPLE_DOCS, SIDE = 400, 10
-#: Texts of more characters are scanned like all others, but not trained on.
-LONGEST = 20_000
+#: Documents expected in the training sample, characters of each that are used, secrets and look-alikes planted into all of
+#: them together, and tokens on each side of a training window's middle.
+SAMPLE_DOCS, SAMPLE_CHARS, PLANTED, SIDE = 800, 4000, 1200, 5
 O, B, I = 0, 1, 2
-#: Words that often stand before a secret.
-HINTS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "key", "auth", "bearer", "credential", "credentials", "private_key", "access_key", "secret_key")
+#: Parts of words that often stand before a secret.
+STEMS = ("pass", "pwd", "secret", "token", "key", "auth", "bearer", "cred", "private")
 
 _LOWER, _UPPER, _DIGIT, _SIGN, _WIDE, _GAP = range(6)
 _CLASS = np.full(256, _GAP, np.uint8)
 _CLASS[list(b"abcdefghijklmnopqrstuvwxyz")] = _LOWER
 _CLASS[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")] = _UPPER
 _CLASS[list(b"0123456789")] = _DIGIT
-_CLASS[list(b"+/_.=-")] = _SIGN
+_CLASS[list(b"+/_.-")] = _SIGN
 _CLASS[128:] = _WIDE
 _HEXLETTER = np.zeros(256, bool)
-_HEXLETTER[list(b"abcdef")] = True
+_HEXLETTER[list(b"abcdefABCDEF")] = True
+_QUOTE, _ASSIGN, _CODE = (np.zeros(256, bool) for _ in range(3))
+_QUOTE[list(b"\"'`")] = True
+_ASSIGN[list(b"=:")] = True
+_CODE[list(b"{}[]()<>;=#$@|\\\"")] = True
 _LENGTHS = np.array([4, 8, 12, 16, 20, 32, 40, 64])
 #: Feature groups: name and number of values. A token has one value of each.
-GROUPS = {"length": 9, "shape": 32, "hexlike": 10, "mixing": 8, "before": 4, "second": 4, "gap": 4, "after": 3, "file": 4}
+GROUPS = {"length": 9, "classes": 32, "hexlike": 10, "digit_turns": 8, "case_turns": 8, "signs": 6, "longest_word": 8, "run": 6, "word_before": 4, "second_before": 4, "gap": 16, "after": 3, "file_odd": 4, "file_code": 4, "file_lines": 4}
 _OFFSETS = dict(zip(GROUPS, np.cumsum([0, *GROUPS.values()])))
 FEATURES = sum(GROUPS.values())
+_BAN = -1e9
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -66,9 +74,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def value_spans(text: str) -> list[tuple[int, int]]:
-    """The secrets themselves: of an assignment its value only."""
+    """The secrets themselves: of an assignment its value only. Matches of digits alone, which may be any number, are left out."""
     out = [(m.start(2), m.end(2)) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= LEAST["assign"]]
-    return sorted(set(out + [(a, z) for a, k, z in base_spans(text) if k > 0]))
+    out += [(a, z) for a, k, z in base_spans(text) if k > 0]
+    return sorted({(a, z) for a, z in out if not text[a:z].isdigit()})
 
 
 @dataclass
@@ -97,45 +106,62 @@ def tokens_of(data: bytes, ends: np.ndarray) -> Tokens:
 
     lower, upper, digit, sign, wide = (count(kind == k) for k in range(5))
     hexes = count(_HEXLETTER[raw]) + digit
-    turns = count(np.concatenate([[False], (kind[1:] == _DIGIT) != (kind[:-1] == _DIGIT)]) & (kind != _GAP))
+
+    def turns(one: int, other: int | None = None) -> np.ndarray:
+        """How often the token changes between a class and another one, or any."""
+        here, last = kind[1:], kind[:-1]
+        change = (here == one) != (last == one) if other is None else ((here == one) & (last == other)) | ((here == other) & (last == one))
+        return count(np.concatenate([[False], change & (last != _GAP) & (here != _GAP)]))
+
+    # how far each byte is into its run of one class; the longest runs of letters of one case and of any class in a token
+    change = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]]))
+    into = np.arange(len(kind), dtype=np.int32) - np.repeat(change, np.diff(np.append(change, len(kind)))).astype(np.int32) + 1
+    edges = np.append(edge, len(kind)) if edge[-1] < len(kind) else edge
+    longest = np.maximum.reduceat(np.where(kind <= _UPPER, into, 0), edges[: 2 * n])[::2] if n else np.empty(0, np.int32)
+    run = np.maximum.reduceat(into, edges[: 2 * n])[::2]
     length = end - start
     size = np.searchsorted(_LENGTHS, length, side="right")
     f = np.empty((n, len(GROUPS)), np.int16)
     f[:, 0] = size
     f[:, 1] = (lower > 0) + 2 * (upper > 0) + 4 * (digit > 0) + 8 * (sign > 0) + 16 * (wide > 0)
-    f[:, 2] = np.where((hexes == length) & (digit > 0), 1 + size, 0)
-    f[:, 3] = np.where(digit > 0, np.minimum(7, 1 + np.maximum(0, turns - 1) // 2), 0)
+    f[:, 2] = np.where((hexes == length) & (digit > 0) & (digit < length), 1 + size, 0)
+    f[:, 3] = np.minimum(7, (turns(_DIGIT) + 1) // 2)
+    f[:, 4] = np.minimum(7, (turns(_LOWER, _UPPER) + 1) // 2)
+    f[:, 5] = np.minimum(5, sign)
+    f[:, 6] = np.minimum(7, longest)
+    f[:, 7] = np.minimum(5, run * 6 // np.maximum(1, length))
     doc = np.searchsorted(ends, start, side="right")
     first = np.concatenate([[True], doc[1:] != doc[:-1]])
-    hint = np.zeros(n, np.int8)
+    hint = np.zeros(n, np.int16)
     low = data.lower()
-    for word in HINTS:
-        w = word.encode()
-        for k in np.flatnonzero(length == len(w)) if word in ("key", "pwd") else _places(low, w, start, end):
-            hint[k] |= low[start[k] : end[k]] == w
-    equals = (length == 1) & (raw[start] == ord("="))
-    what = np.where(hint > 0, 2, np.where(equals, 1, 0)).astype(np.int16)
-    f[:, 4] = np.where(first, 3, np.concatenate([[0], what[:-1]]))
-    f[:, 5] = np.where(first | np.concatenate([[True], first[:-1]]), 3, np.concatenate([[0, 0], what[:-2]])[:n])
-    gap = raw[np.maximum(0, start - 1)]
-    f[:, 6] = np.where(start == 0, 0, np.where((gap == 34) | (gap == 39), 1, np.where(gap == ord(":"), 2, np.where(gap == 32, 0, 3))))
+    for stem in STEMS:
+        own = _places(low, stem.encode(), start, end)
+        hint[own] = np.maximum(hint[own], np.where(length[own] > 24, 0, np.where(length[own] == len(stem), 2, 1)))
+    f[:, 8] = np.where(first, 3, np.concatenate([[0], hint[:-1]]))
+    f[:, 9] = np.where(first | np.concatenate([[True], first[:-1]]), 3, np.concatenate([[0, 0], hint[:-2]])[:n])
+    left = np.where(first, start, np.concatenate([[0], end[:-1]]))
+    between = lambda flags: (lambda sums: sums[start] > sums[left])(np.concatenate([[0], np.cumsum(flags, dtype=np.int32)]))
+    f[:, 10] = between(_ASSIGN[raw]) + 2 * between(_QUOTE[raw]) + 4 * between(raw == 10) + 8 * (start - left > 4)
     after = raw[np.minimum(len(raw) - 1, end)]
-    f[:, 7] = np.where((after == 34) | (after == 39), 1, np.where((after == 32) | (after == 10), 0, 2))
-    odd = np.bincount(doc, ((digit > 0) & (length >= 12)), minlength=len(ends)) / np.maximum(1, np.bincount(doc, minlength=len(ends)))
-    f[:, 8] = np.searchsorted([0.001, 0.01, 0.1], odd)[doc]
+    f[:, 11] = np.where(_QUOTE[after], 1, np.where((after == 32) | (after == 10), 0, 2))
+    tokens = np.maximum(1, np.bincount(doc, minlength=len(ends)))
+    size_of = np.maximum(1, np.diff(np.concatenate([[0], ends])))
+    per_doc = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags, dtype=np.int64)[np.asarray(ends) - 1]]))
+    f[:, 12] = np.searchsorted([0.001, 0.01, 0.1], np.bincount(doc, (digit > 0) & (length >= 12), minlength=len(ends)) / tokens)[doc]
+    f[:, 13] = np.searchsorted([0.005, 0.02, 0.06], per_doc(_CODE[raw]) / size_of)[doc]
+    f[:, 14] = np.searchsorted([20, 60, 200], size_of / np.maximum(1, per_doc(raw == 10)))[doc]
     f += np.array(list(_OFFSETS.values()), np.int16)
     return Tokens(start, end, f)
 
 
-def _places(low: bytes, word: bytes, start: np.ndarray, end: np.ndarray) -> list[int]:
-    """The tokens that start where the word is found."""
-    out, at = [], low.find(word)
+def _places(low: bytes, word: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The tokens that hold the word."""
+    at, found = low.find(word), []
     while at >= 0:
-        k = int(np.searchsorted(start, at))
-        if k < len(start) and start[k] == at and end[k] == at + len(word):
-            out.append(k)
+        found.append(at)
         at = low.find(word, at + len(word))
-    return out
+    k = np.searchsorted(start, np.array(found, np.int64), side="right") - 1
+    return np.unique(k[(k >= 0) & (end[k] >= np.array(found, np.int64) + len(word))]) if found else np.empty(0, np.int64)
 
 
 @dataclass
@@ -157,7 +183,9 @@ class Field:
             score += self.emit[tokens.features[:, k]]
         first = np.concatenate([[True], doc[1:] != doc[:-1]])
         score[first] += self.begin
-        bound = 2 * (self.step.max() - self.step.min())
+        # a tag changed to O costs two steps at most, and an I after it that has to become B a third one and their scores' difference
+        free = np.concatenate([self.step[self.step > _BAN / 2], self.begin[self.begin > _BAN / 2]])
+        bound = 3 * (free.max() - free.min()) + max(0.0, float((score[:, I] - score[:, B]).max()))
         open_ = np.flatnonzero(score[:, O] - np.maximum(score[:, B], score[:, I]) <= bound)
         if not len(open_):
             return tags
@@ -165,6 +193,10 @@ class Field:
         for run in np.split(open_, cut + 1):
             a, z = int(run[0]), int(run[-1])
             left, right = not first[a], z + 1 < n and not first[z + 1]
+            if a == z:
+                best = score[a] + (self.step[O] if left else 0) + (self.step[:, O] if right else 0)
+                tags[a] = best.argmax()
+                continue
             best = score[a] + (self.step[O] if left else 0)
             back = []
             for i in range(a + 1, z + 1):
@@ -179,77 +211,163 @@ class Field:
         return tags
 
 
-def train(texts: list[str], rounds: int = 120) -> Field:
-    """The field from windows around the base patterns' secrets and as many elsewhere, by gradient ascent on the likelihood."""
-    parts = [t.encode("utf-8", "surrogatepass") + b"\n" for t in texts]
+_HEX, _BASE62, _BASE64 = "0123456789abcdef", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"
+_ALPHABETS = (_HEX, _HEX.upper(), _BASE62, _BASE62, _BASE62 + "-_", _BASE64, string.ascii_uppercase + "234567", string.ascii_lowercase + string.digits)
+_WORDS = ("pass", "passphrase", "client_secret", "auth_key", "access_key", "private_key", "session", "signature", "API-KEY", "db_pwd", "sig", "master", "value", "id", "login", "hash", "conn")
+#: Forms of the secrets that are planted for training: w stands for a word before it, v for the secret.
+FORMS = ('{w} = "{v}"', "{w}: {v}", "{w}={v}", "{w} {v}", '"{w}": "{v}"', "export {w}={v}", "<{w}>{v}</{w}>", "({v})", " {v} ", "'{v}'", "{w} is {v}.", "https://user:{v}@host.example/", "{w}:{v}", "{w} => '{v}',", "sk_live_{v}", "xoxb-{v}", "key-{v}", "SG.{v}", "{w} {v}:{v}")
+
+
+def made_secret(rng: random.Random) -> str:
+    alphabet = rng.choice(_ALPHABETS)
+    value = "".join(rng.choice(alphabet) for _ in range(rng.choice((20, 24, 24, 28, 32, 32, 36, 40, 40, 48, 64))))
+    # a few are cut by characters that tokens do not hold
+    at = rng.randrange(6, len(value) - 6)
+    return value[:at] + rng.choice("!$%&*~^") + value[at:] if rng.random() < 0.1 else value
+
+
+def made_look_alike(rng: random.Random) -> str:
+    """Something with digits, capitals or signs that is no secret."""
+    n = lambda k: "".join(rng.choice(string.digits) for _ in range(k))
+    word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4)))
+    return rng.choice((
+        lambda: ".".join(n(rng.randint(1, 3)) for _ in range(4)), lambda: f"+{n(2)} {n(3)} {n(7)}", lambda: f"20{n(2)}-0{n(1)}-1{n(1)}T1{n(1)}:{n(2)}:{n(2)}", lambda: n(rng.randint(5, 15)),
+        lambda: f"{word()}.{word()}{n(2)}@{word()}.example", lambda: f"https://www.{word()}.com/{word()}/{word()}-{word()}-{word()}.html", lambda: f"/usr/{word()}/{word()}_{word()}.v{n(1)}.{n(1)}",
+        lambda: "".join(word().capitalize() for _ in range(rng.randint(2, 4))) + n(rng.randint(0, 2)), lambda: f"INV-{n(4)}-{n(5)}", lambda: f"{n(4)}-{n(4)}-{n(4)}-{n(4)}", lambda: "_".join(word().upper() for _ in range(3)),
+        lambda: "-".join(word() for _ in range(rng.randint(3, 6))), lambda: f"#{n(3)}abc", lambda: word() * 4, lambda: f"DE{n(2)} {n(4)} {n(4)} {n(4)}", lambda: f"{word().upper()}{n(4)}", lambda: f"v{n(1)}.{n(2)}.{n(1)}-rc{n(1)}",
+    ))()
+
+
+def planted(texts: list[str], number: int = PLANTED, seed: int = 1) -> list[tuple[str, list[tuple[int, int]], list[tuple[int, int]]]]:
+    """Each text with made-up secrets and look-alikes between its words; where the secrets are, found ones too; and where look-alikes are."""
+    rng = random.Random(seed)
+    each = min(12, -(-number // max(1, len(texts))))
+    out = []
+    for t in texts:
+        gaps = [m.start() for m in re.finditer(r"[ \n]", t)] or [len(t)]
+        marks, plain, parts, at, size = [], [], [], 0, 0
+        for g in sorted(rng.choice(gaps) for _ in range(2 * each)):
+            parts.append(t[at:g])
+            size += g - at
+            at = g
+            if rng.random() < 0.5:
+                form = rng.choice(FORMS).replace("{w}", rng.choice(_WORDS))
+                for k, piece in enumerate(form.split("{v}")):
+                    if k:
+                        value = made_secret(rng)
+                        marks.append((size, size + len(value)))
+                        parts.append(value)
+                        size += len(value)
+                    piece = (" " if k == 0 else "") + piece
+                    parts.append(piece)
+                    size += len(piece)
+            else:
+                piece = " " + made_look_alike(rng)
+                parts.append(piece)
+                plain.append((size, size + len(piece)))
+                size += len(piece)
+        whole = "".join(parts) + t[at:]
+        out.append((whole, sorted({*marks, *value_spans(whole)}), plain))
+    return out
+
+
+def train(texts: list[str], rounds: int = 70) -> Field:
+    """The field from windows around secrets, look-alikes and other places of the planted texts, by ascent on the likelihood.
+
+    What the corpus holds itself is taken for plain text unless it looks like a secret (long, with letters among digits or
+    capitals among letters): nobody has labelled it, so windows with such a token are left out.
+    """
+    rows = planted(texts)
+    parts = [t.encode("utf-8", "surrogatepass") + b"\n" for t, _, _ in rows]
     data, ends = b"".join(parts), np.cumsum([len(p) for p in parts])
     tokens = tokens_of(data, ends)
+    made = np.zeros(len(tokens.start), bool)
     gold = np.zeros(len(tokens.start), np.int8)
+    begin, width = np.array([0.0, 0.0, _BAN]), 2 * SIDE + 1
     at = 0
-    for t, p in zip(texts, parts):
-        for a, z in value_spans(t):
-            a, z = at + len(t[:a].encode("utf-8", "surrogatepass")), at + len(t[:z].encode("utf-8", "surrogatepass"))
-            own = np.flatnonzero((tokens.start < z) & (tokens.end > a))
-            gold[own] = I
-            gold[own[:1]] = B
+    for (t, marks, plain), p in zip(rows, parts):
+        for spans, secret in ((plain, False), (marks, True)):
+            for a, z in spans:
+                a, z = at + len(t[:a].encode("utf-8", "surrogatepass")), at + len(t[:z].encode("utf-8", "surrogatepass"))
+                first, last = np.searchsorted(tokens.end, a, side="right"), np.searchsorted(tokens.start, z, side="left")
+                made[first:last] = True
+                if secret:
+                    gold[first:last] = I
+                    gold[first : min(last, first + 1)] = B
         at += len(p)
-    width = 2 * SIDE + 1
     if not gold.any() or len(gold) < width:
-        emit = np.zeros((FEATURES, 3))
-        emit[:, O] = 1.0
-        return Field(emit, np.zeros((3, 3)), np.zeros(3))
+        return Field(np.tile([1.0, 0.0, 0.0], (FEATURES, 1)), np.zeros((3, 3)), begin)
     marked = np.flatnonzero(gold == B)
-    others = np.linspace(SIDE, len(gold) - SIDE - 1, len(marked) + 200).astype(np.int64)
-    centres = np.clip(np.concatenate([marked, others]), SIDE, len(gold) - SIDE - 1)
+    likely = np.flatnonzero((gold == O) & ((tokens.features[:, 1] - _OFFSETS["classes"] & 14) > 0) & (tokens.end - tokens.start >= 6))
+    pick = random.Random(2)
+    likely = np.array(sorted(pick.sample(likely.tolist(), min(len(likely), 2 * len(marked)))), np.int64)
+    others = np.linspace(SIDE, len(gold) - SIDE - 1, len(marked)).astype(np.int64)
+    centres = np.clip(np.concatenate([marked, likely, others]), SIDE, len(gold) - SIDE - 1)
     at = centres[:, None] + np.arange(-SIDE, SIDE + 1)
+    classes, digits, capitals = (tokens.features[:, k] - _OFFSETS[g] for k, g in ((1, "classes"), (3, "digit_turns"), (4, "case_turns")))
+    unknown = ~made & (gold == O) & (tokens.end - tokens.start >= 16) & ((classes & 3) > 0) & ((digits >= 2) | (capitals >= 3))
+    at = at[~unknown[at].any(axis=1)]
+    if not gold[at].any():
+        return Field(np.tile([1.0, 0.0, 0.0], (FEATURES, 1)), np.zeros((3, 3)), begin)
     x, y = tokens.features[at].astype(np.int64), gold[at].astype(np.int64)
-    m = len(centres)
+    y[:, 0] = np.where(y[:, 0] == I, B, y[:, 0])
+    m = len(at)
     emit, step = np.zeros((FEATURES, 3)), np.zeros((3, 3))
-    speed = [np.zeros_like(emit), np.zeros_like(step)]
-    seen_emit = np.zeros_like(emit)
-    flat = x.reshape(-1)
+    step[O, I] = _BAN
+    start = begin.copy()
+    # tokens alike in all features are scored once
+    kinds, of = np.unique(x.reshape(-1, x.shape[2]), axis=0, return_inverse=True)
+    of = of.reshape(-1)
+
+    def by_feature(weight: np.ndarray) -> np.ndarray:
+        """Sums of windows x places x tags by feature and tag."""
+        sums = np.stack([np.bincount(of, weight[:, :, s].reshape(-1), minlength=len(kinds)) for s in range(3)], axis=1)
+        return np.stack([np.bincount(kinds.reshape(-1), np.repeat(sums[:, s], x.shape[2]), minlength=FEATURES) for s in range(3)], axis=1)
+
     tag = np.eye(3)[y]
-    for s in range(3):
-        seen_emit[:, s] = np.bincount(flat, np.repeat(tag[:, :, s].reshape(-1), x.shape[2]), minlength=FEATURES)
+    seen_emit = by_feature(tag)
     seen_step = np.einsum("nti,ntj->ij", tag[:, :-1], tag[:, 1:])
-    scale = 1.0 / (np.bincount(flat, minlength=FEATURES)[:, None] ** 0.5 * len(centres) ** 0.5 + 1)
-    for _ in range(rounds):
-        score = emit[x].sum(axis=2)
-        forward = np.empty_like(score)
+    mean = [np.zeros_like(emit), np.zeros_like(step)]
+    square = [np.zeros_like(emit), np.zeros_like(step)]
+    for r in range(1, rounds + 1):
+        score = emit[kinds].sum(axis=1)[of].reshape(m, width, 3)
+        score[:, 0] += start
+        forward, backward = np.empty_like(score), np.zeros_like(score)
         forward[:, 0] = score[:, 0]
         for k in range(1, width):
             z = forward[:, k - 1, :, None] + step
             top = z.max(axis=1)
             forward[:, k] = np.log(np.exp(z - top[:, None]).sum(axis=1)) + top + score[:, k]
-        backward = np.zeros_like(score)
         for k in range(width - 2, -1, -1):
             z = step + (score[:, k + 1] + backward[:, k + 1])[:, None, :]
             top = z.max(axis=2)
             backward[:, k] = np.log(np.exp(z - top[:, :, None]).sum(axis=2)) + top
-        total = np.log(np.exp(forward[:, -1] - forward[:, -1].max(axis=1, keepdims=True)).sum(axis=1)) + forward[:, -1].max(axis=1)
+        top = forward[:, -1].max(axis=1)
+        total = np.log(np.exp(forward[:, -1] - top[:, None]).sum(axis=1)) + top
         p = np.exp(forward + backward - total[:, None, None])
         pair = np.exp(forward[:, :-1, :, None] + step + (score[:, 1:] + backward[:, 1:])[:, :, None, :] - total[:, None, None, None])
-        push = np.stack([seen_emit[:, s] - np.bincount(flat, np.repeat(p[:, :, s].reshape(-1), x.shape[2]), minlength=FEATURES) for s in range(3)], axis=1) - 0.1 * emit
-        speed[0] = 0.9 * speed[0] + 0.5 * push * scale
-        speed[1] = 0.9 * speed[1] + 0.5 * (seen_step - pair.sum(axis=(0, 1)) - 0.1 * step) / (m * width) ** 0.5 / 10
-        emit, step = emit + speed[0], np.clip(step + speed[1], -6, 6)
-    return Field(emit, step, np.zeros(3))
+        push = [seen_emit - by_feature(p) - 0.5 * emit, seen_step - pair.sum(axis=(0, 1)) - 0.5 * np.where(step > _BAN / 2, step, 0)]
+        for k, (own, g) in enumerate(zip((emit, step), push)):
+            mean[k] = 0.9 * mean[k] + 0.1 * g
+            square[k] = 0.99 * square[k] + 0.01 * g * g
+            move = 0.15 * (mean[k] / (1 - 0.9**r)) / (np.sqrt(square[k] / (1 - 0.99**r)) + 1e-3 * m)
+            own += np.where(own > _BAN / 2, move, 0)
+    return Field(emit, step, begin)
 
 
 def sample_texts(docs: DataFrame, key: str, text: str, documents: int) -> list[str]:
-    """``documents`` texts that base patterns may match and as many others, first by a hash of the key; all rows are looked at.
+    """Some ``documents`` texts in expectation, or the stretch of SAMPLE_CHARS of each that a hash picks, in the order of the hash.
 
-    The first pass sorts hashes only and finds where each half ends; the second fetches the texts up to there.
+    Rows are taken by a hash of key and text, so that no task sorts, one scan is enough and a rerun takes the same; equal
+    rows are taken once.
     """
-    likely = F.col(text).rlike("(?i:password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?[A-Za-z0-9+/_.=-]{12}|AKIA[A-Z0-9]{14}|[0-9a-f]{16}")
-    rows = docs.filter(F.col(text).isNotNull() & (F.length(text) <= LONGEST)).select(unit_hash(F.lit("secret"), key).alias("_place"), text, likely.alias("_likely"))
-    out = []
-    for half in (True, False):
-        own = rows.filter(F.col("_likely") == half)
-        end = own.select("_place").orderBy("_place").limit(documents).agg(F.max("_place")).first()[0]
-        if end is not None:
-            out += sorted(r[0] for r in own.filter(F.col("_place") <= end).select(text).limit(2 * documents).collect())
-    return out
+    rows = docs.count()
+    pick = F.xxhash64(F.lit("secret"), key, text)
+    place = F.pmod(F.xxhash64(pick), F.greatest(F.length(text) - SAMPLE_CHARS, F.lit(0)) + 1).cast("int")
+    share = min(1.0, documents / max(1, rows))
+    chosen = docs.filter(F.col(text).isNotNull()).withColumn("_pick", pick).filter((F.pmod("_pick", F.lit(1 << 40)) / float(1 << 40)) < share)
+    cut = chosen.select("_pick", F.substring(F.col(text), place + 1, F.lit(SAMPLE_CHARS)).alias("_text"))
+    return [r["_text"] for r in sorted(cut.groupBy("_pick").agg(F.min("_text").alias("_text")).collect())]
 
 
 def find(texts: list[str], field: Field) -> list[list[tuple[int, int, int]]]:
@@ -260,8 +378,7 @@ def find(texts: list[str], field: Field) -> list[list[tuple[int, int, int]]]:
     doc = np.searchsorted(ends, tokens.start, side="right")
     tags = field.decode(tokens, doc)
     out = [base_spans(t) for t in texts]
-    begins = np.flatnonzero((tags == B) | ((tags == I) & np.concatenate([[True], (tags[:-1] == O) | (doc[1:] != doc[:-1])])))
-    for k in begins:
+    for k in np.flatnonzero(tags == B):
         z = k + 1
         while z < len(tags) and tags[z] == I and doc[z] == doc[k]:
             z += 1
@@ -275,7 +392,12 @@ def find(texts: list[str], field: Field) -> list[list[tuple[int, int, int]]]:
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """``docs`` with ``_spans``: array of (start, kind, end) in code points, end exclusive, of every whole text."""
+    """``docs`` with ``_spans``: array of (start, kind, end) in code points, end exclusive, of every whole text.
+
+    Null and empty texts have no spans; texts of any length are scanned whole, in batches of some two million characters.
+    Rows equal in text have equal spans, whatever their keys. A column ``_spans`` of ``docs`` is replaced. Spans of kind
+    ``crf`` never overlap a base span.
+    """
     field = train(sample_texts(docs, key, text, sample_docs))
     shared = docs.sparkSession.sparkContext.broadcast((field.emit, field.step, field.begin))
 
