@@ -243,11 +243,12 @@ def test_bloom_passes_find_every_repeat(spark):
 
 
 def plain_components(rows, size, percent):
+    """(key, set size, least key reached, links) by all pairs."""
     sets = []
     for _, t in rows:
         w = (t or "").encode().lower().split()
         sets.append(frozenset(tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))) if w else frozenset())
-    root = list(range(len(rows)))
+    root, links = list(range(len(rows))), [0] * len(rows)
 
     def find(x):
         while root[x] != x:
@@ -258,10 +259,12 @@ def plain_components(rows, size, percent):
         for j in range(i):
             if a and sets[j] and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
                 root[find(i)] = find(j)
+                links[i] += 1
+                links[j] += 1
     least = {}
     for i, (k, _) in enumerate(rows):
         least[find(i)] = min(least.get(find(i), k), k)
-    return sorted((k, len(sets[i]), least[find(i)]) for i, (k, _) in enumerate(rows))
+    return sorted((k, len(sets[i]), least[find(i)], links[i]) for i, (k, _) in enumerate(rows))
 
 
 def near_copies(n=260):
@@ -284,7 +287,7 @@ def near_copies(n=260):
 def test_components_equal_all_pairs(spark, settings):
     rows = near_copies()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = sorted(map(tuple, ngram_join.components(docs, **settings).collect()))
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in ngram_join.components(docs, **settings).collect())
     assert got == plain_components(rows, settings.get("size", 4), settings.get("percent", 85))
 
 

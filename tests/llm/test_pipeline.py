@@ -31,7 +31,7 @@ def test_stages(spark, tmp_path):
 
     before, after = taken["near_dedup"]
     want = plain_components([(r.doc_id, r.text) for r in before.collect()], 5, 80)
-    assert {r.doc_id for r in after.collect()} == {c for _, _, c in want}
+    assert {r.doc_id for r in after.collect()} == {c for _, _, c, _ in want}
 
     before, after = taken["mix"]
     times = collections.Counter(r.doc_id for r in after.collect())

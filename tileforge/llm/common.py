@@ -11,36 +11,64 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\f\r"
 
-#: A table of at most this many narrow rows may be broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: A table of at most so many bytes may be broadcast; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
+
+#: A key that meets more rows than this is split in a join; at most so many keys are.
+KEY_ROWS, HOT_KEYS = 500, 20_000
 
 #: Rows that one bucket of a running sum aims at.
-BUCKET_ROWS = 10_000
+BUCKET_ROWS = 2_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the cluster's checkpoint folder and read back: its lineage ends there.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``, which driver and executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one machine)
-    a temporary folder is taken.
+    Only where that is unset and all run on one machine (tests) a temporary folder is taken.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return folder or tempfile.mkdtemp(prefix="spark-checkpoint-")
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` written to the cluster's checkpoint folder and read back: its lineage ends there."""
+    context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is (joined by a shuffle).
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its values take at most ``most`` bytes, else as it is (joined by a shuffle).
+
+    ``df`` should be cheap to read twice: a stored table, or the result of ``durable``.
+    """
+    wide = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if f.dataType.simpleString() in ("string", "binary")]
+    size = F.lit(16 * len(df.columns))
+    for w in wide:
+        size = size + w
+    return F.broadcast(df) if (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= most else df
+
+
+def hot_join(rows: DataFrame, facts: DataFrame, on: str, count: str, spread: list[str], total: int) -> DataFrame:
+    """``rows`` joined with ``facts`` (one row for each key) where some keys meet very many rows.
 
-    ``df`` should be cheap to count: a stored table, or the result of ``durable``.
+    ``count`` of ``facts`` is the number of rows that a key meets, ``total`` the sum of these. Keys above a share of the
+    total are so few that their names can be broadcast; their rows are dealt over several tasks by the columns of
+    ``spread``, and their facts are copied to each.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    most = max(KEY_ROWS, total // HOT_KEYS)
+    parts = F.ceil(F.col(count) / most).cast("int")
+    hot = facts.filter(F.col(count) > most).select(on, parts.alias("_parts"))
+    left = rows.join(F.broadcast(hot), on, "left").withColumn("_salt", F.pmod(F.xxhash64(*spread), F.coalesce("_parts", F.lit(1))).cast("int"))
+    right = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
+    return left.join(right, [on, "_salt"]).drop("_salt", "_parts")
 
 
 def unit_hash(*parts: Column | str, digits: int = 12) -> Column:

@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op1_shard_documents": sharding.OP1_SQL,
+    "op2_ngram_join": ngram_join.OP2_SQL,
     "op3_chat_format": chat.OP3_SQL,
     "op4_mix_documents": mixing.OP4_SQL,
     "op8_quality_rules": quality.OP8_SQL,

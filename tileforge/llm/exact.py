@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, durable, table
+from .common import SPACE_CLASS, durable, hot_join, small, table
 
 #: Bits for each key, probes, keys of one part of the first pass, and most bits of the second pass's filter (32 MB).
 BITS_PER_KEY, PROBES, KEYS_PER_PART, MOST_BITS = 16, 4, 1_000_000, 1 << 28
@@ -96,27 +96,62 @@ def possibly_in(spark: SparkSession, bloom: np.ndarray) -> Column:
     return test
 
 
+def key_hash(key: str) -> Column:
+    return F.xxhash64(key)
+
+
+def possibly_of(docs: DataFrame, key: str, keys: DataFrame) -> Column:
+    """Whether the row's key may be among ``keys`` (a stored table with that one column): true for all that are, and few others."""
+    return possibly_in(docs.sparkSession, bloom_of(keys.select(key_hash(keys.columns[0]).alias("key"))))(key_hash(key))
+
+
+def rows_of(docs: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows of ``docs`` joined with those of ``keys`` of the same key (never null, once each).
+
+    A large ``keys`` is shuffled, and with it only those rows that a Bloom filter of it lets pass.
+    """
+    near = small(keys)
+    if near is not keys:
+        return docs.join(near, key)
+    return docs.filter(possibly_of(docs, key, keys.select(key))).join(keys, key)
+
+
+def rows_without(docs: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose key is not in the one column of ``keys``; rows that a Bloom filter of it rules out are not moved."""
+    near, name = small(keys), keys.columns[0]
+    if near is not keys:
+        return docs.join(near, F.col(key) == F.col(name), "left_anti")
+    maybe = possibly_of(docs, key, keys)
+    return docs.filter(~maybe).unionByName(docs.filter(maybe).join(keys, F.col(key) == F.col(name), "left_anti"))
+
+
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, keep_id, group_size, kept, text_sha256) for every row.
 
     Of equal texts the row with the most code points stays, then the one with the smallest key, null keys last; of rows
-    alike in both, one. Keys and checksums only are moved, and of these only the rows of possible copies.
+    alike in both, one. Keys and checksums only are moved, and of these only the rows of possible copies; the rows of a
+    large group are dealt over several tasks. Texts of any length are hashed whole; columns other than key and text play no part.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     facts = docs.select(key, F.length(t).alias("_chars"), F.sha2(normalised(F.col(text)).cast("binary"), 256).alias("text_sha256"))
     facts = durable(facts.withColumn("_key", F.xxhash64("text_sha256")).withColumn("_row", F.monotonically_increasing_id()))
-    test = possibly_in(docs.sparkSession, bloom_of(durable(repeated_keys(facts.select(F.col("_key").alias("key")), facts.count()))))
+    rows = facts.count()
+    test = possibly_in(docs.sparkSession, bloom_of(durable(repeated_keys(facts.select(F.col("_key").alias("key")), rows))))
     marked = facts.withColumn("_maybe", test("_key"))
     alone = marked.filter(~F.col("_maybe")).select(key, F.col(key).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     maybe = marked.filter("_maybe")
     best = F.min(F.struct((-F.col("_chars")).alias("c"), F.col(key).isNull().alias("u"), F.col(key).alias("k"), F.col("_row").alias("r")))
     met = maybe.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("group_size"), best.alias("_best"))
-    rest = maybe.join(met, "text_sha256").select(key, F.col("_best.k").alias("keep_id"), "group_size", (F.col("_row") == F.col("_best.r")).alias("kept"), "text_sha256")
+    rest = hot_join(maybe, met, "text_sha256", "group_size", ["_row"], rows).select(key, F.col("_best.k").alias("keep_id"), "group_size", (F.col("_row") == F.col("_best.r")).alias("kept"), "text_sha256")
     return alone.unionByName(rest)
 
 
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of equal texts, chosen as in ``groups``. Rows that have no copy are not moved."""
+    """``docs`` with one row of each group of equal texts, chosen as in ``groups``. Rows that have no copy are not moved.
+
+    Columns stay as they came, whatever their names; null and empty texts are one group. Copies are compared where they are
+    first, so that a large group sends one row from each task.
+    """
     row = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64(normalised(F.col(text))).alias("_key"))
     keys = row.select(F.col("_key").alias("key"))
     test = possibly_in(docs.sparkSession, bloom_of(durable(repeated_keys(keys, docs.count()))))

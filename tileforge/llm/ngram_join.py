@@ -9,8 +9,9 @@ region's tokens are ever counted, and tokens that no other set has come first: t
 are dropped. The orders differ in how they break ties. Sets are the unit of work: equal sets are one row throughout.
 
 Sets that share prefix tokens form families. Within a family (or, where it is too large for one task, within each two of
-its blocks; or, where these are too many, within each two blocks of the sets that share one token) pairs of sets that are
-not in one component yet are verified exactly; what leaves a task is a spanning forest of the links, never all pairs.
+its blocks; or, where these are too many, within each two blocks of the sets that share one token) every pair that passes
+the filters is verified exactly, once; what leaves a task is a spanning forest of the links and each set's number of links,
+never all pairs.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, small, table
+from .common import durable, hot_join, small, table
 from .components import connected
+from .exact import possibly_of, rows_without
 
 #: Words of a shingle, and the least Jaccard index in percent, of the registered query; near-duplicate stages elsewhere take their own.
 SHINGLE, PERCENT = 4, 85
@@ -33,8 +35,9 @@ SHINGLE, PERCENT = 4, 85
 #: prefix it cannot fill with tokens of its own stays a candidate, and families grow.
 REGION_PREFIXES = 2.0
 ORDERS = 3
-#: Most sets and tokens that meet in one task, and most blocks that a larger family is cut into.
-FAMILY_SETS, FAMILY_TOKENS, MOST_BLOCKS = 4096, 4_000_000, 64
+#: Most sets and tokens that meet in one task, and most blocks that a larger family is cut into. Families of up to a few sets
+#: share tasks, some so many sets in each.
+FAMILY_SETS, FAMILY_TOKENS, MOST_BLOCKS, FEW, BIN_SETS = 4096, 4_000_000, 64, 16, 256
 
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -64,9 +67,14 @@ def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(mixed(out))
 
 
-def set_key(tokens: np.ndarray) -> int:
-    """A signed 64-bit name of the set."""
-    return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).astype(np.int64))
+def set_key(tokens: np.ndarray) -> bytes:
+    """The set's name: 128 bits, so that different sets share one with a probability of n * n / 2 ** 129 among n sets."""
+    return xxhash.xxh3_128_digest(tokens.tobytes())
+
+
+def short_name(key: bytes) -> int:
+    """Half of the name, which postings carry. Sets that share it only become candidates of each other's partners."""
+    return int.from_bytes(key[:8], "little", signed=True)
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -80,7 +88,7 @@ def posted_part(tokens: np.ndarray, percent: int, region: float) -> np.ndarray:
 
 
 def set_facts(docs: DataFrame, key: str, text: str, size: int, percent: int, region: float) -> DataFrame:
-    """(key, n_shingles, set_key, gap) for every row; set_key is null for empty sets.
+    """(key, n_shingles, set_key, name, gap) for every row; set_key and name are null for empty sets.
 
     ``gap`` is the prefix length less the number of tokens that the set posts.
     """
@@ -90,19 +98,20 @@ def set_facts(docs: DataFrame, key: str, text: str, size: int, percent: int, reg
             rows = []
             for t in b.column(1).to_pylist():
                 s = shingle_set(t, size)
-                rows.append((len(s), set_key(s) if len(s) else None, prefix_length(len(s), percent) - len(posted_part(s, percent, region)) if len(s) else 0))
-            n, names, gaps = zip(*rows) if rows else ([], [], [])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(names, pa.int64()), pa.array(gaps, pa.int32())], [key, "n_shingles", "set_key", "gap"])
+                name = set_key(s) if len(s) else None
+                rows.append((len(s), name, short_name(name) if name else None, prefix_length(len(s), percent) - len(posted_part(s, percent, region)) if name else 0))
+            n, names, shorts, gaps = zip(*rows) if rows else ([], [], [], [])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(shorts, pa.int64()), pa.array(gaps, pa.int32())], [key, "n_shingles", "set_key", "name", "gap"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(facts, f"`{key}` {kind}, n_shingles long, set_key long, gap int")
+    return docs.select(key, text).mapInArrow(facts, f"`{key}` {kind}, n_shingles long, set_key binary, name long, gap int")
 
 
 def postings(docs: DataFrame, text: str, size: int, percent: int, region: float) -> DataFrame:
-    """(token, set_key) of what every set posts. A task posts an equal set once."""
+    """(token, name) of what every set posts. A task posts an equal set once."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for b in batches:
             tokens, names, sizes = [], [], []
             for t in b.column(0).to_pylist():
@@ -112,28 +121,31 @@ def postings(docs: DataFrame, text: str, size: int, percent: int, region: float)
                 seen.add(name)
                 own = posted_part(s, percent, region)
                 tokens.append(own)
-                names.append(name)
+                names.append(short_name(name))
                 sizes.append(len(own))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(names, np.int64), sizes))], ["token", "set_key"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(names, np.int64), sizes))], ["token", "name"])
 
-    return docs.select(text).mapInArrow(post, "token long, set_key long")
+    return docs.select(text).mapInArrow(post, "token long, name long")
 
 
 def shared_prefixes(posted: DataFrame, gaps: DataFrame, orders: int) -> DataFrame:
-    """(set_key, p1 .. pN): of each set that has any, the prefix tokens under each order that another set posts too.
+    """(name, p1 .. pN): of each set that has any, the prefix tokens under each order that another set posts too.
 
-    Tokens of one set alone come first in every order, so what is left of the prefix follows from their number.
+    Tokens of one set alone come first in every order, so what is left of the prefix follows from their number. Where two
+    sets share a name, their tokens are put together, and the longer prefix that this gives holds both of theirs.
     """
-    counts = posted.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("set_key").alias("a"), F.max("set_key").alias("b")).filter("a <> b").select("token", "c")
-    held = posted.join(counts, "token").groupBy("set_key").agg(F.collect_set(F.struct("token", "c")).alias("held"))
-    held = held.join(gaps, "set_key").withColumn("q", F.size("held") + F.col("gap")).filter("q > 0")
+    counts = posted.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("name").alias("a"), F.max("name").alias("b")).filter("a <> b").select("token", "c")
+    counts = durable(counts)
+    total = counts.agg(F.sum("c")).first()[0] or 0
+    held = hot_join(posted, counts, "token", "c", ["name"], total).groupBy("name").agg(F.collect_set(F.struct("token", "c")).alias("held"))
+    held = held.join(gaps, "name").withColumn("q", F.size("held") + F.col("gap")).filter("q > 0")
 
     def first(k: int):
         rank = F.transform("held", lambda x: F.struct((x["c"] if k == 1 else F.floor(F.log2(x["c"]))).cast("long").alias("c"), F.xxhash64(x["token"], F.lit(k)).alias("h"), x["token"].alias("token")))
         return F.transform(F.slice(F.sort_array(rank), F.lit(1), F.col("q")), lambda x: x["token"])
 
-    return held.select("set_key", *[first(k).alias(f"p{k}") for k in range(1, orders + 1)])
+    return held.select("name", *[first(k).alias(f"p{k}") for k in range(1, orders + 1)])
 
 
 class Lists:
@@ -157,43 +169,62 @@ class Lists:
         return np.bincount(np.concatenate(parts), minlength=self.n) if parts else np.zeros(self.n, np.int64)
 
 
-def link_group(names: np.ndarray, sets: list[np.ndarray], prefixes: list[list[np.ndarray]], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the sets: pairs (name, least name of its tree)."""
+def link_group(names: list[bytes], sets: list[np.ndarray], prefixes: list[list[np.ndarray]], percent: int, weight: np.ndarray, block: np.ndarray | None = None, token: int | None = None) -> list[tuple[bytes, bytes, int]]:
+    """(name, least name of its tree, links) of the sets that have links: a spanning forest, and the weights of all partners.
+
+    With ``block`` only pairs from different blocks are looked at, with ``token`` only pairs whose least common token of the
+    first prefix it is: such pairs meet in other tasks, too.
+    """
     n = np.array([len(s) for s in sets])
-    root = np.arange(len(sets))
+    root, links = np.arange(len(sets)), np.zeros(len(sets), np.int64)
     orders = [Lists(p) for p in prefixes]
     full = None
     for x in range(1, len(sets)):
-        fits = (100 * np.minimum(n[:x], n[x]) >= percent * np.maximum(n[:x], n[x])) & (root[:x] != root[x])
+        fits = 100 * np.minimum(n[:x], n[x]) >= percent * np.maximum(n[:x], n[x])
+        if block is not None:
+            fits &= block[:x] != block[x]
         for lists in orders:
             if not fits.any():
                 break
             fits &= lists.overlaps(x)[:x] > 0
-        if fits.any():
-            full = full or Lists(sets)
-            both = full.overlaps(x)[:x]
-            for y in np.unique(root[:x][fits & (100 * both >= percent * (n[:x] + n[x] - both))]):
-                a, b = sorted((int(root[y]), int(root[x])))
-                root[root == b] = a
-    least = {r: int(names[root == r].min()) for r in np.unique(root)}
-    return [(int(names[i]), least[root[i]]) for i in range(len(sets)) if names[i] != least[root[i]]]
+        if not fits.any():
+            continue
+        full = full or Lists(sets)
+        both = full.overlaps(x)[:x]
+        found = np.flatnonzero(fits & (100 * both >= percent * (n[:x] + n[x] - both)))
+        if token is not None:
+            found = np.array([y for y in found if np.intersect1d(prefixes[0][x], prefixes[0][y])[0] == token], np.int64)
+        links[x] += weight[found].sum()
+        links[found] += weight[x]
+        for y in np.unique(root[found]):
+            a, b = sorted((int(y), int(root[x])))
+            root[root == b] = a
+    least = {r: min(names[i] for i in np.flatnonzero(root == r)) for r in np.unique(root)}
+    return [(names[i], least[root[i]], int(links[i])) for i in range(len(sets)) if links[i]]
 
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT, region: float | None = None, orders: int = ORDERS, family_sets: int = FAMILY_SETS, family_tokens: int = FAMILY_TOKENS, most_blocks: int = MOST_BLOCKS) -> DataFrame:
-    """(key, n_shingles, component_id) for every row; component_id is the least key that links reach.
+    """(key, n_shingles, component_id, n_links) for every row; component_id is the least key that links reach.
 
-    Null and empty texts have an empty set and are linked with nothing: their component is their own key. Repeated rows
-    share a component. Null keys take part in links but never name a component unless all its keys are null.
+    ``n_links`` is the number of other rows that the row is linked with directly, those of an equal set among them. Null and
+    empty texts have an empty set and are linked with nothing: their component is their own key. Repeated rows share a
+    component. Null keys take part in links but never name a component unless all its keys are null. Texts of any length are
+    read whole; other columns play no part.
     """
+    spark = docs.sparkSession
     region = REGION_PREFIXES * (1 - percent / 100) if region is None else region
     facts = durable(set_facts(docs, key, text, size, percent, region))
-    named = facts.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min(key).alias("_doc"), F.first("n_shingles").alias("n"), F.first("gap").alias("gap"))
-    active = durable(shared_prefixes(postings(docs, text, size, percent, region), named.select("set_key", "gap"), orders))
-
-    shared = active.select("set_key", F.explode("p1").alias("token"))
-    leaders = shared.groupBy("token").agg(F.min("set_key").alias("leader"))
-    families = durable(connected(shared.join(leaders, "token"), "set_key", "leader"))
-    members = active.join(families, active["set_key"] == families["node"]).drop("node").join(named.drop("gap"), "set_key")
+    full = facts.filter("set_key IS NOT NULL")
+    named = full.groupBy("set_key").agg(F.min(key).alias("_doc"), F.first("name").alias("name"), F.first("n_shingles").alias("n"), F.first("gap").alias("gap"), F.count(F.lit(1)).alias("docs"))
+    named = durable(named)
+    active = durable(shared_prefixes(postings(docs, text, size, percent, region), named.groupBy("name").agg(F.max("gap").alias("gap")), orders))
+
+    shared = active.select("name", F.explode("p1").alias("token"))
+    leaders = shared.groupBy("token").agg(F.min("name").alias("leader"), F.count(F.lit(1)).alias("c"))
+    total = active.agg(F.sum(F.size("p1"))).first()[0] or 0
+    families = durable(connected(hot_join(shared, leaders, "token", "c", ["name"], total), "name", "leader"))
+    # a set that leads all its tokens and has no family may still share its name with another set
+    members = active.join(families, active["name"] == families["node"]).drop("node").join(named.drop("gap"), "name")
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("tokens")).filter("sets > 1")
 
     def blocks():
@@ -201,60 +232,104 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
         n = F.greatest(F.ceil(2 * F.col("sets") / family_sets), F.ceil(2 * F.col("tokens") / family_tokens)).cast("int")
         return F.when((F.col("sets") <= family_sets) & (F.col("tokens") <= family_tokens), 1).otherwise(n)
 
-    members = durable(members.join(sizes.select("root", blocks().alias("blocks")), "root"))
-    texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    found = texts.join(small(members), F.col("_key").eqNullSafe(F.col("_doc"))).drop("_key", "_doc", "n")
-
-    def tokens_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            sets = [shingle_set(t, size) for t in f.pop("_text")]
-            f["set"] = [s.view(np.int64) for s in sets]
-            yield f[[len(s) > 0 and set_key(s) == k for s, k in zip(sets, f["set_key"])]]
+    few = (F.col("sets") <= min(FEW, family_sets)) & (F.col("tokens") * BIN_SETS <= F.col("sets") * family_tokens)
+    members = durable(members.join(sizes.select("root", blocks().alias("blocks"), few.alias("few")), "root"))
+    bins = max(1, members.filter("few").count() // min(BIN_SETS, family_sets))
+    members = members.withColumn("part", F.when(F.col("few"), F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(F.col("root"))).drop("root", "few", "name")
 
+    def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for b in batches:
+            names, sets = [], []
+            for t in b.column(0).to_pylist():
+                s = shingle_set(t, size)
+                if len(s) and (name := set_key(s)) not in seen:
+                    seen.add(name)
+                    names.append(name)
+                    sets.append(s.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["set_key", "set"])
+
+    # of each set the text of one row is read again: rows that a Bloom filter of these rows' keys rules out are not looked at
+    hits = docs.filter(possibly_of(docs, key, members.select("_doc"))).select(text).mapInArrow(tokens_of, "set_key binary, `set` array<long>")
+    kept = hits.join(small(durable(members.select("set_key", "part", "blocks"))), "set_key")
     p = [f"p{k}" for k in range(1, orders + 1)]
-    kept = found.select("set_key", F.col("root").alias("part"), "blocks", *p, "_text")
-    kept = kept.mapInPandas(tokens_of, "set_key long, part long, blocks int, " + "".join(f"{x} array<long>, " for x in p) + "`set` array<long>")
-
-    def link(f: pd.DataFrame) -> pd.DataFrame:
-        whole = int(f["blocks"].iloc[0])
-        f = f.drop_duplicates("set_key").sort_values("set_key")
-        arrays = {c: [np.asarray(a, np.int64) for a in f[c]] for c in [*p, "set"]}
-        edges = link_group(f["set_key"].to_numpy(), arrays["set"], [arrays[c] for c in p], percent)
-        return pd.DataFrame([(a, b, whole) for a, b in edges], columns=["node", "root", "blocks"]).astype({"node": "int64", "root": "int64", "blocks": "int32"})
-
-    def linked(rows: DataFrame) -> DataFrame:
-        """Each two blocks of a part meet; a part of one block meets once."""
-        dealt = rows.withColumn("_own", F.pmod(F.xxhash64("set_key", F.lit("block")), F.col("blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.withColumns({"i": F.least("_own", "_other"), "j": F.greatest("_own", "_other")}).drop("_own", "_other")
-        return dealt.groupBy("part", "i", "j").applyInPandas(link, "node long, root long, blocks int")
-
-    links = linked(kept.filter(F.col("blocks") <= most_blocks))
+
+    def linked(sets: DataFrame, prefixes: DataFrame, by_token: bool) -> DataFrame:
+        """(node, root, links, whole): each two blocks of a part meet; a part of one block meets once."""
+
+        def link(where: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            part, blocks_, i, j = where
+            f = left.drop_duplicates("set_key").merge(right, on="set_key").sort_values("set_key")
+            rows = []
+            if len(f) > 1:
+                arrays = {c: [np.asarray(a, np.int64) for a in f[c]] for c in [*p, "set"]}
+                block = f["own"].to_numpy() if i != j else None
+                rows = link_group(list(f["set_key"]), arrays["set"], [arrays[c] for c in p], percent, f["docs"].to_numpy(np.int64), block, part if by_token else None)
+            return pd.DataFrame([(*r, blocks_ == 1) for r in rows], columns=["node", "root", "links", "whole"])
+
+        def dealt(rows: DataFrame):
+            own = F.pmod(F.xxhash64("set_key", F.lit("block")), F.col("blocks")).cast("int")
+            rows = rows.withColumn("own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            rows = rows.withColumns({"i": F.least("own", "_other"), "j": F.greatest("own", "_other")}).drop("_other")
+            return rows.select(*[F.col(c).alias(c) for c in rows.columns])
+
+        left, right = dealt(sets).drop("own"), dealt(prefixes)
+        keys = ["part", "blocks", "i", "j"]
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(link, "node binary, root binary, links long, whole boolean")
+
+    of = members.select("set_key", "part", "blocks", "docs", *p)
+    links = linked(kept.filter(F.col("blocks") <= most_blocks), of.filter(F.col("blocks") <= most_blocks), False)
     huge = members.filter(F.col("blocks") > most_blocks)
     if huge.limit(1).count():
-        by_token = huge.select("set_key", "n", F.explode("p1").alias("token"))
-        lists = by_token.groupBy("token").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("tokens")).filter("sets > 1")
-        dealt = by_token.join(lists.select("token", blocks().alias("blocks")), "token").select("set_key", F.col("token").alias("part"), "blocks")
-        met = kept.filter(F.col("blocks") > most_blocks).drop("part", "blocks").join(dealt, "set_key")
-        links = links.unionByName(linked(met).withColumn("blocks", F.lit(2)))
+        tokens = huge.select("set_key", "n", F.explode("p1").alias("part"))
+        lists = tokens.groupBy("part").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("tokens")).filter("sets > 1")
+        met = durable(hot_join(tokens, lists.select("part", blocks().alias("blocks"), "sets"), "part", "sets", ["set_key"], huge.agg(F.sum(F.size("p1"))).first()[0] or 0).select("set_key", "part", "blocks"))
+        sets = kept.filter(F.col("blocks") > most_blocks).select("set_key", "set").join(met, "set_key")
+        links = links.unionByName(linked(sets, of.drop("part", "blocks").join(met, "set_key"), True).withColumn("whole", F.lit(False)))
     links = durable(links)
     # what was one task is done: its forest is one star for each component
-    done, open_ = links.filter("blocks = 1").select("node", "root"), links.filter("blocks > 1")
+    done, open_ = links.filter("whole").select("node", "root"), links.filter("NOT whole")
     roots = durable(done.unionByName(connected(open_, "node", "root"))) if open_.limit(1).count() else done
+    degrees = links.groupBy(F.col("node").alias("set_key")).agg(F.sum("links").alias("links"))
 
-    placed = named.join(roots, named["set_key"] == roots["node"], "left").select("set_key", F.coalesce("root", "set_key").alias("root"), "_doc")
-    least = placed.groupBy("root").agg(F.min("_doc").alias("component_id"))
-    by_set = placed.join(least, "root").select("set_key", "component_id", F.lit(True).alias("_has"))
-    out = facts.join(by_set, "set_key", "left")
-    return out.select(key, "n_shingles", F.when(F.col("_has"), F.col("component_id")).otherwise(F.col(key)).alias("component_id"))
+    placed = named.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").join(degrees, "set_key", "left")
+    placed = durable(placed.select("set_key", F.coalesce("root", "set_key").alias("root"), "_doc", "docs", F.coalesce("links", F.lit(0)).alias("links")))
+    least = placed.groupBy("root").agg(F.min("_doc").alias("component_id"), F.count(F.lit(1)).alias("c"))
+    by_set = hot_join(placed, least, "root", "c", ["set_key"], named.count()).select("set_key", "component_id", "docs", (F.col("links") + F.col("docs") - 1).alias("n_links"))
+    out = hot_join(full.select(key, "n_shingles", "set_key", F.monotonically_increasing_id().alias("_id")), by_set, "set_key", "docs", ["_id"], facts.count())
+    none = facts.filter("set_key IS NULL").select(key, "n_shingles", F.col(key).alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    return out.select(key, "n_shingles", "component_id", "n_links").unionByName(none)
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """``docs`` without the rows whose key is not the least of its component. Rows with a null key stay."""
+    """``docs`` without the rows whose key is not the least of its component. Rows with a null key stay.
+
+    Rows of one key stay or go together. Only rows that may have to go are moved.
+    """
     met = components(docs, key, text, **settings)
     dropped = durable(met.filter(F.col(key) != F.col("component_id")).select(F.col(key).alias("_dropped")).distinct())
-    return docs.join(small(dropped), docs[key] == F.col("_dropped"), "left_anti")
+    return rows_without(docs, key, dropped)
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shingle counts and components of all documents: four words, a Jaccard index of 85 percent or more."""
+    """Shingle counts, components and links of all documents: four words, a Jaccard index of 85 percent or more."""
     return components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: All pairs by shared shingles, and reachability by recursion.
+OP2_SQL = f"""
+WITH RECURSIVE d AS (
+    SELECT row_number() OVER () AS r, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), shingles AS (
+    SELECT DISTINCT r, array_to_string(w[i : i + {SHINGLE - 1}], ' ') AS s FROM d, LATERAL (SELECT unnest(range(1, greatest(len(w) - {SHINGLE - 2}, 2))) AS i) WHERE len(w) > 0
+), sizes AS (SELECT r, count(*) AS n FROM shingles GROUP BY r),
+links AS (
+    SELECT a.r AS a, b.r AS b FROM shingles a JOIN shingles b ON a.s = b.s AND a.r <> b.r JOIN sizes x ON x.r = a.r JOIN sizes y ON y.r = b.r
+    GROUP BY a.r, b.r HAVING 100 * count(*) >= {PERCENT} * (any_value(x.n) + any_value(y.n) - count(*))
+), reach AS (SELECT r, r AS other FROM d UNION SELECT reach.r, links.b FROM reach JOIN links ON links.a = reach.other),
+least AS (SELECT reach.r, min(d.doc_id) AS component_id FROM reach JOIN d ON d.r = reach.other GROUP BY reach.r),
+degrees AS (SELECT a AS r, count(*) AS n_links FROM links GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, coalesce(n_links, 0)::BIGINT AS n_links
+FROM d LEFT JOIN sizes USING (r) LEFT JOIN least USING (r) LEFT JOIN degrees USING (r)
+"""
