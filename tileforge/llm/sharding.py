@@ -5,28 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buckets_for, running_sum, table, unit_hash
+from .common import buckets_for, durable, running_sum, table, unit_hash
 
 SHARDS = 40
 
 
-def shard_of(key: Column, weights: list[float]) -> Column:
-    """The shard 0 .. len(weights)-1 that wins the key.
+def draw(key: Column, shard: Column | int, weight: Column | float) -> Column:
+    """The shard's draw for the key: ``-ln(u) / weight`` with u from the hash of (key, shard)."""
+    shard = F.lit(shard) if isinstance(shard, int) else shard
+    return -F.log(unit_hash(key, shard)) / weight
+
 
-    Every shard draws ``-ln(u) / weight`` with u from the hash of (key, shard); the least draw wins. A shard's draw
-    depends on nothing but the key, its own number and its own weight, so a further shard takes rows only into itself,
-    and a shard of weight 0 gets nothing. A null key is a key like any other.
+def winner(key: Column, weights: list[float]) -> Column:
+    """struct<draw, shard> of the shard 0 .. len(weights)-1 that wins the key: the least draw.
+
+    A shard's draw depends on nothing but the key, its own number and its own weight, so a further shard takes rows only
+    into itself, and a shard of weight 0 gets nothing. A null key is a key like any other.
     """
     if not weights or min(weights) < 0 or max(weights) <= 0:
         raise ValueError("weights must be non-negative, and one must be positive")
     shards = F.array(*[F.struct(F.lit(k).alias("shard"), F.lit(float(w)).alias("weight")) for k, w in enumerate(weights) if w > 0])
-    draws = F.transform(shards, lambda s: F.struct((-F.log(unit_hash(key, s["shard"])) / s["weight"]).alias("draw"), s["shard"].alias("shard")))
-    return F.array_min(draws)["shard"].cast("int")
+    return F.array_min(F.transform(shards, lambda s: F.struct(draw(key, s["shard"], s["weight"]).alias("draw"), s["shard"].alias("shard"))))
+
+
+def shard_of(key: Column, weights: list[float]) -> Column:
+    return winner(key, weights)["shard"].cast("int")
 
 
 def grown(key: Column, weights: list[float], extra: float = 1.0) -> Column:
     """The shard after one more of weight ``extra`` is added."""
-    return shard_of(key, [*weights, extra])
+    return grown_from(winner(key, weights), key, len(weights), extra)
+
+
+def grown_from(won: Column, key: Column, number: int, extra: float = 1.0) -> Column:
+    """The same from the winner among ``number`` shards: only the new shard's draw is made."""
+    return F.when(draw(key, number, extra) < won["draw"], number).otherwise(won["shard"]).cast("int")
 
 
 def assign_shards(df: DataFrame, key: str, weights: list[float], shard: str = "shard") -> DataFrame:
@@ -42,11 +55,12 @@ def write_shards(df: DataFrame, key: str, weights: list[float], path: str, shard
 
 
 def with_slots(df: DataFrame, shard: str, key: str, ties: list[str], rows: int, slot: str = "slot") -> DataFrame:
-    """Numbers the rows of each shard from 0 without gaps, in the order of the key's hash, then the key, then ``ties``.
+    """Numbers the rows of each shard from 0 without gaps, in the order of a hash of the key and ``ties``, then of these themselves.
 
-    Rows alike in all of these are alike in the result, so their order does not matter.
+    Rows alike in all of these are alike in the result, so their order does not matter. As the hash is not of the key alone,
+    rows that share one are dealt over all buckets.
     """
-    placed = df.withColumn("_place", unit_hash(F.lit("slot"), key))
+    placed = df.withColumn("_place", unit_hash(F.lit("slot"), key, *ties))
     return running_sum(placed, shard, "_place", [key, *ties], F.lit(1), buckets_for(rows), slot).drop("_place")
 
 
@@ -60,8 +74,10 @@ def op1_shard_documents(spark: SparkSession, sf_dir: str, shards: int = SHARDS)
     text = F.coalesce(F.col("text"), F.lit(""))
     weights = [1.0] * shards
     sized = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    placed = assign_shards(sized, "doc_id", weights).withColumn("grown_shard", grown(F.col("doc_id"), weights))
-    slotted = with_slots(placed, "shard", "doc_id", ["size", "text_crc32"], docs.count())
+    # a struct that is exploded: the draws are made once, whatever is asked of the winner
+    won = sized.withColumn("_won", F.explode(F.array(winner(F.col("doc_id"), weights))))
+    placed = durable(won.withColumns({"shard": F.col("_won.shard").cast("int"), "grown_shard": grown_from(F.col("_won"), F.col("doc_id"), shards)}).drop("_won"))
+    slotted = with_slots(placed, "shard", "doc_id", ["size", "text_crc32"], placed.count())
     return slotted.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
 
 
@@ -86,6 +102,6 @@ d AS (
     SELECT r, (arg_min(s, draw) FILTER (s < 40))::INTEGER AS shard, arg_min(s, draw)::INTEGER AS grown_shard FROM draws GROUP BY r
 )
 SELECT doc_id, size, text_crc32, 'key' AS law, shard, grown_shard,
-       row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5('slot:' || k), 1, 12))::BIGINT, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot
+       row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5('slot:' || k || ':' || size || ':' || text_crc32), 1, 12))::BIGINT, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot
 FROM d JOIN crc USING (r) JOIN won USING (r)
 """
