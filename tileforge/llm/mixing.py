@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, SPACE_CLASS, bucket_of, buckets_for, durable, running_sum, small, table, unit_hash
+from .common import SPACE_CHARS, SPACE_CLASS, bucket_of, buckets_for, durable, hot_join, running_sum, small, table, unit_hash
 
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
@@ -40,11 +40,16 @@ def source_targets(sizes: DataFrame, epochs: int, budget: float | None = None) -
     return rows.select("_skey", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, size: Column, weights: tuple[int, ...] = WEIGHTS, epochs: int = MOST_EPOCHS, key: str = "doc_id", source: str = "source") -> DataFrame:
-    """(key, source, size, source_size, target, taken, epochs_taken) for every row of ``docs``.
+def source_key(source: str) -> Column:
+    """Orders sources by code point, null last."""
+    return F.concat(F.when(F.col(source).isNull(), "1").otherwise("0"), F.coalesce(F.col(source), F.lit("")))
+
+
+def queue(docs: DataFrame, size: Column, weights: tuple[int, ...] = WEIGHTS, epochs: int = MOST_EPOCHS, key: str = "doc_id", source: str = "source") -> DataFrame:
+    """(key, source, size, _skey, _place, source_size, target, epochs_taken) for every row of ``docs``.
 
     Each document gets a virtual finish time: the tokens of its source up to and with it, in a shuffled order that a hash
-    of the key fixes, over the source's target; a further epoch adds the source's size. Items (document, epoch) are sorted
+    of key and size fixes, over the source's target; a further epoch adds the source's size. Items (document, epoch) are sorted
     by finish time over all sources and cut at the budget, which is the sum of all sizes. The sort is by ranges: ranges
     that lie wholly before the cut need only their sums; rows are ordered in the one range that holds it.
 
@@ -53,8 +58,8 @@ def mix(docs: DataFrame, size: Column, weights: tuple[int, ...] = WEIGHTS, epoch
     """
     base = durable(
         docs.select(key, source, size.alias("size"))
-        .withColumn("_skey", F.concat(F.when(F.col(source).isNull(), "1").otherwise("0"), F.coalesce(F.col(source), F.lit(""))))
-        .withColumn("_place", unit_hash(F.lit("mix"), key))
+        .withColumn("_skey", source_key(source))
+        .withColumn("_place", unit_hash(F.lit("mix"), key, "size"))
     )
     rows = base.count()
     sizes = base.groupBy("_skey").agg(F.sum("size").alias("source_size"))
@@ -81,20 +86,34 @@ def mix(docs: DataFrame, size: Column, weights: tuple[int, ...] = WEIGHTS, epoch
         bound = F.struct(*[F.lit(i[f.name]).cast(f.dataType).alias(f.name) for f in inside.schema["i"].dataType])
         kept = F.filter("_items", lambda x: x < bound)
     n = F.size(F.filter(kept, lambda x: x["finish"].isNotNull()))
-    return queued.select(key, source, "size", "source_size", "target", (n * F.col("size")).cast("long").alias("taken"), n.alias("epochs_taken"))
+    return queued.select(key, source, "size", "_skey", "_place", "source_size", "target", n.alias("epochs_taken"))
+
+
+def mix(docs: DataFrame, size: Column, key: str = "doc_id", source: str = "source", **settings) -> DataFrame:
+    """(key, source, size, source_size, target, taken, epochs_taken) for every row of ``docs``; see ``queue``."""
+    rows = queue(docs, size, key=key, source=source, **settings)
+    return rows.select(key, source, "size", "source_size", "target", (F.col("epochs_taken") * F.col("size")).cast("long").alias("taken"), "epochs_taken")
 
 
-def mixed_rows(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
+def mixed_rows(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", epochs: int = MOST_EPOCHS) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with their columns as they came.
 
-    Rows find their number by (key, size); texts move only where that table is too large to be sent to every task.
-    Rows equal in key, source and size all come as often as the one of them that is taken most.
+    A source is taken in the order of its queue, so that all there is to know is, for each source and epoch, the first item
+    that is left out: a table of one row for each source, which is sent to every task; no text moves. Where that item has
+    rows alike in key and size, all of these are left out, so that the budget holds.
     """
-    sized = docs.select(F.struct(*docs.columns).alias("_row"), F.col(key).alias("_key"), F.col(source).alias("_source"), word_count(F.col(text)).alias("_size"))
-    taken = durable(mix(docs, word_count(F.col(text)), key=key, source=source).groupBy(key, source, "size").agg(F.max("epochs_taken").alias("_times")))
-    taken = taken.select(F.col(key).alias("_k"), F.col(source).alias("_s"), F.col("size").alias("_n"), "_times")
-    met = sized.join(small(taken), F.col("_key").eqNullSafe(F.col("_k")) & F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n")))
-    return met.filter("_times > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")
+    item = F.struct(F.col("_place").alias("place"), F.col("_k").alias("key"), F.col("_n").alias("size"))
+    queued = queue(docs, word_count(F.col(text)), epochs=epochs, key=key, source=source).withColumnsRenamed({key: "_k", "size": "_n"})
+    out = [F.min(F.when(F.col("epochs_taken") <= e, item)).alias(f"_out{e}") for e in range(epochs)]
+    bounds = durable(queued.filter(F.col("target") > 0).groupBy("_skey").agg(F.count(F.lit(1)).alias("_rows"), *out))
+    sized = docs.select(F.struct(*docs.columns).alias("_row"), F.col(key).alias("_k"), word_count(F.col(text)).alias("_n"), source_key(source).alias("_skey"))
+    sized = sized.withColumn("_place", unit_hash(F.lit("mix"), "_k", "_n"))
+    near = small(bounds)
+    met = sized.join(near, "_skey") if near is not bounds else hot_join(sized, bounds, "_skey", "_rows", ["_place"], queued.count())
+    times = F.lit(0)
+    for e in range(epochs):
+        times = times + F.when(F.col(f"_out{e}").isNull() | (item < F.col(f"_out{e}")), 1).otherwise(0)
+    return met.withColumn("_times", times).filter("_times > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")
 
 
 def op4_mix_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +126,7 @@ OP4_SQL = """
 WITH base AS (
     SELECT row_number() OVER () AS r, doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' END || coalesce(source, '') AS skey,
            len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-           (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '~')), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS place
+           (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '~') || ':' || len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS place
     FROM documents
 ), sizes AS (SELECT skey, sum(size)::BIGINT AS source_size FROM base GROUP BY skey),
 weighted AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY skey) - 1) % 3 + 1] AS weight, sum(source_size) OVER ()::BIGINT AS total FROM sizes),
