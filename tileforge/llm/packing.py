@@ -20,7 +20,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_of, buckets_for, durable, running_sum, table, unit_hash  # noqa: F401
+from .common import buckets_for, durable, running_sum, table, unit_hash
 
 WINDOW = 2048
 END = 1
@@ -137,7 +137,7 @@ def plan(histogram: dict[int, int], window: int = WINDOW) -> pd.DataFrame:
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """The pieces of all documents with sequence_id and offset.
 
-    Pieces of one length are ranked by a hash of the key, then the key and the text's hash; pieces alike in all of these are
+    Pieces of one length are ranked by a hash of key, start and text, then by these themselves; pieces alike in all of these are
     alike in the result. An empty table has no pieces.
     """
     cut = durable(pieces(docs, key, text, window))
@@ -145,7 +145,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int =
     total = sum(histogram.values())
     shared = docs.sparkSession.sparkContext.broadcast(plan(histogram, window).sort_values(["length", "rank"]).reset_index(drop=True))
 
-    placed = cut.withColumn("_place", unit_hash(F.lit("pack"), key))
+    placed = cut.withColumn("_place", unit_hash(F.lit("pack"), key, "start", "tie"))
     ranked = running_sum(placed, "length", "_place", [key, "start", "tie"], F.lit(1), buckets_for(total), "_rank").drop("_place", "tie")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
