@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, small, table, unit_hash
+from .common import durable, table, unit_hash
+from .exact import rows_of
 
 SIZES = (3, 4, 5, 6)
 BITS = 18
@@ -28,9 +29,8 @@ _FACTOR, _LAST = np.uint32(0x01000193), np.uint32(0x9E3779B1)
 _CHUNK = 1 << 21
 
 
-def grams(data: bytes, n: int) -> np.ndarray:
-    """The bucket of the n-gram that starts at each byte."""
-    b = np.frombuffer(data, np.uint8).astype(np.uint32)
+def grams(b: np.ndarray, n: int) -> np.ndarray:
+    """The bucket of the n-gram that starts at each character."""
     if len(b) < n:
         return np.empty(0, np.uint32)
     h = np.full(len(b) - n + 1, np.uint32(n))
@@ -42,11 +42,12 @@ def grams(data: bytes, n: int) -> np.ndarray:
     return h >> np.uint32(32 - BITS)
 
 
-def prepared(text: str | None) -> bytes:
-    return (text or "").encode("utf-8", "surrogatepass").lower()
+def prepared(text: str | None) -> np.ndarray:
+    """The code points of the whole text in lower case."""
+    return np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def buckets(data: bytes) -> np.ndarray:
+def buckets(data: np.ndarray) -> np.ndarray:
     """The distinct buckets of a text."""
     seen = np.zeros(1 << BITS, bool)
     for n in SIZES:
@@ -66,7 +67,7 @@ class Model:
         """(row, feature) pairs of the features that occur, each once. Texts are gone through in chunks, whole."""
         rows, found = [], []
         for first, part in _chunks([prepared(t) for t in texts]):
-            data, ends = b"".join(part), np.cumsum([len(p) for p in part])
+            data, ends = np.concatenate(part), np.cumsum([len(p) for p in part])
             for n in SIZES:
                 slots = self.slot[grams(data, n)]
                 at = np.flatnonzero(slots >= 0)
@@ -83,7 +84,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _chunks(parts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+def _chunks(parts: list[np.ndarray]) -> Iterator[tuple[int, list[np.ndarray]]]:
     start, size = 0, 0
     for k, p in enumerate(parts):
         size += len(p)
@@ -95,7 +96,11 @@ def _chunks(parts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
 
 
 def fit(rows: DataFrame, features: int = FEATURES, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """The model from ``rows`` (key, text, label 0/1). Without rows of both labels it gives every text the same low score."""
+    """The model from ``rows`` (key, text, label). Without rows of both labels it gives every text the same low score.
+
+    Labels other than 0 and 1 do not count; null texts are empty; rows alike count as often as they come.
+    """
+    rows = rows.filter(F.col("label").isin(0, 1)).withColumn("label", F.col("label").cast("int"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((2, 1 << BITS), np.int64)
@@ -152,7 +157,7 @@ def logistic(model: Model, lists: list[np.ndarray], y: np.ndarray, penalty: floa
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
-    """``docs`` with the score of every whole text, 0 to 1; null texts are empty."""
+    """``docs`` with the score of every whole text, 0 to 1; null texts are empty. A column named ``out`` is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast((model.slot, model.weight, model.bias))
 
     @F.pandas_udf("double")
@@ -169,10 +174,11 @@ def held_out(key: str) -> Column:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by a model learnt from labelled ones whose checksum is not divisible by 5.
 
-    Of several label rows of a document the highest counts. Empty texts get the score of the model's bias.
+    Of several label rows of a document the highest of 0 and 1 counts. Empty texts get the score of the model's bias. Rows alike
+    in doc_id and text have equal scores; a null doc_id is checked as an empty text and never learnt from.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").filter(~held_out("doc_id") & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
-    rows = docs.join(small(durable(labels)), "doc_id").select(F.col("doc_id").alias("key"), "text", "label")
+    labels = table(spark, sf_dir, "labels").filter(~held_out("doc_id") & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
+    rows = rows_of(docs, "doc_id", durable(labels.filter(F.col("doc_id").isNotNull()))).select(F.col("doc_id").alias("key"), "text", "label")
     scored = score(docs, fit(rows)).withColumn("held_out", held_out("doc_id"))
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
