@@ -116,11 +116,16 @@ def calibrate(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     """(_stratum, rule, cutoff) from all documents that are labelled good (quality 1 in every label row of theirs).
 
     Documents that fail the base rules are rejected anyway and do not count. A stratum and rule for which no cutoff can
-    be shown to be safe has none, and never rejects. Null strata form one of their own.
+    be shown to be safe has none, and never rejects. Null strata form one of their own. Labels of null keys and label rows
+    with a null quality do not count; repeated rows of a document count each.
     """
     good = labels.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("quality").alias("quality")).filter("quality = 1").select(key)
-    held = docs.select(key, F.col(text).alias("_text"), stratum_key(F.col(stratum)).alias("_stratum")).join(small(good), key, "left_semi")
-    held = with_measures(held, "_text").filter(~F.col("base_failed"))
+    good = durable(good)
+    near = small(good)
+    held = docs.select(key, F.col(text).alias("_text"), stratum_key(F.col(stratum)).alias("_stratum"))
+    # labels that are too many to be sent to every task meet the measures of all documents, so that texts never move
+    held = with_measures(held.join(near, key, "left_semi"), "_text") if near is not good else with_measures(held, "_text").drop("_text").join(good, key, "left_semi")
+    held = held.filter(~F.col("base_failed"))
     level = [F.struct(F.lit(r).alias("rule"), cutoffs_below(r, grid).alias("above")) for r in RULES]
     counts = durable(held.select("_stratum", F.explode(F.array(*level)).alias("x")).groupBy("_stratum", "x.rule", "x.above").agg(F.count(F.lit(1)).alias("n")))
     tests = counts.select("_stratum").distinct().count() * len(RULES)
@@ -132,7 +137,10 @@ def calibrate(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
 
 def judge(docs: DataFrame, chosen: DataFrame, text: str = "text", stratum: str = "lang") -> DataFrame:
-    """``docs`` with the measures, ``base_failed`` and ``kept``."""
+    """``docs`` with the measures, ``base_failed`` and ``kept``, which replace columns of these names.
+
+    Null and empty texts have no words and fail the base rules; texts of any length are measured whole; rows alike are judged alike.
+    """
     wide = durable(chosen.groupBy("_stratum").pivot("rule", list(RULES)).agg(F.max("cutoff")).withColumnsRenamed({r: f"_cut_{r}" for r in RULES}))
     rows = with_measures(docs, text).withColumn("_stratum", stratum_key(F.col(stratum))).join(small(wide), "_stratum", "left")
     rejected = F.lit(False)
