@@ -7,11 +7,12 @@ import re
 import string
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tests.conftest import SMALL
+from tests.conftest import SMALL, rows as shown
 from tileforge.llm import chat, common, components, entries, exact, licenses, mixing, ngram_join, packing, quality, secrets, sharding, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _row string, _key long, size string, shard string, n_words string, kept string"
@@ -127,6 +128,19 @@ def test_what_is_taken_is_near_the_target(spark, shares):
     assert 0 <= sum(r["size"] for r in sums) - sum(r.taken for r in sums) <= 40
 
 
+def test_rows_of_the_mix_are_those_of_its_counts(spark, monkeypatch):
+    """Row by row; the table of bounds may be sent or joined."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 30)), rng.choice(["a", "a", "b", "c", None])) for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    want = {r.doc_id: r.epochs_taken for r in mixing.mix(docs, mixing.word_count(F.col("text"))).collect()}
+    for _ in range(2):
+        got = collections.Counter(r.doc_id for r in mixing.mixed_rows(docs).collect())
+        assert got == collections.Counter({k: n for k, n in want.items() if n})
+        monkeypatch.setattr(mixing, "small", lambda df: df)
+    assert 0 < sum(n == 0 for n in want.values()) < 700
+
+
 def test_words_are_counted_as_runs(spark):
     df = spark.createDataFrame([(" a\tb \n c",), ("",), (None,), (" x y",)], "t string")
     assert [r[0] for r in df.select(mixing.word_count(F.col("t"))).collect()] == [3, 0, 0, 1]
@@ -171,6 +185,86 @@ def test_cutoffs_keep_their_promise(spark):
     assert not any(r.kept for r in rows if r.doc_id >= 1500)
 
 
+def agrees(spark, folder, name, tables):
+    """The query and its SQL on tables written below ``folder``; gives the query's rows."""
+    con = duckdb.connect()
+    for t in tables:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet/*.parquet')")
+    df = entries.QUERIES[name](spark, str(folder))
+    got = df.collect()
+    result = con.execute(entries.SQL[name])
+    names = [d[0] for d in result.description]
+    assert sorted(names) == sorted(df.columns)
+    assert shown(df.columns, [tuple(r) for r in got]) == shown(names, result.fetchall())
+    return got
+
+
+def labelled_corpus(n=3600):
+    """Good and bad documents in two languages; the bad ones have many symbols, equal lines or repeated words, yet pass the base rules."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8)))
+    docs, labels = [], []
+    for i in range(n):
+        lines = [" ".join(word() for _ in range(8)) for _ in range(8)]
+        bad = rng.random() < 0.25
+        if bad and i % 3 == 0:
+            lines = [x + " ###$$$%%%&&&" for x in lines]
+        elif bad and i % 3 == 1:
+            lines += [lines[0].replace(" ", "  ")] + [lines[1]] * 0 + ["x"] * 9
+        elif bad:
+            lines[1:4] = [lines[0] + " " + word()] * 1 + [lines[0]] * 2
+        elif rng.random() < 0.02:
+            lines[0] += " $ # %"
+        docs.append((i, "\n".join(lines), "en" if i % 4 else "de", "s", 0))
+        labels.append((i, int(not bad or rng.random() < 0.01), 0))
+    return docs, labels
+
+
+def test_quality_sql_on_thousands_of_labels(spark, tmp_path):
+    """With enough labels the method rejects what the base rules keep, just as its SQL says."""
+    docs, labels = labelled_corpus()
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = agrees(spark, tmp_path, "op8_quality_rules", ["documents", "labels"])
+    good = {i for i, q, _ in labels if q}
+    by_method = {r.doc_id for r in rows if not r.kept and not r.base_failed}
+    assert len(by_method) > 300
+    assert len(by_method & good) <= 0.05 * len(good)
+
+
+def test_cutoffs_equal_plain_risk_control(spark):
+    """Every stratum, rule and cutoff by summing binomial terms one by one."""
+    from math import comb
+
+    docs, labels = labelled_corpus(3000)
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    measures = {r.doc_id: r for r in quality.with_measures(df).collect()}
+    good = {i for i, q, _ in labels if q}
+    p = quality.ALPHA / len(quality.RULES)
+    want = {}
+    for lang in ("en", "de"):
+        for rule, (part, whole, loosest) in quality.RULES.items():
+            ratios = [getattr(m, part) / getattr(m, whole) if getattr(m, whole) else 0.0 for i, m in measures.items() if i in good and m.lang == lang and not m.base_failed]
+            n = len(ratios)
+            for j in range(quality.GRID):
+                cut = loosest * (quality.GRID - j) / quality.GRID
+                k = sum(x > cut for x in ratios)
+                if k >= n * p or sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)) > quality.RISK / 6:
+                    break
+                want[("0" + lang, rule)] = cut
+    got = {(r._stratum, r.rule): r.cutoff for r in quality.calibrate(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert got == pytest.approx(want) and len(want) >= 4
+
+
+def test_quality_does_not_depend_on_how_labels_are_joined(spark, monkeypatch):
+    docs, labels = labelled_corpus(2000)
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    want = sorted(map(tuple, quality.calibrate(df, lab).collect()))
+    monkeypatch.setattr(quality, "small", lambda x: x)
+    assert sorted(map(tuple, quality.calibrate(df, lab).collect())) == want
+
+
 # licenses
 
 
@@ -188,6 +282,49 @@ def test_license_labels(spark):
     assert rows[6].score == pytest.approx(0.8) and rows[0].score == 1.0
 
 
+def plain_scan(text):
+    """Labels and score of the notices by looking at every block."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c < "\x80" else c for c in text))
+    found = []
+    for notice, label, names in licenses.NOTICES:
+        own, block = set(notice.split()), len(notice.split()) * 3 // 2
+        for s in range(len(w)):
+            held = w[s : s + block]
+            share, joined = len(own & set(held)) / len(own), " " + " ".join(held) + " "
+            if w[s] in own and share >= licenses.THRESHOLD and all(any(f" {p} " in joined for p in g) for g in names):
+                found.append((label, share))
+    return {label for label, _ in found}, max((x for _, x in found), default=0.0)
+
+
+def test_licenses_equal_a_look_at_every_block(spark):
+    """Notices with words left out, changed, moved and spread, near the threshold on both sides."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(400):
+        w = ["filler"] * rng.randint(0, 5)
+        for text, *_ in rng.sample(licenses.NOTICES, rng.randint(1, 2)):
+            own = [x for x in text.split() if rng.random() > rng.choice((0.0, 0.1, 0.2, 0.25))]
+            if rng.random() < 0.2:
+                rng.shuffle(own)
+            for x in own:
+                w += [x] + ["pad"] * (rng.random() < rng.choice((0.0, 0.3, 0.6)))
+            w += [rng.choice(("the", "or", "license", "x"))] * rng.randint(0, 20)
+        texts.append((rng.choice((" ", ", ", "\n"))).join(w))
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()
+    want = [plain_scan(t) for t in texts]
+    for r in rows:
+        base = set(filter(None, r.base_labels.split(",")))
+        assert (set(filter(None, r.labels.split(","))), r.score) == (base | want[r.doc_id][0], pytest.approx(want[r.doc_id][1]))
+    assert 50 < sum(bool(x) for x, _ in want) < 380
+
+
+def test_a_spread_notice_is_found_at_every_offset(spark):
+    text, label, _ = licenses.NOTICES[5]
+    spread = " ".join(f"{x} pad" if k % 2 else x for k, x in enumerate(text.split()))
+    rows = licenses.scan(spark.createDataFrame([(k, "filler " * k + spread) for k in range(40)], "doc_id long, text string")).collect()
+    assert {(r.labels, r.score) for r in rows} == {(label, 1.0)}
+
+
 def test_near_misses_have_no_label(spark):
     texts = ["Released under the GPL license.", "Licensed under CC BY 4.0", "Licensed under the GNU General Public License version 2", "licensed under the GNU Lesser General Public License version 3",
              "Subject to the terms of the Mozilla Public License v 1.1", "Licensed under the Apache License Version 1.1", "released under the BSD license", "Licensed under the Apache License version 20"]
@@ -306,6 +443,31 @@ def test_long_chains_are_one_component(spark):
     assert got == {**{i: 0 for i in range(201)}, 1000: 1000, 1001: 1000}
 
 
+def test_joins_do_not_depend_on_what_is_broadcast(spark, monkeypatch):
+    """The same with every table too large to be sent, and with keys split from two rows on."""
+    rows = near_copies(150)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for module in (exact, ngram_join):
+        monkeypatch.setattr(module, "small", lambda df: df)
+    monkeypatch.setattr(common, "KEY_ROWS", 2)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in ngram_join.components(docs).collect())
+    want = plain_components(rows, 4, 85)
+    assert got == want
+    assert {r.doc_id for r in ngram_join.keep_one(docs).collect()} == {c for _, _, c, _ in want}
+    groups = exact.groups(docs).collect()
+    assert len(groups) == len(rows) and sum(r.kept for r in groups) == len({r.text_sha256 for r in groups})
+    keys = spark.createDataFrame([(k, "x") for k in range(0, 150, 3)], "doc_id long, more string")
+    assert sorted(r.doc_id for r in exact.rows_of(docs, "doc_id", keys).collect()) == list(range(0, 150, 3))
+
+
+def test_rows_of_a_hot_key_are_joined_once(spark):
+    left = spark.range(5000).select((F.col("id") % 7 * (F.col("id") % 2)).alias("k"), F.col("id"))
+    facts = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("m"))
+    got = common.hot_join(left, facts, "k", "n", ["id"], 5000)
+    assert sorted(got.columns) == ["id", "k", "m", "n"]
+    assert sorted(map(tuple, got.select("id", "k", "n", "m").collect())) == sorted(map(tuple, left.join(facts, "k").select("id", "k", "n", "m").collect()))
+
+
 # packing
 
 
@@ -516,6 +678,71 @@ def test_toxicity_learns_and_survives_odd_rows(spark, odd, empty):
     assert blank.scores(["", None, "x"]).max() < 0.5
 
 
+def test_toxicity_of_odd_tables(spark, tmp_path):
+    """Labels outside 0 and 1, null labels and keys, repeated rows; and an empty table."""
+    spark.createDataFrame(odd_rows(), SCHEMA).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 7), (2, 1, None), (None, 0, 1), (3, 1, 1), (3, 0, 0), (4, 1, 0), (6, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "a" / "labels.parquet"))
+    rows = toxicity.op6_toxicity(spark, str(tmp_path / "a")).collect()
+    assert len(rows) == 16 and all(0 <= r.score <= 1 for r in rows)
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "b" / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "b" / "labels.parquet"))
+    assert toxicity.op6_toxicity(spark, str(tmp_path / "b")).count() == 0
+
+
+def test_grams_are_of_characters():
+    """Letters beyond ASCII are one character each and change case."""
+    for n in toxicity.SIZES:
+        t = "Äpfel-ÉTÉ 漢字😀x"
+        want = {t.lower()[k : k + n] for k in range(len(t) - n + 1)}
+        of = {g: toxicity.grams(toxicity.prepared(g), n)[0] for g in want}
+        assert set(toxicity.grams(toxicity.prepared(t), n).tolist()) == {int(x) for x in of.values()}
+    assert toxicity.prepared("ÄÉ").tolist() == toxicity.prepared("äé").tolist()
+
+
+def test_model_equals_plain_naive_bayes_and_logistic_regression(spark):
+    """Counts, ratios, choice and weights over strings, in plain loops, against the hashed model."""
+    rng = random.Random(13)
+    syllables = ["ba", "ké", "Mo", "tu", "fi"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(2))
+    rows = [(i, " ".join(word() for _ in range(6)) + (" zap" if i % 3 == 0 else ""), int(i % 3 == 0 or i % 17 == 0)) for i in range(120)]
+    model = toxicity.fit(spark.createDataFrame(rows, "key long, text string, label int").repartition(3), features=150)
+
+    def grams(t):
+        t = t.lower()
+        return {t[k : k + n] for n in toxicity.SIZES for k in range(len(t) - n + 1)}
+
+    bucket = {g: int(toxicity.grams(toxicity.prepared(g), len(g))[0]) for _, t, _ in rows for g in grams(t)}
+    assert len(set(bucket.values())) >= 0.98 * len(bucket)  # few n-grams fall together
+    held = [{bucket[g] for g in grams(t)} for _, t, _ in rows]
+    counts = collections.defaultdict(lambda: [0, 0])
+    for x, (_, _, y) in zip(held, rows):
+        for g in x:
+            counts[g][y] += 1
+    total = [sum(y == k for *_, y in rows) for k in (0, 1)]
+    share = total[1] / len(rows)
+    surprise = {g: abs(b - (a + b) * share) / ((a + b) * share * (1 - share)) ** 0.5 for g, (a, b) in counts.items() if a + b >= toxicity.LEAST_DOCUMENTS}
+    chosen = sorted(sorted(surprise, key=lambda g: (-surprise[g], g))[:150])
+    assert np.flatnonzero(model.slot >= 0).tolist() == chosen
+    ratio = {g: np.log((counts[g][1] + 1) / (total[1] + 2)) - np.log((counts[g][0] + 1) / (total[0] + 2)) for g in chosen}
+    # the same descent, feature by feature
+    own = [sorted(x & set(ratio)) for x in held]
+    w, vw, b, vb = dict.fromkeys(ratio, 0.0), dict.fromkeys(ratio, 0.0), float(np.log((total[1] + 0.5) / (total[0] + 1.0))), 0.0
+    rate = 1 / (0.25 * (np.mean([sum(ratio[g] ** 2 for g in x) for x in own]) + 1) + 0.1 / len(rows))
+    for _ in range(1000):
+        gap = [1 / (1 + np.exp(-(b + sum(ratio[g] * w[g] for g in x)))) - y for x, (_, _, y) in zip(own, rows)]
+        slope = dict.fromkeys(ratio, 0.0)
+        for x, e in zip(own, gap):
+            for g in x:
+                slope[g] += ratio[g] * e
+        for g in ratio:
+            vw[g] = 0.9 * vw[g] - rate * (slope[g] + 0.1 * w[g]) / len(rows)
+            w[g] += vw[g]
+        vb = 0.9 * vb - rate * float(np.mean(gap))
+        b += vb
+    want = [1 / (1 + np.exp(-(b + sum(ratio[g] * w[g] for g in x)))) for x in own]
+    assert np.abs(model.scores([t for _, t, _ in rows]) - want).max() < 1e-6
+
+
 def test_toxicity_held_out(spark):
     rows = toxicity.op6_toxicity(spark, SMALL).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
@@ -523,6 +750,6 @@ def test_toxicity_held_out(spark):
 
 def test_whole_long_texts_are_scored():
     model = toxicity.Model(np.full(1 << toxicity.BITS, -1, np.int32), np.array([5.0]), -2.0)
-    model.slot[toxicity.grams(b"zzz", 3)] = 0
+    model.slot[toxicity.grams(toxicity.prepared("zzz"), 3)] = 0
     end = "a" * 3_000_000 + "zzz"
     assert model.scores(["a", end, "zz", "zzzzzz"]).round(3).tolist() == [0.119, 0.953, 0.119, 0.953]
