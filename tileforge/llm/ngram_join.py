@@ -37,7 +37,7 @@ REGION_PREFIXES = 2.0
 ORDERS = 3
 #: Most sets and tokens that meet in one task, and most blocks that a larger family is cut into. Families of up to a few sets
 #: share tasks, some so many sets in each.
-FAMILY_SETS, FAMILY_TOKENS, MOST_BLOCKS, FEW, BIN_SETS = 4096, 4_000_000, 64, 16, 256
+FAMILY_SETS, FAMILY_TOKENS, MOST_BLOCKS, FEW, BIN_SETS = 2048, 1_500_000, 64, 16, 256
 
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -153,8 +153,9 @@ class Lists:
 
     def __init__(self, arrays: list[np.ndarray]):
         sizes = np.array([len(a) for a in arrays])
-        tokens, self.of = np.unique(np.concatenate(arrays), return_inverse=True)
-        rows = np.repeat(np.arange(len(arrays)), sizes)
+        tokens, of = np.unique(np.concatenate(arrays), return_inverse=True)
+        self.of = of.astype(np.int32)
+        rows = np.repeat(np.arange(len(arrays), dtype=np.int32), sizes)
         self.rows = rows[np.argsort(self.of, kind="stable")]
         self.ends = np.cumsum(np.bincount(self.of, minlength=len(tokens)))
         self.starts = np.concatenate([[0], self.ends[:-1]])
@@ -261,6 +262,7 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
             part, blocks_, i, j = where
             f = left.drop_duplicates("set_key").merge(right, on="set_key").sort_values("set_key")
             rows = []
+            del left, right
             if len(f) > 1:
                 arrays = {c: [np.asarray(a, np.int64) for a in f[c]] for c in [*p, "set"]}
                 block = f["own"].to_numpy() if i != j else None
