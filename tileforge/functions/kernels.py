@@ -35,7 +35,7 @@ def rotate(image: np.ndarray, degrees: float) -> np.ndarray:
     cy, cx, a = (h - 1) / 2, (w - 1) / 2, np.radians(degrees)
     sy = np.cos(a) * (y - cy) - np.sin(a) * (x - cx) + cy
     sx = np.sin(a) * (y - cy) + np.cos(a) * (x - cx) + cx
-    return image[mirror(np.rint(sy).astype(int), h), mirror(np.rint(sx).astype(int), w)]
+    return image[mirror(np.floor(sy + 0.5).astype(int), h), mirror(np.floor(sx + 0.5).astype(int), w)]
 
 
 def run_model(model: Callable[[np.ndarray], np.ndarray], image: np.ndarray, patch: tuple[int, int] | None = None, batch_bytes: int = 8 << 20) -> np.ndarray:
@@ -103,34 +103,49 @@ def fill_gaps(image: np.ndarray, reach: int = 16) -> np.ndarray:
     gaps = np.isnan(image)
     if not gaps.any() or gaps.all():
         return image.copy()
+    y, x = np.nonzero(gaps)
+
+    def gathered(plane: np.ndarray, y: np.ndarray, x: np.ndarray, reach: int, weight: Callable[[float], float]) -> np.ndarray:
+        """Weighted means of the valid cells around each (y, x), one offset at a time, so that memory grows with the gaps only."""
+        around = np.pad(plane, reach, constant_values=np.nan)
+        total, weights = np.zeros(len(y)), np.zeros(len(y))
+        for dy in range(-reach, reach + 1):
+            for dx in range(-reach, reach + 1):
+                w = weight(np.hypot(dy, dx))
+                if w > 0:
+                    v = around[y + reach + dy, x + reach + dx]
+                    ok = ~np.isnan(v)
+                    total[ok] += w * v[ok]
+                    weights[ok] += w
+        return np.divide(total, weights, out=np.full(len(y), np.nan), where=weights > 0)
+
     out = image.copy()
-    h, w = image.shape
-    for y, x in zip(*np.nonzero(gaps)):
-        y0, y1, x0, x1 = max(0, y - reach), min(h, y + reach + 1), max(0, x - reach), min(w, x + reach + 1)
-        part = image[y0:y1, x0:x1]
-        dy, dx = np.mgrid[y0 - y : y1 - y, x0 - x : x1 - x]
-        far = np.hypot(dy, dx)
-        ok = ~np.isnan(part) & (far <= reach)
-        if ok.any():
-            weight = 1 / far[ok]
-            out[y, x] = (weight * part[ok]).sum() / weight.sum()
+    out[y, x] = gathered(image, y, x, reach, lambda far: 1 / far if 0 < far <= reach else 0.0)
+    filled = ~np.isnan(out[y, x])
+    y, x = y[filled], x[filled]
     smooth = out.copy()
-    for y, x in zip(*np.nonzero(gaps & ~np.isnan(out))):
-        smooth[y, x] = np.nanmean(out[max(0, y - 1) : y + 2, max(0, x - 1) : x + 2])
+    smooth[y, x] = gathered(out, y, x, 1, lambda far: 1.0)
     return smooth
 
 
 def distance_to(mask: np.ndarray) -> np.ndarray:
-    """Exact Euclidean distance of each cell to the nearest true cell; infinite where there is none."""
+    """Exact Euclidean distance of each cell to the nearest true cell; infinite where there is none. A few planes of memory."""
     h, w = mask.shape
-    rows = np.arange(h)
     column = np.full((h, w), np.inf)
-    for x in range(w):
-        at = np.flatnonzero(mask[:, x])
-        if len(at):
-            column[:, x] = np.abs(rows[:, None] - at).min(axis=1)
-    across = (np.arange(w)[:, None] - np.arange(w)) ** 2
-    return np.sqrt((column[:, None, :] ** 2 + across).min(axis=2))
+    far = np.full(w, np.inf)
+    for rows in (range(h), range(h - 1, -1, -1)):
+        far[:] = np.inf
+        for y in rows:
+            far = np.where(mask[y], 0, far + 1)
+            column[y] = np.minimum(column[y], far)
+    squares = column**2
+    out = squares.copy()
+    for d in range(1, w):
+        if d * d >= out.max():
+            break
+        out[:, d:] = np.minimum(out[:, d:], squares[:, :-d] + d * d)
+        out[:, :-d] = np.minimum(out[:, :-d], squares[:, d:] + d * d)
+    return np.sqrt(out)
 
 
 def surface_loss(truth: np.ndarray, p: np.ndarray) -> float:
@@ -152,16 +167,21 @@ SCALE_WEIGHTS = (0.0448, 0.2856, 0.3001, 0.2363, 0.1333)
 
 
 def ms_ssim(a: np.ndarray, b: np.ndarray, peak: float = 4.0, size: int = 11, sigma: float = 1.5) -> float:
-    """Multi-scale structural similarity of two planes; the filter shrinks with tiles too small for it."""
-    score = 1.0
-    for k, weight in enumerate(SCALE_WEIGHTS):
-        n = min(size, *a.shape)
-        g = np.exp(-0.5 * ((np.arange(n) - (n - 1) / 2) / sigma) ** 2)
-        g /= g.sum()
+    """Multi-scale structural similarity of two planes.
 
-        def mean(z: np.ndarray, g: np.ndarray = g) -> np.ndarray:
-            return convolve(convolve(z, g, 0), g, 1)
+    One filter size serves all scales: ``size``, or for tiles whose smallest scale is less than that, the smaller side's
+    sixteenth part (1 at least). A plane with an odd side repeats its last row or column before it is halved.
+    """
+    side = min(*a.shape, *b.shape)
+    n = size if side / 2 ** (len(SCALE_WEIGHTS) - 1) >= size else max(1, int(side / 2 ** (len(SCALE_WEIGHTS) - 1)))
+    g = np.exp(-0.5 * ((np.arange(n) - (n - 1) / 2) / sigma) ** 2)
+    g /= g.sum()
+
+    def mean(z: np.ndarray) -> np.ndarray:
+        return convolve(convolve(z, g, 0), g, 1)
 
+    score = 1.0
+    for k, weight in enumerate(SCALE_WEIGHTS):
         ma, mb = mean(a), mean(b)
         va, vb, cov = mean(a * a) - ma * ma, mean(b * b) - mb * mb, mean(a * b) - ma * mb
         c1, c2 = (0.01 * peak) ** 2, (0.03 * peak) ** 2
@@ -170,8 +190,16 @@ def ms_ssim(a: np.ndarray, b: np.ndarray, peak: float = 4.0, size: int = 11, sig
         value = ((2 * ma * mb + c1) / (ma * ma + mb * mb + c1) * contrast).mean() if last else contrast.mean()
         score *= max(value, 0.0) ** weight
         if not last:
-            h, w = a.shape[0] // 2 * 2, a.shape[1] // 2 * 2
-            if min(h, w) < 2:
-                continue
-            a, b = (z[:h, :w].reshape(h // 2, 2, w // 2, 2).mean(axis=(1, 3)) for z in (a, b))
+            a, b = (halved(z) for z in (a, b))
     return float(score)
+
+
+def halved(z: np.ndarray) -> np.ndarray:
+    """Means of 2 x 2 cells."""
+    z = np.pad(z, [(0, z.shape[0] % 2), (0, z.shape[1] % 2)], mode="symmetric")
+    return z.reshape(z.shape[0] // 2, 2, z.shape[1] // 2, 2).mean(axis=(1, 3))
+
+
+def ms_ssim_mse(a: np.ndarray, b: np.ndarray, peak: float = 4.0) -> float:
+    """The loss 1 - MS-SSIM plus the mean square error."""
+    return 1 - ms_ssim(a, b, peak) + float(((a - b) ** 2).mean())

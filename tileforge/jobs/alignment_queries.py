@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..operators import align, evaluate, grid, regions, scoring
+from ..operators import align, grid, regions, scoring
 from . import demo
 from .geometry_queries import flat
 
@@ -45,7 +45,7 @@ def overlap_region(spark, sf):
     return pairs.filter((G.width(F.col("met")) >= 0) & (G.height(F.col("met")) >= 0)).select("scene_id", *flat("", F.col("met")))
 
 
-@register("ras118_common_area", f"WITH {FOOT} SELECT * FROM (SELECT scene_id % 10 AS part, max(x0) AS min_x, max(y0) AS min_y, min(x1) AS max_x, min(y1) AS max_y FROM f WHERE scene_id <= 40 GROUP BY scene_id % 10) WHERE min_x < max_x AND min_y < max_y")
+@register("ras118_common_area", f"WITH {FOOT} SELECT * FROM (SELECT scene_id // 4 AS part, max(x0) AS min_x, max(y0) AS min_y, min(x1) AS max_x, min(y1) AS max_y FROM f GROUP BY scene_id // 4) WHERE min_x < max_x AND min_y < max_y")
 def common_area(spark, sf):
     """Of all scenes, in parts of four neighbours."""
     f = demo.supplier_scenes(spark, sf).select(F.floor(F.col("scene_id") / 4).alias("part"), G.footprint(F.col("gt"), F.col("width"), F.col("height")).alias("box"))
@@ -221,7 +221,12 @@ def shape_bounds(spark, sf):
 
 
 @register("ras091_shapes_to_pixels", f"""
-WITH {demo.PX}, s AS (SELECT DISTINCT scene_id, substr(scene_id, 2)::INT AS k FROM px) SELECT scene_id, (k % 5 + 2 - 1.0::DOUBLE) / 0.5 AS x, (5 - 60.0::DOUBLE) / -0.25 AS y FROM s""")
+WITH {demo.PX}, s AS (SELECT DISTINCT scene_id, substr(scene_id, 2)::INT AS k FROM px),
+p AS (SELECT scene_id, 1::BIGINT AS shape_id, 0 AS ring, 0 AS poly, false AS hole, unnest(range(4))::INT AS position, unnest([[k % 5 + 2, 5], [40.5, 8], [20, k % 7 + 38], [k % 5 + 2, 5]]::DOUBLE[][]) AS q FROM s
+    UNION ALL SELECT scene_id, 2, 0, 0, false, unnest(range(5))::INT, unnest([[10, 10], [30, 10], [30, 30], [10, 30], [10, 10]]::DOUBLE[][]) FROM s
+    UNION ALL SELECT scene_id, 2, 1, 0, true, unnest(range(5))::INT, unnest([[15, 15], [25, 15], [25, 25], [15, 25], [15, 15]]::DOUBLE[][]) FROM s
+    UNION ALL SELECT scene_id, 2, 2, 1, false, unnest(range(5))::INT, unnest([[44, 44], [49, 44], [49, 49], [44, 49], [44, 44]]::DOUBLE[][]) FROM s)
+SELECT scene_id, shape_id, ring, poly, hole, position, (q[1] - 1.0::DOUBLE) / 0.5 AS x, (q[2] - 60.0::DOUBLE) / -0.25 AS y FROM p""")
 def shapes_to_pixels(spark, sf):
     """All points of all rings; ``ring`` numbers the rings of a shape, ``position`` the points of a ring."""
     gt = F.array(*map(F.lit, (1.0, 0.5, 0.0, 60.0, 0.0, -0.25)))
@@ -247,9 +252,10 @@ WITH {SHAPES}, q AS (SELECT *, (v / 500000 >= 0.5)::INT AS pred FROM px),
 named AS (SELECT *, 'all' AS region FROM q UNION ALL SELECT q.*, 'urban' FROM q JOIN held h USING (scene_id, y, x) WHERE h.shape_id = 1
     UNION ALL SELECT q.*, 'river' FROM q JOIN held h USING (scene_id, y, x) WHERE h.shape_id = 1 AND substr(scene_id, 2)::INT % 2 = 0
     UNION ALL SELECT q.*, 'shape 2' FROM q JOIN held h USING (scene_id, y, x) WHERE h.shape_id = 2),
-cells AS (SELECT region, t.k::INT AS true_class, d.k::INT AS pred_class FROM (SELECT DISTINCT region FROM named), range(2) t(k), range(2) d(k))
-SELECT c.region, c.true_class, c.pred_class, count(n.label) AS n FROM cells c LEFT JOIN named n ON n.region = c.region AND n.label = c.true_class AND n.pred = c.pred_class GROUP BY ALL""")
+cells AS (SELECT region, scene_id, t.k::INT AS true_class, d.k::INT AS pred_class FROM (SELECT DISTINCT region, scene_id FROM named WHERE label < 2), range(2) t(k), range(2) d(k)),
+conf AS (SELECT c.region, c.scene_id, c.true_class, c.pred_class, count(n.label) AS n FROM cells c LEFT JOIN named n ON n.region = c.region AND n.scene_id = c.scene_id AND n.label = c.true_class AND n.pred = c.pred_class
+    GROUP BY c.region, c.scene_id, c.true_class, c.pred_class)
+SELECT * FROM conf UNION ALL SELECT region, NULL, true_class, pred_class, sum(n)::BIGINT FROM conf GROUP BY region, true_class, pred_class""")
 def region_confusion(spark, sf):
     px = demo.orders_raster(spark, sf).select(*KEY, "label", (demo.probability() >= 0.5).cast("int").alias("pred"))
-    rows = regions.by_region(px, order_shapes(spark, sf), ["urban", "river"], demo.SIDE, demo.SIDE)
-    return evaluate.confusion(rows, "label", "pred", 2, demo.NODATA, ("region",)).select("region", "true_class", "pred_class", "n")
+    return regions.region_confusion(px, order_shapes(spark, sf), ["urban", "river"], demo.SIDE, demo.SIDE, "label", "pred", 2, demo.NODATA)

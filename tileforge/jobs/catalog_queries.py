@@ -188,7 +188,11 @@ def mirrored_paths(spark, sf):
     return _image_paths(spark, sf).select("path", catalog.mirrored_path(F.col("path"), "data", "out", "P_").alias("output"))
 
 
-@register("ras029_labels_on_date", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id) AS n FROM events WHERE event_type = 'click' OR event_type = 'view') WHERE n <= 2")
+@register("ras029_labels_on_date", """
+WITH e AS (SELECT *, CAST(ts AS DATE) AS date, user_id * 4 AS x FROM events), t AS (SELECT event_id AS label_id, date, x, event_id * 7 % 20 AS y FROM e WHERE event_type IN ('click', 'view')),
+m AS (SELECT e.event_id AS scene_id, label_id, row_number() OVER (PARTITION BY e.event_id ORDER BY label_id) AS n FROM e JOIN t ON t.date = e.date
+      AND t.x < e.x + 60 AND t.x + 12 > e.x AND t.y < e.event_id % 20 + 12 AND t.y + 8 > e.event_id % 20 WHERE e.event_type NOT IN ('click', 'view'))
+SELECT scene_id, label_id FROM m WHERE n <= 12""")
 def labels_on_date(spark, sf):
     """Clicks and views are label tiles, other events scenes; the plane grows with the users."""
     scenes, labels = demo.event_boxes(spark, sf)

@@ -62,17 +62,17 @@ SCENES = """scenes AS (
 
 
 def customer_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, box): integer boxes of 3..27 by 2..8 on a plane of about 1000 by 40."""
+    """(id, box): integer boxes of 3..27 by 2..8; each thousand of them on its own stretch of about 1000 by 40 of the plane."""
     c = table(spark, sf_dir, "customer")
     k, n = F.col("c_custkey"), F.col("c_nationkey")
-    x, y = (k * 37 % 1000).cast("int"), (k % 41).cast("int")
+    x, y = (k * 37 % 1000 + F.floor(k / 1000) * 1000).cast("int"), (k % 41).cast("int")
     from ..functions.geometry import box
 
     return c.select(k.alias("id"), box(x, y, x + 3 + n, (y + 2 + k % 7).cast("int")).alias("box"))
 
 
 BOXES = """boxes AS (
-    SELECT c_custkey AS id, (c_custkey * 37 % 1000)::INT AS x0, (c_custkey % 41)::INT AS y0, (c_custkey * 37 % 1000)::INT + 3 + c_nationkey AS x1,
+    SELECT c_custkey AS id, (c_custkey * 37 % 1000 + c_custkey // 1000 * 1000)::INT AS x0, (c_custkey % 41)::INT AS y0, (c_custkey * 37 % 1000 + c_custkey // 1000 * 1000)::INT + 3 + c_nationkey AS x1,
            ((c_custkey % 41)::INT + 2 + c_custkey % 7)::INT AS y1 FROM customer
 )"""
 

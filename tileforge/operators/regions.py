@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .evaluate import confusion
+
 NUMBER = r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?"
 
 
@@ -44,34 +46,52 @@ def bounds(rings: Column) -> Column:
     return F.when(F.size(pts) > 0, F.struct(F.floor(F.array_min(xs)).alias("min_x"), F.floor(F.array_min(ys)).alias("min_y"), F.ceil(F.array_max(xs)).alias("max_x"), F.ceil(F.array_max(ys)).alias("max_y")))
 
 
-def inside(x: Column, y: Column, rings: Column) -> Column:
-    """Whether the point lies in the shape: in an odd number of a polygon's rings, for any polygon."""
+def row_spans(shapes: DataFrame, width: int, height: int, *keys: str) -> DataFrame:
+    """(keys, y, spans): of each pixel row the runs [x0, x1) that the shapes of a key cover, sorted and apart from each other.
+
+    By scan lines: every edge gives one crossing for each row of pixel centres that it crosses, so that work grows with the
+    length of the outlines and not with their area, and no shape stays in one task. A polygon's crossings of a row, sorted,
+    are starts and ends of its runs in turn (the even-odd rule over all its rings); runs of other polygons and shapes of
+    the key are then merged. ``shapes`` has scene_id, shape_id and rings besides the keys.
+    """
+    ring = shapes.select(*keys, "shape_id", F.posexplode("rings").alias("_ring", "_r")).withColumn("_n", F.size("_r.pts"))
+    edge = ring.select(*keys, "shape_id", F.col("_r.poly").alias("_poly"), F.posexplode("_r.pts").alias("_at", "a"), F.get("_r.pts", F.when(F.col("_at") + 1 < F.col("_n"), F.col("_at") + 1).otherwise(0)).alias("b"))
+    low, high = F.least("a.y", "b.y"), F.greatest("a.y", "b.y")
+    first, last = F.greatest(F.lit(0), F.ceil(low - 0.5)), F.least(F.lit(height), F.ceil(high - 0.5)) - 1
+    rows = edge.withColumns({"_first": first, "_last": last}).filter("_last >= _first").withColumn("y", F.explode(F.sequence("_first", "_last")))
+    cross = (F.col("b.x") - F.col("a.x")) * (F.col("y") + 0.5 - F.col("a.y")) / (F.col("b.y") - F.col("a.y")) + F.col("a.x")
+    lines = rows.groupBy(*keys, "shape_id", "_poly", "y").agg(F.sort_array(F.collect_list(cross)).alias("_x"))
+    at = lambda k: F.least(F.lit(width), F.greatest(F.lit(0), F.ceil(F.get("_x", k) - 0.5))).cast("int")
+    runs = F.transform(F.sequence(F.lit(0), F.floor(F.size("_x") / 2).cast("int") - 1), lambda i: F.struct(at(2 * i).alias("x0"), at(2 * i + 1).alias("x1")))
+    runs = lines.select(*keys, F.col("y").cast("int").alias("y"), F.explode(runs).alias("_run")).filter("_run.x1 > _run.x0")
+    found = runs.groupBy(*keys, "y").agg(F.sort_array(F.collect_list("_run")).alias("_runs"))
+
+    def merged(done: Column, run: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        longer = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["x0"].alias("x0"), F.greatest(last["x1"], run["x1"]).alias("x1"))))
+        return F.when((F.size(done) > 0) & (last["x1"] >= run["x0"]), longer).otherwise(F.concat(done, F.array(run)))
+
+    return found.select(*keys, "y", F.aggregate("_runs", F.array().cast("array<struct<x0:int,x1:int>>"), merged).alias("spans"))
 
-    def crossings(pts: Column) -> Column:
-        n = F.size(pts)
-        edges = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get(pts, i).alias("a"), F.get(pts, F.when(i + 1 < n, i + 1).otherwise(0)).alias("b")))
-        hit = F.filter(edges, lambda e: ((e["a"]["y"] > y) != (e["b"]["y"] > y)) & (x < F.coalesce(F.try_divide((e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]), e["b"]["y"] - e["a"]["y"]), F.lit(0.0)) + e["a"]["x"]))
-        return F.size(hit)
 
-    polygons = F.array_distinct(F.transform(rings, lambda r: r["poly"]))
-    return F.exists(polygons, lambda k: F.aggregate(F.filter(rings, lambda r: r["poly"] == k), F.lit(0), lambda n, r: n + crossings(r["pts"])) % 2 == 1)
+def span_pixels(spans: DataFrame, *keys: str) -> DataFrame:
+    """(keys, y, x) of ``row_spans``, every pixel once for each key."""
+    rows = spans.select(*keys, "y", F.explode("spans").alias("_s"))
+    return rows.select(*keys, "y", F.explode(F.sequence(F.col("_s.x0"), F.col("_s.x1") - 1)).alias("x"))
 
 
 def shape_pixels(shapes: DataFrame, width: int, height: int) -> DataFrame:
-    """(scene_id, shape_id, y, x): the pixels inside each shape, made from its own box, so that no join tests all pixels."""
-    rows = shapes.withColumn("_b", bounds(F.col("rings"))).filter(F.col("_b").isNotNull())
-    y0, y1 = F.greatest(F.lit(0), F.col("_b.min_y")), F.least(F.lit(height - 1), F.col("_b.max_y") - 1)
-    x0, x1 = F.greatest(F.lit(0), F.col("_b.min_x")), F.least(F.lit(width - 1), F.col("_b.max_x") - 1)
-    rows = rows.withColumns({"_y0": y0, "_y1": y1, "_x0": x0, "_x1": x1}).filter("_y1 >= _y0 AND _x1 >= _x0")
-    rows = rows.withColumn("y", F.explode(F.sequence("_y0", "_y1"))).withColumn("x", F.explode(F.sequence("_x0", "_x1")))
-    return rows.filter(inside(F.col("x") + 0.5, F.col("y") + 0.5, F.col("rings"))).select("scene_id", "shape_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"))
+    """(scene_id, shape_id, y, x): the pixels inside each shape."""
+    named = shapes.select("scene_id", "shape_id", F.col("shape_id").alias("_id"), "rings")
+    return span_pixels(row_spans(named.withColumnsRenamed({"shape_id": "_shape", "_id": "shape_id"}), width, height, "scene_id", "_shape"), "scene_id", "_shape").withColumnRenamed("_shape", "shape_id")
 
 
 def mask_outside(pixels: DataFrame, shapes: DataFrame, value: str, nodata, width: int, height: int) -> DataFrame:
     """``value`` is nodata outside all shapes of the scene; a scene without shapes is masked wholly."""
-    covered = shape_pixels(shapes, width, height).select("scene_id", "y", "x").distinct().withColumn("_in", F.lit(True))
-    rows = pixels.join(covered, ["scene_id", "y", "x"], "left")
-    return rows.withColumn(value, F.when(F.col("_in"), F.col(value)).otherwise(F.lit(nodata))).drop("_in")
+    covered = row_spans(shapes, width, height, "scene_id")
+    rows = pixels.join(covered, ["scene_id", "y"], "left")
+    held = F.exists("spans", lambda s: (F.col("x") >= s["x0"]) & (F.col("x") < s["x1"]))
+    return rows.withColumn(value, F.when(held, F.col(value)).otherwise(F.lit(nodata))).drop("spans")
 
 
 def by_region(pixels: DataFrame, shapes: DataFrame, tags: list[str], width: int, height: int) -> DataFrame:
@@ -80,6 +100,18 @@ def by_region(pixels: DataFrame, shapes: DataFrame, tags: list[str], width: int,
     A wanted tag pools its shapes (a pixel counts once); every untagged shape is a region of its own, ``shape <id>``.
     """
     own = F.when(F.size("tags") == 0, F.array(F.concat(F.lit("shape "), F.col("shape_id").cast("string")))).otherwise(F.filter("tags", lambda t: t.isin(tags)))
-    named = shapes.select("scene_id", "shape_id", F.explode(own).alias("region"))
-    held = shape_pixels(shapes, width, height).join(named, ["scene_id", "shape_id"]).select("scene_id", "y", "x", "region").distinct()
-    return pixels.withColumn("region", F.lit("all")).unionByName(pixels.join(held, ["scene_id", "y", "x"]))
+    named = shapes.select("scene_id", "shape_id", "rings", F.explode(own).alias("region"))
+    rows = row_spans(named, width, height, "scene_id", "region").groupBy("scene_id", "y").agg(F.collect_list(F.struct("region", "spans")).alias("_regions"))
+    held = F.filter("_regions", lambda r: F.exists(r["spans"], lambda s: (F.col("x") >= s["x0"]) & (F.col("x") < s["x1"])))
+    every = F.concat(F.array(F.lit("all")), F.coalesce(F.transform(held, lambda r: r["region"]), F.array().cast("array<string>")))
+    return pixels.join(rows, ["scene_id", "y"], "left").withColumn("region", F.explode(every)).drop("_regions")
+
+
+def region_confusion(pixels: DataFrame, shapes: DataFrame, tags: list[str], width: int, height: int, true: str, pred: str, classes: int, nodata: int) -> DataFrame:
+    """(region, scene_id, true_class, pred_class, n): for each region in each scene and, with a NULL scene, in all of them.
+
+    Pixels are counted once, by region and scene; the sums over scenes come from these counts.
+    """
+    rows = by_region(pixels, shapes, tags, width, height)
+    conf = confusion(rows, true, pred, classes, nodata, ("region", "scene_id"))
+    return conf.rollup("region", "true_class", "pred_class", "scene_id").agg(F.sum("n").alias("n")).filter("pred_class IS NOT NULL")

@@ -33,19 +33,26 @@ def score_tiles(tiles: DataFrame, model: Callable[[np.ndarray], np.ndarray], pat
     return tiles.select(*columns).mapInPandas(run, "scene_id string, tile_row int, tile_col int, min_x int, min_y int, out_h int, out_w int, n_out int, scores array<double>")
 
 
-def stitch(scored: DataFrame, valid: DataFrame | None = None) -> DataFrame:
+def stitch(scored: DataFrame, valid: DataFrame | None = None, unique: bool = True) -> DataFrame:
     """(scene_id, y, x, probs): output pixels that the tile owns.
 
-    ``valid`` gives each tile's owner box in v_min_x .. v_max_y; with an even overlap owners are unique and nothing is merged. With
-    an odd one the tile of the lowest index wins.
+    ``valid`` gives each tile's owner box in v_min_x .. v_max_y. It meets the tiles, and only the rows and columns of a tile
+    that it owns are taken out, so pixels never move. Owners are unique where the overlap is even; with an odd one
+    (``unique`` False) neighbours own one row of pixels both, and the tile of the lowest index wins.
     """
-    rows = scored.withColumn("_at", F.explode(F.sequence(F.lit(0), F.col("out_h") * F.col("out_w") - 1)))
-    y, x = F.col("min_y") + F.floor(F.col("_at") / F.col("out_w")), F.col("min_x") + F.col("_at") % F.col("out_w")
-    rows = rows.select("scene_id", "tile_row", "tile_col", y.cast("int").alias("y"), x.cast("int").alias("x"), F.slice("scores", F.col("_at") * F.col("n_out") + 1, F.col("n_out")).alias("probs"))
-    if valid is None:
+    y, x = [F.col("min_y"), F.col("min_y") + F.col("out_h")], [F.col("min_x"), F.col("min_x") + F.col("out_w")]
+    rows = scored
+    if valid is not None:
+        rows = scored.join(valid, ["scene_id", "tile_row", "tile_col"])
+        y, x = [F.greatest(y[0], "v_min_y"), F.least(y[1], "v_max_y")], [F.greatest(x[0], "v_min_x"), F.least(x[1], "v_max_x")]
+    rows = rows.withColumns({"_y0": y[0].cast("int"), "_y1": y[1].cast("int"), "_x0": x[0].cast("int"), "_x1": x[1].cast("int")}).filter("_y1 > _y0 AND _x1 > _x0")
+    rows = rows.withColumn("y", F.explode(F.sequence(F.col("_y0"), F.col("_y1") - 1)))
+    line = F.slice("scores", ((F.col("y") - F.col("min_y")) * F.col("out_w") + F.col("_x0") - F.col("min_x")) * F.col("n_out") + 1, (F.col("_x1") - F.col("_x0")) * F.col("n_out"))
+    rows = rows.select("scene_id", "tile_row", "tile_col", "y", "_x0", "n_out", line.alias("_line"), F.explode(F.sequence(F.lit(0), F.col("_x1") - F.col("_x0") - 1)).alias("_at"))
+    rows = rows.select("scene_id", "tile_row", "tile_col", "y", (F.col("_x0") + F.col("_at")).alias("x"), F.slice("_line", F.col("_at") * F.col("n_out") + 1, F.col("n_out")).alias("probs"))
+    if valid is None or unique:
         return rows.drop("tile_row", "tile_col")
-    owned = rows.join(valid, ["scene_id", "tile_row", "tile_col"]).filter("x >= v_min_x AND x < v_max_x AND y >= v_min_y AND y < v_max_y")
-    return owned.groupBy("scene_id", "y", "x").agg(F.min_by("probs", F.struct("tile_row", "tile_col")).alias("probs"))
+    return rows.groupBy("scene_id", "y", "x").agg(F.min_by("probs", F.struct("tile_row", "tile_col")).alias("probs"))
 
 
 def halo_tiles(pixels: DataFrame, tile: int, halo: int, value: str = "value") -> DataFrame:
