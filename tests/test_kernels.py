@@ -1,6 +1,7 @@
 """NumPy kernels against plain versions, and their independence of the tiling."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tileforge.functions import kernels as K
@@ -23,9 +24,100 @@ def test_similarity():
     assert 0 <= K.ms_ssim(a, b) < 1
 
 
-def test_rotation_keeps_shape_and_zero_turn():
-    a = np.arange(24.0).reshape(4, 6, 1)
-    assert np.array_equal(K.rotate(a, 0), a) and K.rotate(a, 33).shape == a.shape
+def plain_ms_ssim(a, b):
+    """Every window on its own, with two-dimensional weights."""
+    side = min(a.shape)
+    n = 11 if side / 16 >= 11 else int(side / 16)
+    at = np.arange(n) - (n - 1) / 2
+    weights = np.exp(-(at[:, None] ** 2 + at**2) / (2 * 1.5**2))
+    weights /= weights.sum()
+    score = 1.0
+    for k, power in enumerate((0.0448, 0.2856, 0.3001, 0.2363, 0.1333)):
+        light, contrast = [], []
+        for y in range(a.shape[0] - n + 1):
+            for x in range(a.shape[1] - n + 1):
+                p, q = a[y : y + n, x : x + n], b[y : y + n, x : x + n]
+                mp, mq = (weights * p).sum(), (weights * q).sum()
+                vp, vq, cov = (weights * (p - mp) ** 2).sum(), (weights * (q - mq) ** 2).sum(), (weights * (p - mp) * (q - mq)).sum()
+                contrast.append((2 * cov + 0.12**2) / (vp + vq + 0.12**2))
+                light.append((2 * mp * mq + 0.04**2) / (mp**2 + mq**2 + 0.04**2) * contrast[-1])
+        score *= max(0.0, np.mean(light if k == 4 else contrast)) ** power
+        if k < 4:
+            half = lambda z: np.array([[z[y : y + 2, x : x + 2].mean() for x in range(0, z.shape[1], 2)] for y in range(0, z.shape[0], 2)])
+            a, b = half(a), half(b)
+    return score
+
+
+@pytest.mark.parametrize("side", [48, 64, 90])
+def test_similarity_equals_plain_windows(side):
+    rng = np.random.default_rng(side)
+    a = rng.random((side, side)) * 4
+    b = a + rng.random((side, side))
+    assert K.ms_ssim(a, b) == pytest.approx(plain_ms_ssim(a, b), rel=1e-9)
+    assert K.ms_ssim_mse(a, b) == pytest.approx(1 - plain_ms_ssim(a, b) + np.mean((a - b) ** 2), rel=1e-9)
+
+
+def reflected(i, n):
+    while not 0 <= i < n:
+        i = -i if i < 0 else 2 * n - 2 - i
+    return i
+
+
+def test_rotation_equals_plain_loops():
+    rng = np.random.default_rng(5)
+    a = rng.random((9, 12, 2))
+    for degrees in (0, 13, -33, 90, 171):
+        turn = np.radians(degrees)
+        want = np.empty_like(a)
+        for y in range(9):
+            for x in range(12):
+                sy = np.cos(turn) * (y - 4) - np.sin(turn) * (x - 5.5) + 4
+                sx = np.sin(turn) * (y - 4) + np.cos(turn) * (x - 5.5) + 5.5
+                want[y, x] = a[reflected(int(np.floor(sy + 0.5)), 9), reflected(int(np.floor(sx + 0.5)), 12)]
+        assert np.array_equal(K.rotate(a, degrees), want)
+    assert np.array_equal(K.rotate(a, 0), a)
+
+
+def test_surface_loss_equals_plain_loops():
+    rng = np.random.default_rng(6)
+    for share in (0.0, 0.1, 0.5, 0.9, 1.0):
+        t, p = (rng.random((9, 13)) < share).astype(float), rng.random((9, 13))
+        ones, zeros = list(zip(*np.nonzero(t))), list(zip(*np.nonzero(1 - t)))
+        far = lambda y, x, cells: min(((y - v) ** 2 + (x - u) ** 2) ** 0.5 for v, u in cells)
+        total = 0.0
+        for y in range(9):
+            for x in range(13):
+                own, other = (ones, zeros) if t[y, x] else (zeros, ones)
+                # inside its mask a cell is 1 less than its distance to the other one, below zero; outside it is the distance
+                inside = 1 - far(y, x, other) if other else 0.0
+                outside = far(y, x, other) if other else 0.0
+                total += p[y, x] * (inside if t[y, x] else outside) + (1 - p[y, x]) * (outside if t[y, x] else inside)
+        assert K.surface_loss(t, p) == pytest.approx(total / (9 * 13))
+
+
+def test_filling_equals_plain_loops():
+    rng = np.random.default_rng(7)
+    image = rng.random((14, 11))
+    image[rng.random((14, 11)) < 0.5] = np.nan
+    image[:, 6:] = np.nan
+    first = image.copy()
+    for y, x in zip(*np.nonzero(np.isnan(image))):
+        near = [(1 / np.hypot(v - y, u - x), image[v, u]) for v in range(14) for u in range(11) if not np.isnan(image[v, u]) and np.hypot(v - y, u - x) <= 3]
+        first[y, x] = sum(w * z for w, z in near) / sum(w for w, _ in near) if near else np.nan
+    want = first.copy()
+    for y, x in zip(*np.nonzero(np.isnan(image) & ~np.isnan(first))):
+        want[y, x] = np.nanmean(first[max(0, y - 1) : y + 2, max(0, x - 1) : x + 2])
+    assert np.allclose(K.fill_gaps(image, 3), want, equal_nan=True) and np.isnan(want).any()
+
+
+def test_blur_equals_plain_loops():
+    rng = np.random.default_rng(8)
+    image = rng.random((10, 7))
+    k = 8
+    g = [np.exp(-0.5 * (d / 2.0) ** 2) for d in range(-k, k + 1)]
+    at = lambda i, n: i % (2 * n) if i % (2 * n) < n else 2 * n - 1 - i % (2 * n)
+    want = [[sum(g[dy + k] * g[dx + k] * image[at(y + dy, 10), at(x + dx, 7)] for dy in range(-k, k + 1) for dx in range(-k, k + 1)) / sum(g) ** 2 for x in range(7)] for y in range(10)]
+    assert np.allclose(K.blur(image, 2.0), want)
 
 
 def test_surface_loss_of_empty_mask_is_zero():
@@ -69,3 +161,39 @@ def test_polygon_kernel_agrees_with_columns(spark):
     y, x = np.mgrid[:10, :10] + 0.5
     rings = [np.array([(1, 1), (9, 2), (7, 9), (2, 8)]), np.array([(3, 3), (6, 3), (6, 6), (3, 6)])]
     assert got == set(zip(*map(lambda a: a.tolist(), np.nonzero(K.inside_polygon(x, y, rings)))))
+
+
+def test_scan_lines_agree_with_the_polygon_kernel(spark):
+    """Many random shapes with holes and overlapping polygons, beyond the raster too."""
+    from tileforge.operators import regions
+
+    rng = np.random.default_rng(9)
+    rings, want = [], set()
+    y, x = np.mgrid[:20, :24] + 0.5
+    for shape in range(25):
+        own, inside = [], np.zeros(y.shape, bool)
+        for poly in range(2):
+            parts = [rng.uniform(-4, 26, (rng.integers(3, 7), 2)).round(rng.integers(0, 2)) for _ in range(rng.integers(1, 3))]
+            own += [(poly, k > 0, [tuple(map(float, p)) for p in part]) for k, part in enumerate(parts)]
+            inside |= K.inside_polygon(x, y, parts)
+        rings.append(("a", shape, own))
+        want |= {(shape, int(v), int(u)) for v, u in zip(*np.nonzero(inside))}
+    df = spark.createDataFrame(rings, "scene_id string, shape_id long, rings array<struct<poly:int,hole:boolean,pts:array<struct<x:double,y:double>>>>")
+    got = [(r.shape_id, r.y, r.x) for r in regions.shape_pixels(df, 24, 20).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_large_and_small_boxes_meet_once(spark):
+    from tileforge.operators import grid
+
+    rng = np.random.default_rng(10)
+    box = "struct<min_x:double,min_y:double,max_x:double,max_y:double>"
+
+    def made(n):
+        low = rng.uniform(-50, 400, (n, 2)).round(1)
+        return [(k, (*map(float, a), *map(float, (a + s).round(1)))) for k, (a, s) in enumerate(zip(low, 10 ** rng.uniform(-0.5, 2.7, (n, 2))))]
+
+    left, right = made(80), made(90)
+    got = [tuple(r) for r in grid.box_overlap_join(spark.createDataFrame(left, f"i int, a {box}"), spark.createDataFrame(right, f"j int, b {box}"), "a", "b", 16).select("i", "j").collect()]
+    want = {(i, j) for i, a in left for j, b in right if min(a[2], b[2]) > max(a[0], b[0]) and min(a[3], b[3]) > max(a[1], b[1])}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 200

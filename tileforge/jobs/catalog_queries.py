@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -238,11 +237,14 @@ def drop_empty_samples(spark, sf):
 OFFSET = f"o AS (SELECT (floor({_u(5, chr(39) + '2' + chr(39), chr(39) + 'x' + chr(39))} * 9) - 4)::INT AS dx, (floor({_u(5, chr(39) + '2' + chr(39), chr(39) + 'y' + chr(39))} * 9) - 4)::INT AS dy)"
 
 
-@register("ras076_epoch_offset", f"WITH {demo.PX}, {OFFSET} SELECT a.scene_id, a.y, a.x, coalesce(b.v, 0) AS value FROM px a CROSS JOIN o LEFT JOIN px b ON b.scene_id = a.scene_id AND b.y = a.y + o.dy AND b.x = a.x + o.dx")
+@register("ras076_epoch_offset", f"WITH {demo.PX}, {OFFSET} SELECT a.scene_id, a.y, a.x, coalesce(b.v, 0) AS value, coalesce(b.label, 2) AS label FROM px a CROSS JOIN o LEFT JOIN px b ON b.scene_id = a.scene_id AND b.y = a.y + o.dy AND b.x = a.x + o.dx")
 def epoch_offset(spark, sf):
     dx, dy = sampling.epoch_offset(5, 2, 4)
-    px = demo.orders_raster(spark, sf).select(*KEY, F.get("bands", F.lit(0)).alias("value"))
-    return sampling.shifted(px, dx, dy)
+    return sampling.shifted(_value_label(spark, sf), dx, dy, {"label": demo.NODATA})
+
+
+def _value_label(spark, sf):
+    return demo.orders_raster(spark, sf).select(*KEY, F.get("bands", F.lit(0)).alias("value"), "label")
 
 
 def _numbered(spark, sf, epoch):
@@ -282,46 +284,53 @@ def flips(spark, sf):
     return sampling.flips(demo.orders_raster(spark, sf).select(*KEY, "label"), demo.SIDE, demo.SIDE, 0.5, 9)
 
 
-@register("ras082_translate", f"""
-WITH {demo.PX}, o AS (SELECT scene_id, (floor({_u(9, Q + 'dx' + Q, 'scene_id')} * 21) - 10)::INT AS dx, (floor({_u(9, Q + 'dy' + Q, 'scene_id')} * 21) - 10)::INT AS dy FROM (SELECT DISTINCT scene_id FROM px)),
-s AS (SELECT px.*, (((x - dx) % 98) + 98) % 98 AS rx, (((y - dy) % 98) + 98) % 98 AS ry FROM px JOIN o USING (scene_id))
-SELECT s.scene_id, s.y, s.x, b.v AS value FROM s JOIN px b ON b.scene_id = s.scene_id AND b.x = CASE WHEN rx < 50 THEN rx ELSE 98 - rx END AND b.y = CASE WHEN ry < 50 THEN ry ELSE 98 - ry END""")
-def translate(spark, sf):
-    px = demo.orders_raster(spark, sf).select(*KEY, F.get("bands", F.lit(0)).alias("value"))
-    return sampling.translated(px, demo.SIDE, demo.SIDE, 10, 9).select(*KEY, "value")
+def _moved_sql(name: str, sources: str) -> str:
+    """SQL of ``sampling.moved``: ``sources`` gives sy and sx, before they are mirrored into 50 x 50."""
+    return f"""
+WITH {demo.PX}, d AS (SELECT DISTINCT scene_id FROM px), {sources},
+s AS (SELECT scene_id, y, x, ((sy % 98) + 98) % 98 AS ry, ((sx % 98) + 98) % 98 AS rx FROM t)
+SELECT s.scene_id, s.y, s.x, b.v AS value, b.label FROM s JOIN px b ON b.scene_id = s.scene_id AND b.x = CASE WHEN rx < 50 THEN rx ELSE 98 - rx END AND b.y = CASE WHEN ry < 50 THEN ry ELSE 98 - ry END"""
 
 
-@register("ras083_rotate")
-def rotate(spark, sf):
-    """Each 8 x 8 tile turned by its own angle of at most 20 degrees."""
-    import hashlib
+MOVE = f"""o AS (SELECT scene_id, {_u(9, Q + 'move?' + Q, 'scene_id')} <= 0.7 AS go, (floor({_u(9, Q + 'dx' + Q, 'scene_id')} * 21) - 10)::INT AS dx, (floor({_u(9, Q + 'dy' + Q, 'scene_id')} * 21) - 10)::INT AS dy FROM d),
+t AS (SELECT px.scene_id, y, x, y - CASE WHEN go THEN dy ELSE 0 END AS sy, x - CASE WHEN go THEN dx ELSE 0 END AS sx FROM px JOIN o USING (scene_id))"""
 
-    from ..functions import kernels
 
-    def turn(image, scene):
-        u = int(hashlib.md5(f"9:{scene}".encode()).hexdigest()[:8], 16) / 4294967296
-        return kernels.rotate(image, 40 * u - 20)
+@register("ras082_translate", _moved_sql("translate", MOVE))
+def translate(spark, sf):
+    return sampling.translated(_value_label(spark, sf), demo.SIDE, demo.SIDE, 10, 9, probability=0.7)
 
-    t = demo.embedding_tiles(spark, sf).select("scene_id", F.lit(8).alias("height"), F.lit(8).alias("width"), "n_bands", "data")
-    out = sampling.map_tiles(t, turn)
-    return out.select("scene_id", F.round(F.aggregate("data", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total"), F.round(F.get("data", F.lit(0)).cast("double"), 5).alias("corner"))
+
+TURN = f"""o AS (SELECT scene_id, CASE WHEN {_u(9, Q + 'turn?' + Q, 'scene_id')} <= 0.8 THEN radians((2 * {_u(9, Q + 'angle' + Q, 'scene_id')} - 1) * 20) ELSE 0 END AS a FROM d),
+t AS (SELECT px.scene_id, y, x, floor(cos(a) * (y - 24.5) - sin(a) * (x - 24.5) + 24.5 + 0.5)::INT AS sy, floor(sin(a) * (y - 24.5) + cos(a) * (x - 24.5) + 24.5 + 0.5)::INT AS sx FROM px JOIN o USING (scene_id))"""
+
+
+@register("ras083_rotate", _moved_sql("rotate", TURN.replace("24.5", "24.5::DOUBLE")))
+def rotate(spark, sf):
+    """Bands and labels turned together, each scene by its own angle of at most 20 degrees."""
+    return sampling.rotated(_value_label(spark, sf), demo.SIDE, demo.SIDE, 20.0, 9, probability=0.8)
 
 
-@register("ras084_brightness", f"WITH {demo.PX} SELECT scene_id, y, x, round(v * (0.8::DOUBLE + (1.2::DOUBLE - 0.8::DOUBLE) * {_u(9, Q + 'light' + Q, 'scene_id')}), 4) AS value FROM px")
+@register("ras084_brightness", f"WITH {demo.PX} SELECT scene_id, y, x, round(CASE WHEN {_u(9, Q + 'light?' + Q, 'scene_id')} <= 0.6 THEN v * (0.8::DOUBLE + (1.2::DOUBLE - 0.8::DOUBLE) * {_u(9, Q + 'light' + Q, 'scene_id')}) ELSE v END, 4) AS value, label FROM px")
 def brightness(spark, sf):
-    px = demo.orders_raster(spark, sf)
-    return px.select(*KEY, F.round(sampling.brightness(F.get("bands", F.lit(0)), 0.8, 1.2, 9, F.col("scene_id")), 4).alias("value"))
+    return sampling.brightened(_value_label(spark, sf), 0.6, 9, 0.8, 1.2).withColumn("value", F.round("value", 4)).select(*KEY, "value", "label")
 
 
-@register("ras085_augmentation_chain", f"""WITH {demo.PX} SELECT scene_id, CASE WHEN {_u(9, Q + 'ud' + Q, 'scene_id')} <= 1 THEN 49 - y ELSE y END AS y, 49 - x AS x, label FROM px""")
+@register("ras085_augmentation_chain", f"""
+WITH {demo.PX}, d AS (SELECT DISTINCT scene_id FROM px), f AS (SELECT scene_id, CASE WHEN {_u(9, Q + 'ud' + Q, 'scene_id')} <= 1 THEN 49 - y ELSE y END AS y, 49 - x AS x, v, label FROM px),
+o AS (SELECT scene_id, {_u(4, Q + 'move?' + Q, 'scene_id')} <= 0.7 AS go, (floor({_u(4, Q + 'dx' + Q, 'scene_id')} * 21) - 10)::INT AS dx, (floor({_u(4, Q + 'dy' + Q, 'scene_id')} * 21) - 10)::INT AS dy FROM d),
+s AS (SELECT f.*, (((y - CASE WHEN go THEN dy ELSE 0 END) % 98) + 98) % 98 AS ry, (((x - CASE WHEN go THEN dx ELSE 0 END) % 98) + 98) % 98 AS rx FROM f JOIN o USING (scene_id))
+SELECT s.scene_id, s.y, s.x, round(CASE WHEN {_u(5, Q + 'light?' + Q, 's.scene_id')} <= 0.5 THEN b.v * (0.5::DOUBLE + (1.5::DOUBLE - 0.5::DOUBLE) * {_u(5, Q + 'light' + Q, 's.scene_id')}) ELSE b.v END, 4) AS value, b.label
+FROM s JOIN f b ON b.scene_id = s.scene_id AND b.x = CASE WHEN rx < 50 THEN rx ELSE 98 - rx END AND b.y = CASE WHEN ry < 50 THEN ry ELSE 98 - ry END""")
 def augmentation_chain(spark, sf):
-    known = {"flips": sampling.flips}
-    return sampling.augment(demo.orders_raster(spark, sf).select(*KEY, "label"), [{"flips": {"width": 50, "height": 50, "probability": 1.0, "seed": 9}}], known)
+    """Flip, then translate, then change the brightness, by the names of the registry."""
+    size = {"width": demo.SIDE, "height": demo.SIDE}
+    steps = [{"random_flip": {**size, "probability": 1.0, "seed": 9}}, {"random_translate": {**size, "most": 10, "seed": 4, "probability": 0.7}}, {"random_brightness": {"probability": 0.5, "seed": 5}}]
+    return sampling.augment(_value_label(spark, sf), steps).withColumn("value", F.round("value", 4)).select(*KEY, "value", "label")
 
 
 def _scratch(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-scratch-")
-    return os.path.join(root, f"stream-{uuid.uuid4().hex}")
+    return os.path.join(files.shared_folder(spark), f"scratch-{uuid.uuid4().hex}")
 
 
 @register("ras012_write_and_read_tiles", f"WITH {demo.PX} SELECT scene_id, count(*) AS pixels, sum(v)::DECIMAL(18, 2)::VARCHAR AS total FROM px GROUP BY scene_id")

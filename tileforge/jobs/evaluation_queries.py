@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import kernels
 from ..functions import pixels as P
 from ..operators import align, evaluate, scoring, stats
 from . import demo
@@ -93,10 +92,16 @@ def binary_accuracy(spark, sf):
     return _scored(spark, sf).groupBy("scene_id").agg(F.round(evaluate.accuracy_of(F.col("label"), F.col("pred"), 1, N), 6).alias("value"))
 
 
-@register("ras102_mapped_labels", f"WITH {demo.PX} SELECT scene_id, y, x, CASE priority WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN 0.5::DOUBLE ELSE 0 END AS target, priority IN (0, 1, 2) AS valid FROM px")
+@register("ras102_mapped_labels", f"""
+WITH {demo.PX} SELECT scene_id, y, x, CASE priority WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN 0.5::DOUBLE ELSE 0 END AS target, priority IN (0, 1, 2) AS valid,
+    CASE priority WHEN 0 THEN 1.0::DOUBLE WHEN 2 THEN 0.25::DOUBLE ELSE 0 END AS first, CASE priority WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN 0.75::DOUBLE ELSE 0 END AS second,
+    CASE WHEN priority IN (0, 1, 2) THEN v / 500000 ELSE 0 END AS p FROM px""")
 def mapped_labels(spark, sf):
+    """Classes to scalars and to vectors; what is nodata zeroes truth and prediction."""
     target, valid = evaluate.map_labels(F.col("priority"), [0.0, 1.0, 0.5, "nodata"], 4)
-    return demo.orders_raster(spark, sf).select("scene_id", "y", "x", target.alias("target"), valid.alias("valid"))
+    vector, held = evaluate.map_labels(F.col("priority"), [[1.0, 0.0], [0.0, 1.0], [0.25, 0.75], "nodata"], 4)
+    p = evaluate.zeroed_each(F.array(demo.probability()), held)
+    return demo.orders_raster(spark, sf).select("scene_id", "y", "x", target.alias("target"), valid.alias("valid"), vector[0].alias("first"), vector[1].alias("second"), F.get(p, F.lit(0)).alias("p"))
 
 
 def _mapped(spark, sf):
@@ -153,17 +158,32 @@ def _tile_pairs(spark, sf):
     return a.join(b, "vec_id")
 
 
-@register("ras109_ms_ssim_loss")
-def ms_ssim_loss(spark, sf):
-    """1 - MS-SSIM of neighbouring 8 x 8 tiles."""
-    return scoring.tile_pair_measure(_tile_pairs(spark, sf), lambda a, b: 1 - kernels.ms_ssim(a, b), 8, "loss").select("vec_id", F.round("loss", 6).alias("loss"))
+PAIRS = """cells AS (SELECT a.vec_id, i, (i // 8) AS y, (i % 8) AS x, a.embedding[i + 1]::DOUBLE AS a, b.embedding[i + 1]::DOUBLE AS b FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1, range(64) t(i))"""
 
 
-@register("ras110_surface_loss")
+@register("ras109_ms_ssim_loss", f"""
+WITH {PAIRS}, m AS (SELECT vec_id, avg(a) AS ma, avg(b) AS mb, avg((a - b) * (a - b)) AS mse FROM cells GROUP BY vec_id),
+s AS (SELECT vec_id, mse, 1 - pow(greatest((2 * ma * mb + 0.0016::DOUBLE) / (ma * ma + mb * mb + 0.0016::DOUBLE), 0), 0.1333::DOUBLE) AS loss FROM m)
+SELECT vec_id, round(loss, 5) AS loss, round(loss + mse, 5) AS loss_mse FROM s""")
+def ms_ssim_loss(spark, sf):
+    """Of neighbouring 8 x 8 tiles, without and with the mean square error. On tiles so small the filter has one cell."""
+    pairs = _tile_pairs(spark, sf)
+    both = scoring.ms_ssim_mse_loss(scoring.ms_ssim_loss(pairs, 8), 8, "loss_mse")
+    return both.select("vec_id", F.round("loss", 5).alias("loss"), F.round("loss_mse", 5).alias("loss_mse"))
+
+
+@register("ras110_surface_loss", f"""
+WITH {PAIRS}, d AS (
+    SELECT c.vec_id, c.i, any_value(c.a > 0) AS t, 1 / (1 + exp(-any_value(c.b))) AS p, count(*) FILTER (o.a > 0) AS ones, count(*) FILTER (NOT o.a > 0) AS zeros,
+           sqrt(min((c.y - o.y) * (c.y - o.y) + (c.x - o.x) * (c.x - o.x)) FILTER (o.a > 0)) AS d1, sqrt(min((c.y - o.y) * (c.y - o.y) + (c.x - o.x) * (c.x - o.x)) FILTER (NOT o.a > 0)) AS d0
+    FROM cells c JOIN cells o USING (vec_id) GROUP BY c.vec_id, c.i
+)
+SELECT vec_id, round(avg(p * CASE WHEN ones = 0 THEN 0 WHEN t THEN CASE WHEN zeros > 0 THEN 1 - d0 ELSE 0 END ELSE d1 END
+    + (1 - p) * CASE WHEN zeros = 0 THEN 0 WHEN NOT t THEN CASE WHEN ones > 0 THEN 1 - d1 ELSE 0 END ELSE d0 END), 6) AS loss FROM d GROUP BY vec_id""")
 def surface_loss(spark, sf):
     """Boundary loss of one tile's sign mask against the next tile's values, squeezed to 0..1."""
     pairs = _tile_pairs(spark, sf).select("vec_id", F.transform("a", lambda x: (x > 0).cast("double")).alias("a"), F.transform("b", lambda x: 1 / (1 + F.exp(-x))).alias("b"))
-    return scoring.tile_pair_measure(pairs, kernels.surface_loss, 8, "loss").select("vec_id", F.round("loss", 6).alias("loss"))
+    return scoring.surface_loss(pairs, 8).select("vec_id", F.round("loss", 6).alias("loss"))
 
 
 STATS = """SELECT l_suppkey AS scene_id, band::INT AS band, min(v) AS lowest, max(v) AS highest, avg(v) AS mean, stddev_pop(v) AS deviation

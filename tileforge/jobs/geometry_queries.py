@@ -157,10 +157,17 @@ def containment(spark, sf):
     return _pairs(spark, sf).select("id", G.contains_point(a, b["min_x"], b["min_y"]).alias("has_corner"), G.contains_box(a, b).alias("has_box"), G.overlaps(a, b).alias("overlaps"))
 
 
-@register("ras044_bounding_boxes", f"WITH {demo.BOXES} SELECT id % 100 AS part, min(x0) AS min_x, min(y0) AS min_y, max(x1) AS max_x, max(y1) AS max_y FROM boxes GROUP BY id % 100")
+@register("ras044_bounding_boxes", f"""
+WITH {demo.BOXES} SELECT id % 100 AS part, min(x0) AS min_x, min(y0) AS min_y, max(x1) AS max_x, max(y1) AS max_y,
+    min(x1) AS p_min_x, min(y1) AS p_min_y, max(x1) + 1 AS p_max_x, max(y1) + 1 AS p_max_y, min(x0) / 4 AS f_min_x, max(x0) / 4 + 0.001::DOUBLE AS f_max_x FROM boxes GROUP BY id % 100""")
 def bounding_boxes(spark, sf):
+    """Of boxes, of whole-number points (their far corners) and of others."""
     rows = demo.customer_boxes(spark, sf).withColumn("part", F.col("id") % 100)
-    return grid.bounding_box(rows, F.col("box"), "part").select("part", *flat("", F.col("box")))
+    corners = rows.select("part", F.col("box.max_x").alias("x"), F.col("box.max_y").alias("y"), (F.col("box.min_x") / 4).alias("u"), (F.col("box.min_y") / 4).alias("v"))
+    boxes = grid.bounding_box(rows, F.col("box"), "part").select("part", *flat("", F.col("box")))
+    points = grid.box_with_points(corners, "x", "y", "part").select("part", *flat("p_", F.col("box")))
+    floats = grid.box_with_points(corners, "u", "v", "part").select("part", F.col("box.min_x").alias("f_min_x"), F.col("box.max_x").alias("f_max_x"))
+    return boxes.join(points, "part").join(floats, "part")
 
 
 @register("ras046_box_overlap_join", f"""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pixels as P
 from ..operators import classes as C
+from ..operators import grid, sampling
 from . import demo
 
 QUERIES: dict = {}
@@ -197,10 +198,7 @@ def rgb_stretch(spark, sf):
 
 @register("ras072_centre_crop", f"WITH {demo.PX} SELECT scene_id, y - 5 AS y, x - 8 AS x, label FROM px WHERE y >= 5 AND y < 45 AND x >= 8 AND x < 42")
 def centre_crop(spark, sf):
-    px = demo.orders_raster(spark, sf)
-    top, left = (demo.SIDE - 40) // 2, (demo.SIDE - 34) // 2
-    inside = F.col("y").between(top, top + 39) & F.col("x").between(left, left + 33)
-    return px.filter(inside).select("scene_id", (F.col("y") - top).alias("y"), (F.col("x") - left).alias("x"), "label")
+    return sampling.centre_crop(demo.orders_raster(spark, sf).select(*KEY, "label"), demo.SIDE, demo.SIDE, 34, 40)
 
 
 @register("ras010_stack_bands", "SELECT l_orderkey AS px, l_suppkey AS scene_id, string_agg(q, ',' ORDER BY band) AS bands FROM (SELECT l_orderkey, l_suppkey, l_linenumber AS band, max(l_quantity)::BIGINT::VARCHAR AS q FROM lineitem GROUP BY ALL) GROUP BY ALL")
@@ -224,9 +222,8 @@ def append_band(spark, sf):
 
 @register("ras130_read_window", f"WITH {demo.PX} SELECT scene_id, y, x, w AS first, v AS second FROM px WHERE x >= 10 AND x < 30 AND y >= 5 AND y < 25")
 def read_window(spark, sf):
-    px = demo.orders_raster(spark, sf).filter(F.col("x").between(10, 29) & F.col("y").between(5, 24))
-    chosen = P.select_bands(F.col("bands"), [1, 0])
-    return px.select(*KEY, F.get(chosen, F.lit(0)).alias("first"), F.get(chosen, F.lit(1)).alias("second"))
+    px = grid.read_window(demo.orders_raster(spark, sf).select(*KEY, "bands"), (10, 5, 30, 25), (demo.SIDE, demo.SIDE), [1, 0])
+    return px.select(*KEY, V().alias("first"), W().alias("second"))
 
 
 @register("ras131_scene_metadata", f"WITH {demo.PX} SELECT scene_id, max(y) + 1 AS height, max(x) + 1 AS width, 2 AS n_bands, 8 AS bytes_per_value, count(*) AS pixels FROM px GROUP BY scene_id")

@@ -68,19 +68,29 @@ def accuracy_of(true: Column, pred: Column, cls: int, nodata: int) -> Column:
     return F.try_divide(F.sum((valid & ((true == cls) == (pred == cls))).cast("long")), F.sum(valid.cast("long")))
 
 
-def map_labels(label: Column, mapping: list[float | str], nodata: int) -> tuple[Column, Column]:
-    """(target, valid): the class's value; nodata, and classes mapped to ``nodata``, become 0 and invalid."""
+def map_labels(label: Column, mapping: list, nodata: int) -> tuple[Column, Column]:
+    """(target, valid): the class's scalar or vector; nodata, and classes mapped to ``nodata``, become 0 and invalid."""
     if any(m is None for m in mapping):
         raise ValueError("every class must be mapped")
-    values = F.array(*[F.lit(0.0 if m == "nodata" else float(m)) for m in mapping])
+    sizes = {len(m) if isinstance(m, (list, tuple)) else 0 for m in mapping if m != "nodata"}
+    if len(sizes) != 1:
+        raise ValueError("all entries must be scalars, or vectors of one length")
+    n = sizes.pop()
+    zero = F.array(*[F.lit(0.0)] * n) if n else F.lit(0.0)
+    entry = lambda m: zero if m == "nodata" else F.array(*[F.lit(float(v)) for v in m]) if n else F.lit(float(m))
     bad = (label == nodata) | F.coalesce(F.get(F.array(*[F.lit(m == "nodata") for m in mapping]), label), F.lit(True))
-    return F.when(bad, 0.0).otherwise(F.get(values, label)), ~bad
+    return F.when(bad, zero).otherwise(F.get(F.array(*map(entry, mapping)), label)), ~bad
 
 
 def zeroed(p: Column, valid: Column) -> Column:
+    """The prediction, or each of an array of them, with 0 where it does not count."""
     return F.when(valid, p).otherwise(0.0)
 
 
+def zeroed_each(p: Column, valid: Column) -> Column:
+    return F.transform(p, lambda v: zeroed(v, valid))
+
+
 def _clipped(p: Column) -> Column:
     return F.least(F.lit(1 - EPSILON), F.greatest(F.lit(EPSILON), p))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions.pixels import select_bands
 
 
 def make_tile_grid(scenes: DataFrame, tile: tuple[int, int], overlap: tuple[int, int] = (0, 0), partials: bool = True, least: tuple[int, int] = (0, 0), shift_back: bool = False, rect: Column | None = None, container: Column | None = None) -> DataFrame:
@@ -115,21 +116,62 @@ def bounding_box(boxes: DataFrame, box: Column, *keys: str) -> DataFrame:
     return boxes.groupBy(*keys).agg(G.box(F.min(box["min_x"]), F.min(box["min_y"]), F.max(box["max_x"]), F.max(box["max_y"])).alias("box"))
 
 
+def box_with_points(points: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
+    """The least half-open box that holds all points: its far sides are 1 beyond whole-number points, else 0.001."""
+
+    def far(c: str) -> Column:
+        return F.max(c) + F.lit(1 if points.schema[c].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") else 0.001)
+
+    return points.groupBy(*keys).agg(G.box(F.min(x), F.min(y), far(x), far(y)).alias("box"))
+
+
+def read_window(pixels: DataFrame, window: tuple[int, int, int, int], size: tuple[int, int], bands: list[int] | None = None) -> DataFrame:
+    """The pixels of a window (min_x, min_y, max_x, max_y) and, of these, the bands in the given order.
+
+    The window has to lie inside the image of ``size`` (width, height).
+    """
+    x0, y0, x1, y1 = window
+    if not (0 <= x0 <= x1 <= size[0] and 0 <= y0 <= y1 <= size[1]):
+        raise ValueError(f"the window {window} is not inside an image of {size}")
+    rows = pixels.filter((F.col("x") >= x0) & (F.col("x") < x1) & (F.col("y") >= y0) & (F.col("y") < y1))
+    return rows if bands is None else rows.withColumn("bands", select_bands(F.col("bands"), bands))
+
+
 def box_overlap_join(left: DataFrame, right: DataFrame, left_box: str, right_box: str, cell: int, on: tuple[str, ...] = ()) -> DataFrame:
     """All pairs of rows whose boxes overlap (touching is no overlap) and that agree in the columns of ``on``.
 
-    Both sides are cut into the cells of a grid and joined on the cell; a pair is reported in one cell only, the one that
-    holds the lower left corner of its intersection, so no distinct is needed. ``cell`` should be near the median box size.
+    Grids of cells of side ``cell``, 2 ``cell``, 4 ``cell`` and so on: a box belongs to the first whose cells are no smaller
+    than it, so that it lies in four of them at most, however large it is. Two boxes meet in the grid of the larger one, in
+    the cell that holds the lower left corner of their intersection, so every pair comes once and no distinct is needed.
+    ``cell`` should be near the median box size.
     """
 
-    def cells(df: DataFrame, b: str) -> DataFrame:
+    def levelled(df: DataFrame, b: str) -> DataFrame:
+        side = F.greatest(G.width(F.col(b)), G.height(F.col(b))) / F.lit(float(cell))
+        return df.filter(G.has_area(F.col(b))).withColumn("_own", F.greatest(F.lit(0), F.ceil(F.log2(side))).cast("int"))
+
+    sides = [levelled(left, left_box), levelled(right, right_box)]
+    top = sides[0].select("_own").union(sides[1].select("_own")).agg(F.max("_own")).first()[0] or 0
+
+    def cells(df: DataFrame, b: str, first: Column | None) -> DataFrame:
+        """At the own level, or from ``first`` to the top."""
+        df = df.withColumn("_level", F.col("_own")) if first is None else df.filter(first <= top).withColumn("_level", F.explode(F.sequence(first, F.lit(top))))
+        size = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("_level"))
+
         def span(lo: str, hi: str) -> Column:
-            return F.sequence(F.floor(F.col(f"{b}.{lo}") / cell), F.floor((F.col(f"{b}.{hi}") - 1) / cell))
+            # the last cell is that of the far edge, which the box does not hold: an empty meeting at most
+            return F.sequence(F.floor(F.col(f"{b}.{lo}") / size), F.ceil(F.col(f"{b}.{hi}") / size) - 1)
 
-        rows = df.filter(G.has_area(F.col(b)))
-        return rows.withColumn("_cx", F.explode(span("min_x", "max_x"))).withColumn("_cy", F.explode(span("min_y", "max_y")))
+        rows = df.withColumn("_cx", F.explode(span("min_x", "max_x"))).withColumn("_cy", F.explode(span("min_y", "max_y")))
+        return rows.drop("_own")
 
-    both = cells(left, left_box).join(cells(right, right_box), [*on, "_cx", "_cy"])
     met = G.intersection(F.col(left_box), F.col(right_box))
-    here = (F.floor(met["min_x"] / cell) == F.col("_cx")) & (F.floor(met["min_y"] / cell) == F.col("_cy"))
-    return both.filter(G.overlaps(F.col(left_box), F.col(right_box)) & here).drop("_cx", "_cy")
+    size = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("_level"))
+    here = (F.floor(met["min_x"] / size) == F.col("_cx")) & (F.floor(met["min_y"] / size) == F.col("_cy"))
+    keys = [*on, "_level", "_cx", "_cy"]
+
+    def joined(a: DataFrame, b: DataFrame) -> DataFrame:
+        return a.join(b, keys).filter(G.overlaps(F.col(left_box), F.col(right_box)) & here).drop("_level", "_cx", "_cy")
+
+    low = joined(cells(sides[0], left_box, F.col("_own")), cells(sides[1], right_box, None))
+    return low if top == 0 else low.unionByName(joined(cells(sides[0], left_box, None), cells(sides[1], right_box, F.col("_own") + 1)))

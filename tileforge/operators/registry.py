@@ -1,7 +1,8 @@
 """Extensions by name: preprocess steps, augmentations, metrics, losses, readers and writers.
 
 A spec is a name, or a dict of one name and its arguments. Functions take and give what Spark composes: preprocess steps map a
-Column to a Column, augmentations a DataFrame to a DataFrame, metrics and losses make aggregate Columns, readers make DataFrames.
+Column to a Column, augmentations a DataFrame to a DataFrame, metrics and losses make Columns (the losses of tile pairs take and give a
+DataFrame), readers make DataFrames.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from collections.abc import Callable
 
 from ..functions import pixels
 from ..sources import files
-from . import evaluate
+from . import evaluate, sampling, scoring
 
 KINDS = ("preprocess", "augmentation", "metric", "loss", "reader", "writer")
 _known: dict[str, dict[str, Callable]] = {k: {} for k in KINDS}
@@ -44,11 +45,13 @@ def make(kind: str, spec: str | dict, *first):
     return find(kind, name)(*first, **args)
 
 
-for _name, _step in pixels.STEPS.items():
+for _name, _step in {**pixels.STEPS, "gauss_mult_noise": pixels.gauss_mult_noise, "substitute": pixels.substitute}.items():
     register("preprocess", _name, _step)
+for _name, _change in sampling.AUGMENTATIONS.items():
+    register("augmentation", _name, _change)
 for _name, _metric in {"recall": evaluate.recall_of, "precision": evaluate.precision_of, "binary_accuracy": evaluate.accuracy_of}.items():
     register("metric", _name, _metric)
-for _name, _loss in {"binary_cross_entropy": evaluate.binary_cross_entropy, "categorical_cross_entropy": evaluate.categorical_cross_entropy, "dice": evaluate.dice_loss, "focal": evaluate.focal_loss}.items():
+for _name, _loss in {"binary_cross_entropy": evaluate.binary_cross_entropy, "categorical_cross_entropy": evaluate.categorical_cross_entropy, "dice": evaluate.dice_loss, "focal": evaluate.focal_loss, "ms_ssim": scoring.ms_ssim_loss, "ms_ssim_mse": scoring.ms_ssim_mse_loss, "surface": scoring.surface_loss}.items():
     register("loss", _name, _loss)
 register("reader", "npy", files.read_npy)
 register("reader", "elevation", files.read_elevation)

@@ -46,10 +46,22 @@ def epoch_offset(seed: int, epoch: int, most: int) -> tuple[Column, Column]:
     return tuple((F.floor(uniform(seed, F.lit(epoch), F.lit(axis)) * (2 * most + 1)) - most).cast("int") for axis in ("x", "y"))
 
 
-def shifted(pixels: DataFrame, dx: Column, dy: Column) -> DataFrame:
-    """The raster seen through a window moved by (dx, dy); outside it is 0."""
-    source = pixels.select("scene_id", (F.col("y") - dy).alias("y"), (F.col("x") - dx).alias("x"), F.col("value").alias("_v"))
-    return pixels.drop("value").join(source, ["scene_id", "y", "x"], "left").withColumn("value", F.coalesce("_v", F.lit(0.0))).drop("_v")
+def moved(pixels: DataFrame, key: str, source_y: Column, source_x: Column, fill: dict | None = None) -> DataFrame:
+    """Every pixel with all columns but its place from another place of the scene, so that bands and labels move together.
+
+    Where that place is outside, a column is what ``fill`` says, or the pixel is left out if ``fill`` is None.
+    """
+    rest = [c for c in pixels.columns if c not in (key, "y", "x")]
+    target = pixels.select(key, "y", "x", source_y.cast("int").alias("_sy"), source_x.cast("int").alias("_sx"))
+    source = pixels.select(F.col(key), F.col("y").alias("_sy"), F.col("x").alias("_sx"), F.lit(True).alias("_in"), *[F.col(c).alias(c) for c in rest])
+    rows = target.join(source, [key, "_sy", "_sx"], "inner" if fill is None else "left")
+    filled = [c if fill is None else F.when(F.col("_in"), F.col(c)).otherwise(F.lit(fill.get(c, 0))).alias(c) for c in rest]
+    return rows.select(key, "y", "x", *filled)
+
+
+def shifted(pixels: DataFrame, dx: Column, dy: Column, fill: dict | None = None, key: str = "scene_id") -> DataFrame:
+    """The raster and its labels seen through a window moved by (dx, dy); outside a column is 0 or what ``fill`` says."""
+    return moved(pixels, key, F.col("y") + dy, F.col("x") + dx, fill or {})
 
 
 def shuffle_key(seed: int, epoch: int, *key: str) -> Column:
@@ -57,17 +69,28 @@ def shuffle_key(seed: int, epoch: int, *key: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(epoch)), *[F.col(k).cast("string") for k in key]))
 
 
-def numbered(samples: DataFrame, order: Column, ties: list[str], parts: int = 16) -> DataFrame:
+#: Samples that one task orders.
+ORDERED = 10_000
+
+
+def numbered(samples: DataFrame, order: Column, ties: list[str]) -> DataFrame:
     """``position`` from 0 in the order of a uniform hex key: counts by leading digits first, then rows within these.
 
-    No task orders all rows; the table of counts has at most 16 ** 4 rows.
+    There are as many parts as samples ask for, so no task orders more than some ten thousand. The parts' counts are added
+    up by their own leading digits, so that table is never one group either.
     """
-    digits = 1 if parts <= 16 else 2 if parts <= 256 else 4
-    rows = samples.withColumns({"_order": order, "_part": F.substring(order, 1, digits)})
-    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    rows = samples.withColumn("_order", order)
+    digits = 1
+    while 16**digits * ORDERED < rows.count():
+        digits += 1
+    rows = rows.withColumns({"_part": F.substring("_order", 1, digits), "_lead": F.substring("_order", 1, max(1, digits // 2))})
+    counts = rows.groupBy("_lead", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    leads = counts.groupBy("_lead").agg(F.sum("_n").alias("_all"))
+    leads = leads.withColumn("_first", F.coalesce(F.sum("_all").over(Window.orderBy("_lead").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_all")
+    inner = F.coalesce(F.sum("_n").over(Window.partitionBy("_lead").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = counts.withColumn("_inner", inner).join(leads, "_lead").select("_part", (F.col("_first") + F.col("_inner")).alias("_before"))
     within = F.row_number().over(Window.partitionBy("_part").orderBy("_order", *ties)) - 1
-    return rows.withColumn("_within", within).join(F.broadcast(before), "_part").withColumn("position", F.col("_before") + F.col("_within")).drop("_order", "_part", "_before", "_within")
+    return rows.withColumn("_within", within).join(before, "_part").withColumn("position", F.col("_before") + F.col("_within")).drop("_order", "_part", "_lead", "_before", "_within")
 
 
 def batches(samples: DataFrame, size: int, steps: int | None = None, epochs: int = 1) -> DataFrame:
@@ -93,11 +116,21 @@ def flips(pixels: DataFrame, width: int, height: int, probability: float, seed:
     return pixels.withColumns({"x": F.when(lr, width - 1 - F.col("x")).otherwise(F.col("x")), "y": F.when(ud, height - 1 - F.col("y")).otherwise(F.col("y"))})
 
 
+def applied(probability: float, seed: int, what: str, key: str) -> Column:
+    """Whether the scene is changed at all."""
+    return uniform(seed, F.lit(what + "?"), F.col(key)) <= probability
+
+
 def brightness(value: Column, low: float, high: float, seed: int, *key: Column) -> Column:
     """Times one number in [low, high) for each key."""
     return value * (low + (high - low) * uniform(seed, F.lit("light"), *key))
 
 
+def brightened(pixels: DataFrame, probability: float, seed: int, low: float = 0.5, high: float = 1.5, key: str = "scene_id", value: str = "value") -> DataFrame:
+    """Each scene with the probability brighter or darker as a whole; labels stay."""
+    return pixels.withColumn(value, F.when(applied(probability, seed, "light", key), brightness(F.col(value), low, high, seed, F.col(key))).otherwise(F.col(value)))
+
+
 def reflected(at: Column, size: int) -> Column:
     """An index mirrored at the edges, which are not repeated (period 2 size - 2)."""
     period = max(1, 2 * size - 2)
@@ -105,13 +138,43 @@ def reflected(at: Column, size: int) -> Column:
     return F.when(p < size, p).otherwise(period - p)
 
 
-def translated(pixels: DataFrame, width: int, height: int, most: int, seed: int, key: str = "scene_id", value: str = "value") -> DataFrame:
-    """Each scene moved by its own (dx, dy) in [-most, most]; what comes in at an edge is the mirror image."""
-    dx = (F.floor(uniform(seed, F.lit("dx"), F.col(key)) * (2 * most + 1)) - most).cast("int")
-    dy = (F.floor(uniform(seed, F.lit("dy"), F.col(key)) * (2 * most + 1)) - most).cast("int")
-    target = pixels.drop(value).withColumns({"_sx": reflected(F.col("x") - dx, width), "_sy": reflected(F.col("y") - dy, height)})
-    source = pixels.select(key, F.col("y").alias("_sy"), F.col("x").alias("_sx"), value)
-    return target.join(source, [key, "_sy", "_sx"]).drop("_sx", "_sy")
+def translated(pixels: DataFrame, width: int, height: int, most: int, seed: int, key: str = "scene_id", probability: float = 1.0) -> DataFrame:
+    """Each scene, labels and all, with the probability moved by its own (dx, dy) in [-most, most]; what comes in at an edge is the mirror image."""
+    go = applied(probability, seed, "move", key)
+    dx = F.when(go, F.floor(uniform(seed, F.lit("dx"), F.col(key)) * (2 * most + 1)) - most).otherwise(0)
+    dy = F.when(go, F.floor(uniform(seed, F.lit("dy"), F.col(key)) * (2 * most + 1)) - most).otherwise(0)
+    return moved(pixels, key, reflected(F.col("y") - dy, height), reflected(F.col("x") - dx, width))
+
+
+def rotated(pixels: DataFrame, width: int, height: int, most: float, seed: int, key: str = "scene_id", probability: float = 1.0) -> DataFrame:
+    """Each scene, labels and all, with the probability turned about its centre by its own angle in [-most, most) degrees.
+
+    Nearest pixel, mirrored outside.
+    """
+    angle = F.when(applied(probability, seed, "turn", key), F.radians((2 * uniform(seed, F.lit("angle"), F.col(key)) - 1) * most)).otherwise(0.0)
+    cy, cx = (height - 1) / 2, (width - 1) / 2
+    y, x = F.col("y") - cy, F.col("x") - cx
+    at_y = F.floor(F.cos(angle) * y - F.sin(angle) * x + cy + 0.5)
+    at_x = F.floor(F.sin(angle) * y + F.cos(angle) * x + cx + 0.5)
+    return moved(pixels, key, reflected(at_y, height), reflected(at_x, width))
+
+
+def centre_crop(pixels: DataFrame, width: int, height: int, out_width: int, out_height: int, fill: dict | None = None) -> DataFrame:
+    """The middle of each scene, (in - out) // 2 off on each side, from (0, 0) on.
+
+    An output larger than the scene is the scene in its middle; the rest is what ``fill`` says, or left out if ``fill`` is None.
+    """
+    top, left = (height - out_height) // 2, (width - out_width) // 2
+    inside = pixels.withColumns({"y": (F.col("y") - top).cast("int"), "x": (F.col("x") - left).cast("int")})
+    inside = inside.filter(F.col("y").between(0, out_height - 1) & F.col("x").between(0, out_width - 1))
+    if fill is None:
+        return inside
+    rows = pixels.select("scene_id").distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(out_height - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(out_width - 1))))
+    return rows.join(inside, ["scene_id", "y", "x"], "left").fillna(fill)
+
+
+#: Augmentations by name; each takes the pixels of scenes of one size and moves or changes bands and labels together.
+AUGMENTATIONS: dict[str, Callable[..., DataFrame]] = {}
 
 
 def map_tiles(tiles: DataFrame, kernel: Callable, out: str = "data") -> DataFrame:
@@ -128,11 +191,15 @@ def map_tiles(tiles: DataFrame, kernel: Callable, out: str = "data") -> DataFram
     return tiles.mapInPandas(run, ", ".join(f"`{x.name}` " + ("array<float>" if x.name == out else x.dataType.simpleString()) for x in tiles.schema) if out in tiles.columns else schema)
 
 
-def augment(data: DataFrame, steps: list, registry: dict[str, Callable[..., DataFrame]]) -> DataFrame:
+def augment(data: DataFrame, steps: list, registry: dict[str, Callable[..., DataFrame]] | None = None) -> DataFrame:
     """Applies named steps in the order of the list; a step is a name or a dict of one name and its arguments."""
+    registry = AUGMENTATIONS if registry is None else registry
     for step in steps:
         name, args = (step, {}) if isinstance(step, str) else next(iter(step.items()))
         if name not in registry:
             raise ValueError(f"unknown augmentation {name}")
         data = registry[name](data, **(args or {}))
     return data
+
+
+AUGMENTATIONS |= {"random_flip": flips, "random_translate": translated, "random_rotate": rotated, "random_brightness": brightened}

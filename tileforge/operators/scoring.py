@@ -105,3 +105,15 @@ def tile_pair_measure(pairs: DataFrame, measure: Callable[[np.ndarray, np.ndarra
         return pd.Series([measure(np.asarray(p, np.float64).reshape(side, side), np.asarray(q, np.float64).reshape(side, side)) for p, q in zip(a, b)])
 
     return pairs.withColumn(out, run("a", "b"))
+
+
+def ms_ssim_loss(pairs: DataFrame, side: int, out: str = "loss") -> DataFrame:
+    return tile_pair_measure(pairs, lambda a, b: 1 - kernels.ms_ssim(a, b), side, out)
+
+
+def ms_ssim_mse_loss(pairs: DataFrame, side: int, out: str = "loss") -> DataFrame:
+    return tile_pair_measure(pairs, kernels.ms_ssim_mse, side, out)
+
+
+def surface_loss(pairs: DataFrame, side: int, out: str = "loss") -> DataFrame:
+    return tile_pair_measure(pairs, kernels.surface_loss, side, out)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import tarfile
+import tempfile
 import zipfile
 from collections.abc import Iterator
 
@@ -18,6 +19,14 @@ EXTENSIONS = {"tiff": ".tiff", "worldview": ".zip", "landsat": ".zip", "npy": ".
 HGT_SIDE, HGT_NODATA, HGT_STEP = 3601, -32768, 3600
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; a temporary folder only where that is unset and all run on one machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return folder or tempfile.mkdtemp(prefix="spark-scratch-")
+
+
 def discover(spark: SparkSession, directory: str, image_type: str = "tiff", extension: str | None = None) -> DataFrame:
     """(path, length) of all files below the folder whose name ends with the extension; contents are not read."""
     extension = extension or EXTENSIONS[image_type]
