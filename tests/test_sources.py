@@ -73,3 +73,24 @@ def test_stream_picks_up_each_file_once(spark, tmp_path):
 
 def test_block_side():
     assert files.block_side(5, 3) == 5 and files.block_side(300, 50) == 288 and files.block_side(5000, 10) == 1024
+
+
+def test_archives_and_elevation_have_their_place(spark, tmp_path):
+    (tmp_path / "in" / "a" / "b").mkdir(parents=True)
+    with zipfile.ZipFile(tmp_path / "in" / "a" / "b" / "one.zip", "w") as z:
+        z.writestr("d/m.txt", "hello")
+    members = files.unpacked_paths(files.unpack(spark, str(tmp_path / "in")), str(tmp_path / "in")).collect()
+    assert [r.path for r in members] == ["a/b/one/d/m.txt"]
+    (tmp_path / "N01W002.hgt").write_bytes(np.array([[1, -32768], [3, 4]], ">i2").tobytes())
+    t = files.elevation_bounds(files.read_elevation(spark, str(tmp_path), side=2), side=2).first()
+    assert tuple(t.bounds) == (-2, 1, -1, 2) and t.pixel_size == 1.0
+
+
+def test_catalogs_and_headers_are_read_from_files(spark, tmp_path):
+    (tmp_path / "c").mkdir()
+    for k in (1, 2):
+        (tmp_path / "c" / f"p{k}.json").write_text('{"data":\n {"results": [{"displayId": "s%d"}]}}' % k)
+        (tmp_path / "h" / f"s{k}").mkdir(parents=True)
+        (tmp_path / "h" / f"s{k}" / "part.txt").write_text(f"A = {k}\nB = 2")
+    assert sorted(r.id for r in files.read_catalog(spark, str(tmp_path / "c")).selectExpr("explode(data.results.displayId) AS id").collect()) == ["s1", "s2"]
+    assert sorted(map(tuple, files.read_headers(spark, str(tmp_path / "h"), level=1).collect())) == [("s1", "A = 1\nB = 2"), ("s2", "A = 2\nB = 2")]

@@ -1,6 +1,6 @@
 """Expressions on the bands of a pixel (``array<double>``; a NULL element is nodata) and on class codes.
 
-All are built-in expressions, so they stay inside generated code and can be chained without a shuffle.
+All are built-in expressions that run in the JVM and can be chained without a shuffle.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..operators import align, grid, regions, scoring
+from ..operators import align, catalog, grid, regions, scoring
 from . import demo
 from .geometry_queries import flat
 
@@ -24,25 +24,42 @@ def register(name: str, sql: str | None = None):
     return add
 
 
-@register("ras116_images_equivalent", f"WITH {demo.SCENES} SELECT a.scene_id, a.width = b.width AND a.height = b.height AS same_size, a.gx = b.gx AS same_origin FROM scenes a JOIN scenes b ON b.scene_id = a.scene_id + 60")
+def _facts(spark, sf):
+    """Supplier scenes with a projection, a type and a number of bands."""
+    k = F.col("scene_id")
+    return demo.supplier_scenes(spark, sf).withColumns({"projection": F.concat(F.lit("P"), (k % 3).cast("string")), "dtype": F.when(k % 4 == 0, "byte").otherwise("float"), "n_bands": (k % 2 + 1).cast("int")})
+
+
+@register("ras116_images_equivalent", f"""
+WITH {demo.SCENES}, f AS (SELECT *, scene_id % 3 AS projection, scene_id % 4 = 0 AS dtype, scene_id % 2 AS n_bands, (width, height) AS size, 1 AS resolution, (gx, gy - height * 0.25, gx + width * 0.5, gy) AS coverage FROM scenes)
+SELECT a.scene_id, a.projection = b.projection AS projection, a.dtype = b.dtype AS dtype, a.n_bands = b.n_bands AS n_bands, a.size = b.size AS size, a.resolution = b.resolution AS resolution, a.coverage = b.coverage AS coverage,
+    a.projection = b.projection AND a.dtype = b.dtype AND a.n_bands = b.n_bands AND a.resolution = b.resolution AS may_merge FROM f a JOIN f b ON b.scene_id = a.scene_id + 60""")
 def images_equivalent(spark, sf):
-    s = demo.supplier_scenes(spark, sf).withColumn("origin", F.col("gt")[0])
-    one = s.select("scene_id", F.struct("width", "height", "origin").alias("a"))
-    two = s.select((F.col("scene_id") - 60).alias("scene_id"), F.struct("width", "height", "origin").alias("b"))
-    rows = align.images_equivalent(one.join(two, "scene_id"), ["width", "height"]).withColumnRenamed("same", "same_size")
-    return align.images_equivalent(rows, ["origin"]).select("scene_id", "same_size", F.col("same").alias("same_origin"))
+    """Each of the six checks alone, and those that merging asks for together."""
+    facts = align.comparable(_facts(spark, sf)).select("scene_id", "facts")
+    rows = facts.withColumnRenamed("facts", "a").join(facts.select((F.col("scene_id") - 60).alias("scene_id"), F.col("facts").alias("b")), "scene_id")
+    for check in align.CHECKS:
+        rows = align.images_equivalent(rows, [check]).withColumnRenamed("same", check)
+    return align.images_equivalent(rows, ["projection", "dtype", "n_bands", "resolution"]).withColumnRenamed("same", "may_merge").drop("a", "b")
 
 
 FOOT = f"{demo.SCENES}, f AS (SELECT scene_id, gx AS x0, gy - height * 0.25 AS y0, gx + width * 0.5 AS x1, gy AS y1 FROM scenes)"
 
 
+def _window_sql(s: str) -> str:
+    return f"trunc((min_x - {s}.gx) / 0.5)::BIGINT AS {s}_min_x, trunc((max_y - {s}.gy) / -0.25)::BIGINT AS {s}_min_y, trunc((max_x - {s}.gx) / 0.5)::BIGINT AS {s}_max_x, trunc((min_y - {s}.gy) / -0.25)::BIGINT AS {s}_max_y"
+
+
 @register("ras117_overlap_region", f"""
-WITH {FOOT} SELECT a.scene_id, greatest(a.x0, b.x0) AS min_x, greatest(a.y0, b.y0) AS min_y, least(a.x1, b.x1) AS max_x, least(a.y1, b.y1) AS max_y
-FROM f a JOIN f b ON b.scene_id = a.scene_id + 1 WHERE least(a.x1, b.x1) >= greatest(a.x0, b.x0) AND least(a.y1, b.y1) >= greatest(a.y0, b.y0)""")
+WITH {FOOT}, m AS (SELECT a.scene_id, greatest(a.x0, b.x0) AS min_x, greatest(a.y0, b.y0) AS min_y, least(a.x1, b.x1) AS max_x, least(a.y1, b.y1) AS max_y FROM f a JOIN f b ON b.scene_id = a.scene_id + 1),
+n AS (SELECT scene_id, CASE WHEN ok THEN min_x END AS min_x, CASE WHEN ok THEN min_y END AS min_y, CASE WHEN ok THEN max_x END AS max_x, CASE WHEN ok THEN max_y END AS max_y FROM (SELECT *, max_x >= min_x AND max_y >= min_y AS ok FROM m))
+SELECT n.*, {_window_sql('a')}, {_window_sql('b')} FROM n JOIN scenes a ON a.scene_id = n.scene_id JOIN scenes b ON b.scene_id = n.scene_id + 1""")
 def overlap_region(spark, sf):
-    f = demo.supplier_scenes(spark, sf).select("scene_id", G.footprint(F.col("gt"), F.col("width"), F.col("height")).alias("a"))
-    pairs = f.join(f.select((F.col("scene_id") - 1).alias("scene_id"), F.col("a").alias("b")), "scene_id").withColumn("met", G.intersection(F.col("a"), F.col("b")))
-    return pairs.filter((G.width(F.col("met")) >= 0) & (G.height(F.col("met")) >= 0)).select("scene_id", *flat("", F.col("met")))
+    """The geo box that neighbours share and the same in pixels of each; NULLs for neighbours apart."""
+    s = demo.supplier_scenes(spark, sf).select("scene_id", F.struct("gt", "width", "height").alias("one"))
+    pairs = s.join(s.select((F.col("scene_id") - 1).alias("scene_id"), F.col("one").alias("two")), "scene_id")
+    rows = align.overlap_windows(pairs, "one", "two")
+    return rows.select("scene_id", *flat("", F.col("area")), *flat("a_", F.col("a_window")), *flat("b_", F.col("b_window")))
 
 
 @register("ras118_common_area", f"WITH {FOOT} SELECT * FROM (SELECT scene_id // 4 AS part, max(x0) AS min_x, max(y0) AS min_y, min(x1) AS max_x, min(y1) AS max_y FROM f GROUP BY scene_id // 4) WHERE min_x < max_x AND min_y < max_y")
@@ -62,6 +79,66 @@ def mosaic(spark, sf):
     return align.mosaic(px, "idx").select("gy", "gx", F.get("bands", F.lit(0)).alias("v"))
 
 
+@register("ras119_mosaic_by_geotransform", f"""
+WITH {demo.PX}, s AS (SELECT DISTINCT substr(scene_id, 2)::INT AS idx FROM px), t AS (SELECT idx, idx // 3 AS part, 40 * (idx % 3) AS ox, 20 * (idx % 2) AS oy, CASE WHEN idx % 6 = 5 THEN 1 ELSE 0 END AS odd FROM s),
+h AS (SELECT substr(scene_id, 2)::INT AS idx, max(y) + 1 AS h FROM px GROUP BY scene_id),
+g AS (SELECT part, min(ox) AS x0, min(oy) AS y0, max(ox) + 50 - min(ox) AS w, max(oy + h) - min(oy) AS h FROM t JOIN h USING (idx) GROUP BY part HAVING count(DISTINCT odd) = 1),
+p AS (SELECT part, y + oy - y0 AS y, x + ox - x0 AS x, arg_max(px.v, idx) AS v FROM px JOIN t ON idx = substr(scene_id, 2)::INT JOIN g USING (part) GROUP BY ALL)
+SELECT g.part, a.k::INT AS y, b.k::INT AS x, coalesce(p.v, -1.0) AS v FROM g, LATERAL (SELECT unnest(range(g.h)) AS k) a, LATERAL (SELECT unnest(range(g.w)) AS k) b LEFT JOIN p ON p.part = g.part AND p.y = a.k AND p.x = b.k""".replace(" GROUP BY ALL)\nSELECT g.part", " GROUP BY part, y + oy - y0, x + ox - x0)\nSELECT g.part"))
+def mosaic_by_geotransform(spark, sf):
+    """Mosaics of three scenes each, placed by geotransform; parts with a scene of another type are left out, gaps are -1."""
+    px = demo.orders_raster(spark, sf)
+    k = F.substring("scene_id", 2, 18).cast("int")
+    s = px.groupBy("scene_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height")).withColumn("idx", k)
+    gt = F.array((1000 + 40 * (k % 3) * 0.5).cast("double"), F.lit(0.5), F.lit(0.0), (500 - 20 * (k % 2) * 0.25).cast("double"), F.lit(0.0), F.lit(-0.25))
+    s = s.withColumns({"part": F.floor(k / 3).cast("int"), "gt": gt, "projection": F.lit("P"), "dtype": F.when(k % 6 == 5, "byte").otherwise("float"), "n_bands": F.lit(1)})
+    one = px.select(*KEY, F.array(F.get("bands", F.lit(0))).alias("bands"))
+    return align.mosaic_scenes(s, one, "part", "idx", -1.0).select("part", "y", "x", F.get("bands", F.lit(0)).alias("v"))
+
+
+@register("ras062_calibrated_scenes", f"""
+WITH {demo.PX}, c AS (SELECT *, substr(scene_id, 2)::INT AS k FROM px)
+SELECT scene_id, y, x, round((v * 0.00002::DOUBLE - 0.1::DOUBLE) / sin(radians(30.0::DOUBLE + k % 40)), 6) AS reflectance,
+       round(CASE WHEN w > 0 THEN (1300.0::DOUBLE + k % 7) / ln(770.0::DOUBLE / (w * 0.001::DOUBLE + 0.5::DOUBLE) + 1) ELSE 0 END, 4) AS temperature FROM c""")
+def calibrated_scenes(spark, sf):
+    """Header texts to coefficients to calibrated pixels: the first band has no K1 and becomes reflectance, the second temperature."""
+    px = demo.orders_raster(spark, sf).select(*KEY, "bands")
+    k = F.substring("scene_id", 2, 18).cast("int")
+    text = [F.concat(F.lit("SUN_ELEVATION = "), (30 + k % 40).cast("string"))]
+    for tag, values in {"REFLECTANCE_MULT": ("0.00002", "0"), "REFLECTANCE_ADD": ("-0.1", "0"), "RADIANCE_MULT": ("1", "0.001"), "RADIANCE_ADD": ("0", "0.5"), "K1_CONSTANT": (None, "770")}.items():
+        text += [F.lit(f"  {tag}_BAND_{b} = {v}") for b, v in enumerate(values, 1) if v is not None]
+    text.append(F.concat(F.lit('K2_CONSTANT_BAND_2 = "'), (1300 + k % 7).cast("string"), F.lit('"')))
+    headers = px.select("scene_id").distinct().select("scene_id", F.concat_ws("\n", *text).alias("text"))
+    lines = catalog.header_lines(headers)
+    out = align.calibrated(px, catalog.mtl_coefficients(lines), catalog.scalar_tag(lines, "SUN_ELEVATION", "sun"))
+    return out.select(*KEY, F.round(F.get("bands", F.lit(0)), 6).alias("reflectance"), F.round(F.get("bands", F.lit(1)), 4).alias("temperature"))
+
+
+@register("ras029_scene_label_rasters", f"""
+WITH e AS (SELECT *, CAST(ts AS DATE) AS date, user_id * 4 AS x0 FROM events), s AS (SELECT event_id AS scene_id, date, x0, event_id % 20 AS y0 FROM e WHERE event_type NOT IN ('click', 'view')),
+t AS (SELECT event_id AS label_id, date, x0, event_id * 7 % 20 AS y0 FROM e WHERE event_type IN ('click', 'view')),
+m AS (SELECT scene_id, label_id, s.x0 AS sx, s.y0 AS sy, t.x0 AS tx, t.y0 AS ty, row_number() OVER (PARTITION BY scene_id ORDER BY label_id) AS n FROM s JOIN t ON t.date = s.date
+      AND t.x0 < s.x0 + 60 AND t.x0 + 12 > s.x0 AND t.y0 < s.y0 + 12 AND t.y0 + 8 > s.y0),
+p AS (SELECT scene_id, label_id, gx.k AS gx, gy.k AS gy, label_id + (floor((sx + (gx.k + 0.5) * 4 - tx) / 2)::INT + floor((ty + 8 - (sy + 12 - (gy.k + 0.5) * 4)) / 2)::INT) AS label
+      FROM m, range(15) gx(k), range(3) gy(k) WHERE n <= 12 AND sx + (gx.k + 0.5) * 4 >= tx AND sx + (gx.k + 0.5) * 4 < tx + 12 AND sy + 12 - (gy.k + 0.5) * 4 > ty AND sy + 12 - (gy.k + 0.5) * 4 <= ty + 8)
+SELECT scene_id, count(*)::BIGINT AS covered, sum(label)::BIGINT AS total FROM (SELECT scene_id, gx, gy, arg_max(label, label_id) AS label FROM p GROUP BY scene_id, gx, gy) GROUP BY scene_id""")
+def scene_label_rasters(spark, sf):
+    """Label tiles of each scene's date and place, put together and resampled to the scene's grid; sums over the covered pixels.
+
+    Scenes have 15 x 3 pixels of side 4, label tiles 6 x 4 of side 2 whose label is the tile's id plus column and row.
+    """
+    scenes, labels = demo.event_boxes(spark, sf)
+
+    def gt(b: str, side: float):
+        return F.array(F.col(f"{b}.min_x").cast("double"), F.lit(side), F.lit(0.0), F.col(f"{b}.max_y").cast("double"), F.lit(0.0), F.lit(-side))
+
+    scenes = scenes.withColumns({"gt": gt("box", 4.0), "width": F.lit(15), "height": F.lit(3)})
+    tiles = labels.withColumn("label_gt", gt("label_box", 2.0))
+    px = labels.select("label_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("y")).select("label_id", "y", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("x"))
+    rows = catalog.scene_labels(scenes, tiles, px.withColumn("label", F.col("label_id") + F.col("x") + F.col("y")), 16)
+    return rows.filter("label IS NOT NULL").groupBy("scene_id").agg(F.count(F.lit(1)).alias("covered"), F.sum("label").alias("total"))
+
+
 def _target(spark, sf, side):
     scenes = demo.orders_raster(spark, sf).select("scene_id").distinct()
     rows = scenes.select("scene_id", F.explode(F.sequence(F.lit(0), F.lit(side - 1))).alias("y"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import io
 import os
 import uuid
+import zipfile
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from ..operators import catalog, registry, sampling
+from ..operators import catalog, grid, registry, sampling
 from ..sources import files
 from ..streaming import scenes as streams
 from . import demo
@@ -44,9 +48,105 @@ def _label_paths(spark, sf):
 PATHS = "SELECT doc_id, 'data/' || lang || '/img' || doc_id AS stem FROM documents"
 
 
-@register("ras001_paths_by_extension", "SELECT url AS path FROM pages WHERE suffix(url, '7')")
+@register("ras001_paths_by_extension", "SELECT lang || '/' || doc_id || '.tiff' AS path, octet_length(encode(coalesce(text, ''))) AS length FROM documents WHERE doc_id % 3 = 0 AND lang IS NOT NULL")
 def paths_by_extension(spark, sf):
-    return demo.table(spark, sf, "pages").filter(F.col("url").endswith("7")).select(F.col("url").alias("path"))
+    """Files in nested folders, a third of them with the extension that is looked for; found by name, not read."""
+    d = demo.table(spark, sf, "documents").filter("lang IS NOT NULL")
+    extension = F.when(F.col("doc_id") % 3 == 0, ".tiff").otherwise(".txt")
+    name = F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), extension)
+    root = _scratch(spark)
+    _act(files.write_files(d.select(name.alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content")), root))
+    found = files.image_paths(spark, directory=root).join(files.discover(spark, root), "path")
+    return found.select(F.concat_ws("/", F.slice(F.split("path", "/"), -2, 2)).alias("path"), "length")
+
+
+def _act(df) -> None:
+    df.write.format("noop").mode("overwrite").save()
+
+
+def _member(content):
+    """One zip archive for each row's member ``m.txt``; every tenth archive is broken."""
+
+
+    out = []
+    for c in content:
+        b = io.BytesIO()
+        with zipfile.ZipFile(b, "w") as z:
+            z.writestr(zipfile.ZipInfo("m.txt"), c)
+        out.append(b.getvalue() if int(c.split(",")[0]) % 10 else b"broken")
+    return pd.Series(out)
+
+
+@register("ras004_numpy_images", "SELECT vec_id::VARCHAR AS scene_id, (i // 8)::INT AS y, (i % 8)::INT AS x, embedding[i + 1]::DOUBLE AS value FROM (SELECT *, unnest(range(64)) AS i FROM embeddings)")
+def numpy_images(spark, sf):
+    """Arrays of two dimensions, written as files and read as tiles of one band."""
+
+    @F.pandas_udf("binary")
+    def saved(rows: pd.Series) -> pd.Series:
+        out = []
+        for r in rows:
+            b = io.BytesIO()
+            np.save(b, np.asarray(r, np.float32).reshape(8, 8))
+            out.append(b.getvalue())
+        return pd.Series(out)
+
+    root = _scratch(spark)
+    e = demo.table(spark, sf, "embeddings")
+    _act(files.write_files(e.select(F.concat(F.col("vec_id").cast("string"), F.lit(".npy")).alias("path"), saved("embedding").alias("content")), root))
+    px = grid.tiles_to_pixels(files.read_npy(spark, root, rows_per_tile=3).filter("error IS NULL"))
+    return px.select(*KEY, F.get("bands", F.lit(0)).cast("double").alias("value"))
+
+
+@register("ras005_elevation_grids", f"""
+WITH {demo.PX}, h AS (SELECT scene_id, substr(scene_id, 2)::INT AS k, y, x, CASE WHEN label = 2 THEN NULL ELSE (w - 500)::INT END AS height FROM px WHERE substr(scene_id, 2)::INT % 2 = 0)
+SELECT k % 90 AS min_y, -(k % 180) AS min_x, y, x, height::DOUBLE AS height, 1 / 49.0::DOUBLE AS pixel_size FROM h""")
+def elevation_grids(spark, sf):
+    """Every other scene as big-endian grid named by its degree; nodata comes back as NULL, bounds by the name."""
+
+    @F.pandas_udf("binary")
+    def packed(rows: pd.Series) -> pd.Series:
+        return pd.Series([np.asarray(list(r) + [files.HGT_NODATA] * (2500 - len(r)), ">i2").tobytes() for r in rows])
+
+    px = demo.orders_raster(spark, sf).withColumn("k", F.substring("scene_id", 2, 18).cast("int")).filter("k % 2 = 0")
+    height = F.when(F.col("label") == demo.NODATA, files.HGT_NODATA).otherwise(F.get("bands", F.lit(1)) - 500).cast("int")
+    scenes = px.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", height.alias("h")))), lambda p: p["h"]).alias("heights"), F.count(F.lit(1)).alias("n"))
+    name = F.format_string("N%02dW%03d.hgt", F.col("k") % 90, F.col("k") % 180)
+    root = _scratch(spark)
+    _act(files.write_files(scenes.select(name.alias("path"), packed("heights").alias("content")), root))
+    tiles = files.elevation_bounds(files.read_elevation(spark, root, demo.SIDE, rows_per_tile=20), demo.SIDE)
+    out = grid.tiles_to_pixels(tiles).join(tiles.select("scene_id", "bounds", "pixel_size").distinct(), "scene_id")
+    out = out.select("scene_id", F.col("bounds.min_y").alias("min_y"), F.col("bounds.min_x").alias("min_x"), "y", "x", F.nanvl(F.get("bands", F.lit(0)).cast("double"), F.lit(None).cast("double")).alias("height"), "pixel_size")
+    # rows that were only padded in to make the last scene square are left out
+    size = scenes.select(F.format_string("N%02dW%03d", F.col("k") % 90, F.col("k") % 180).alias("scene_id"), "n")
+    return out.join(size, "scene_id").filter(F.col("y") * demo.SIDE + F.col("x") < F.col("n")).drop("scene_id", "n")
+
+
+@register("ras006_unpacked_archives", """
+SELECT p_brand || '/' || p_partkey || CASE WHEN p_partkey % 10 = 0 THEN '' ELSE '/m.txt' END AS path, CASE WHEN p_partkey % 10 <> 0 THEN p_partkey || ',' || p_name END AS text, p_partkey % 10 = 0 AS failed FROM part""")
+def unpacked_archives(spark, sf):
+    """An archive for each part in a folder for each brand; a broken one is a row of the report. The output mirrors the input's folders."""
+
+    @F.pandas_udf("binary")
+    def archive(content: pd.Series) -> pd.Series:
+        return _member(content)
+
+    p = demo.table(spark, sf, "part")
+    text = F.concat_ws(",", F.col("p_partkey").cast("string"), "p_name")
+    root = _scratch(spark)
+    _act(files.write_files(p.select(F.concat("p_brand", F.lit("/"), F.col("p_partkey").cast("string"), F.lit(".zip")).alias("path"), archive(text).alias("content")), root))
+    rows = files.unpacked_paths(files.unpack(spark, root), root)
+    return rows.select("path", F.col("content").cast("string").alias("text"), F.col("error").isNotNull().alias("failed"))
+
+
+@register("ras007_header_files", "SELECT s_suppkey::VARCHAR AS scene_id, s_nationkey::DOUBLE AS sun, 9 AS lines FROM supplier")
+def header_files(spark, sf):
+    """One text file in a folder for each scene, read whole."""
+    root = _scratch(spark)
+    _mtl(spark, sf).repartition("scene_id").write.partitionBy("scene_id").text(root)
+    headers = files.read_headers(spark, root, level=1).withColumn("scene_id", F.substring_index("scene_id", "=", -1))
+    sun = catalog.scalar_tag(catalog.header_lines(headers), "SUN_ELEVATION", "sun")
+    lines = F.size(F.filter(F.split("text", "\n"), lambda x: x != "")).alias("lines")
+    return headers.select("scene_id", lines).join(sun, "scene_id")
 
 
 @register("ras002_missing_from_list", "SELECT DISTINCT 'img' || o_custkey AS path FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
@@ -62,10 +162,17 @@ def label_id_list(spark, sf):
     return files.label_ids(demo.table(spark, sf, "part").select(F.concat_ws(", ", first, "p_name").alias("value")))
 
 
-@register("ras009_catalog_pages", "SELECT (json_extract(props, '$.k'))::BIGINT AS k, count(*) AS n FROM events GROUP BY ALL")
+@register("ras009_catalog_pages", "SELECT event_id::VARCHAR AS scene_id, (json_extract(props, '$.k'))::BIGINT AS k, 'platform:' || event_type AS summary FROM events")
 def catalog_pages(spark, sf):
-    rows = demo.table(spark, sf, "events").select(F.from_json("props", "k long").alias("p"))
-    return rows.groupBy(F.col("p.k").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    """Result pages of 1,000 scenes, one JSON document each, written as files and read as one table."""
+    e = demo.table(spark, sf, "events")
+    scene = F.struct(F.col("event_id").cast("string").alias("displayId"), F.concat(F.lit("platform:"), "event_type").alias("summary"), F.from_json("props", "k long").alias("meta"))
+    pages = e.groupBy(F.floor(F.col("event_id") / 1000).alias("page")).agg(F.collect_list(scene).alias("results"))
+    root = _scratch(spark)
+    name = F.concat(F.lit("page"), F.col("page").cast("string"), F.lit(".json"))
+    _act(files.write_files(pages.select(name.alias("path"), F.to_json(F.struct(F.struct("results").alias("data"))).cast("binary").alias("content")), root))
+    rows = files.read_catalog(spark, root).select(F.explode("data.results").alias("s"))
+    return rows.select(F.col("s.displayId").alias("scene_id"), F.col("s.meta.k").alias("k"), F.col("s.summary").alias("summary"))
 
 
 @register("ras013_not_done_yet", "SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 25)")
@@ -90,11 +197,26 @@ def size_mismatches(spark, sf):
     return catalog.size_mismatches(s).select("id", "image_h", "label_h")
 
 
-@register("ras017_invalid_inputs", "SELECT doc_id::VARCHAR AS scene_id, 'empty' AS reason FROM documents WHERE n_chars < 100")
+@register("ras017_invalid_inputs", """
+SELECT vec_id::VARCHAR AS scene_id, CASE vec_id % 5 WHEN 1 THEN 'unreadable' WHEN 2 THEN 'no pixels' ELSE 'missing' END AS reason FROM embeddings WHERE vec_id % 5 < 4""")
 def invalid_inputs(spark, sf):
-    d = demo.table(spark, sf, "documents").select(F.concat(F.lit("a/"), F.col("doc_id").cast("string"), F.lit(".npy")).alias("path"), F.when(F.col("n_chars") >= 100, F.col("n_chars")).otherwise(0).alias("length"))
-    tiles = d.filter("length > 0").select(F.regexp_extract("path", r"(\d+)", 1).alias("scene_id"), F.lit(1).alias("max_x"), F.lit(1).alias("max_y"), F.lit(None).cast("string").alias("error"))
-    return files.invalid_inputs(d, tiles)
+    """Files that are empty, hold no array, hold one without rows, or were never written; the rest is decoded."""
+
+    @F.pandas_udf("binary")
+    def saved(rows: pd.Series, kind: pd.Series) -> pd.Series:
+        out = []
+        for r, k in zip(rows, kind):
+            b = io.BytesIO()
+            np.save(b, np.asarray(r, np.float32).reshape(8, 8)[: 0 if k == 2 else 8])
+            out.append(b"" if k == 0 else b"no array" if k == 1 else b.getvalue())
+        return pd.Series(out)
+
+    e = demo.table(spark, sf, "embeddings")
+    root = _scratch(spark)
+    name = F.concat(F.lit("a/"), F.col("vec_id").cast("string"), F.lit(".npy"))
+    _act(files.write_files(e.filter("vec_id % 5 <> 3").select(name.alias("path"), saved("embedding", F.col("vec_id") % 5).alias("content")), root))
+    found = files.invalid_inputs(files.discover(spark, root, "npy"), files.read_npy(spark, root), e.select(F.col("vec_id").cast("string").alias("scene_id")))
+    return found.select("scene_id", F.when(F.col("reason").isin("no pixels", "missing"), F.col("reason")).otherwise("unreadable").alias("reason"))
 
 
 @register("ras018_missing_companions", "SELECT o_orderkey || '_B' || b.k AS path FROM orders, range(1, 5) b(k) WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber = b.k)")
@@ -114,17 +236,19 @@ def _mtl(spark, sf):
     s = demo.table(spark, sf, "supplier")
     key, nation = F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string")
     lines = [F.concat(F.lit("  SUN_ELEVATION = "), nation)]
-    lines += [F.concat(F.lit(f"  {t}_BAND_{b} = \""), key, F.lit(f".{b}\"")) for t in ("RADIANCE_MULT", "K1_CONSTANT") for b in ("1", "6_VCID_1", "X")]
+    lines += [F.concat(F.lit(f"  {t}_BAND_{b} = \""), (s["s_suppkey"] / 10.0).cast("string"), F.lit('"')) for t in ("RADIANCE_MULT", "K1_CONSTANT") for b in ("1", "6_VCID_1", "X")]
+    lines.append(F.concat(F.lit("FILE_NAME_BAND_1 = "), key, F.lit("_B1.TIF")))
     return s.select(key.alias("scene_id"), F.concat_ws("\n", F.lit("GROUP"), *lines).alias("text"))
 
 
 @register("ras020_mtl_header", """
-SELECT s_suppkey::VARCHAR AS scene_id, 0 AS band, s_suppkey || '.1' AS radiance, s_suppkey || '.1' AS k1, s_nationkey::DOUBLE AS sun FROM supplier
-UNION ALL SELECT s_suppkey::VARCHAR, 6, s_suppkey || '.6_VCID_1', s_suppkey || '.6_VCID_1', s_nationkey FROM supplier""")
+SELECT s_suppkey::VARCHAR AS scene_id, 0 AS band, s_suppkey / 10.0::DOUBLE AS radiance, s_suppkey / 10.0::DOUBLE AS k1, s_suppkey || '_B1.TIF' AS file, s_nationkey::DOUBLE AS sun FROM supplier
+UNION ALL SELECT s_suppkey::VARCHAR, 6, s_suppkey / 10.0::DOUBLE, s_suppkey / 10.0::DOUBLE, NULL, s_nationkey FROM supplier""")
 def mtl_header(spark, sf):
+    """Coefficients as numbers; of the file names only band 1 has one."""
     lines = catalog.header_lines(_mtl(spark, sf))
     rows = catalog.mtl_coefficients(lines).join(catalog.scalar_tag(lines, "SUN_ELEVATION", "sun"), "scene_id")
-    return rows.select("scene_id", "band", F.col("RADIANCE_MULT").alias("radiance"), F.col("K1_CONSTANT").alias("k1"), "sun")
+    return rows.select("scene_id", "band", F.col("RADIANCE_MULT").alias("radiance"), F.col("K1_CONSTANT").alias("k1"), F.col("FILE_NAME").alias("file"), "sun")
 
 
 @register("ras021_imd_header", "SELECT s_suppkey::VARCHAR AS scene_id, b.k::INT AS band, s_suppkey + b.k / 10.0::DOUBLE AS abscal, (b.k + 1)::DOUBLE AS bandwidth FROM supplier, range(3) b(k)")
@@ -136,12 +260,17 @@ def imd_header(spark, sf):
 
 
 @register("ras022_scene_names", """
-SELECT event_id, substr(event_type, 1, 3) AS sensor, lpad((user_id % 1000)::VARCHAR, 3, '0') AS path, lpad((event_id % 1000)::VARCHAR, 3, '0') AS row, CAST(ts AS DATE)::VARCHAR AS acquired FROM events""")
+SELECT event_id, substr(event_type, 1, 3) AS sensor, lpad((user_id % 1000)::VARCHAR, 3, '0') AS path, lpad((event_id % 1000)::VARCHAR, 3, '0') AS row, CAST(ts AS DATE)::VARCHAR AS acquired,
+       substr(event_type, 1, 4) AS wv_sensor, CAST(ts AS DATE)::VARCHAR AS wv_acquired FROM events""")
 def scene_names(spark, sf):
+    """Names of both kinds, dates as dates."""
     e = demo.table(spark, sf, "events")
     pad = lambda c: F.lpad((F.col(c) % 1000).cast("string"), 3, "0")
-    name = F.concat_ws("_", F.substring("event_type", 1, 3), F.lit("L1"), F.concat(pad("user_id"), pad("event_id")), F.date_format("ts", "yyyyMMdd"))
-    return e.select("event_id", catalog.landsat_name(name).alias("n")).select("event_id", "n.sensor", "n.path", "n.row", F.col("n.acquired").cast("string").alias("acquired"))
+    day = F.date_format("ts", "yyyyMMdd")
+    name = F.concat_ws("_", F.substring("event_type", 1, 3), F.lit("L1"), F.concat(pad("user_id"), pad("event_id")), day)
+    other = F.concat_ws("_", F.concat(F.substring("event_type", 1, 4), F.lit("N42")), F.lit("939570W073"), F.concat(F.lit("252079"), day, F.lit("00000000MS00")), F.lit("GU004003002"))
+    rows = e.select("event_id", catalog.landsat_name(name).alias("n"), catalog.worldview_name(other).alias("w"))
+    return rows.select("event_id", "n.sensor", "n.path", "n.row", F.col("n.acquired").cast("string").alias("acquired"), F.col("w.sensor").alias("wv_sensor"), F.col("w.acquired").cast("string").alias("wv_acquired"))
 
 
 @register("ras023_sensor_bands", """
@@ -160,26 +289,37 @@ def elevation_names(spark, sf):
     return c.select(k.alias("id"), b["min_x"].alias("min_x"), b["min_y"].alias("min_y"))
 
 
-@register("ras025_wanted_events", "SELECT doc_id FROM documents WHERE (contains(lower(text), 'tion') OR contains(lower(text), 'heit')) AND NOT (contains(lower(text), 'mit') OR contains(lower(text), 'que'))")
+@register("ras025_wanted_events", "SELECT doc_id FROM documents WHERE (contains(lower(text), 'tion') OR contains(lower(text), 'heit')) AND NOT (contains(lower(text), 'mit') OR contains(lower(text), 'que')) AND n_chars % 3 > 0")
 def wanted_events(spark, sf):
-    return catalog.wanted_events(demo.table(spark, sf, "documents"), "text", ["tion", "heit"], ["mit", "que"]).select("doc_id")
+    rows = demo.table(spark, sf, "documents").withColumn("open", F.col("n_chars") % 3 > 0)
+    return catalog.wanted_events(rows, "text", ["tion", "heit"], ["mit", "que"], "open").select("doc_id")
 
 
 @register("ras026_wanted_scenes", """
 SELECT o_orderkey::VARCHAR AS scene_id FROM orders WHERE o_orderstatus IN ('F', 'O') AND substr(o_orderpriority, 1, 1) IN ('1', '2') AND (o_custkey % 3 = 0 OR o_custkey % 20 >= 8)
-AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 49)""")
+AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 49) AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber >= 2) AND o_custkey % 11 > 0""")
 def wanted_scenes(spark, sf):
+    """Platform and sensor in any case, a list of names, entities required."""
     o = demo.table(spark, sf, "orders")
     field = F.struct(F.lit("bands").alias("name"), (F.col("o_custkey") % 20).cast("string").alias("value"))
-    rows = o.select(F.col("o_orderkey").cast("string").alias("scene_id"), F.concat(F.lit("Entity: x, platform: "), "o_orderstatus", F.lit(", sensor: "), F.substring("o_orderpriority", 1, 1), F.lit(", cloud: 1")).alias("summary"),
+    rows = o.select(F.col("o_orderkey").cast("string").alias("scene_id"), F.when(F.col("o_custkey") % 11 > 0, F.concat(F.lit("e"), F.col("o_custkey").cast("string"))).alias("entity_id"),
+                    F.concat(F.lit("Entity: x, Platform: World"), "o_orderstatus", F.lit(", SENSOR: ms"), F.substring("o_orderpriority", 1, 1), F.lit(", cloud: 1")).alias("summary"),
                     F.when(F.col("o_custkey") % 3 != 0, F.array(field)).otherwise(F.array().cast("array<struct<name:string,value:string>>")).alias("fields"))
-    done = demo.table(spark, sf, "lineitem").filter("l_quantity >= 49").select(F.col("l_orderkey").cast("string").alias("scene_id"))
-    return catalog.wanted_scenes(rows, [("F", "1"), ("F", "2"), ("O", "1"), ("O", "2")], done).select("scene_id")
+    line = demo.table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("scene_id"), "l_quantity", "l_linenumber")
+    return catalog.wanted_scenes(rows, [("worldf", "MS1"), ("WorldF", "ms2"), ("worldo", "ms1"), ("worldo", "ms2")], line.filter("l_quantity >= 49"), names=line.filter("l_linenumber >= 2")).select("scene_id")
 
 
-@register("ras027_random_split", f"SELECT stem || '.tiff' AS path, CASE WHEN {_u(3, 'stem', chr(39) + '.tiff' + chr(39)).replace(chr(39) + ':' + chr(39) + ' || ' + chr(39) + '.tiff', chr(39) + '.tiff')} < 0.3 THEN 'validation' ELSE 'train' END AS split FROM ({PATHS})")
+SPLIT = _u(3, "stem", "'.tiff'").replace("':' || '.tiff'", "'.tiff'")
+
+
+@register("ras027_random_split", f"""
+WITH p AS (SELECT doc_id, stem, stem || '.tiff' AS path FROM ({PATHS}) WHERE doc_id % 3 <> 1), f AS (SELECT * FROM p ORDER BY md5('3:first:' || path), path LIMIT 500)
+SELECT path, CASE WHEN l.doc_id IS NOT NULL THEN stem || '_label.tiff' END AS label_path, CASE WHEN {SPLIT} < 0.3 THEN 'validation' ELSE 'train' END AS split FROM f LEFT JOIN labels l USING (doc_id)""")
 def random_split(spark, sf):
-    return catalog.random_split(_image_paths(spark, sf), F.col("path"), 0.3, 3)
+    """Images of a list, 500 at most (the feature's limit); labels go where their image goes."""
+    pairs = catalog.pair_labels(_image_paths(spark, sf), _label_paths(spark, sf), ".tiff", "_label.tiff")
+    listed = demo.table(spark, sf, "documents").filter("doc_id % 3 <> 1").select(F.concat(F.lit("img"), F.col("doc_id").cast("string")).alias("stem"))
+    return catalog.random_split(pairs, "path", 0.3, 3, listed, 500)
 
 
 @register("ras028_mirrored_paths", f"SELECT stem || '.tiff' AS path, 'out/' || split_part(stem, '/', 2) || '/P_' || split_part(stem, '/', 3) || '.tiff' AS output FROM ({PATHS})")
@@ -333,14 +473,17 @@ def _scratch(spark) -> str:
     return os.path.join(files.shared_folder(spark), f"scratch-{uuid.uuid4().hex}")
 
 
-@register("ras012_write_and_read_tiles", f"WITH {demo.PX} SELECT scene_id, count(*) AS pixels, sum(v)::DECIMAL(18, 2)::VARCHAR AS total FROM px GROUP BY scene_id")
+@register("ras012_write_and_read_tiles", f"""
+WITH {demo.PX}, t AS (SELECT scene_id, substr(scene_id, 2)::INT AS k, (y // 16)::INT AS tile_row, (x // 16)::INT AS tile_col, count(*) AS pixels, sum(px.v)::DECIMAL(18, 2)::VARCHAR AS total FROM px GROUP BY ALL)
+SELECT scene_id, tile_row, tile_col, pixels, total, -1.0::DOUBLE AS nodata, k * 25 + tile_col * 8.0::DOUBLE AS corner_x, 100 - tile_row * 4.0::DOUBLE AS corner_y, CASE WHEN k % 4 <> 1 THEN 'EPSG:32610' END AS projection FROM t""")
 def write_and_read_tiles(spark, sf):
-    from ..operators import grid
-
+    """Tiles with nodata, geotransform and projection, read back as pixels."""
     path = _scratch(spark)
-    files.write_tiles(demo.orders_raster(spark, sf).select(*KEY, "bands"), path, 16)
-    px = grid.tiles_to_pixels(spark.read.parquet(path))
-    return px.groupBy("scene_id").agg(F.count(F.lit(1)).alias("pixels"), F.sum(F.get("bands", F.lit(0)).cast("decimal(18,2)")).cast("decimal(18,2)").cast("string").alias("total"))
+    files.write_tiles(demo.orders_raster(spark, sf).select(*KEY, "bands"), path, 16, nodata=-1.0, headers=demo.order_headers(spark, sf))
+    tiles = spark.read.parquet(path)
+    px = grid.tiles_to_pixels(tiles).withColumns({"tile_row": F.floor(F.col("y") / 16).cast("int"), "tile_col": F.floor(F.col("x") / 16).cast("int")})
+    sums = px.groupBy("scene_id", "tile_row", "tile_col").agg(F.count(F.lit(1)).alias("pixels"), F.sum(F.get("bands", F.lit(0)).cast("decimal(18,2)")).cast("decimal(18,2)").cast("string").alias("total"))
+    return sums.join(tiles.select("scene_id", "tile_row", "tile_col", "nodata", F.col("gt")[0].alias("corner_x"), F.col("gt")[3].alias("corner_y"), "projection"), ["scene_id", "tile_row", "tile_col"])
 
 
 @register("ras093_new_scenes_stream", "SELECT o_orderkey AS id, o_totalprice / 1024 AS value FROM orders")
@@ -361,9 +504,15 @@ def running_confusion(spark, sf):
     return spark.read.parquet(f"{base}/out")
 
 
-@register("ras128_registry", f"WITH {demo.PX} SELECT scene_id, y, x, v / 2 + 1 AS v FROM px")
+@register("ras128_registry", f"""
+WITH {demo.PX}, m AS (SELECT scene_id, 49 - x AS x, 49 - y AS y, px.v / 2 + 1 AS v, label FROM px)
+SELECT scene_id, count(*) AS n, round(avg(CASE WHEN label = 1 THEN (v > 100001)::INT END), 6) AS recall, round(sum(v * (x + 1)), 1) AS weighted FROM m GROUP BY scene_id""")
 def registry_steps(spark, sf):
+    """Steps, an augmentation and a metric by their names."""
     bands = F.col("bands")
     for spec in ({"scale": {"factor": 2}}, {"offset": {"factor": 1}}):
         bands = registry.make("preprocess", spec, bands)
-    return demo.orders_raster(spark, sf).select(*KEY, F.get(bands, F.lit(0)).alias("v"))
+    px = demo.orders_raster(spark, sf).select(*KEY, F.get(bands, F.lit(0)).alias("v"), "label")
+    px = registry.make("augmentation", {"random_flip": {"width": demo.SIDE, "height": demo.SIDE, "probability": 1.0, "seed": 3}}, px)
+    recall = registry.make("metric", {"recall": {"cls": 1}}, F.col("label"), (F.col("v") > 100001).cast("int"))
+    return px.groupBy("scene_id").agg(F.count(F.lit(1)).alias("n"), F.round(recall, 6).alias("recall"), F.round(F.sum(F.col("v") * (F.col("x") + 1)), 1).alias("weighted"))

@@ -34,6 +34,14 @@ def orders_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def order_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(scene_id, gt, projection, tags) of the orders' scenes, side by side; every fourth has no projection."""
+    k = F.substring("scene_id", 2, 18).cast("int")
+    scenes = orders_raster(spark, sf_dir).select("scene_id").distinct()
+    gt = F.array((k * 25).cast("double"), F.lit(0.5), F.lit(0.0), F.lit(100.0), F.lit(0.0), F.lit(-0.25))
+    return scenes.select("scene_id", gt.alias("gt"), F.when(k % 4 != 1, "EPSG:32610").alias("projection"), F.create_map(F.lit("title"), F.concat(F.lit("scene "), k.cast("string"))).alias("tags"))
+
+
 def probability(bands: Column | str = "bands") -> Column:
     """A made-up score in [0, 1) from the first band."""
     return F.get(bands, F.lit(0)) / 500000

@@ -201,13 +201,19 @@ def centre_crop(spark, sf):
     return sampling.centre_crop(demo.orders_raster(spark, sf).select(*KEY, "label"), demo.SIDE, demo.SIDE, 34, 40)
 
 
-@register("ras010_stack_bands", "SELECT l_orderkey AS px, l_suppkey AS scene_id, string_agg(q, ',' ORDER BY band) AS bands FROM (SELECT l_orderkey, l_suppkey, l_linenumber AS band, max(l_quantity)::BIGINT::VARCHAR AS q FROM lineitem GROUP BY ALL) GROUP BY ALL")
+@register("ras010_stack_bands", """
+WITH f AS (SELECT l_orderkey AS px, l_suppkey AS scene_id, l_linenumber AS band, max(l_quantity)::BIGINT::VARCHAR AS q FROM lineitem GROUP BY ALL),
+n AS (SELECT scene_id, count(DISTINCT n) > 1 AS unequal FROM (SELECT scene_id, band, count(*) // 10 AS n FROM f GROUP BY ALL) GROUP BY scene_id)
+SELECT px, scene_id, string_agg(q, ',' ORDER BY band) AS bands, any_value(unequal) AS unequal FROM f JOIN n USING (scene_id) GROUP BY px, scene_id""")
 def stack_bands(spark, sf):
-    single = demo.table(spark, sf, "lineitem").groupBy("l_orderkey", "l_suppkey", F.col("l_linenumber").alias("band")).agg(F.max("l_quantity").alias("value"))
-    from ..operators.align import stack_bands as stack
+    """With the size check: scenes whose bands hold unequal numbers of (tens of) pixels are marked."""
+    from ..operators import align
 
-    out = stack(single.select(F.col("l_orderkey").alias("px"), F.col("l_suppkey").alias("scene_id"), "band", "value"), ["px", "scene_id"])
-    return out.select("px", "scene_id", F.array_join(F.transform("bands", lambda b: F.floor(b).cast("string")), ",").alias("bands"))
+    single = demo.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("px"), F.col("l_suppkey").alias("scene_id"), F.col("l_linenumber").alias("band")).agg(F.max("l_quantity").alias("value"))
+    files = single.groupBy("scene_id", "band").agg(F.floor(F.count(F.lit(1)) / 10).alias("height"), F.lit(1).alias("width"))
+    unequal = align.unequal_sizes(files, "scene_id", "height", "width").select("scene_id", F.lit(True).alias("_u"))
+    out = align.stack_bands(single, ["px", "scene_id"]).join(unequal, "scene_id", "left")
+    return out.select("px", "scene_id", F.array_join(F.transform("bands", lambda b: F.floor(b).cast("string")), ",").alias("bands"), F.coalesce("_u", F.lit(False)).alias("unequal"))
 
 
 @register("ras011_append_band", f"WITH {demo.PX} SELECT scene_id, y, x, CASE WHEN v <= 100000 THEN -0.5 ELSE v END AS v, CASE WHEN w % 5 = 0 THEN 1.05::DOUBLE ELSE 0.05::DOUBLE * w END AS extra FROM px")
@@ -226,8 +232,14 @@ def read_window(spark, sf):
     return px.select(*KEY, V().alias("first"), W().alias("second"))
 
 
-@register("ras131_scene_metadata", f"WITH {demo.PX} SELECT scene_id, max(y) + 1 AS height, max(x) + 1 AS width, 2 AS n_bands, 8 AS bytes_per_value, count(*) AS pixels FROM px GROUP BY scene_id")
+@register("ras131_scene_metadata", f"""
+WITH {demo.PX}, m AS (SELECT scene_id, substr(scene_id, 2)::INT AS k, max(y) + 1 AS height, max(x) + 1 AS width, count(*) AS pixels FROM px GROUP BY scene_id)
+SELECT scene_id, height, width, 2 AS n_bands, pixels, 'double' AS dtype, 8 AS bytes_per_value, 0.5::DOUBLE AS pixel_x, 0.25::DOUBLE AS pixel_y, (k * 25)::DOUBLE AS min_x, 100 - height * 0.25::DOUBLE AS min_y,
+       k * 25 + width * 0.5::DOUBLE AS max_x, 100.0::DOUBLE AS max_y, 'EPSG:32610' AS projection, 'scene ' || k AS title FROM m WHERE k % 4 <> 1""")
 def scene_metadata(spark, sf):
-    from ..operators.stats import scene_metadata as metadata
+    """Scenes whose header lacks the projection are rejected."""
+    from ..operators import stats
 
-    return metadata(demo.orders_raster(spark, sf))
+    rows = stats.complete_scenes(stats.scene_metadata(demo.orders_raster(spark, sf), demo.order_headers(spark, sf)))
+    b = F.col("bounds")
+    return rows.select("scene_id", "height", "width", "n_bands", "pixels", "dtype", "bytes_per_value", "pixel_x", "pixel_y", *[b[s].alias(s) for s in ("min_x", "min_y", "max_x", "max_y")], "projection", F.col("tags")["title"].alias("title"))

@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import box, footprint, geo_to_pixel, intersection
+from ..functions.pixels import toa_landsat
+
 PIXEL = ["scene_id", "y", "x"]
 
 
 def stack_bands(single: DataFrame, key: list[str]) -> DataFrame:
-    """Rows (key, band, value) to one row per key with ``bands`` in the order of ``band``."""
+    """Rows (key, band, value) to one row per key with ``bands`` in the order of ``band``.
+
+    A key with fewer bands than others shows bands of unequal size: its row is there, with what there is; ``unequal_sizes``
+    names the images that must not be stacked.
+    """
     rows = single.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("band", "value"))).alias("_b"))
     return rows.withColumn("bands", F.transform("_b", lambda b: b["value"])).drop("_b")
 
@@ -40,6 +47,34 @@ def images_equivalent(pairs: DataFrame, checks: list[str], left: str = "a", righ
     return pairs.withColumn("same", same)
 
 
+#: What two images are compared by; each can be switched off.
+CHECKS = ("projection", "dtype", "n_bands", "size", "resolution", "coverage")
+
+
+def comparable(scenes: DataFrame) -> DataFrame:
+    """``scenes`` (gt, width, height, projection, dtype, n_bands) with the struct ``facts`` of CHECKS."""
+    g = F.col("gt")
+    size, resolution = F.struct("width", "height"), F.struct(g[1].alias("x"), g[5].alias("y"))
+    return scenes.withColumn("facts", F.struct("projection", "dtype", "n_bands", size.alias("size"), resolution.alias("resolution"), footprint(g, F.col("width"), F.col("height")).alias("coverage")))
+
+
+def overlap_windows(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """``pairs`` with ``area``, the geo box that two scenes share, and ``a_window`` and ``b_window``, the same in pixels of each.
+
+    ``a`` and ``b`` are structs with gt, width and height. Boxes that only touch share a box without area; disjoint pairs
+    have NULLs. Rasters are north-up.
+    """
+    one, two = F.col(a), F.col(b)
+    area = intersection(footprint(one["gt"], one["width"], one["height"]), footprint(two["gt"], two["width"], two["height"]))
+    rows = pairs.withColumn("area", F.when((area["max_x"] >= area["min_x"]) & (area["max_y"] >= area["min_y"]), area))
+
+    def window(s: Column) -> Column:
+        low, high = geo_to_pixel(s["gt"], F.col("area.min_x"), F.col("area.max_y")), geo_to_pixel(s["gt"], F.col("area.max_x"), F.col("area.min_y"))
+        return F.when(F.col("area").isNotNull(), box(low["x"], low["y"], high["x"], high["y"]))
+
+    return rows.withColumns({"a_window": window(one), "b_window": window(two)})
+
+
 def common_area(boxes: DataFrame, box: str, *keys: str) -> DataFrame:
     """The box that all boxes of a group share; groups without one are left out."""
     b = F.col(box)
@@ -52,6 +87,55 @@ def mosaic(pixels: DataFrame, order: str, key: list[str] = ["gy", "gx"]) -> Data
     return pixels.groupBy(*key).agg(F.max_by("bands", order).alias("bands"))
 
 
+def mosaic_plan(scenes: DataFrame, group: str, order: str) -> DataFrame:
+    """``scenes`` with ``offset_x``, ``offset_y`` in their group's mosaic, its ``total_width`` and ``total_height``, and ``fits``.
+
+    A group's first scene is what the others are compared with, in all of CHECKS but size and coverage; a group with a scene
+    that differs has ``fits`` false throughout. A small table: one row for each scene.
+    """
+    checks = [c for c in CHECKS if c not in ("size", "coverage")]
+    rows = comparable(scenes)
+    b = F.col("facts.coverage")
+    first = rows.groupBy(group).agg(F.min_by("facts", order).alias("_ref"), F.min(b["min_x"]).alias("_x0"), F.max(b["max_y"]).alias("_y0"), F.max(b["max_x"]).alias("_x1"), F.min(b["min_y"]).alias("_y1"))
+    rows = images_equivalent(rows.join(first, group), checks, "facts", "_ref")
+    step_x, step_y = F.abs(F.col("_ref.resolution.x")), F.abs(F.col("_ref.resolution.y"))
+    whole = lambda v: F.round(v).cast("int")
+    rows = rows.withColumns({"offset_x": whole((b["min_x"] - F.col("_x0")) / step_x), "offset_y": whole((F.col("_y0") - b["max_y"]) / step_y), "total_width": whole((F.col("_x1") - F.col("_x0")) / step_x), "total_height": whole((F.col("_y0") - F.col("_y1")) / step_y)})
+    differ = rows.groupBy(group).agg(F.min("same").alias("fits"))
+    return rows.join(differ, group).drop("facts", "_ref", "_x0", "_y0", "_x1", "_y1", "same")
+
+
+def mosaic_scenes(scenes: DataFrame, pixels: DataFrame, group: str, order: str, nodata: float) -> DataFrame:
+    """(group, y, x, bands) of every group whose scenes fit together: placed by geotransform, gaps filled with nodata.
+
+    Where scenes overlap the one that is later in ``order`` wins. ``mosaic_plan`` tells the groups that do not fit.
+    """
+    plan = mosaic_plan(scenes, group, order).filter("fits")
+    placed = pixels.join(plan.select("scene_id", group, order, "offset_x", "offset_y"), "scene_id")
+    found = mosaic(placed.select(group, order, (F.col("y") + F.col("offset_y")).alias("y"), (F.col("x") + F.col("offset_x")).alias("x"), "bands"), order, [group, "y", "x"])
+    sizes = plan.groupBy(group).agg(F.max("total_width").alias("_w"), F.max("total_height").alias("_h"), F.max("n_bands").alias("_n"))
+    cells = sizes.select(group, "_w", "_n", F.explode(F.sequence(F.lit(0), F.col("_h") - 1)).alias("y")).select(group, "_n", "y", F.explode(F.sequence(F.lit(0), F.col("_w") - 1)).alias("x"))
+    gap = F.array_repeat(F.lit(float(nodata)), F.col("_n").cast("int"))
+    return cells.join(found, [group, "y", "x"], "left").select(group, "y", "x", F.coalesce("bands", gap).alias("bands"))
+
+
+def calibrated(pixels: DataFrame, coefficients: DataFrame, sun: DataFrame) -> DataFrame:
+    """``pixels`` with ``bands`` calibrated by their scene's header: temperature for bands that have K1, reflectance for others.
+
+    ``coefficients`` is the table of ``mtl_coefficients``, ``sun`` (scene_id, sun). Both are one row for each scene, or band of
+    one; pixels without a header are left out. Scenes with a missing coefficient get NULL bands there.
+    """
+    tags = {"rmult": "REFLECTANCE_MULT", "radd": "REFLECTANCE_ADD", "mult": "RADIANCE_MULT", "add": "RADIANCE_ADD", "k1": "K1_CONSTANT", "k2": "K2_CONSTANT"}
+    rows = coefficients.groupBy("scene_id").agg(F.sort_array(F.collect_list(F.struct("band", *tags.values()))).alias("_c"))
+
+    def values(tag: str) -> Column:
+        return F.transform("_c", lambda c: c[tag])
+
+    arrays = [values(t).alias(n) for n, t in tags.items()]
+    facts = rows.join(sun, "scene_id").select("scene_id", F.struct(*arrays, F.col("sun").alias("sun_elevation")).alias("_c"))
+    return pixels.join(facts, "scene_id").withColumn("bands", toa_landsat(F.col("bands"), F.col("_c"))).drop("_c")
+
+
 def resample_nearest(target: DataFrame, source: DataFrame, to_source_y: Column, to_source_x: Column) -> DataFrame:
     """For each pixel of ``target`` the source pixel under its centre; NULL outside the source."""
     rows = target.withColumns({"_sy": F.floor(to_source_y).cast("int"), "_sx": F.floor(to_source_x).cast("int")})

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import intersection, pixel_to_geo
 from ..functions.pixels import uniform
 from .grid import box_overlap_join
 
@@ -60,14 +61,15 @@ def header_lines(headers: DataFrame) -> DataFrame:
 
 
 def mtl_coefficients(lines: DataFrame) -> DataFrame:
-    """One row per scene and zero-based band with a column for each of BAND_TAGS."""
+    """One row per scene and zero-based band with a column for each of BAND_TAGS: numbers, but for the file's name."""
     tag = F.regexp_extract("tag", "^(" + "|".join(BAND_TAGS) + ")_BAND_(.+)$", 1)
     suffix = F.regexp_extract("tag", "^(" + "|".join(BAND_TAGS) + ")_BAND_(.+)$", 2)
     band = suffix.try_cast("int") - 1
     for name, place in VCID.items():
         band = F.when(suffix == name, place).otherwise(band)
     rows = lines.select("scene_id", tag.alias("tag"), band.alias("band"), "value").filter("tag <> '' AND band IS NOT NULL")
-    return rows.groupBy("scene_id", "band").pivot("tag", list(BAND_TAGS)).agg(F.first("value"))
+    wide = rows.groupBy("scene_id", "band").pivot("tag", list(BAND_TAGS)).agg(F.min("value"))
+    return wide.withColumns({t: F.col(t).try_cast("double") for t in BAND_TAGS if t != "FILE_NAME"})
 
 
 def scalar_tag(lines: DataFrame, tag: str, out: str) -> DataFrame:
@@ -88,7 +90,8 @@ def landsat_name(name: Column) -> Column:
 
 def worldview_name(name: Column) -> Column:
     p = F.split(name, "_")
-    return F.struct(F.substring(p[0], 1, 4).alias("sensor"), F.substring(F.get(p, F.lit(2)), 6, 9).alias("acquired"))
+    day = F.substring(F.get(p, F.lit(2)), 7, 8)
+    return F.struct(F.substring(p[0], 1, 4).alias("sensor"), F.to_date(F.try_to_timestamp(day, F.lit("yyyyMMdd"))).alias("acquired"))
 
 
 def sensor_bands(sensor: Column) -> Column:
@@ -106,29 +109,47 @@ def elevation_tile_bounds(name: Column) -> Column:
     return F.struct(lon.alias("min_x"), lat.alias("min_y"), (lon + 1).alias("max_x"), (lat + 1).alias("max_y"))
 
 
-def wanted_events(events: DataFrame, name: str, targets: list[str], skips: list[str]) -> DataFrame:
-    """Names that hold any target and no skip word, in any case."""
+def wanted_events(events: DataFrame, name: str, targets: list[str], skips: list[str], downloadable: str | None = None) -> DataFrame:
+    """Names that hold any target and no skip word, in any case; of these those that the column ``downloadable`` allows."""
     low = F.lower(F.col(name))
     words = lambda ws: F.array(*map(F.lit, ws))
-    return events.filter(F.exists(words(targets), lambda w: low.contains(w)) & ~F.exists(words(skips), lambda w: low.contains(w)))
+    rows = events.filter(F.exists(words(targets), lambda w: low.contains(w)) & ~F.exists(words(skips), lambda w: low.contains(w)))
+    return rows if downloadable is None else rows.filter(F.col(downloadable))
 
 
-def wanted_scenes(catalog: DataFrame, pairs: list[tuple[str, str]], existing: DataFrame, least_bands: int = 8) -> DataFrame:
-    """Catalog rows with a wanted (platform, sensor), enough bands (or no such field), not yet there.
+def wanted_scenes(catalog: DataFrame, pairs: list[tuple[str, str]], existing: DataFrame, least_bands: int = 8, names: DataFrame | None = None) -> DataFrame:
+    """Catalog rows with a wanted (platform, sensor) in any case, enough bands (or no such field), not yet there.
 
-    ``summary`` holds ``key:value`` parts between commas, ``fields`` is an array of (name, value).
+    Rows without scene_id, entity_id or summary are out, and with ``names`` (scene_id) all others than these. ``summary``
+    holds ``key:value`` parts between commas, ``fields`` is an array of (name, value).
     """
-    of = lambda key: F.trim(F.regexp_extract("summary", rf"(?i){key}:\s*([^,]*)", 1))
-    rows = catalog.filter("scene_id IS NOT NULL AND scene_id <> '' AND summary IS NOT NULL").withColumns({"platform": of("platform"), "sensor": of("sensor")})
-    rows = rows.filter(F.concat_ws("/", "platform", "sensor").isin([f"{p}/{s}" for p, s in pairs]))
+    of = lambda key: F.trim(F.regexp_extract(F.lower("summary"), rf"{key}:\s*([^,:]*)", 1))
+    rows = catalog
+    for required in ("scene_id", "entity_id", "summary"):
+        rows = rows.filter(F.coalesce(F.col(required), F.lit("")) != "")
+    rows = rows if names is None else rows.join(names.select("scene_id").distinct(), "scene_id", "left_semi")
+    rows = rows.withColumns({"platform": of("platform"), "sensor": of("sensor")})
+    rows = rows.filter(F.concat_ws("/", "platform", "sensor").isin([f"{p}/{s}".lower() for p, s in pairs]))
     bands = F.filter("fields", lambda x: x["name"] == "bands")
     rows = rows.filter((F.size(bands) <= 0) | (F.get(bands, F.lit(0))["value"].try_cast("int") >= least_bands))
     return rows.join(existing.select("scene_id").distinct(), "scene_id", "left_anti")
 
 
-def random_split(paths: DataFrame, path: Column, fraction: float, seed: int) -> DataFrame:
-    """``split``: each path falls to validation with the fraction, by its own hash; a label follows its image's path."""
-    return paths.withColumn("split", F.when(uniform(seed, path) < fraction, "validation").otherwise("train"))
+def stem_of(path: Column) -> Column:
+    """The file's name without folders and extension."""
+    return F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
+
+
+def random_split(paths: DataFrame, path: str, fraction: float, seed: int, include: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """``split``: each path falls to validation with the fraction, by its own hash.
+
+    With ``include`` (stem) only images of these names take part, with ``most`` so many of them, the first by a hash. A label
+    column of ``paths`` (see ``pair_labels``) goes where its image goes.
+    """
+    rows = paths if include is None else paths.join(include.select(F.col("stem").alias("_stem")).distinct(), stem_of(F.col(path)) == F.col("_stem"), "left_semi")
+    if most is not None:
+        rows = rows.orderBy(F.md5(F.concat_ws(":", F.lit(f"{seed}:first"), F.col(path))), path).limit(most)
+    return rows.withColumn("split", F.when(uniform(seed, F.col(path)) < fraction, "validation").otherwise("train"))
 
 
 def mirrored_path(path: Column, base: str, out: str, prefix: str = "", extension: str = ".tiff") -> Column:
@@ -144,6 +165,36 @@ def first_per_scene(matches: DataFrame, scene: str, order: list[str], most: int
     return matches.withColumn("_n", F.row_number().over(Window.partitionBy(scene).orderBy(*order))).filter(F.col("_n") <= most).drop("_n")
 
 
+def scene_labels(scenes: DataFrame, labels: DataFrame, pixels: DataFrame, cell: int, most: int = 12) -> DataFrame:
+    """(scene_id, y, x, label): the label tiles of a scene's date and place, put together on the scene's own grid.
+
+    ``scenes`` has scene_id, gt, width, height, box and date; ``labels`` label_id, label_gt, label_box and date; ``pixels``
+    label_id, y, x, label. Of overlapping tiles the one with the higher id wins; scene pixels that no tile covers are NULL.
+    A scene pixel takes the label under its centre (nearest). Pixels of a label tile meet only scenes that it was chosen for.
+    """
+    chosen = labels_on_date(scenes.select("scene_id", "box", "date"), labels.select("label_id", "label_box", "date"), cell, most)
+    met = chosen.join(scenes.select("scene_id", "gt", "width", "height", F.col("box").alias("_box")), "scene_id").join(labels.select("label_id", "label_gt", "label_box"), "label_id")
+    # the part of the scene's grid whose centres lie in the tile
+    both = intersection(F.col("_box"), F.col("label_box"))
+
+    def index(geo: Column, origin: int, step: int) -> Column:
+        return (geo - F.col("gt")[origin]) / F.col("gt")[step]
+
+    xs, ys = [index(both["min_x"], 0, 1), index(both["max_x"], 0, 1)], [index(both["min_y"], 3, 5), index(both["max_y"], 3, 5)]
+    first = lambda v, size: F.greatest(F.lit(0), F.ceil(F.least(*v) - 0.5))
+    last = lambda v, size: F.least(F.col(size), F.ceil(F.greatest(*v) - 0.5)) - 1
+    rows = met.withColumns({"_x0": first(xs, "width"), "_x1": last(xs, "width"), "_y0": first(ys, "height"), "_y1": last(ys, "height")}).filter("_x1 >= _x0 AND _y1 >= _y0")
+    rows = rows.withColumn("y", F.explode(F.sequence("_y0", "_y1"))).withColumn("x", F.explode(F.sequence("_x0", "_x1")))
+    here = pixel_to_geo(F.col("gt"), F.col("x") + 0.5, F.col("y") + 0.5)
+    t = F.col("label_gt")
+    rows = rows.select("scene_id", "label_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.floor((here["gx"] - t[0]) / t[1]).cast("int").alias("_sx"), F.floor((here["gy"] - t[3]) / t[5]).cast("int").alias("_sy"))
+    source = pixels.select("label_id", F.col("y").alias("_sy"), F.col("x").alias("_sx"), "label").filter("label IS NOT NULL")
+    found = rows.join(source, ["label_id", "_sy", "_sx"]).groupBy("scene_id", "y", "x").agg(F.max_by("label", "label_id").alias("label"))
+    grid = scenes.select("scene_id", "width", F.explode(F.sequence(F.lit(0), F.col("height").cast("int") - 1)).alias("y"))
+    grid = grid.select("scene_id", "y", F.explode(F.sequence(F.lit(0), F.col("width").cast("int") - 1)).alias("x"))
+    return grid.join(found, ["scene_id", "y", "x"], "left")
+
+
 def labels_on_date(scenes: DataFrame, labels: DataFrame, cell: int, most: int = 12) -> DataFrame:
     """(scene_id, label_id): label tiles whose box overlaps the scene's on its date, at most ``most`` for each scene.
 

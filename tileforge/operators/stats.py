@@ -5,11 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import footprint
 
-def scene_metadata(pixels: DataFrame) -> DataFrame:
-    """Size, bands and pixel count of each scene that has all of them."""
-    rows = pixels.groupBy("scene_id").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"), F.max(F.size("bands")).alias("n_bands"), F.lit(8).alias("bytes_per_value"), F.count(F.lit(1)).alias("pixels"))
-    return rows.filter("height IS NOT NULL AND width IS NOT NULL AND n_bands > 0")
+
+#: Bytes of a value, by the Spark type of the array of bands.
+BYTES = {"tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 4, "double": 8}
+REQUIRED = ("height", "width", "n_bands", "dtype", "pixel_x", "pixel_y", "bounds", "projection")
+
+
+def scene_metadata(pixels: DataFrame, headers: DataFrame) -> DataFrame:
+    """One row for each scene: size, bands, type and bytes of a value, pixel size, bounds, projection, tags and pixel count.
+
+    ``headers`` has scene_id, gt, projection and tags (map). Scenes without a header, or with an item of REQUIRED missing, are
+    there too; ``complete`` tells them apart.
+    """
+    kind = pixels.schema["bands"].dataType.elementType.simpleString()
+    rows = pixels.groupBy("scene_id").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"), F.max(F.size("bands")).alias("n_bands"), F.count(F.lit(1)).alias("pixels"))
+    rows = rows.withColumns({"dtype": F.lit(kind), "bytes_per_value": F.lit(BYTES.get(kind))}).join(headers.select("scene_id", "gt", "projection", "tags"), "scene_id", "left")
+    g = F.col("gt")
+    rows = rows.withColumns({"pixel_x": F.abs(F.get(g, F.lit(1))), "pixel_y": F.abs(F.get(g, F.lit(5))), "bounds": F.when(F.size(g) == 6, footprint(g, F.col("width"), F.col("height")))}).drop("gt")
+    complete = F.col("n_bands") > 0
+    for c in REQUIRED:
+        complete = complete & F.col(c).isNotNull()
+    return rows.withColumn("complete", complete)
+
+
+def complete_scenes(metadata: DataFrame) -> DataFrame:
+    return metadata.filter("complete").drop("complete")
 
 
 def band_statistics(pixels: DataFrame) -> DataFrame:

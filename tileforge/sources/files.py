@@ -54,10 +54,32 @@ def label_ids(lines: DataFrame, value: str = "value") -> DataFrame:
     return lines.filter(F.trim(p[0]).try_cast("int").isNotNull()).select(F.trim(F.get(p, F.lit(1))).alias("label_id"))
 
 
-def read_headers(spark: SparkSession, path: str) -> DataFrame:
-    """(scene_id, text): whole text files; the scene is the file's stem."""
-    rows = spark.read.text(path, wholetext=True).withColumn("_path", F.input_file_name())
-    return rows.select(F.regexp_extract("_path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("scene_id"), F.col("value").alias("text"))
+def read_headers(spark: SparkSession, path: str, level: int = 0) -> DataFrame:
+    """(scene_id, text): whole text files below the folder; the scene is the file's stem, or the name of a folder ``level`` above it."""
+    rows = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).withColumn("_path", F.input_file_name())
+    parts = F.split("_path", "/")
+    name = F.regexp_extract("_path", r"([^/]+?)(?:\.[^./]*)?$", 1) if level == 0 else F.element_at(parts, -1 - level)
+    return rows.select(name.alias("scene_id"), F.col("value").alias("text"))
+
+
+def write_files(files: DataFrame, folder: str) -> DataFrame:
+    """Writes each row's ``content`` to ``folder``/``path`` from the task that holds it; gives (path, length) when acted on.
+
+    A task that runs again writes the same bytes under the same names. Any store that Arrow knows by its address will do.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        for f in frames:
+            for path, content in zip(f["path"], f["content"]):
+                store.create_dir(f"{base}/{path}".rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(f"{base}/{path}") as out:
+                    out.write(content)
+            yield pd.DataFrame({"path": f["path"], "length": [len(c) for c in f["content"]]})
+
+    return files.select("path", "content").mapInPandas(run, "path string, length long")
 
 
 def read_shapes(spark: SparkSession, path: str) -> DataFrame:
@@ -87,6 +109,8 @@ def _tiles(spark: SparkSession, directory: str, extension: str, decode, rows_per
                 scene = path.rsplit("/", 1)[-1][: -len(extension)]
                 try:
                     image = decode(content)
+                    if not image.size:
+                        out.append((scene, 0, 0, 0, 0, 0, 0, 0, None, "no pixels"))
                     for k, y in enumerate(range(0, image.shape[0], rows_per_tile)):
                         part = image[y : y + rows_per_tile]
                         out.append((scene, k, 0, 0, y, image.shape[1], y + len(part), image.shape[2], part.reshape(-1).astype("float32"), None))
@@ -108,7 +132,7 @@ def read_npy(spark: SparkSession, directory: str, rows_per_tile: int = 256) -> D
 
 
 def read_elevation(spark: SparkSession, directory: str, side: int = HGT_SIDE, rows_per_tile: int = 256) -> DataFrame:
-    """Big-endian 16-bit elevation grids as tiles of whole rows; nodata becomes NaN."""
+    """Big-endian 16-bit elevation grids as tiles of whole rows; nodata becomes NaN. See ``elevation_bounds`` for their place."""
 
     def decode(content: bytes) -> np.ndarray:
         a = np.frombuffer(content, ">i2").reshape(side, side, 1).astype("float32")
@@ -117,8 +141,18 @@ def read_elevation(spark: SparkSession, directory: str, side: int = HGT_SIDE, ro
     return _tiles(spark, directory, ".hgt", decode, rows_per_tile)
 
 
+def elevation_bounds(tiles: DataFrame, side: int = HGT_SIDE) -> DataFrame:
+    """``tiles`` of ``read_elevation`` with the geo box of their degree, by the file's name, and the size of a pixel in degrees."""
+    from ..operators.catalog import elevation_tile_bounds
+
+    return tiles.withColumns({"bounds": elevation_tile_bounds(F.col("scene_id")), "pixel_size": F.lit(1.0 / (side - 1))})
+
+
 def unpack(spark: SparkSession, directory: str, limit: int | None = None) -> DataFrame:
-    """(archive, member, content, error) of zip and tar files; a bad archive is a row with its error."""
+    """(archive, member, content, error) of zip and tar files; a bad archive is a row with its error.
+
+    ``unpacked_paths`` gives where a member belongs in an output tree that mirrors the input's.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory)
     files = files if limit is None else files.orderBy("path").limit(limit)
 
@@ -140,13 +174,25 @@ def unpack(spark: SparkSession, directory: str, limit: int | None = None) -> Dat
     return files.select("path", "content").mapInPandas(run, "archive string, member string, content binary, error string")
 
 
-def invalid_inputs(files: DataFrame, tiles: DataFrame) -> DataFrame:
-    """(scene_id, reason): empty files, unreadable ones, and images without rows or columns."""
+def unpacked_paths(members: DataFrame, directory: str) -> DataFrame:
+    """``members`` of ``unpack`` with ``path``: the archive's folders below ``directory``, one of its own stem, and the member's name."""
+    rel = F.substring_index("archive", directory.rstrip("/").rsplit("/", 1)[-1] + "/", -1)
+    return members.withColumn("path", F.concat_ws("/", F.regexp_replace(rel, r"(\.tar)?\.[^./]*$", ""), "member"))
+
+
+def invalid_inputs(files: DataFrame, tiles: DataFrame, expected: DataFrame | None = None) -> DataFrame:
+    """(scene_id, reason): empty files, unreadable ones, images without rows or columns, and those of ``expected`` (scene_id) that are not there.
+
+    Spark's listings leave files of 0 bytes out, so with these they are missing; lists from elsewhere may give their length.
+    """
     scene = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("scene_id")
     empty = files.filter("length = 0").select(scene, F.lit("empty").alias("reason"))
     bad = tiles.filter("error IS NOT NULL").select("scene_id", F.col("error").alias("reason"))
     flat = tiles.filter("error IS NULL").groupBy("scene_id").agg(F.max("max_x").alias("w"), F.max("max_y").alias("h")).filter("w <= 0 OR h <= 0").select("scene_id", F.lit("no pixels").alias("reason"))
-    return empty.unionByName(bad.join(empty, "scene_id", "left_anti")).unionByName(flat)
+    out = empty.unionByName(bad.join(empty, "scene_id", "left_anti")).unionByName(flat)
+    if expected is not None:
+        out = out.unionByName(expected.select("scene_id").distinct().join(files.select(scene), "scene_id", "left_anti").select("scene_id", F.lit("missing").alias("reason")))
+    return out
 
 
 def block_side(side: int, other: int) -> int:
@@ -154,8 +200,18 @@ def block_side(side: int, other: int) -> int:
     return side if max(side, other) <= 100 else min(max(1, side // 16) * 16, 1024)
 
 
-def write_tiles(pixels: DataFrame, path: str, tile: int = 256, mode: str = "overwrite") -> None:
-    """Parquet tiles, a folder for each scene; rows are dealt by scene and tile row, so a giant scene takes many tasks."""
+def write_tiles(pixels: DataFrame, path: str, tile: int = 256, mode: str = "overwrite", nodata: float | None = None, headers: DataFrame | None = None) -> None:
+    """Parquet tiles, a folder for each scene; rows are dealt by scene and tile row, so a giant scene takes many tasks.
+
+    A raster with a side above 100 is cut into blocks of a multiple of 16 (``block_side`` of ``tile``); edge blocks may be
+    short. Every tile carries the nodata value and, of ``headers`` (scene_id, gt, projection, tags), its scene's metadata,
+    the geotransform moved to the tile's corner.
+    """
     from ..operators.grid import pixels_to_tiles
 
-    pixels_to_tiles(pixels, tile, tile).repartition("scene_id", "tile_row").write.mode(mode).partitionBy("scene_id").parquet(path)
+    tiles = pixels_to_tiles(pixels, block_side(tile, tile), block_side(tile, tile)).withColumn("nodata", F.lit(nodata).cast("double"))
+    if headers is not None:
+        g = F.col("gt")
+        moved = F.array(g[0] + F.col("min_x") * g[1], g[1], g[2], g[3] + F.col("min_y") * g[5], g[4], g[5])
+        tiles = tiles.join(headers.select("scene_id", "gt", "projection", "tags"), "scene_id", "left").withColumn("gt", F.when(F.size(g) == 6, moved))
+    tiles.repartition("scene_id", "tile_row").write.mode(mode).partitionBy("scene_id").parquet(path)
