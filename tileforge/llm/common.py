@@ -18,7 +18,7 @@ BROADCAST_BYTES = 16 << 20
 KEY_ROWS, HOT_KEYS = 500, 20_000
 
 #: Rows that one bucket of a running sum aims at.
-BUCKET_ROWS = 2_000
+BUCKET_ROWS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
