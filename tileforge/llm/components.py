@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import stored
 
 
 def _least_neighbour(pairs: DataFrame) -> DataFrame:
@@ -14,7 +14,7 @@ def _least_neighbour(pairs: DataFrame) -> DataFrame:
     The least ones are stored, too: both sides of the join are then plain shuffles, of which adaptive execution cuts the
     part that holds a hub's neighbours into several. They are never broadcast: each round would leave a copy on the driver.
     """
-    least = durable(pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
+    least = stored(pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
     return pairs.join(least.hint("merge"), "u")
 
 
@@ -23,17 +23,17 @@ def connected(links: DataFrame, a: str, b: str) -> DataFrame:
 
     Each round makes large stars, then small stars, and ends where nothing changes; the number of rounds grows with the
     logarithm of the longest chain. A round's aggregations combine before they shuffle, and its joins can be cut
-    at hubs, so that no node's neighbours have to meet in one task. Every step is checkpointed.
+    at hubs, so that no node's neighbours have to meet in one task. Every step is a stored table.
     """
-    edges = durable(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
+    edges = stored(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
     nodes = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
     state = None
     while True:
         both = edges.union(edges.select("v", "u"))
-        large = durable(_least_neighbour(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        large = stored(_least_neighbour(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
         starred = _least_neighbour(large)
         small = starred.select(F.col("v").alias("u"), F.col("m").alias("v")).union(starred.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        edges = durable(small)
+        edges = stored(small)
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if now == state:
             break
