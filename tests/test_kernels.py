@@ -8,6 +8,16 @@ from tileforge.functions import kernels as K
 from tileforge.operators import scoring
 
 
+def inside_polygon(x, y, rings):
+    """Even-odd rule over all edges of all rings, point by point."""
+    odd = np.zeros(x.shape, bool)
+    for ring in rings:
+        for (ax, ay), (bx, by) in zip(ring, np.roll(ring, -1, axis=0)):
+            if ay != by:
+                odd ^= ((ay > y) != (by > y)) & (x < (bx - ax) * (y - ay) / (by - ay) + ax)
+    return odd
+
+
 def test_distance():
     rng = np.random.default_rng(1)
     mask = rng.random((9, 7)) < 0.2
@@ -160,7 +170,7 @@ def test_polygon_kernel_agrees_with_columns(spark):
     got = {(r.y, r.x) for r in regions.shape_pixels(shapes, 10, 10).collect()}
     y, x = np.mgrid[:10, :10] + 0.5
     rings = [np.array([(1, 1), (9, 2), (7, 9), (2, 8)]), np.array([(3, 3), (6, 3), (6, 6), (3, 6)])]
-    assert got == set(zip(*map(lambda a: a.tolist(), np.nonzero(K.inside_polygon(x, y, rings)))))
+    assert got == set(zip(*map(lambda a: a.tolist(), np.nonzero(inside_polygon(x, y, rings)))))
 
 
 def test_scan_lines_agree_with_the_polygon_kernel(spark):
@@ -175,7 +185,7 @@ def test_scan_lines_agree_with_the_polygon_kernel(spark):
         for poly in range(2):
             parts = [rng.uniform(-4, 26, (rng.integers(3, 7), 2)).round(rng.integers(0, 2)) for _ in range(rng.integers(1, 3))]
             own += [(poly, k > 0, [tuple(map(float, p)) for p in part]) for k, part in enumerate(parts)]
-            inside |= K.inside_polygon(x, y, parts)
+            inside |= inside_polygon(x, y, parts)
         rings.append(("a", shape, own))
         want |= {(shape, int(v), int(u)) for v, u in zip(*np.nonzero(inside))}
     df = spark.createDataFrame(rings, "scene_id string, shape_id long, rings array<struct<poly:int,hole:boolean,pts:array<struct<x:double,y:double>>>>")
@@ -197,3 +207,40 @@ def test_large_and_small_boxes_meet_once(spark):
     got = [tuple(r) for r in grid.box_overlap_join(spark.createDataFrame(left, f"i int, a {box}"), spark.createDataFrame(right, f"j int, b {box}"), "a", "b", 16).select("i", "j").collect()]
     want = {(i, j) for i, a in left for j, b in right if min(a[2], b[2]) > max(a[0], b[0]) and min(a[3], b[3]) > max(a[1], b[1])}
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 200
+
+
+def test_turned_tiles_equal_turned_pixels(spark):
+    """The kernel on whole tiles, by ``map_tiles``, and the operator on pixels; labels turn with the image."""
+    import hashlib
+
+    from tileforge.operators import sampling
+
+    angle = lambda scene: (2 * int(hashlib.md5(f"3:angle:{scene}".encode()).hexdigest()[:8], 16) / 4294967296 - 1) * 40
+    rows = [(s, y, x, float(100 * y + x), y * 7 + x) for s in ("a", "b") for y in range(9) for x in range(12)]
+    px = spark.createDataFrame(rows, "scene_id string, y int, x int, value double, label int")
+    got = {(r.scene_id, r.y, r.x): (r.value, r.label) for r in sampling.rotated(px, 12, 9, 40, 3).collect()}
+    tiles = spark.createDataFrame([(s, 9, 12, 2, [v for _, y, x, a, b in rows if _ == s for v in (a, float(b))]) for s in ("a", "b")], "scene_id string, height int, width int, n_bands int, data array<double>")
+    turned = sampling.map_tiles(tiles, lambda image, scene: K.rotate(image, angle(scene)))
+    for r in turned.collect():
+        image = np.array(r.data).reshape(9, 12, 2)
+        assert all(got[(r.scene_id, y, x)] == (image[y, x, 0], image[y, x, 1]) for y in range(9) for x in range(12))
+    assert len(got) == len(rows) and any(got[(s, y, x)] != (v, n) for s, y, x, v, n in rows)
+
+
+def test_crops_and_pads(spark):
+    from tileforge.operators import sampling
+
+    px = spark.createDataFrame([("a", y, x, 10 * y + x) for y in range(4) for x in range(6)], "scene_id string, y int, x int, label int")
+    assert sorted(tuple(r)[1:] for r in sampling.centre_crop(px, 6, 4, 2, 2).collect()) == [(0, 0, 12), (0, 1, 13), (1, 0, 22), (1, 1, 23)]
+    padded = {(r.y, r.x): r.label for r in sampling.centre_crop(px, 6, 4, 8, 6, {"label": 0}).collect()}
+    assert len(padded) == 48 and padded[(0, 0)] == 0 and padded[(1, 1)] == 0 and padded[(1, 2)] == 1 and padded[(4, 6)] == 35
+
+
+def test_positions_are_gapless_whatever_the_number_of_parts(spark, monkeypatch):
+    from tileforge.operators import sampling
+
+    samples = spark.range(3000).withColumnRenamed("id", "k")
+    one = {r.k: r.position for r in sampling.numbered(samples, sampling.shuffle_key(1, 2, "k"), ["k"]).collect()}
+    monkeypatch.setattr(sampling, "ORDERED", 10)
+    many = {r.k: r.position for r in sampling.numbered(samples, sampling.shuffle_key(1, 2, "k"), ["k"]).collect()}
+    assert one == many and sorted(one.values()) == list(range(3000))

@@ -61,18 +61,6 @@ def run_model(model: Callable[[np.ndarray], np.ndarray], image: np.ndarray, patc
     return out
 
 
-def inside_polygon(x: np.ndarray, y: np.ndarray, rings: list[np.ndarray]) -> np.ndarray:
-    """Even-odd rule over all edges of all rings; points are pixel centres."""
-    odd = np.zeros(x.shape, bool)
-    for ring in rings:
-        a, b = ring, np.roll(ring, -1, axis=0)
-        for (ax, ay), (bx, by) in zip(a, b):
-            if ay != by:
-                cross = ((ay > y) != (by > y)) & (x < (bx - ax) * (y - ay) / (by - ay) + ax)
-                odd ^= cross
-    return odd
-
-
 def gaussian(sigma: float, reach: float = 4.0) -> np.ndarray:
     k = int(reach * sigma + 0.5)
     g = np.exp(-0.5 * (np.arange(-k, k + 1) / sigma) ** 2)
