@@ -83,15 +83,19 @@ def bloom_of(keys: DataFrame, most_bits: int = MOST_BITS) -> np.ndarray:
     return out
 
 
+def held(bloom: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the keys the filter lets pass."""
+    at = probes(keys, 32 * len(bloom))
+    return ((bloom[(at >> np.uint64(5)).astype(np.int64)] >> (at & np.uint64(31)).astype(np.uint32)) & 1).all(axis=0)
+
+
 def possibly_in(spark: SparkSession, bloom: np.ndarray) -> Column:
     """A function that tests a long column against the filter."""
     shared = spark.sparkContext.broadcast(bloom)
 
     @F.pandas_udf("boolean")
     def test(keys: pd.Series) -> pd.Series:
-        words = shared.value
-        at = probes(keys.to_numpy(np.int64), 32 * len(words))
-        return pd.Series(((words[(at >> np.uint64(5)).astype(np.int64)] >> (at & np.uint64(31)).astype(np.uint32)) & 1).all(axis=0))
+        return pd.Series(held(shared.value, keys.to_numpy(np.int64)))
 
     return test
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import durable, hot_join, small, table
 from .components import connected
-from .exact import possibly_of, rows_without
+from .exact import bloom_of, held, key_hash, rows_without
 
 #: Words of a shingle, and the least Jaccard index in percent, of the registered query; near-duplicate stages elsewhere take their own.
 SHINGLE, PERCENT = 4, 85
@@ -38,6 +38,8 @@ ORDERS = 3
 #: Most sets and tokens that meet in one task, and most blocks that a larger family is cut into. Families of up to a few sets
 #: share tasks, some so many sets in each.
 FAMILY_SETS, FAMILY_TOKENS, MOST_BLOCKS, FEW, BIN_SETS = 2048, 1_500_000, 64, 16, 256
+#: Tokens after which a task hands on what it has.
+BATCH_TOKENS = 200_000
 
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -238,20 +240,30 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     bins = max(1, members.filter("few").count() // min(BIN_SETS, family_sets))
     members = members.withColumn("part", F.when(F.col("few"), F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(F.col("root"))).drop("root", "few", "name")
 
+    # of each set the text of one row is read again: rows that a Bloom filter of these rows' keys rules out are not looked at
+    wanted = spark.sparkContext.broadcast(bloom_of(members.select(key_hash("_doc").alias("key"))))
+
     def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
+
+        def out(names: list[bytes], sets: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["set_key", "set"])
+
         for b in batches:
-            names, sets = [], []
-            for t in b.column(0).to_pylist():
-                s = shingle_set(t, size)
+            names, sets, tokens = [], [], 0
+            for k in np.flatnonzero(held(wanted.value, b.column(0).to_numpy(zero_copy_only=False))):
+                s = shingle_set(b.column(1)[int(k)].as_py(), size)
                 if len(s) and (name := set_key(s)) not in seen:
                     seen.add(name)
                     names.append(name)
                     sets.append(s.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["set_key", "set"])
+                    tokens += len(s)
+                if tokens > BATCH_TOKENS:
+                    yield out(names, sets)
+                    names, sets, tokens = [], [], 0
+            yield out(names, sets)
 
-    # of each set the text of one row is read again: rows that a Bloom filter of these rows' keys rules out are not looked at
-    hits = docs.filter(possibly_of(docs, key, members.select("_doc"))).select(text).mapInArrow(tokens_of, "set_key binary, `set` array<long>")
+    hits = docs.select(key_hash(key).alias("_hash"), text).mapInArrow(tokens_of, "set_key binary, `set` array<long>")
     kept = hits.join(small(durable(members.select("set_key", "part", "blocks"))), "set_key")
     p = [f"p{k}" for k in range(1, orders + 1)]
 
