@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -83,6 +86,17 @@ def hot_join(rows: DataFrame, facts: DataFrame, on: str, count: str, spread: lis
     return left.join(right, [on, "_salt"]).drop("_salt", "_parts")
 
 
+def text_slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of whole rows with at most ``most`` bytes of text each (a longer text is alone)."""
+    texts = batch.column(column)
+    ends = np.frombuffer(texts.buffers()[1], np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def unit_hash(*parts: Column | str, digits: int = 12) -> Column:
     """A uniform number in (0, 1) from md5 over the parts, joined with colons; null parts read ``~``.
 

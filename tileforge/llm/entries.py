@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact, licenses, mixing, ngram_join, packing, quality, secrets, sharding, toxicity
+from . import chat, exact, licenses, mixing, ngram_join, packing, quality, resampling, secrets, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_documents": sharding.op1_shard_documents,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_exact_dedup": exact.op10_exact_dedup,
+    "op11_importance_resampling": resampling.op11_importance_resampling,
 }
 
 SQL: dict[str, str] = {
@@ -29,4 +30,5 @@ SQL: dict[str, str] = {
     "op8_quality_rules": quality.OP8_SQL,
     "op9_license_scan": licenses.OP9_SQL,
     "op10_exact_dedup": exact.OP10_SQL,
+    "op11_importance_resampling": resampling.OP11_SQL,
 }
