@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact, licenses, mixing, ngram_join, packing, quality, resampling, secrets, sharding, toxicity
+from . import chat, divergence, exact, licenses, mixing, ngram_join, packing, quality, resampling, secrets, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_documents": sharding.op1_shard_documents,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": licenses.op9_license_scan,
     "op10_exact_dedup": exact.op10_exact_dedup,
     "op11_importance_resampling": resampling.op11_importance_resampling,
+    "op12_source_divergence": divergence.op12_source_divergence,
 }
 
 SQL: dict[str, str] = {
@@ -31,4 +32,5 @@ SQL: dict[str, str] = {
     "op9_license_scan": licenses.OP9_SQL,
     "op10_exact_dedup": exact.OP10_SQL,
     "op11_importance_resampling": resampling.OP11_SQL,
+    "op12_source_divergence": divergence.OP12_SQL,
 }
