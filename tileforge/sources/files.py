@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import tarfile
 import tempfile
 import zipfile
@@ -27,6 +28,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder or tempfile.mkdtemp(prefix="spark-scratch-")
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` as a full address; one without a scheme belongs to the cluster's default file system."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def store_of(address: str):
+    """(Arrow file system, path in it) of a full address, inside a task."""
+    from pyarrow import fs
+
+    local = re.match(r"file:/*(/.*)", address)
+    return (fs.LocalFileSystem(), local[1]) if local else fs.FileSystem.from_uri(address)
+
+
 def discover(spark: SparkSession, directory: str, image_type: str = "tiff", extension: str | None = None) -> DataFrame:
     """(path, length) of all files below the folder whose name ends with the extension; contents are not read."""
     extension = extension or EXTENSIONS[image_type]
@@ -65,13 +81,13 @@ def read_headers(spark: SparkSession, path: str, level: int = 0) -> DataFrame:
 def write_files(files: DataFrame, folder: str) -> DataFrame:
     """Writes each row's ``content`` to ``folder``/``path`` from the task that holds it; gives (path, length) when acted on.
 
-    A task that runs again writes the same bytes under the same names. Any store that Arrow knows by its address will do.
+    A task that runs again writes the same bytes under the same names. Any store that Arrow knows by its address will do;
+    a folder without a scheme is one of the cluster's default file system, as for Spark's own readers.
     """
+    address = qualified(files.sparkSession, folder)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        store, base = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        store, base = store_of(address)
         for f in frames:
             for path, content in zip(f["path"], f["content"]):
                 store.create_dir(f"{base}/{path}".rsplit("/", 1)[0], recursive=True)
