@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, divergence, exact, licenses, mixing, ngram_join, packing, quality, resampling, secrets, sharding, toxicity
+from . import chat, divergence, exact, licenses, mixing, ngram_join, packing, quality, resampling, secrets, sharding, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_documents": sharding.op1_shard_documents,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_dedup": exact.op10_exact_dedup,
     "op11_importance_resampling": resampling.op11_importance_resampling,
     "op12_source_divergence": divergence.op12_source_divergence,
+    "op13_warc_packages": warc.op13_warc_packages,
 }
 
 SQL: dict[str, str] = {
@@ -33,4 +34,5 @@ SQL: dict[str, str] = {
     "op10_exact_dedup": exact.OP10_SQL,
     "op11_importance_resampling": resampling.OP11_SQL,
     "op12_source_divergence": divergence.OP12_SQL,
+    "op13_warc_packages": warc.OP13_SQL,
 }
