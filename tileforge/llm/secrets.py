@@ -4,7 +4,7 @@ Tokens are runs of the characters that secrets are made of. The field tags them
 secret; its features are the token's shape, the neighbouring words, the characters between them and the file's make-up. It
 is trained on a bounded sample of the corpus into which made-up secrets of many forms are planted, so that it learns what
 secrets look like in these texts and not what the base patterns match; look-alikes (addresses, numbers, dates, paths) are
-planted as plain text. A tag I follows B or I only. Decoding is by Viterbi over whole texts: where the emission for O leads
+planted as plain text; so are file names, checksums, versions and identifiers of many kinds. A tag I follows B or I only. Decoding is by Viterbi over whole texts: where the emission for O leads
 by more than all other scores together could make up, every best path is at O, so the chain falls apart there and only the
 short stretches in between are searched.
 """
@@ -15,7 +15,7 @@ import hashlib
 import random
 import re
 import string
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,7 +35,7 @@ KEYWORDS = ("password", "passwd", "secret", "token", "api")
 
 #: Documents expected in the training sample, characters of each that are used, secrets and look-alikes planted into all of
 #: them together, and tokens on each side of a training window's middle.
-SAMPLE_DOCS, SAMPLE_CHARS, PLANTED, SIDE = 800, 4000, 1200, 5
+SAMPLE_DOCS, SAMPLE_CHARS, PLANTED, SIDE = 800, 4000, 2000, 5
 O, B, I = 0, 1, 2
 #: Parts of words that often stand before a secret.
 STEMS = ("pass", "pwd", "secret", "token", "key", "auth", "bearer", "cred", "private")
@@ -53,9 +53,14 @@ _QUOTE, _ASSIGN, _CODE = (np.zeros(256, bool) for _ in range(3))
 _QUOTE[list(b"\"'`")] = True
 _ASSIGN[list(b"=:")] = True
 _CODE[list(b"{}[]()<>;=#$@|\\\"")] = True
+_JOIN, _SPACE = np.zeros(256, bool), np.zeros(256, bool)
+_JOIN[list(b"!$%&*~^")] = True
+_SPACE[list(b" \t\n\r\x0b\x0c")] = True
 _LENGTHS = np.array([4, 8, 12, 16, 20, 32, 40, 64])
+#: Lengths of rough stretches, which change between digits and letters or to capitals very often.
+_ROUGH = np.array([1, 8, 10, 12, 16, 20, 28])
 #: Feature groups: name and number of values. A token has one value of each.
-GROUPS = {"length": 9, "classes": 32, "hexlike": 10, "digit_turns": 8, "case_turns": 8, "signs": 6, "longest_word": 8, "run": 6, "word_before": 4, "second_before": 4, "gap": 16, "after": 3, "file_odd": 4, "file_code": 4, "file_lines": 4}
+GROUPS = {"length": 9, "classes": 32, "hexlike": 10, "digit_turns": 8, "case_turns": 8, "signs": 6, "longest_word": 8, "run": 6, "word_before": 4, "second_before": 4, "gap": 16, "after": 4, "rough": 8, "pieces": 7, "address": 3, "ending": 3, "joined": 3, "checksum": 2, "file_odd": 4, "file_code": 4, "file_lines": 4}
 _OFFSETS = dict(zip(GROUPS, np.cumsum([0, *GROUPS.values()])))
 FEATURES = sum(GROUPS.values())
 _BAN = -1e9
@@ -143,17 +148,58 @@ def tokens_of(data: bytes, ends: np.ndarray) -> Tokens:
     between = lambda flags: (lambda sums: sums[start] > sums[left])(np.concatenate([[0], np.cumsum(flags, dtype=np.int32)]))
     f[:, 10] = between(_ASSIGN[raw]) + 2 * between(_QUOTE[raw]) + 4 * between(raw == 10) + 8 * (start - left > 4)
     after = raw[np.minimum(len(raw) - 1, end)]
-    f[:, 11] = np.where(_QUOTE[after], 1, np.where((after == 32) | (after == 10), 0, 2))
+    f[:, 11] = np.select([_QUOTE[after], (after == 32) | (after == 10), after == 64], [1, 0, 3], 2)
+    # pieces between signs: how many, and how long the longest rough one is
+    pure = np.concatenate([[False], (kind != _GAP) & (kind != _SIGN), [False]])
+    piece = np.flatnonzero(pure[1:] != pure[:-1])
+    of = np.searchsorted(start, piece[::2], side="right") - 1
+    here, last = kind[1:], kind[:-1]
+    change = ((here == _DIGIT) & (last <= _UPPER)) | ((last == _DIGIT) & (here <= _UPPER)) | ((here == _UPPER) & (last == _LOWER))
+    sums = np.concatenate([[0, 0], np.cumsum(change, dtype=np.int32)])
+    wide_ = piece[1::2] - piece[::2]
+    changes = sums[piece[1::2]] - sums[piece[::2] + 1]
+    rough = np.zeros(n, np.int64)
+    np.maximum.at(rough, of, np.where(changes >= np.maximum(2, 0.2 * wide_), wide_, 0))
+    f[:, 12] = np.searchsorted(_ROUGH, rough, side="right")
+    f[:, 13] = np.minimum(6, np.bincount(of, minlength=n))
+    # tokens without white space between them form one word; of an address its host and path, and what follows these
+    apart = first | between(_SPACE[raw])
+    word = np.cumsum(apart) - 1
+    slashes = (length > 2) & (raw[start] == 47) & (raw[np.minimum(len(raw) - 1, start + 1)] == 47)
+    opened = np.full(word[-1] + 1, n)
+    np.minimum.at(opened, word[slashes], np.flatnonzero(slashes))
+    f[:, 14] = np.where(np.arange(n) < opened[word], 0, np.where(slashes, 1, 2))
+    # a name with an extension of two to four letters, or with a version's digits at its end
+    dot = np.zeros(n, bool)
+    for back in (3, 4, 5):
+        dot |= (length > back) & (raw[np.maximum(0, end - back)] == 46)
+    f[:, 15] = np.where(dot, 1, np.where((digit > 0) & (kind[end - 1] == _DIGIT) & (sign > 0), 2, 0))
+    single = (start - left == 1) & ~first
+    f[:, 16] = np.where(single & _JOIN[raw[np.maximum(0, start - 1)]], 1, 0) + np.where(_JOIN[after] & (kind[np.minimum(len(raw) - 1, end + 1)] != _GAP), 1, 0)
+    sha = _starting(low, (b"sha1-", b"sha256-", b"sha384-", b"sha512-", b"md5-"), start)
+    f[:, 17] = sha | np.concatenate([[False], (_starting(low, (b"sha1", b"sha256", b"sha384", b"sha512", b"md5"), start) & (length <= 6))[:-1]]) & ~first
     tokens = np.maximum(1, np.bincount(doc, minlength=len(ends)))
     size_of = np.maximum(1, np.diff(np.concatenate([[0], ends])))
     per_doc = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags, dtype=np.int64)[np.asarray(ends) - 1]]))
-    f[:, 12] = np.searchsorted([0.001, 0.01, 0.1], np.bincount(doc, (digit > 0) & (length >= 12), minlength=len(ends)) / tokens)[doc]
-    f[:, 13] = np.searchsorted([0.005, 0.02, 0.06], per_doc(_CODE[raw]) / size_of)[doc]
-    f[:, 14] = np.searchsorted([20, 60, 200], size_of / np.maximum(1, per_doc(raw == 10)))[doc]
+    f[:, 18] = np.searchsorted([0.001, 0.01, 0.1], np.bincount(doc, (digit > 0) & (length >= 12), minlength=len(ends)) / tokens)[doc]
+    f[:, 19] = np.searchsorted([0.005, 0.02, 0.06], per_doc(_CODE[raw]) / size_of)[doc]
+    f[:, 20] = np.searchsorted([20, 60, 200], size_of / np.maximum(1, per_doc(raw == 10)))[doc]
     f += np.array(list(_OFFSETS.values()), np.int16)
     return Tokens(start, end, f)
 
 
+def _starting(low: bytes, words: tuple[bytes, ...], start: np.ndarray) -> np.ndarray:
+    """Which tokens begin with one of the words."""
+    out = np.zeros(len(start), bool)
+    for word in words:
+        at, found = low.find(word), []
+        while at >= 0:
+            found.append(at)
+            at = low.find(word, at + len(word))
+        out |= np.isin(start, np.array(found, np.int64))
+    return out
+
+
 def _places(low: bytes, word: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The tokens that hold the word."""
     at, found = low.find(word), []
@@ -183,9 +229,13 @@ class Field:
             score += self.emit[tokens.features[:, k]]
         first = np.concatenate([[True], doc[1:] != doc[:-1]])
         score[first] += self.begin
-        # a tag changed to O costs two steps at most, and an I after it that has to become B a third one and their scores' difference
-        free = np.concatenate([self.step[self.step > _BAN / 2], self.begin[self.begin > _BAN / 2]])
-        bound = 3 * (free.max() - free.min()) + max(0.0, float((score[:, I] - score[:, B]).max()))
+        # the most that a tag B or I can win over O by its steps; where an I follows, that one would have to become B
+        tags_, last = (O, B, I), [None]
+        at = lambda p, x: self.begin[x] if p is None else 0.0 if x is None else self.step[p, x]
+        alone = [at(p, x) + at(x, z) - at(p, O) - at(O, z) for p in (*tags_, *last) for x in (B, I) for z in (O, B, *last) if at(p, x) > _BAN / 2]
+        led = [at(p, x) + at(x, I) + at(I, z) - at(p, O) - at(O, B) - at(B, z) for p in (*tags_, *last) for x in (B, I) for z in (*tags_, *last) if at(p, x) > _BAN / 2]
+        follows = np.append(np.where(first[1:], -np.inf, score[1:, I] - score[1:, B]), -np.inf)
+        bound = np.maximum(max(alone), max(led) + follows)
         open_ = np.flatnonzero(score[:, O] - np.maximum(score[:, B], score[:, I]) <= bound)
         if not len(open_):
             return tags
@@ -212,30 +262,95 @@ class Field:
 
 
 _HEX, _BASE62, _BASE64 = "0123456789abcdef", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"
-_ALPHABETS = (_HEX, _HEX.upper(), _BASE62, _BASE62, _BASE62 + "-_", _BASE64, string.ascii_uppercase + "234567", string.ascii_lowercase + string.digits)
+_ALPHABETS = (_HEX, _HEX.upper(), _BASE62, _BASE62, _BASE62 + "-_", _BASE62 + "-_", _BASE64, _BASE64, string.ascii_uppercase + "234567", string.ascii_lowercase + string.digits)
 _WORDS = ("pass", "passphrase", "client_secret", "auth_key", "access_key", "private_key", "session", "signature", "API-KEY", "db_pwd", "sig", "master", "value", "id", "login", "hash", "conn")
 #: Forms of the secrets that are planted for training: w stands for a word before it, v for the secret.
-FORMS = ('{w} = "{v}"', "{w}: {v}", "{w}={v}", "{w} {v}", '"{w}": "{v}"', "export {w}={v}", "<{w}>{v}</{w}>", "({v})", " {v} ", "'{v}'", "{w} is {v}.", "https://user:{v}@host.example/", "{w}:{v}", "{w} => '{v}',", "sk_live_{v}", "xoxb-{v}", "key-{v}", "SG.{v}", "{w} {v}:{v}")
+FORMS = ('{w} = "{v}"', "{w}: {v}", "{w}={v}", "{w} {v}", '"{w}": "{v}"', "export {w}={v}", "<{w}>{v}</{w}>", "({v})", " {v} ", "'{v}'", "{w} is {v}.", "https://user:{v}@host.example/", "{w}:{v}", "{w} => '{v}',", "sk_live_{v}", "xoxb-{v}", "key-{v}", "SG.{v}", "{w} {v}:{v}", "Cookie: s={v}.{v}", "{w}: {v}.{v}.{v}")
+
+
+#: Forms of passphrases, which without a word before them could be anything.
+PHRASE_FORMS = ("{w}: {v}", '{w} = "{v}"', "{w}={v}", "{w} {v}", "export {w}={v}", "<{w}>{v}</{w}>", "{w} is {v}.", "https://user:{v}@host.example/")
 
 
 def made_secret(rng: random.Random) -> str:
     alphabet = rng.choice(_ALPHABETS)
-    value = "".join(rng.choice(alphabet) for _ in range(rng.choice((20, 24, 24, 28, 32, 32, 36, 40, 40, 48, 64))))
+    value = "".join(rng.choice(alphabet) for _ in range(rng.choice((20, 24, 24, 28, 32, 32, 36, 40, 40, 48, 64, 88))))
     # a few are cut by characters that tokens do not hold
     at = rng.randrange(6, len(value) - 6)
-    return value[:at] + rng.choice("!$%&*~^") + value[at:] if rng.random() < 0.1 else value
+    return value[:at] + rng.choice("!$%&*~^") + value[at:] if rng.random() < 0.15 else value
+
+
+def made_phrase(rng: random.Random) -> str:
+    """Some words or short stretches of letters and digits, with signs between them that tokens do not hold."""
+    word = lambda: "".join(rng.choice("bcdfghklmnprstvw") + rng.choice("aeiouy") for _ in range(rng.randint(1, 4)))
+    chunk = lambda: rng.choice((word, lambda: word().capitalize(), lambda: "".join(rng.choice(_BASE62) for _ in range(rng.randint(3, 9))), lambda: word().capitalize() + str(rng.randint(0, 9999))))()
+    value = chunk() + "".join(rng.choice("!!!$%&*~^") + chunk() for _ in range(rng.randint(1, 3)))
+    return value if len(value) >= 9 else value + "!" + chunk() + str(rng.randint(10, 9999))
+
+
+def look_alikes() -> dict[str, Callable[[random.Random], str]]:
+    """Kinds of things with digits, capitals or signs that are no secrets, by name."""
+    digits = lambda g, k: "".join(g.choice(string.digits) for _ in range(k))
+    some = lambda g, alphabet, k: "".join(g.choice(alphabet) for _ in range(k))
+    word = lambda g: "".join(g.choice("bcdfglmnprst") + g.choice("aeiou") for _ in range(g.randint(1, 4)))
+    slug = lambda g, least=3: "-".join(word(g) for _ in range(g.randint(least, 7)))
+    host = lambda g: f"https://{g.choice(('www.', '', 'm.'))}{word(g)}{word(g)}.{g.choice(('com', 'example', 'org', 'de', 'io'))}"
+    day = lambda g: f"20{g.randint(10, 29)}{g.randint(1, 12):02d}{g.randint(1, 28):02d}"
+    return {
+        "address": lambda g: ".".join(digits(g, g.randint(1, 3)) for _ in range(4)),
+        "phone": lambda g: f"+{digits(g, 2)} {digits(g, 3)} {digits(g, 7)}",
+        "time": lambda g: f"20{digits(g, 2)}-0{digits(g, 1)}-1{digits(g, 1)}T1{digits(g, 1)}:{digits(g, 2)}:{digits(g, 2)}",
+        "number": lambda g: digits(g, g.randint(5, 15)),
+        "mail": lambda g: f"{word(g)}.{word(g)}{digits(g, 2)}@{word(g)}.example",
+        "page": lambda g: f"{host(g)}/{word(g)}/{slug(g)}.html",
+        "numbered page": lambda g: f"{host(g)}/{g.choice(('', word(g) + '/'))}{slug(g)}-{digits(g, g.randint(2, 8))}",
+        "dated page": lambda g: f"{host(g)}/20{digits(g, 2)}/{digits(g, 2)}/{slug(g)}/",
+        "search": lambda g: f"{host(g)}/{word(g)}?{word(g)}={word(g)}&{word(g)}_id={digits(g, g.randint(3, 9))}&page={digits(g, 2)}",
+        "clip": lambda g: f"{host(g)}/{g.choice(('embed/', 'clip/', 'p/', 'c?id=', 'play?x='))}{some(g, _BASE62 + '-_', g.randint(6, 13))}",
+        "frame": lambda g: f"{host(g)}/w/{word(g)}?t={digits(g, 3)}&k={some(g, _BASE62 + '-_', g.randint(9, 13))}",
+        "share": lambda g: f"{host(g)}/{g.choice(('s/', 'share/', 'file/d/', ''))}{some(g, _BASE62, g.randint(8, 24))}",
+        "path": lambda g: f"/usr/{word(g)}/{word(g)}_{word(g)}.v{digits(g, 1)}.{digits(g, 1)}",
+        "camel": lambda g: "".join(word(g).capitalize() for _ in range(g.randint(2, 4))) + digits(g, g.randint(0, 2)),
+        "invoice": lambda g: f"INV-{digits(g, 4)}-{digits(g, 5)}",
+        "card": lambda g: f"{digits(g, 4)}-{digits(g, 4)}-{digits(g, 4)}-{digits(g, 4)}",
+        "constant": lambda g: "_".join(word(g).upper() for _ in range(3)),
+        "slug": lambda g: slug(g) + g.choice(("", "", "-" + digits(g, g.randint(1, 7)))),
+        "issue": lambda g: f"#{digits(g, 3)}abc",
+        "long word": lambda g: word(g) * 4,
+        "account": lambda g: f"DE{digits(g, 2)} {digits(g, 4)} {digits(g, 4)} {digits(g, 4)}",
+        "code": lambda g: f"{word(g).upper()}{digits(g, 4)}",
+        "version": lambda g: f"v{digits(g, 1)}.{digits(g, 2)}.{digits(g, 1)}-rc{digits(g, 1)}",
+        "screenshot": lambda g: f"Screenshot_{day(g)}-{digits(g, 6)}_{word(g).capitalize()}.{g.choice(('png', 'PNG'))}",
+        "camera": lambda g: f"{g.choice(('DSC', 'PXL', 'VID', 'MVI', 'WA'))}{g.choice(('_', '-', ''))}{g.choice((digits(g, 5), day(g) + '_' + digits(g, g.choice((6, 9)))))}{g.choice(('', '_EDIT', '-2', '.RAW', '~2'))}.{g.choice(('jpg', 'JPEG', 'mp4', 'MOV', 'dng'))}",
+        "wheel": lambda g: f"{word(g)}_{word(g)}-{digits(g, 1)}.{digits(g, 2)}.{digits(g, 1)}-cp3{digits(g, 2)}-linux_x86_64.whl",
+        "build": lambda g: f"{word(g)}-{digits(g, 1)}.{digits(g, 1)}.{digits(g, 2)}-{day(g)}.{g.choice(('tar.gz', 'zip', 'deb'))}",
+        "machine": lambda g: f"ip-{digits(g, 2)}-{digits(g, 1)}-{digits(g, 2)}-{digits(g, 3)}.{word(g)}.internal",
+        "paper": lambda g: f"arXiv:{digits(g, 4)}.{digits(g, 5)}v{digits(g, 1)}",
+        "handle": lambda g: f"hdl:{digits(g, 4)}.{digits(g, 1)}/{g.choice((digits(g, 6), word(g) + '.' + digits(g, 4)))}",
+        "article": lambda g: f"{g.choice(('', 'pii:', 'PMID: '))}{g.choice(('S', 's', 'j.'))}{digits(g, g.randint(4, 8))}-{digits(g, 3)}-{digits(g, 5)}-{digits(g, 1)}",
+        "named id": lambda g: g.choice(("urn:uuid:", "id=", "/session/", "{")) + "-".join(some(g, _HEX, k) for k in (8, 4, 4, 4, 12)),
+        "upper id": lambda g: "-".join(some(g, _HEX.upper(), k) for k in (8, 4, 4, 4, 12)),
+        "lock": lambda g: f"{g.choice(('sha512', 'sha384'))}-{some(g, _BASE64, 86)}==",
+        "checksum": lambda g: g.choice(('integrity="{}"', "integrity {}", "{},", '"{}"')).format(f"{g.choice(('sha1', 'sha384', 'sha512', 'md5'))}-{some(g, _BASE64, g.choice((22, 27, 43, 64, 86)))}="),
+        "image": lambda g: f"{word(g)}/{word(g)}@sha512:{some(g, _HEX.upper(), 40)}",
+        "hardware": lambda g: ":".join(some(g, _HEX, 2) for _ in range(6)),
+        "chemical": lambda g: f"{digits(g, 1)}-({word(g)}yl)-{digits(g, 1)}H-{word(g)}ol-{digits(g, 1)},{digits(g, 1)}-dione",
+        "formula": lambda g: "".join(g.choice(("C", "H", "O", "N", "Na", "Cl")) + digits(g, g.randint(1, 2)) for _ in range(g.randint(3, 6))),
+        "flight": lambda g: f"{some(g, string.ascii_uppercase, 2)}{digits(g, 4)}/{digits(g, 2)}{g.choice(('JAN', 'MAR', 'JUL', 'OCT'))}",
+        "part": lambda g: f"{some(g, string.ascii_uppercase, 3)}-{digits(g, 4)}-{some(g, string.ascii_uppercase, 2)}{digits(g, 2)}-{g.choice('ABC')}",
+        "place": lambda g: f"{digits(g, 2)}.{digits(g, 6)},-{digits(g, 3)}.{digits(g, 5)}",
+        "snake": lambda g: "_".join(word(g) for _ in range(g.randint(2, 5))) + g.choice(("", "_" + digits(g, 2))),
+        "exclaimed": lambda g: g.choice(("!", " ! ", "! ")).join(word(g).capitalize() for _ in range(3)) + "!",
+        "shell": lambda g: f"${word(g).upper()}/{word(g)}${digits(g, 1)}%{word(g)}&{word(g)}",
+    }
+
+
+LOOK_ALIKES = look_alikes()
 
 
 def made_look_alike(rng: random.Random) -> str:
-    """Something with digits, capitals or signs that is no secret."""
-    n = lambda k: "".join(rng.choice(string.digits) for _ in range(k))
-    word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4)))
-    return rng.choice((
-        lambda: ".".join(n(rng.randint(1, 3)) for _ in range(4)), lambda: f"+{n(2)} {n(3)} {n(7)}", lambda: f"20{n(2)}-0{n(1)}-1{n(1)}T1{n(1)}:{n(2)}:{n(2)}", lambda: n(rng.randint(5, 15)),
-        lambda: f"{word()}.{word()}{n(2)}@{word()}.example", lambda: f"https://www.{word()}.com/{word()}/{word()}-{word()}-{word()}.html", lambda: f"/usr/{word()}/{word()}_{word()}.v{n(1)}.{n(1)}",
-        lambda: "".join(word().capitalize() for _ in range(rng.randint(2, 4))) + n(rng.randint(0, 2)), lambda: f"INV-{n(4)}-{n(5)}", lambda: f"{n(4)}-{n(4)}-{n(4)}-{n(4)}", lambda: "_".join(word().upper() for _ in range(3)),
-        lambda: "-".join(word() for _ in range(rng.randint(3, 6))), lambda: f"#{n(3)}abc", lambda: word() * 4, lambda: f"DE{n(2)} {n(4)} {n(4)} {n(4)}", lambda: f"{word().upper()}{n(4)}", lambda: f"v{n(1)}.{n(2)}.{n(1)}-rc{n(1)}",
-    ))()
+    # checksums are as random as secrets and need more examples
+    return LOOK_ALIKES[rng.choice([*sorted(LOOK_ALIKES), "checksum", "checksum"])](rng)
 
 
 def planted(texts: list[str], number: int = PLANTED, seed: int = 1) -> list[tuple[str, list[tuple[int, int]], list[tuple[int, int]]]]:
@@ -251,10 +366,11 @@ def planted(texts: list[str], number: int = PLANTED, seed: int = 1) -> list[tupl
             size += g - at
             at = g
             if rng.random() < 0.5:
-                form = rng.choice(FORMS).replace("{w}", rng.choice(_WORDS))
+                made, forms = (made_phrase, PHRASE_FORMS) if rng.random() < 0.15 else (made_secret, FORMS)
+                form = rng.choice(forms).replace("{w}", rng.choice(_WORDS))
                 for k, piece in enumerate(form.split("{v}")):
                     if k:
-                        value = made_secret(rng)
+                        value = made(rng)
                         marks.append((size, size + len(value)))
                         parts.append(value)
                         size += len(value)
@@ -302,7 +418,8 @@ def train(texts: list[str], rounds: int = 70) -> Field:
     pick = random.Random(2)
     likely = np.array(sorted(pick.sample(likely.tolist(), min(len(likely), 2 * len(marked)))), np.int64)
     others = np.linspace(SIDE, len(gold) - SIDE - 1, len(marked)).astype(np.int64)
-    centres = np.clip(np.concatenate([marked, likely, others]), SIDE, len(gold) - SIDE - 1)
+    alike = np.flatnonzero(made & (gold == O) & (tokens.end - tokens.start >= 6))
+    centres = np.clip(np.concatenate([marked, alike, likely, others]), SIDE, len(gold) - SIDE - 1)
     at = centres[:, None] + np.arange(-SIDE, SIDE + 1)
     classes, digits, capitals = (tokens.features[:, k] - _OFFSETS[g] for k, g in ((1, "classes"), (3, "digit_turns"), (4, "case_turns")))
     unknown = ~made & (gold == O) & (tokens.end - tokens.start >= 16) & ((classes & 3) > 0) & ((digits >= 2) | (capitals >= 3))
@@ -378,16 +495,24 @@ def find(texts: list[str], field: Field) -> list[list[tuple[int, int, int]]]:
     doc = np.searchsorted(ends, tokens.start, side="right")
     tags = field.decode(tokens, doc)
     out = [base_spans(t) for t in texts]
-    for k in np.flatnonzero(tags == B):
-        z = k + 1
-        while z < len(tags) and tags[z] == I and doc[z] == doc[k]:
-            z += 1
-        d = int(doc[k])
-        offset = int(ends[d]) - len(parts[d])
-        a = len(data[offset : tokens.start[k]].decode("utf-8", "surrogatepass"))
-        b = a + len(data[tokens.start[k] : tokens.end[z - 1]].decode("utf-8", "surrogatepass"))
-        if all(b <= s or a >= e for s, kind, e in out[d] if kind < 3):
-            out[d].append((a, 3, b))
+    # where the code points of all texts begin: a token's places are ranks among them
+    points = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80, dtype=np.int64)
+    begins, at = np.concatenate([[0], points[ends - 1]]), np.flatnonzero(tags != O)
+    owner = doc[at]
+    first, end = points[tokens.start[at]] - 1 - begins[owner], points[tokens.end[at] - 1] - begins[owner]
+    free = np.ones(len(at), bool)
+    for d in np.unique(owner):
+        if out[d]:
+            # the furthest end of the base spans that begin before the token ends
+            a, z = np.searchsorted(owner, (d, d + 1))
+            reach = np.concatenate([[0], np.maximum.accumulate([e for _, _, e in out[d]])])
+            free[a:z] = reach[np.searchsorted(np.array([s for s, _, _ in out[d]]), end[a:z], side="left")] <= first[a:z]
+    # what a base span holds is no part of another span, which goes on behind it as one of its own
+    at, owner, first, end = at[free], owner[free], first[free], end[free]
+    opens = (tags[at] == B) | np.concatenate([[True], (np.diff(at) > 1) | (np.diff(owner) > 0)])[: len(at)]
+    closes = np.append(opens[1:], True)[: len(at)]
+    for d, a, z in zip(owner[opens].tolist(), first[opens].tolist(), end[closes].tolist()):
+        out[d].append((a, 3, z))
     return [sorted(x) for x in out]
 
 
