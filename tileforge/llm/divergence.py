@@ -203,11 +203,14 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     whole = kept.groupBy("lang").agg(F.sum("lang_n").alias("lang_total"), F.count(F.lit(1)).alias("terms"))
     groups = occurring.join(totals, ["lang", "source"], "left").join(whole, "lang", "left").fillna(0, ["total", "has", "lang_total", "terms"])
     groups = groups.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1)
-    groups = durable(groups.withColumn("absent", F.when(F.col("terms") > 0, share(F.lit(0), F.col("total"), F.col("terms"))).otherwise(0)))
-
-    near = small(groups)
-    facts = groups.select("lang", "source", "total", "lang_total", "terms", "at", "has")
-    if near is not groups:
+    parts = F.greatest(F.lit(1), F.ceil(F.col("terms") * F.count(F.lit(1)).over(Window.partitionBy("lang")) / CELLS)).cast("long")
+    groups = durable(groups.withColumn("parts", parts).withColumn("absent", F.when(F.col("terms") > 0, share(F.lit(0), F.col("total"), F.col("terms"))).otherwise(0)))
+
+    langs = groups.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("at", "source", "absent"))).alias("_s"), F.max("parts").alias("parts"))
+    langs = durable(langs.select("lang", F.transform("_s", lambda s: s["source"]).alias("sources"), F.transform("_s", lambda s: s["absent"]).alias("absent"), (F.col("parts") + 1).alias("_units")))
+    near = small(groups) is not groups  # the languages' table holds the same names and numbers
+    facts = groups.select("lang", "source", "total", "lang_total", "terms", "at", "has", "parts")
+    if near:
         met = each.join(F.broadcast(facts), ["lang", "source"])
     else:
         named = [x.withColumn("_g", F.struct("lang", "source")).drop("lang", "source") for x in (each, facts)]
@@ -218,13 +221,12 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     place = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
     top = standing_out.withColumn("rank", place).filter(F.col("rank") <= most_terms)
 
-    langs = groups.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("at", "source", "absent"))).alias("_s"), F.max("terms").alias("terms"))
-    langs = langs.select("lang", F.transform("_s", lambda s: s["source"]).alias("sources"), F.transform("_s", lambda s: s["absent"]).alias("absent"), F.greatest(F.lit(1), F.ceil(F.col("terms") * F.size("_s") / CELLS)).cast("long").alias("parts"))
-    langs = durable(langs)
-    by_term = met.groupBy("lang", "term").agg(F.collect_list(F.struct("at", "p")).alias("cells")).join(langs.select("lang", "parts"), "lang")
+    by_term = met.groupBy("lang", "term").agg(F.collect_list(F.struct("at", "p")).alias("cells"), F.max("parts").alias("parts"))
     by_part = by_term.groupBy("lang", F.pmod(F.xxhash64("term"), F.col("parts")).alias("_part")).agg(F.collect_list("cells").alias("terms"))
     none = langs.select("lang", F.lit(-1).cast("long").alias("_part"), F.array().cast(by_part.schema["terms"].dataType).alias("terms"))
-    units = by_part.unionByName(none).join(langs, "lang").withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.size("sources") - 1) / BLOCK).cast("int"))))
+    units = by_part.unionByName(none)
+    units = units.join(F.broadcast(langs), "lang") if near else hot_join(units, langs, "lang", "_units", ["_part"], langs.agg(F.sum("_units")).first()[0] or 0)
+    units = units.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.size("sources") - 1) / BLOCK).cast("int"))))
     pairs = pair_sums(units).select("lang", "source", F.lit("pair").alias("part"), "item", "value")
     pairs = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")))
     return pairs.unionByName(top)
