@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.test_operators import SCHEMA, odd_rows
-from tileforge.llm import common, divergence, resampling, warc
+from tileforge.llm import common, divergence, exact, resampling, warc
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 TERM = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
@@ -269,3 +269,43 @@ def test_faults_are_rows(spark, tmp_path):
     rows = warc.read_records(paths.withColumn("archive", F.concat(F.lit("file://"), "archive"))).collect()
     assert sum(r.error is None for r in rows) == 6 and {bytes(r.payload) for r in rows if r.error is None} == {b"abc"}
     assert sum(r.error is not None for r in rows) == 5
+
+
+# shared sums
+
+
+@pytest.mark.parametrize("level", [10_000, 3])
+def test_running_sums_of_equal_rows(spark, monkeypatch, level):
+    """Overfull buckets of equal rows, a null group, and buckets added up over several levels, against plain sums."""
+    monkeypatch.setattr(common, "BUCKET_ROWS", 5)
+    monkeypatch.setattr(common, "LEVEL", level)
+    rng = random.Random(1)
+    rows = [("a", rng.random(), rng.randint(0, 3), rng.randint(0, 9)) for _ in range(300)] + [("a", 0.25, 1, 4)] * 400 + [("b", 0.5, 2, 3)] * 100 + [("b", 0.5, 1, 7)] * 90
+    df = common.durable(spark.createDataFrame(rows, "g string, p double, o int, v int").repartition(5))
+    got = collections.defaultdict(list)
+    for r in common.running_sum(df, "g", "p", ["o", "v"], F.col("v"), 40, "before").collect():
+        got[r.g].append((r.p, r.o, r.v, r.before))
+    for g in "ab":
+        total = 0
+        assert len(got[g]) == sum(r[0] == g for r in rows)
+        for p, o, v, before in sorted(got[g]):
+            assert before == total
+            total += v
+
+
+def test_filters_in_parts_let_all_repeated_keys_pass(spark, monkeypatch):
+    rows = common.durable(spark.range(4000).select((F.col("id") % 3000 * 7919).alias("k"), "id"))
+    keys = common.durable(exact.repeated_keys(rows.select(F.col("k").alias("key")), 4000))
+    monkeypatch.setattr(exact, "MOST_BITS", 4096)
+    marked = exact.with_maybe(rows, "k", keys).collect()
+    assert len(marked) == 4000 and all(r._maybe for r in marked if r.k < 1000 * 7919)
+    assert sum(not r._maybe for r in marked) > 1900
+
+
+def test_equal_rows_are_dealt_over_tasks(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rows = common.durable(spark.range(60_000, numPartitions=8).select(F.lit("g").alias("g"), F.lit(0.5).alias("p"), F.lit(1).alias("o")))
+    out = common.running_sum(rows, "g", "p", ["o"], F.lit(1), 60, "at")
+    largest = out.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert out.agg(F.count_distinct("at"), F.max("at")).first() == (60_000, 59_999) and largest <= 40_000

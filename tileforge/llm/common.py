@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,8 +22,8 @@ BROADCAST_BYTES = 16 << 20
 #: A key that meets more rows than this is split in a join; at most so many keys are.
 KEY_ROWS, HOT_KEYS = 500, 20_000
 
-#: Rows that one bucket of a running sum aims at.
-BUCKET_ROWS = 1_000
+#: Rows that one bucket of a running sum aims at; a bucket of so many times that is overfull; buckets that one task may order.
+BUCKET_ROWS, FULL_BUCKETS, LEVEL = 1_000, 8, 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -115,19 +116,56 @@ def bucket_of(place: Column, buckets: int) -> Column:
     return F.least(F.floor(place * buckets), F.lit(buckets - 1)).cast("long")
 
 
+def sums_before(sums: DataFrame, group: list[str], bucket: str, value: str, buckets: int, out: str) -> DataFrame:
+    """``sums`` (one row for each group and bucket 0 .. buckets-1 that occurs) with ``out``: the values of the group's earlier buckets.
+
+    Of a group with very many buckets stretches of buckets are added up first, so that no task orders more than ``LEVEL`` of them.
+    """
+    order = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda total: F.coalesce(total, F.lit(0))
+    if buckets <= LEVEL:
+        return sums.withColumn(out, zero(F.sum(value).over(order.partitionBy(*group))))
+    step, stretch, inner, outer = -(-buckets // math.isqrt(buckets)), bucket + "_stretch", out + "_inner", out + "_outer"
+    staged = sums.withColumn(stretch, F.floor(F.col(bucket) / step)).withColumn(inner, zero(F.sum(value).over(order.partitionBy(*group, stretch))))
+    stretches = sums.groupBy(*group, F.floor(F.col(bucket) / step).alias(stretch)).agg(F.sum(value).alias("_all"))
+    earlier = sums_before(stretches, group, stretch, "_all", -(-buckets // step), outer).drop("_all")
+    return staged.join(earlier, [*group, stretch]).withColumn(out, F.col(outer) + F.col(inner)).drop(stretch, inner, outer)
+
+
 def running_sum(df: DataFrame, group: str, place: str, order: list[str], value: Column, buckets: int, out: str, more: DataFrame | None = None) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the rows of the same group that come before, in the order (place, *order).
 
-    No group meets in one task: rows are dealt by (group, bucket of the place), the buckets' sums are added up in a table
-    of groups x buckets rows, and only rows of one bucket are ordered together. ``place`` is in [0, 1). ``more`` has one
-    row per group; its columns are added by way of the buckets' table, so the join stays on the same keys.
+    No group meets in one task: rows are dealt by (group, bucket of the place), the buckets' sums are added up level by
+    level, and only rows of one bucket are ordered together. ``place`` is in [0, 1) and a hash, so a bucket is overfull only
+    where very many rows are alike in place and order; these are numbered by their part of ``df``, which has to be a stored
+    table, and then within it. ``more`` has one row per group; its columns are added by way of the buckets' table, so the
+    join stays on the same keys.
     """
-    keyed = df.withColumn("_bucket", bucket_of(F.col(place), buckets)).withColumn("_value", value.cast("long"))
-    sums = keyed.groupBy(group, "_bucket").agg(F.sum("_value").alias("_sum"))
-    before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_offset", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    keyed = df.withColumns({"_bucket": bucket_of(F.col(place), buckets), "_value": value.cast("long"), "_id": F.monotonically_increasing_id()})
+    sums = durable(keyed.groupBy(group, "_bucket").agg(F.sum("_value").alias("_sum"), F.count(F.lit(1)).alias("_rows")))
+    placed = sums_before(sums.select(group, "_bucket", "_sum"), [group], "_bucket", "_sum", buckets, "_offset").drop("_sum")
     if more is not None:
-        sums = sums.join(more, group)
+        placed = placed.join(more, group)
+    full = sums.filter(F.col("_rows") > FULL_BUCKETS * BUCKET_ROWS).select(F.col(group).alias("_g"), F.col("_bucket").alias("_b"))
+    own = F.lit(True)
+    if not full.isEmpty():
+        # at most rows / (FULL_BUCKETS x BUCKET_ROWS) names
+        near = small(durable(full))
+        keyed = keyed.join(near, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_bucket") == F.col("_b")), "left")
+        own = F.col("_b").isNull()
+    ordinary = keyed.filter(own)
     within = Window.partitionBy(group, "_bucket").orderBy(place, *order).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = keyed.withColumn("_within", F.coalesce(F.sum("_value").over(within), F.lit(0)))
-    return ranked.join(sums, [group, "_bucket"]).withColumn(out, F.col("_offset") + F.col("_within")).drop("_bucket", "_value", "_offset", "_within")
+    ranked = ordinary.withColumn("_within", F.coalesce(F.sum("_value").over(within), F.lit(0)))
+    if not full.isEmpty():
+        alike = F.struct(place, *order)
+        crowded = keyed.filter(~own).withColumns({"_alike": alike, "_part": F.shiftright("_id", 33)})
+        kinds = durable(crowded.groupBy(group, "_bucket", "_alike", "_part").agg(F.sum("_value").alias("_n")))
+        each = Window.partitionBy(group, "_bucket").orderBy("_alike").rowsBetween(Window.unboundedPreceding, -1)
+        whole = kinds.groupBy(group, "_bucket", "_alike").agg(F.sum("_n").alias("_n")).withColumn("_first", F.coalesce(F.sum("_n").over(each), F.lit(0))).drop("_n")
+        parts = Window.partitionBy(group, "_bucket", "_alike").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        kinds = kinds.withColumn("_earlier", F.coalesce(F.sum("_n").over(parts), F.lit(0))).drop("_n").join(whole, [group, "_bucket", "_alike"])
+        inner = Window.partitionBy(group, "_bucket", "_alike", "_part").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
+        crowded = crowded.withColumn("_inner", F.coalesce(F.sum("_value").over(inner), F.lit(0))).join(kinds, [group, "_bucket", "_alike", "_part"])
+        crowded = crowded.withColumn("_within", F.col("_first") + F.col("_earlier") + F.col("_inner"))
+        ranked = ranked.unionByName(crowded.select(ranked.columns)).drop("_g", "_b")
+    return ranked.join(placed, [group, "_bucket"]).withColumn(out, F.col("_offset") + F.col("_within")).drop("_bucket", "_value", "_id", "_offset", "_within")

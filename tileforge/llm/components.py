@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from .common import stored
 
 
-def _least_neighbour(pairs: DataFrame) -> DataFrame:
+#: Of fewer links than this the least neighbours are not stored: no hub can have enough neighbours to matter.
+FEW = 200_000
+
+
+def _least_neighbour(pairs: DataFrame, few: bool = False) -> DataFrame:
     """(u, v, m): every row of the stored table ``pairs`` with the least of u and all v of the same u.
 
     The least ones are stored, too: both sides of the join are then plain shuffles, of which adaptive execution cuts the
     part that holds a hub's neighbours into several. They are never broadcast: each round would leave a copy on the driver.
     """
-    least = stored(pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
+    least = pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    least = least if few else stored(least)
     return pairs.join(least.hint("merge"), "u")
 
 
@@ -27,11 +32,11 @@ def connected(links: DataFrame, a: str, b: str) -> DataFrame:
     """
     edges = stored(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
     nodes = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
-    state = None
+    state, few = None, edges.count() < FEW
     while True:
         both = edges.union(edges.select("v", "u"))
-        large = stored(_least_neighbour(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
-        starred = _least_neighbour(large)
+        large = stored(_least_neighbour(both, few).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        starred = _least_neighbour(large, few)
         small = starred.select(F.col("v").alias("u"), F.col("m").alias("v")).union(starred.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         edges = stored(small)
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()

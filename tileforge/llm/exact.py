@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_CLASS, durable, hot_join, small, table
 
-#: Bits for each key, probes, keys of one part of the first pass, and most bits of the second pass's filter (32 MB).
-BITS_PER_KEY, PROBES, KEYS_PER_PART, MOST_BITS = 16, 4, 1_000_000, 1 << 28
+#: Bits for each key, probes, keys of one part of the first pass, most bits of one filter of the second (32 MB), most filters.
+BITS_PER_KEY, PROBES, KEYS_PER_PART, MOST_BITS, MOST_PARTS = 16, 4, 1_000_000, 1 << 28, 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -65,21 +65,38 @@ def repeated_keys(keys: DataFrame, rows: int) -> DataFrame:
     return dealt.mapInArrow(second, "key long").distinct()
 
 
-def bloom_of(keys: DataFrame, most_bits: int = MOST_BITS) -> np.ndarray:
-    """A Bloom filter of the distinct long column ``key``: 16 bits for each, ``most_bits`` at most.
+def bloom_of(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of the distinct long column ``key``: 16 bits for each, ``MOST_BITS`` at most.
 
     Its words are put together on the executors; the driver gets the filter, whose size is bounded, never the keys.
     """
-    bits = min(power_of_two(BITS_PER_KEY * max(1, keys.count())), most_bits)
+    bits = min(power_of_two(BITS_PER_KEY * max(1, keys.count())), MOST_BITS)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = np.unique(probes(b.column(0).to_numpy(zero_copy_only=False), bits).ravel())
             yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(5)).astype(np.int64)), pa.array(np.int64(1) << (at & np.uint64(31)).astype(np.int64))], ["word", "bit"])
 
-    words = keys.mapInArrow(places, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    words = keys.mapInArrow(places, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(bits // 32, np.uint32)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
+    for part in words.to_batches():
+        out[part.column(0).to_numpy()] = part.column(1).to_numpy().astype(np.uint32)
+    return out
+
+
+def with_maybe(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """``rows`` with ``_maybe``: whether the long ``column`` may be among the distinct longs ``key`` of ``keys`` (both stored tables).
+
+    Keys beyond one filter's size are split by hash, each part with a filter of its own that tests the rows of that part: as
+    many readings of ``rows`` as parts, ``MOST_PARTS`` at most. Only beyond that do filters let more rows pass than they need.
+    """
+    parts = min(MOST_PARTS, max(1, -(-power_of_two(BITS_PER_KEY * keys.count()) // MOST_BITS)))
+    out = None
+    for k in range(parts):
+        own = lambda c: F.pmod(F.hash(c), F.lit(parts)) == k
+        mine, wanted = (rows, keys) if parts == 1 else (rows.filter(own(column)), keys.filter(own("key")))
+        tested = mine.withColumn("_maybe", possibly_in(rows.sparkSession, bloom_of(wanted))(column))
+        out = tested if out is None else out.unionByName(tested)
     return out
 
 
@@ -140,8 +157,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     facts = docs.select(key, F.length(t).alias("_chars"), F.sha2(normalised(F.col(text)).cast("binary"), 256).alias("text_sha256"))
     facts = durable(facts.withColumn("_key", F.xxhash64("text_sha256")).withColumn("_row", F.monotonically_increasing_id()))
     rows = facts.count()
-    test = possibly_in(docs.sparkSession, bloom_of(durable(repeated_keys(facts.select(F.col("_key").alias("key")), rows))))
-    marked = facts.withColumn("_maybe", test("_key"))
+    marked = with_maybe(facts, "_key", durable(repeated_keys(facts.select(F.col("_key").alias("key")), rows)))
     alone = marked.filter(~F.col("_maybe")).select(key, F.col(key).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     maybe = marked.filter("_maybe")
     best = F.min(F.struct((-F.col("_chars")).alias("c"), F.col(key).isNull().alias("u"), F.col(key).alias("k"), F.col("_row").alias("r")))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, SPACE_CLASS, bucket_of, buckets_for, durable, hot_join, running_sum, small, table, unit_hash
+from .common import SPACE_CHARS, SPACE_CLASS, bucket_of, buckets_for, durable, hot_join, running_sum, small, sums_before, table, unit_hash
 
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
+#: Items that one task orders to find the cut; parts that a larger range is divided into.
+CUT_ROWS, FINER = 50_000, 1_000
 
 
 def word_count(text: Column) -> Column:
@@ -45,6 +47,11 @@ def source_key(source: str) -> Column:
     return F.concat(F.when(F.col(source).isNull(), "1").otherwise("0"), F.coalesce(F.col(source), F.lit("")))
 
 
+def crossing(cells: DataFrame, budget: float):
+    """The first cell whose values and those ``before`` it are above the budget, or None."""
+    return cells.filter(F.col("before") + F.col("n") > budget).orderBy("cell").limit(1).first()
+
+
 def queue(docs: DataFrame, size: Column, weights: tuple[int, ...] = WEIGHTS, epochs: int = MOST_EPOCHS, key: str = "doc_id", source: str = "source") -> DataFrame:
     """(key, source, size, _skey, _place, source_size, target, epochs_taken) for every row of ``docs``.
 
@@ -74,13 +81,23 @@ def queue(docs: DataFrame, size: Column, weights: tuple[int, ...] = WEIGHTS, epo
     queued = durable(queued.withColumn("_items", items))
 
     ranges = buckets_for(rows * epochs)
-    cells = queued.select(F.explode("_items").alias("i")).filter(F.col("i.finish").isNotNull()).withColumn("cell", bucket_of(F.col("i.finish") / 2, 2 * ranges))
-    sums = cells.groupBy("cell").agg(F.sum("i.size").alias("n")).withColumn("upto", F.sum("n").over(Window.orderBy("cell")))
-    cut = sums.filter(F.col("upto") > budget).orderBy("cell").limit(1).first()
+    cells = queued.select(F.explode("_items").alias("i")).filter(F.col("i.finish").isNotNull() & (F.col("i.size") > 0))
+    cells = cells.withColumn("cell", bucket_of(F.col("i.finish") / 2, 2 * ranges))
+    found = durable(cells.groupBy("cell").agg(F.sum("i.size").alias("n"), F.count(F.lit(1)).alias("rows"), F.min("i.finish").alias("low"), F.max("i.finish").alias("high")))
+    cut = crossing(sums_before(found, [], "cell", "n", 2 * ranges, "before"), budget)
     if cut is None:
         kept = F.col("_items")
     else:
-        inside = cells.filter(F.col("cell") == cut["cell"]).withColumn("upto", F.sum("i.size").over(Window.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)) + (cut["upto"] - cut["n"]))
+        inside = cells.filter(F.col("cell") == cut["cell"])
+        while cut["rows"] > CUT_ROWS and cut["high"] > cut["low"]:
+            # finer and finer ranges; items of one source and epoch never finish at the same time
+            fine = F.least(F.floor((F.col("i.finish") - cut["low"]) / ((cut["high"] - cut["low"]) / FINER)), F.lit(FINER - 1))
+            inside = inside.withColumn("cell", fine)
+            found = inside.groupBy("cell").agg(F.sum("i.size").alias("n"), F.count(F.lit(1)).alias("rows"), F.min("i.finish").alias("low"), F.max("i.finish").alias("high"))
+            before = cut["before"]
+            cut = crossing(sums_before(found, [], "cell", "n", FINER, "before").withColumn("before", F.col("before") + before), budget)
+            inside = inside.filter(F.col("cell") == cut["cell"])
+        inside = inside.withColumn("upto", F.sum("i.size").over(Window.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)) + cut["before"])
         first_out = inside.filter(F.col("upto") > budget).agg(F.min("i").alias("i"))
         i = first_out.first()["i"]
         bound = F.struct(*[F.lit(i[f.name]).cast(f.dataType).alias(f.name) for f in inside.schema["i"].dataType])
