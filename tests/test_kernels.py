@@ -101,8 +101,20 @@ def test_surface_loss_equals_plain_loops():
                 # inside its mask a cell is 1 less than its distance to the other one, below zero; outside it is the distance
                 inside = 1 - far(y, x, other) if other else 0.0
                 outside = far(y, x, other) if other else 0.0
-                total += p[y, x] * (inside if t[y, x] else outside) + (1 - p[y, x]) * (outside if t[y, x] else inside)
+                # p goes with the mask of zeros, 1 - p with that of ones
+                total += p[y, x] * (outside if t[y, x] else inside) + (1 - p[y, x]) * (inside if t[y, x] else outside)
         assert K.surface_loss(t, p) == pytest.approx(total / (9 * 13))
+    assert K.surface_loss(np.array([[1.0, 1, 0, 0]]), np.array([[1.0, 1, 0, 0]])) == pytest.approx(1.5)
+
+
+def test_similarity_of_bands_is_the_mean_over_bands():
+    rng = np.random.default_rng(9)
+    a = rng.random((64, 64, 3)) * 4
+    b = np.clip(a + rng.normal(0, 0.3, a.shape), 0, 4)
+    b[..., 2] = rng.random((64, 64)) * 4
+    each = [K.ms_ssim(a[..., k], b[..., k]) for k in range(3)]
+    assert K.ms_ssim(a, b) == pytest.approx(np.mean(each)) and len({round(e, 3) for e in each}) == 3
+    assert K.ms_ssim(a, a) == pytest.approx(1) and K.ms_ssim_mse(a, b) == pytest.approx(1 - np.mean(each) + ((a - b) ** 2).mean())
 
 
 def test_filling_equals_plain_loops():

@@ -137,7 +137,10 @@ def distance_to(mask: np.ndarray) -> np.ndarray:
 
 
 def surface_loss(truth: np.ndarray, p: np.ndarray) -> float:
-    """Mean of p * d(1) + (1 - p) * d(0), d the signed distance to the boundary of each mask; 0 for an empty mask."""
+    """Mean of p * d0 + (1 - p) * d1, where d0 and d1 are the signed distances to the boundary of the masks truth == 0 and truth == 1.
+
+    A mask that is empty has distance 0. What the measure asks for is its own: it grows where a right score is far inside.
+    """
 
     def signed(mask: np.ndarray) -> np.ndarray:
         if not mask.any():
@@ -147,7 +150,7 @@ def surface_loss(truth: np.ndarray, p: np.ndarray) -> float:
         return out * ~mask - inner * mask
 
     t = truth > 0.5
-    return float((p * signed(t) + (1 - p) * signed(~t)).mean())
+    return float((p * signed(~t) + (1 - p) * signed(t)).mean())
 
 
 #: Weights of the five scales.
@@ -155,12 +158,13 @@ SCALE_WEIGHTS = (0.0448, 0.2856, 0.3001, 0.2363, 0.1333)
 
 
 def ms_ssim(a: np.ndarray, b: np.ndarray, peak: float = 4.0, size: int = 11, sigma: float = 1.5) -> float:
-    """Multi-scale structural similarity of two planes.
+    """Multi-scale structural similarity of two planes, or of two images of some bands: the mean over bands.
 
     One filter size serves all scales: ``size``, or for tiles whose smallest scale is less than that, the smaller side's
     sixteenth part (1 at least). A plane with an odd side repeats its last row or column before it is halved.
     """
-    side = min(*a.shape, *b.shape)
+    a, b = (z if z.ndim == 3 else z[:, :, None] for z in (a, b))
+    side = min(*a.shape[:2], *b.shape[:2])
     n = size if side / 2 ** (len(SCALE_WEIGHTS) - 1) >= size else max(1, int(side / 2 ** (len(SCALE_WEIGHTS) - 1)))
     g = np.exp(-0.5 * ((np.arange(n) - (n - 1) / 2) / sigma) ** 2)
     g /= g.sum()
@@ -175,17 +179,17 @@ def ms_ssim(a: np.ndarray, b: np.ndarray, peak: float = 4.0, size: int = 11, sig
         c1, c2 = (0.01 * peak) ** 2, (0.03 * peak) ** 2
         contrast = (2 * cov + c2) / (va + vb + c2)
         last = k == len(SCALE_WEIGHTS) - 1
-        value = ((2 * ma * mb + c1) / (ma * ma + mb * mb + c1) * contrast).mean() if last else contrast.mean()
-        score *= max(value, 0.0) ** weight
+        value = ((2 * ma * mb + c1) / (ma * ma + mb * mb + c1) * contrast if last else contrast).mean(axis=(0, 1))
+        score = score * np.maximum(value, 0.0) ** weight
         if not last:
             a, b = (halved(z) for z in (a, b))
-    return float(score)
+    return float(np.mean(score))
 
 
 def halved(z: np.ndarray) -> np.ndarray:
     """Means of 2 x 2 cells."""
-    z = np.pad(z, [(0, z.shape[0] % 2), (0, z.shape[1] % 2)], mode="symmetric")
-    return z.reshape(z.shape[0] // 2, 2, z.shape[1] // 2, 2).mean(axis=(1, 3))
+    z = np.pad(z, [(0, z.shape[0] % 2), (0, z.shape[1] % 2), (0, 0)][: z.ndim], mode="symmetric")
+    return z.reshape(z.shape[0] // 2, 2, z.shape[1] // 2, 2, *z.shape[2:]).mean(axis=(1, 3))
 
 
 def ms_ssim_mse(a: np.ndarray, b: np.ndarray, peak: float = 4.0) -> float:

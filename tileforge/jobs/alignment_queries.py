@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..operators import align, catalog, grid, regions, scoring
+from ..operators import align, catalog, regions, scoring, windows
+from ..sources import files
 from . import demo
 from .geometry_queries import flat
 
@@ -14,6 +19,10 @@ SQL: dict[str, str] = {}
 KEY = ["scene_id", "y", "x"]
 
 
+def scratch(spark) -> str:
+    return os.path.join(files.shared_folder(spark), f"scratch-{uuid.uuid4().hex}")
+
+
 def register(name: str, sql: str | None = None):
     def add(f):
         QUERIES[name] = f
@@ -228,20 +237,12 @@ def _box_mean(a):
     return sum(a[:, dy : dy + n[0], dx : dx + n[1], :1] for dy in range(3) for dx in range(3)) / 9.0
 
 
-def _order_tiles(spark, sf, tile, overlap):
-    """Tiles that end on the raster's edge and share an overlap, with the boxes they own."""
-    scenes = demo.orders_raster(spark, sf).groupBy("scene_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
-    cells = grid.make_tile_grid(scenes, (tile, tile), (overlap, overlap), partials=False, shift_back=True)
-    rows = cells.withColumn("y", F.explode(F.sequence("tile.min_y", F.col("tile.max_y") - 1))).withColumn("x", F.explode(F.sequence("tile.min_x", F.col("tile.max_x") - 1)))
-    px = rows.join(demo.orders_raster(spark, sf).select(*KEY, "bands"), KEY)
-    data = F.array_sort(F.collect_list(F.struct("y", "x", "bands")))
-    made = px.groupBy("scene_id", "tile_row", "tile_col", "tile", "valid").agg(data.alias("_d"))
-    made = made.withColumn("data", F.flatten(F.transform("_d", lambda d: d["bands"])))
-    return made.select("scene_id", "tile_row", "tile_col", *[F.col(f"tile.{s}").cast("int").alias(s) for s in G.SIDES], F.lit(2).alias("n_bands"), "data", *[F.col(f"valid.{s}").alias(f"v_{s}") for s in G.SIDES])
-
-
-def _owned(tiles):
-    return tiles.select("scene_id", "tile_row", "tile_col", *[f"v_{s}" for s in G.SIDES])
+def _order_blocks(spark, sf, by_row=False):
+    """The orders' scenes as stored tiles of 16 x 16, written and read again, and the scenes' sizes."""
+    path = scratch(spark)
+    files.write_tiles(demo.orders_raster(spark, sf).select(*KEY, "bands"), path, 16, by_row=by_row)
+    blocks = spark.read.parquet(path)
+    return blocks, blocks.groupBy("scene_id").agg(F.max("max_x").alias("width"), F.max("max_y").alias("height"))
 
 
 @register("ras086_score_tiles", "SELECT vec_id::VARCHAR AS scene_id, (i // 8)::INT AS y, (i % 8)::INT AS x, round(embedding[i + 1]::DOUBLE * 0.25 + 1, 5) AS p FROM (SELECT *, unnest(range(64)) AS i FROM embeddings)")
@@ -254,24 +255,52 @@ def score_tiles(spark, sf):
 WITH {demo.PX} SELECT a.scene_id, a.y, a.x, round(avg(b.v), 4) AS p FROM px a JOIN px b ON a.scene_id = b.scene_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1
 GROUP BY a.scene_id, a.y, a.x HAVING count(*) = 9""")
 def stitch_owned(spark, sf):
-    """A 3 x 3 mean over overlapping tiles; every output pixel comes from the tile that owns it."""
-    tiles = _order_tiles(spark, sf, 20, 6)
-    return scoring.stitch(scoring.score_tiles(tiles, _box_mean), _owned(tiles)).select(*KEY, F.round(F.get("probs", F.lit(0)), 4).alias("p"))
+    """A 3 x 3 mean over overlapping tiles, cut from stored ones; every output pixel comes from the tile that owns it."""
+    tiles = windows.overlapping_tiles(*_order_blocks(spark, sf), (20, 20), (6, 6))
+    return scoring.stitch(scoring.score_tiles(tiles, _box_mean)).select(*KEY, F.round(F.get("probs", F.lit(0)), 4).alias("p"))
 
 
-@register("ras088_image_to_image", f"WITH {demo.PX} SELECT scene_id, y, x, round(v * 0.25 + w * 2, 4) AS p FROM px")
+@register("ras088_image_to_image", f"WITH {demo.PX}, h AS (SELECT scene_id, max(y) + 1 AS h FROM px GROUP BY scene_id) SELECT scene_id, y, x, round(v * 0.25 + w * 2, 4) AS p FROM px JOIN h USING (scene_id) WHERE h >= 25")
 def image_to_image(spark, sf):
-    tiles = _order_tiles(spark, sf, 25, 0)
-    return scoring.stitch(scoring.score_tiles(tiles, _model), _owned(tiles)).select(*KEY, F.round(F.get("probs", F.lit(0)), 4).alias("p"))
+    """Tiles of 25 from blocks of 16; a scene less than a tile has no output."""
+    tiles = windows.overlapping_tiles(*_order_blocks(spark, sf), (25, 25))
+    return scoring.stitch(scoring.score_tiles(tiles, _model)).select(*KEY, F.round(F.get("probs", F.lit(0)), 4).alias("p"))
+
+
+def _four(a):
+    v, w = a[..., :1], a[..., 1:2]
+    return np.concatenate([v, w, v + w, v - w], axis=-1)
+
+
+@register("ras088_typed_outputs", f"""
+WITH {demo.PX}, h AS (SELECT scene_id, max(y) + 1 AS h FROM px GROUP BY scene_id)
+SELECT scene_id, y, x, CASE WHEN w = 7 THEN 0 ELSE floor(least(255, v / 500000 * 255)) END::SMALLINT AS first, CASE WHEN w = 7 THEN 0 ELSE floor(least(255, greatest(0, (v - w) / 500000 * 255))) END::SMALLINT AS second, 'smallint' AS kind
+FROM px JOIN h USING (scene_id) WHERE h >= 20""")
+def typed_outputs(spark, sf):
+    """A byte image of two bands made of a model's four; pixels whose customer is 7 are nodata, and 0 in the image."""
+    blocks, scenes = _order_blocks(spark, sf)
+    # the band that tells nodata comes first in the tiles, and the model puts the bands back
+    turned = blocks.withColumn("data", F.flatten(F.transform(F.sequence(F.lit(0), (F.size("data") / 2 - 1).cast("int")), lambda k: F.array(F.get("data", 2 * k + 1), F.get("data", 2 * k)))))
+    tiles = windows.overlapping_tiles(turned, scenes, (20, 20), (4, 4))
+    scored = scoring.score_tiles(tiles, lambda a: _four(a[..., ::-1]), nodata=7.0, transform=lambda out: np.clip(out[..., [0, 3]] / 500000 * 255, 0, 255), dtype="byte")
+    kind = scored.schema["scores"].dataType.elementType.simpleString()
+    return scoring.stitch(scored).select(*KEY, F.get("probs", F.lit(0)).alias("first"), F.get("probs", F.lit(1)).alias("second"), F.lit(kind).alias("kind"))
+
+
+BOUNDS = (33, 10, 50, 30)
 
 
-@register("ras089_score_in_bounds", f"WITH {demo.PX} SELECT scene_id, y, x, round(v * 0.25 + w * 2, 4) AS p FROM px WHERE x >= 5 AND x < 35 AND y >= 10 AND y < 30")
+@register("ras089_score_in_bounds", f"""
+WITH {demo.PX}, h AS (SELECT scene_id, max(y) + 1 AS h FROM px GROUP BY scene_id), s AS (SELECT scene_id, unnest([least(10, h - 12), least(18, h - 12)]) AS start, unnest([10, 20]) AS own0, unnest([20, 30]) AS own1 FROM h),
+r AS (SELECT scene_id, greatest(own0, start + 1) AS y0, least(own1, start + 11) AS y1 FROM s WHERE start >= 0)
+SELECT a.scene_id, a.y, a.x, round(avg(b.v), 4) AS p FROM px a JOIN r ON r.scene_id = a.scene_id AND a.y >= y0 AND a.y < y1 JOIN px b ON b.scene_id = a.scene_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1
+WHERE a.x >= 34 AND a.x < 49 GROUP BY a.scene_id, a.y, a.x""")
 def score_in_bounds(spark, sf):
-    """Only tiles that meet the bounds are read and scored."""
-    bounds = G.box(F.lit(5), F.lit(10), F.lit(35), F.lit(30))
-    tiles = _order_tiles(spark, sf, 25, 0).filter(G.overlaps(G.box_of(), bounds))
-    px = scoring.stitch(scoring.score_tiles(tiles, _model), _owned(tiles)).filter("x >= 5 AND x < 35 AND y >= 10 AND y < 30")
-    return px.select(*KEY, F.round(F.get("probs", F.lit(0)), 4).alias("p"))
+    """A 3 x 3 mean inside bounds, over tiles of 12 that share 4: the last ones are moved back and read what lies before the
+    bounds. Only blocks that a tile may reach are read, by folder."""
+    blocks, scenes = _order_blocks(spark, sf, by_row=True)
+    tiles = windows.overlapping_tiles(blocks, scenes, (12, 12), (4, 4), bounds=BOUNDS, block=(16, 16))
+    return scoring.stitch(scoring.score_tiles(tiles, _box_mean)).select(*KEY, F.round(F.get("probs", F.lit(0)), 4).alias("p"))
 
 
 def order_shapes(spark, sf):

@@ -178,8 +178,8 @@ WITH {PAIRS}, d AS (
            sqrt(min((c.y - o.y) * (c.y - o.y) + (c.x - o.x) * (c.x - o.x)) FILTER (o.a > 0)) AS d1, sqrt(min((c.y - o.y) * (c.y - o.y) + (c.x - o.x) * (c.x - o.x)) FILTER (NOT o.a > 0)) AS d0
     FROM cells c JOIN cells o USING (vec_id) GROUP BY c.vec_id, c.i
 )
-SELECT vec_id, round(avg(p * CASE WHEN ones = 0 THEN 0 WHEN t THEN CASE WHEN zeros > 0 THEN 1 - d0 ELSE 0 END ELSE d1 END
-    + (1 - p) * CASE WHEN zeros = 0 THEN 0 WHEN NOT t THEN CASE WHEN ones > 0 THEN 1 - d1 ELSE 0 END ELSE d0 END), 6) AS loss FROM d GROUP BY vec_id""")
+SELECT vec_id, round(avg(p * CASE WHEN zeros = 0 THEN 0 WHEN NOT t THEN CASE WHEN ones > 0 THEN 1 - d1 ELSE 0 END ELSE d0 END
+    + (1 - p) * CASE WHEN ones = 0 THEN 0 WHEN t THEN CASE WHEN zeros > 0 THEN 1 - d0 ELSE 0 END ELSE d1 END), 6) AS loss FROM d GROUP BY vec_id""")
 def surface_loss(spark, sf):
     """Boundary loss of one tile's sign mask against the next tile's values, squeezed to 0..1."""
     pairs = _tile_pairs(spark, sf).select("vec_id", F.transform("a", lambda x: (x > 0).cast("double")).alias("a"), F.transform("b", lambda x: 1 / (1 + F.exp(-x))).alias("b"))

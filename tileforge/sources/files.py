@@ -216,8 +216,8 @@ def block_side(side: int, other: int) -> int:
     return side if max(side, other) <= 100 else min(max(1, side // 16) * 16, 1024)
 
 
-def write_tiles(pixels: DataFrame, path: str, tile: int = 256, mode: str = "overwrite", nodata: float | None = None, headers: DataFrame | None = None) -> None:
-    """Parquet tiles, a folder for each scene; rows are dealt by scene and tile row, so a giant scene takes many tasks.
+def write_tiles(pixels: DataFrame, path: str, tile: int = 256, mode: str = "overwrite", nodata: float | None = None, headers: DataFrame | None = None, by_row: bool = False) -> None:
+    """Parquet tiles, a folder for each scene, or for each row of its tiles; rows are dealt by scene and tile row, so a giant scene takes many tasks.
 
     A raster with a side above 100 is cut into blocks of a multiple of 16 (``block_side`` of ``tile``); edge blocks may be
     short. Every tile carries the nodata value and, of ``headers`` (scene_id, gt, projection, tags), its scene's metadata,
@@ -230,4 +230,4 @@ def write_tiles(pixels: DataFrame, path: str, tile: int = 256, mode: str = "over
         g = F.col("gt")
         moved = F.array(g[0] + F.col("min_x") * g[1], g[1], g[2], g[3] + F.col("min_y") * g[5], g[4], g[5])
         tiles = tiles.join(headers.select("scene_id", "gt", "projection", "tags"), "scene_id", "left").withColumn("gt", F.when(F.size(g) == 6, moved))
-    tiles.repartition("scene_id", "tile_row").write.mode(mode).partitionBy("scene_id").parquet(path)
+    tiles.repartition("scene_id", "tile_row").write.mode(mode).partitionBy("scene_id", *["tile_row"] * by_row).parquet(path)
