@@ -11,10 +11,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..operators import catalog, grid, registry, sampling
+from ..operators import catalog, evaluate, grid, registry, sampling
 from ..sources import files
 from ..streaming import scenes as streams
-from . import demo
+from . import demo, evaluation_queries
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -469,6 +469,36 @@ def augmentation_chain(spark, sf):
     return sampling.augment(_value_label(spark, sf), steps).withColumn("value", F.round("value", 4)).select(*KEY, "value", "label")
 
 
+AUGMENTED = f"""
+WITH {demo.PX}, b AS (SELECT scene_id, y // 10 AS chunk_row, x // 10 AS chunk_col, y % 10 AS y, x % 10 AS x, px.v, label FROM px),
+full_ AS (SELECT scene_id, chunk_row, chunk_col FROM b GROUP BY ALL HAVING count(*) = 100),
+k AS (SELECT f.*, e.k AS epoch, e.k || ':' || scene_id || ':' || chunk_row || ':' || chunk_col AS key FROM full_ f, range(2) e(k)),
+d AS (SELECT *, {_u(7, Q + '0-go' + Q, 'key')} <= 0.5 AS lr, {_u(7, Q + '1-go' + Q, 'key')} <= 0.5 AS ud, {_u(7, Q + '2-go' + Q, 'key')} <= 0.7 AS moves,
+    (floor({_u(7, Q + '2-dx' + Q, 'key')} * 7) - 3)::INT AS dx, (floor({_u(7, Q + '2-dy' + Q, 'key')} * 7) - 3)::INT AS dy,
+    CASE WHEN {_u(7, Q + '3-go' + Q, 'key')} <= 0.8 THEN radians((2 * {_u(7, Q + '3-angle' + Q, 'key')} - 1) * 20) ELSE 0 END AS a,
+    CASE WHEN {_u(7, Q + '4-go' + Q, 'key')} <= 0.6 THEN 0.8::DOUBLE + (1.2::DOUBLE - 0.8::DOUBLE) * {_u(7, Q + '4-light' + Q, 'key')} ELSE 1 END AS light FROM k),
+p AS (SELECT d.*, y.k AS y, x.k AS x, floor(cos(a) * (y.k - 4.5::DOUBLE) - sin(a) * (x.k - 4.5::DOUBLE) + 4.5::DOUBLE + 0.5::DOUBLE)::INT AS ry, floor(sin(a) * (y.k - 4.5::DOUBLE) + cos(a) * (x.k - 4.5::DOUBLE) + 4.5::DOUBLE + 0.5::DOUBLE)::INT AS rx FROM d, range(10) y(k), range(10) x(k)),
+q AS (SELECT *, ((ry % 18) + 18) % 18 AS my, ((rx % 18) + 18) % 18 AS mx FROM p),
+m AS (SELECT *, CASE WHEN my < 10 THEN my ELSE 18 - my END - CASE WHEN moves THEN dy ELSE 0 END AS ty, CASE WHEN mx < 10 THEN mx ELSE 18 - mx END - CASE WHEN moves THEN dx ELSE 0 END AS tx FROM q),
+n AS (SELECT *, ((ty % 18) + 18) % 18 AS uy, ((tx % 18) + 18) % 18 AS ux FROM m),
+s AS (SELECT *, CASE WHEN uy < 10 THEN uy ELSE 18 - uy END AS sy, CASE WHEN ux < 10 THEN ux ELSE 18 - ux END AS sx FROM n)
+SELECT s.epoch::INT AS epoch, s.scene_id, s.chunk_row::INT AS chunk_row, s.chunk_col::INT AS chunk_col, s.y::INT AS y, s.x::INT AS x, round(b.v * light, 4) AS value, b.label
+FROM s JOIN b ON b.scene_id = s.scene_id AND b.chunk_row = s.chunk_row AND b.chunk_col = s.chunk_col AND b.y = CASE WHEN ud THEN 9 - sy ELSE sy END AND b.x = CASE WHEN lr THEN 9 - sx ELSE sx END"""
+
+
+@register("ras085_augmented_samples", AUGMENTED)
+def augmented_samples(spark, sf):
+    """Samples of 10 x 10, image and label, flipped, moved, turned and brightened anew in each of two epochs."""
+    px = demo.orders_raster(spark, sf)
+    cells = px.groupBy("scene_id", F.floor(F.col("y") / 10).cast("int").alias("chunk_row"), F.floor(F.col("x") / 10).cast("int").alias("chunk_col"))
+    made = cells.agg(F.array_sort(F.collect_list(F.struct("y", "x", F.get("bands", F.lit(0)).alias("v"), "label"))).alias("_p")).filter(F.size("_p") == 100)
+    samples = made.select("scene_id", "chunk_row", "chunk_col", F.transform("_p", lambda p: p["v"]).alias("image"), F.transform("_p", lambda p: p["label"]).alias("label"))
+    steps = [{"random_flip_left_right": {"probability": 0.5}}, {"random_flip_up_down": {"probability": 0.5}}, {"random_translate": {"probability": 0.7, "max_pixels": 3}}, {"random_rotate": {"probability": 0.8, "max_angle": 20}}, {"random_brightness": {"probability": 0.6, "min_factor": 0.8, "max_factor": 1.2}}]
+    out = sampling.augment_samples(samples, steps, ["scene_id", "chunk_row", "chunk_col"], (10, 10), seed=7, epochs=2)
+    out = out.select("epoch", "scene_id", "chunk_row", "chunk_col", F.posexplode(F.arrays_zip("image", "label")).alias("_at", "_p"))
+    return out.select("epoch", "scene_id", "chunk_row", "chunk_col", F.floor(F.col("_at") / 10).cast("int").alias("y"), (F.col("_at") % 10).alias("x"), F.round("_p.image", 4).alias("value"), "_p.label")
+
+
 def _scratch(spark) -> str:
     return os.path.join(files.shared_folder(spark), f"scratch-{uuid.uuid4().hex}")
 
@@ -504,6 +534,24 @@ def running_confusion(spark, sf):
     return spark.read.parquet(f"{base}/out")
 
 
+@register("ras097_scene_reports_stream", evaluation_queries.SQL["ras097_class_report_rollup"])
+def scene_reports_stream(spark, sf):
+    """Tiles of all scenes in shuffled order over several triggers, every third one twice; each scene reports once, when it is whole."""
+    base = _scratch(spark)
+    px = demo.orders_raster(spark, sf).withColumn("pred", (demo.probability() >= 0.5).cast("int"))
+    tiles = px.groupBy("scene_id", F.floor(F.col("y") / 10).cast("int").alias("tile_row"), F.floor(F.col("x") / 10).cast("int").alias("tile_col")).agg(F.collect_list(F.struct("label", "pred")).alias("_p"))
+    number = tiles.groupBy("scene_id").agg(F.count(F.lit(1)).cast("int").alias("n_tiles"))
+    order = F.xxhash64("scene_id", "tile_row", "tile_col")
+    tiles = tiles.join(number, "scene_id").select("scene_id", "tile_row", "tile_col", "n_tiles", F.transform("_p", lambda p: p["label"]).alias("labels"), F.transform("_p", lambda p: p["pred"]).alias("preds"), order.alias("_order"))
+    twice = tiles.unionByName(tiles.filter("_order % 3 = 0").withColumn("_order", F.xxhash64("_order")))
+    twice.repartition(6, "_order").drop("_order").write.parquet(f"{base}/tiles")
+    stream = streams.read_stream(spark, f"{base}/tiles", spark.read.parquet(f"{base}/tiles").schema, files_per_trigger=2)
+    streams.process_new(streams.scene_confusion(stream, 2, demo.NODATA), f"{base}/out", f"{base}/check").awaitTermination()
+    conf = evaluate.with_totals(spark.read.parquet(f"{base}/out"), "scene_id")
+    report = evaluate.class_report(conf, "scene_id")
+    return report.withColumns({n: F.round(n, 6) for n in ("precision", "recall", "frequency", "accuracy")})
+
+
 @register("ras128_registry", f"""
 WITH {demo.PX}, m AS (SELECT scene_id, 49 - x AS x, 49 - y AS y, px.v / 2 + 1 AS v, label FROM px)
 SELECT scene_id, count(*) AS n, round(avg(CASE WHEN label = 1 THEN (v > 100001)::INT END), 6) AS recall, round(sum(v * (x + 1)), 1) AS weighted FROM m GROUP BY scene_id""")

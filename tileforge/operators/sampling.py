@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,6 +70,8 @@ def shuffle_key(seed: int, epoch: int, *key: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(epoch)), *[F.col(k).cast("string") for k in key]))
 
 
+#: Samples that are changed at a time.
+BATCH = 256
 #: Samples that one task orders.
 ORDERED = 10_000
 
@@ -80,8 +83,8 @@ def numbered(samples: DataFrame, order: Column, ties: list[str]) -> DataFrame:
     up by their own leading digits, so that table is never one group either.
     """
     rows = samples.withColumn("_order", order)
-    digits = 1
-    while 16**digits * ORDERED < rows.count():
+    digits, total = 1, rows.count()
+    while 16**digits * ORDERED < total:
         digits += 1
     rows = rows.withColumns({"_part": F.substring("_order", 1, digits), "_lead": F.substring("_order", 1, max(1, digits // 2))})
     counts = rows.groupBy("_lead", "_part").agg(F.count(F.lit(1)).alias("_n"))
@@ -159,6 +162,82 @@ def rotated(pixels: DataFrame, width: int, height: int, most: float, seed: int,
     return moved(pixels, key, reflected(at_y, height), reflected(at_x, width))
 
 
+def _drawn(step: str | dict, k: int, seed: int, keys: list[Column]) -> tuple[str, dict, Column]:
+    """(name, arguments, draws) of the k-th step for one sample of one epoch: by seed, step, epoch and the sample's key alone."""
+    name, args = (step, {}) if isinstance(step, str) else next(iter(step.items()))
+    args = args or {}
+    u = lambda what: uniform(seed, F.lit(f"{k}-{what}"), *keys)
+    go = u("go") <= args.get("probability", 1.0 if "brightness" not in name else 0.5)
+    if name in ("random_flip_left_right", "random_flip_up_down"):
+        first, second = F.when(go, 1.0).otherwise(0.0), F.lit(0.0)
+    elif name == "random_translate":
+        most = args.get("max_pixels", 7)
+        first, second = (F.when(go, F.floor(u(axis) * (2 * most + 1)) - most).otherwise(0).cast("double") for axis in ("dx", "dy"))
+    elif name == "random_rotate":
+        first, second = F.when(go, F.radians((2 * u("angle") - 1) * args.get("max_angle", 5.0))).otherwise(0.0), F.lit(0.0)
+    elif name == "random_brightness":
+        low, high = args.get("min_factor", 0.5), args.get("max_factor", 1.5)
+        first, second = F.when(go, low + (high - low) * u("light")).otherwise(1.0), F.lit(0.0)
+    else:
+        raise ValueError(f"unknown augmentation {name}")
+    return name, args, F.array(first, second)
+
+
+def _places(names: list[str], draws: np.ndarray, h: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each pixel of the changed samples comes from: [samples, h, w] rows and columns. The last step is undone first."""
+    y, x = (np.broadcast_to(g, (len(draws), h, w)) for g in np.mgrid[:h, :w])
+    each = lambda v: v[:, None, None]
+    for k in range(len(names) - 1, -1, -1):
+        first, second = draws[:, k, 0], draws[:, k, 1]
+        if names[k] == "random_flip_left_right":
+            x = np.where(each(first) > 0, w - 1 - x, x)
+        elif names[k] == "random_flip_up_down":
+            y = np.where(each(first) > 0, h - 1 - y, y)
+        elif names[k] == "random_translate":
+            y, x = kernels.mirror(y - each(second).astype(int), h), kernels.mirror(x - each(first).astype(int), w)
+        elif names[k] == "random_rotate":
+            cy, cx, cos, sin = (h - 1) / 2, (w - 1) / 2, each(np.cos(first)), each(np.sin(first))
+            turned_y, turned_x = cos * (y - cy) - sin * (x - cx) + cy, sin * (y - cy) + cos * (x - cx) + cx
+            y, x = kernels.mirror(np.floor(turned_y + 0.5).astype(int), h), kernels.mirror(np.floor(turned_x + 0.5).astype(int), w)
+    return y, x
+
+
+def augment_samples(samples: DataFrame, steps: list, key: list[str], size: tuple[int, int], label_size: tuple[int, int] | None = None, seed: int = 0, epochs: int = 1, image: str = "image", label: str = "label") -> DataFrame:
+    """``samples`` once for each ``epoch`` from 0, image and label changed together by the steps, each time anew.
+
+    Samples are arrays of one ``size`` (rows, columns) with any number of bands, whatever the size of the scenes that they were
+    cut from; labels may be smaller and are changed about their own centre. A step is a name or a dict of a name and its
+    arguments (random_flip_left_right, random_flip_up_down, random_translate, random_rotate, random_brightness). What is drawn
+    depends on seed, step, epoch and key only, so a rerun and any partitioning give the same. Nothing is shuffled: a sample
+    is changed where it is, a batch of them at a time. Outside a sample is its mirror image; brightness leaves labels alone.
+    """
+    label_size = label_size or size
+    rows = samples.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    made = [_drawn(step, k, seed, [F.col("epoch"), *map(F.col, key)]) for k, step in enumerate(steps)]
+    names = [name for name, _, _ in made]
+    rows = rows.withColumn("_draws", F.flatten(F.array(*[d for _, _, d in made])) if made else F.array().cast("array<double>"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_draws")
+
+    def change(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for at in range(0, len(f), BATCH):
+                part = f.iloc[at : at + BATCH]
+                draws = np.stack(part["_draws"].to_numpy()).reshape(len(part), len(names), 2)
+                rows_ = np.arange(len(part))[:, None, None]
+                done = {}
+                for column, (h, w) in ((image, size), (label, label_size)):
+                    whole = np.stack(part[column].to_numpy()).reshape(len(part), h, w, -1)
+                    y, x = _places(names, draws, h, w)
+                    out = whole[rows_, y, x]
+                    if column == image:
+                        for k, name in enumerate(names):
+                            out = (out * draws[:, k, 0][:, None, None, None]).astype(out.dtype) if name == "random_brightness" else out
+                    done[column] = list(out.reshape(len(part), -1))
+                yield part.drop(columns="_draws").assign(**done)
+
+    return rows.mapInPandas(change, schema)
+
+
 def centre_crop(pixels: DataFrame, width: int, height: int, out_width: int, out_height: int, fill: dict | None = None) -> DataFrame:
     """The middle of each scene, (in - out) // 2 off on each side, from (0, 0) on.
 

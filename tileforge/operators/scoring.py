@@ -24,7 +24,7 @@ def score_tiles(tiles: DataFrame, model: Callable[[np.ndarray], np.ndarray], pat
     batch of patches. The output is centred on the tile: min_x and min_y are moved by half of what the model crops. ``tiles``
     has ``data``, or the ``strips`` of ``windows.overlapping_tiles``; a tile's owner box (v_min_x ..) goes along.
 
-    Outputs whose pixel of the first band is ``nodata`` become NaN. ``transform`` then makes an image of its own number of
+    Outputs whose pixel of the first band is ``nodata`` become NaN, and with it NULL in the table. ``transform`` then makes an image of its own number of
     bands of each tile's output, and ``dtype`` its own type (``OUTPUTS``; values are cut to whole numbers, NaN is 0 there).
     """
     kind, numpy_kind = OUTPUTS[dtype]
@@ -49,7 +49,8 @@ def score_tiles(tiles: DataFrame, model: Callable[[np.ndarray], np.ndarray], pat
             yield pd.DataFrame(rows, columns=fields)
 
     columns = ["scene_id", "tile_row", "tile_col", "min_x", "min_y", "max_x", "max_y", "n_bands", body, *owner]
-    return tiles.select(*columns).mapInPandas(run, f"scene_id string, tile_row int, tile_col int, min_x int, min_y int, out_h int, out_w int, n_out int, scores {kind}" + "".join(f", {c} int" for c in owner))
+    out = tiles.select(*columns).mapInPandas(run, f"scene_id string, tile_row int, tile_col int, min_x int, min_y int, out_h int, out_w int, n_out int, scores {kind}" + "".join(f", {c} int" for c in owner))
+    return out.withColumn("scores", F.transform("scores", lambda v: F.when(~F.isnan(v), v))) if nodata is not None and numpy_kind.startswith("float") else out
 
 
 def stitch(scored: DataFrame, valid: DataFrame | None = None, unique: bool = True) -> DataFrame:

@@ -79,7 +79,7 @@ def strips(blocks: DataFrame) -> DataFrame:
         for f in frames:
             out = []
             for scene, x0, y0, x1, y1, bands, data, wanted in zip(*(f[c] for c in ("scene_id", *SIDES, "n_bands", "data", "wanted"))):
-                plane = np.asarray(data).reshape(y1 - y0, x1 - x0, bands)
+                plane = np.asarray(data, np.float64).reshape(y1 - y0, x1 - x0, bands)
                 for w in wanted:
                     a, b = max(x0, w["min_x"]), max(y0, w["min_y"])
                     c, d = min(x1, w["max_x"]), min(y1, w["max_y"])
@@ -97,11 +97,11 @@ def gathered(parts: DataFrame) -> DataFrame:
 
 
 def put_together(h: int, w: int, bands: int, min_x: int, min_y: int, parts) -> np.ndarray:
-    """The window's array; what no strip covers is NaN."""
+    """The window's array; what is NULL or covered by no strip is NaN."""
     out = np.full((h, w, bands), np.nan)
     for p in parts:
         a, b, c, d = p["s_min_x"] - min_x, p["s_min_y"] - min_y, p["s_max_x"] - min_x, p["s_max_y"] - min_y
-        out[b:d, a:c] = np.asarray(p["data"]).reshape(d - b, c - a, bands)
+        out[b:d, a:c] = np.asarray(p["data"], np.float64).reshape(d - b, c - a, bands)
     return out
 
 
