@@ -86,6 +86,54 @@ def test_archives_and_elevation_have_their_place(spark, tmp_path):
     assert tuple(t.bounds) == (-2, 1, -1, 2) and t.pixel_size == 1.0
 
 
+def test_a_large_array_is_read_by_many_tasks(spark, tmp_path):
+    """Over 2 GB, most of it a hole in a sparse file; rows beyond 2 GB come from their own range."""
+    h, w = 9000, 30000
+    with open(tmp_path / "big.npy", "wb") as f:
+        np.lib.format.write_array_header_1_0(f, {"descr": "<f8", "fortran_order": False, "shape": (h, w)})
+        begin = f.tell()
+        for y in (0, 8999):
+            f.seek(begin + y * w * 8)
+            f.write(np.arange(w, dtype="<f8").tobytes() if y == 0 else (np.arange(w, dtype="<f8") + y).tobytes())
+    assert os.path.getsize(tmp_path / "big.npy") > 2 << 30
+    (tmp_path / "cut.npy").write_bytes(b"\x93NUMPY\x01\x00\xff\xffshort")
+    turned = np.asfortranarray(np.arange(24.0).reshape(4, 3, 2))
+    np.save(tmp_path / "turned.npy", turned)
+    splits = files.npy_splits(spark, str(tmp_path), rows_per_tile=3)
+    assert splits.filter("error IS NOT NULL").count() == 1 and splits.filter("scene_id = 'big'").count() == 3000
+    some = files.read_splits(splits.filter("scene_id <> 'big' OR tile_row IN (0, 1500, 2999)"), 3)
+    rows = {(r.scene_id, r.tile_row): r for r in some.withColumn("_task", F.spark_partition_id()).collect()}
+    assert list(rows["big", 0].data[:3]) == [0, 1, 2] and rows["big", 2999].data[2 * w + 5] == 9004 and not any(rows["big", 1500].data[:1000])
+    assert rows["big", 2999].min_y == 8997 and len({r._task for k, r in rows.items() if k[0] == "big"}) > 1
+    assert [list(rows["turned", k].data) for k in (0, 1)] == [turned[:3].reshape(-1).tolist(), turned[3:].reshape(-1).tolist()]
+    assert rows["cut", 0].error
+
+
+def test_members_are_unpacked_to_a_mirrored_tree(spark, tmp_path):
+    """A folder below has the base's name; members of one archive go to several tasks; a name that leaves its folder is an error."""
+    base = tmp_path / "data"
+    (base / "a" / "data").mkdir(parents=True)
+    with zipfile.ZipFile(base / "a" / "data" / "b.zip", "w") as z:
+        for k in range(40):
+            z.writestr(f"d/m{k}.txt", f"text {k} " * 1000, zipfile.ZIP_DEFLATED if k % 2 else zipfile.ZIP_STORED)
+        z.writestr("../out.txt", "no")
+    for name, mode in (("t.tar", "w"), ("g.tar.gz", "w:gz")):
+        with tarfile.open(base / name, mode) as t:
+            for k in range(3):
+                info = tarfile.TarInfo(f"{'long' * 40}/n{k}.txt")
+                info.size = 5
+                t.addfile(info, io.BytesIO(b"hi %02d" % k))
+    (base / "bad.zip").write_bytes(b"broken")
+    paths = {r.path for r in files.unpacked_paths(files.unpack(spark, str(base)), str(base)).filter("error IS NULL").collect()}
+    assert "a/data/b/d/m0.txt" in paths and f"t/{'long' * 40}/n2.txt" in paths and f"g/{'long' * 40}/n0.txt" in paths
+    rows = files.unpack_to(spark, str(base), str(tmp_path / "out")).withColumn("_task", F.spark_partition_id()).collect()
+    assert len({r._task for r in rows if r.archive.endswith("b.zip")}) > 1
+    good = {r.path for r in rows if r.error is None}
+    found = {os.path.relpath(os.path.join(d, f), tmp_path / "out") for d, _, names in os.walk(tmp_path / "out") for f in names}
+    assert good == found and len(good) == 46 and sum(r.error is not None for r in rows) == 2
+    assert (tmp_path / "out" / "a" / "data" / "b" / "d" / "m7.txt").read_text() == "text 7 " * 1000
+
+
 def test_catalogs_and_headers_are_read_from_files(spark, tmp_path):
     (tmp_path / "c").mkdir()
     for k in (1, 2):

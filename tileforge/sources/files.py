@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import io
+import ast
 import re
 import tarfile
 import tempfile
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -113,48 +114,116 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
 
 
 TILES = "scene_id string, tile_row int, tile_col int, min_x int, min_y int, max_x int, max_y int, n_bands int, data array<float>, error string"
+SPLITS = "path string, scene_id string, dtype string, offset long, columns_first boolean, height int, width int, n_bands int, tile_row int, min_y int, max_y int, bytes long, error string"
+#: Bytes of tiles that one task of a reader aims at.
+TASK_BYTES = 64 << 20
+
+
+def npy_layout(head: bytes) -> tuple[str, bool, tuple[int, ...], int]:
+    """(type, columns first, shape, where the data begins) of the head of a NumPy file."""
+    if head[:6] != b"\x93NUMPY" or len(head) < 12:
+        raise ValueError("not a NumPy file")
+    wide = head[6] > 1
+    n = int.from_bytes(head[8 : 12 if wide else 10], "little")
+    begin = (12 if wide else 10) + n
+    if len(head) < begin:
+        raise ValueError("a header of a NumPy file that is cut short")
+    said = ast.literal_eval(head[12 if wide else 10 : begin].decode("latin1"))
+    if np.dtype(said["descr"]).hasobject:
+        raise ValueError("arrays of objects are not read")
+    return np.dtype(said["descr"]).str, bool(said["fortran_order"]), tuple(said["shape"]), begin
+
+
+def _splits(spark: SparkSession, directory: str, extension: str, layout, rows_per_tile: int) -> DataFrame:
+    """The tiles of whole rows of each file and where their bytes are; ``layout(file, size)`` is what ``npy_layout`` gives."""
+    found = discover(spark, directory, extension=extension)
+
+    def plan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [x.split()[0] for x in SPLITS.split(", ")]
+        for f in frames:
+            for path, size in zip(f["path"], f["length"]):
+                scene = path.rsplit("/", 1)[-1][: -len(extension)]
+                try:
+                    store, at = store_of(path)
+                    with store.open_input_file(at) as file:
+                        kind, turned, shape, begin = layout(file, size)
+                    h, w, bands = (*shape, 1)[:3] if len(shape) in (2, 3) else (0, 0, 0)
+                    if len(shape) not in (2, 3):
+                        raise ValueError(f"{len(shape)} dimensions")
+                    if h * w * bands == 0:
+                        raise ValueError("no pixels")
+                    line = w * bands * np.dtype(kind).itemsize
+                    if begin + h * line > size:
+                        raise ValueError("the file is cut short")
+                    # an array with its columns first has no rows in one piece: one split of all of it
+                    step = h if turned else rows_per_tile
+                    rows = [(path, scene, kind, begin + y * line, turned, h, w, bands, y // rows_per_tile, y, min(h, y + step), (min(h, y + step) - y) * line, None) for y in range(0, h, step)]
+                except Exception as e:  # a bad file is a row of the report, not the end of the job
+                    rows = [(path, scene, None, None, None, None, None, None, 0, None, None, None, f"{type(e).__name__}: {e}")]
+                yield pd.DataFrame(rows, columns=names).astype(object)
+
+    return found.mapInPandas(plan, SPLITS)
+
+
+def npy_splits(spark: SparkSession, directory: str, rows_per_tile: int = 256) -> DataFrame:
+    """Where the tiles of NumPy arrays are: their headers only are read. One row for each tile, or with ``error`` for a bad file."""
+
+    def layout(file, size: int) -> tuple:
+        return npy_layout(file.read_at(min(size, 1 << 16), 0))
+
+    return _splits(spark, directory, ".npy", layout, rows_per_tile)
+
+
+def elevation_splits(spark: SparkSession, directory: str, side: int = HGT_SIDE, rows_per_tile: int = 256) -> DataFrame:
+    """The same of elevation grids, whose size tells that they are whole."""
+
+    def layout(file, size: int) -> tuple:
+        if size != side * side * 2:
+            raise ValueError(f"{size} bytes are no grid of {side} x {side}")
+        return ">i2", False, (side, side), 0
+
+    return _splits(spark, directory, ".hgt", layout, rows_per_tile)
 
 
-def _tiles(spark: SparkSession, directory: str, extension: str, decode, rows_per_tile: int) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*" + extension).load(directory)
+def read_splits(splits: DataFrame, rows_per_tile: int = 256, missing: float | None = None) -> DataFrame:
+    """The tiles of ``splits`` (a filter on these reads less), each read by its range of bytes; ``missing`` becomes NaN.
+
+    Splits are dealt over tasks by their bytes, so that many tasks read one large file, and a task holds one split at a time.
+    """
+    names = [x.split()[0] for x in TILES.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = []
-            for path, content in zip(f["path"], f["content"]):
-                scene = path.rsplit("/", 1)[-1][: -len(extension)]
+            for s in f.itertuples(index=False):
                 try:
-                    image = decode(content)
-                    if not image.size:
-                        out.append((scene, 0, 0, 0, 0, 0, 0, 0, None, "no pixels"))
-                    for k, y in enumerate(range(0, image.shape[0], rows_per_tile)):
-                        part = image[y : y + rows_per_tile]
-                        out.append((scene, k, 0, 0, y, image.shape[1], y + len(part), image.shape[2], part.reshape(-1).astype("float32"), None))
-                except Exception as e:  # a bad file is a row of the report, not the end of the job
-                    out.append((scene, 0, 0, 0, 0, 0, 0, 0, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=["scene_id", "tile_row", "tile_col", "min_x", "min_y", "max_x", "max_y", "n_bands", "data", "error"])
+                    store, at = store_of(s.path)
+                    with store.open_input_file(at) as file:
+                        data = file.read_at(s.bytes, s.offset)
+                    flat = np.frombuffer(data, np.dtype(s.dtype))
+                    image = flat.reshape((s.n_bands, s.width, s.height)).T if s.columns_first else flat.reshape(s.max_y - s.min_y, s.width, s.n_bands)
+                    image = image.astype("float32")
+                    image = image if missing is None else np.where(image == missing, np.float32("nan"), image)
+                    rows = [(s.scene_id, (s.min_y + y) // rows_per_tile, 0, 0, s.min_y + y, s.width, s.min_y + y + len(part), s.n_bands, part.reshape(-1), None)
+                            for y in range(0, len(image), rows_per_tile) for part in [image[y : y + rows_per_tile]]]
+                except Exception as e:  # as above
+                    rows = [(s.scene_id, s.tile_row, 0, 0, 0, 0, 0, 0, None, f"{type(e).__name__}: {e}")]
+                yield pd.DataFrame(rows, columns=names)
 
-    return files.select("path", "content").mapInPandas(run, TILES)
+    spark = splits.sparkSession
+    total = splits.agg(F.sum("bytes")).first()[0] or 0
+    good = splits.filter("error IS NULL").repartition(max(spark.sparkContext.defaultParallelism, -(-total // TASK_BYTES)), "path", "tile_row")
+    bad = splits.filter("error IS NOT NULL").select("scene_id", *[F.lit(0).alias(n) for n in names[1:7]], F.lit(0).alias("n_bands"), F.lit(None).cast("array<float>").alias("data"), "error")
+    return good.mapInPandas(run, TILES).unionByName(bad)
 
 
 def read_npy(spark: SparkSession, directory: str, rows_per_tile: int = 256) -> DataFrame:
     """NumPy arrays as tiles of whole rows; two dimensions mean one band. Unreadable files give a row with ``error``."""
-
-    def decode(content: bytes) -> np.ndarray:
-        a = np.load(io.BytesIO(content), allow_pickle=False)
-        return a[:, :, None] if a.ndim == 2 else a
-
-    return _tiles(spark, directory, ".npy", decode, rows_per_tile)
+    return read_splits(npy_splits(spark, directory, rows_per_tile), rows_per_tile)
 
 
 def read_elevation(spark: SparkSession, directory: str, side: int = HGT_SIDE, rows_per_tile: int = 256) -> DataFrame:
     """Big-endian 16-bit elevation grids as tiles of whole rows; nodata becomes NaN. See ``elevation_bounds`` for their place."""
-
-    def decode(content: bytes) -> np.ndarray:
-        a = np.frombuffer(content, ">i2").reshape(side, side, 1).astype("float32")
-        return np.where(a == HGT_NODATA, np.nan, a)
-
-    return _tiles(spark, directory, ".hgt", decode, rows_per_tile)
+    return read_splits(elevation_splits(spark, directory, side, rows_per_tile), rows_per_tile, HGT_NODATA)
 
 
 def elevation_bounds(tiles: DataFrame, side: int = HGT_SIDE) -> DataFrame:
@@ -164,36 +233,161 @@ def elevation_bounds(tiles: DataFrame, side: int = HGT_SIDE) -> DataFrame:
     return tiles.withColumns({"bounds": elevation_tile_bounds(F.col("scene_id")), "pixel_size": F.lit(1.0 / (side - 1))})
 
 
+MEMBERS = "archive string, member string, kind string, start long, packed long, size long, error string"
+#: Bytes of a member that are read, unpacked and written at a time.
+BLOCK = 4 << 20
+
+
+def archive_members(spark: SparkSession, directory: str, limit: int | None = None) -> DataFrame:
+    """(archive, member, kind, start, packed, size, error): the files in zip and tar archives, and where their bytes are.
+
+    Of a zip file the central directory is read, of a tar file the headers, by ranges. A compressed tar file has no index: it is
+    one row of kind ``stream``, whose members are known when it is read. A bad archive is a row with its error.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory).select("path")
+    found = found if limit is None else found.orderBy("path").limit(limit)
+
+    def listed(path: str) -> Iterator[tuple]:
+        store, at = store_of(path)
+        with store.open_input_file(at) as file:
+            if zipfile.is_zipfile(file):
+                with zipfile.ZipFile(file) as z:
+                    for i in z.infolist():
+                        if i.is_dir():
+                            continue
+                        if i.flag_bits & 1 or i.compress_type not in (0, 8):
+                            yield path, i.filename, None, None, None, None, "encrypted, or packed in a way that is not read"
+                            continue
+                        head = file.read_at(30, i.header_offset)
+                        begin = i.header_offset + 30 + int.from_bytes(head[26:28], "little") + int.from_bytes(head[28:30], "little")
+                        yield path, i.filename, "deflated" if i.compress_type else "stored", begin, i.compress_size, i.file_size, None
+                return
+            file.seek(0)
+            if file.read(2) in (b"\x1f\x8b", b"BZ", b"\xfd7"):
+                yield path, None, "stream", 0, file.size(), None, None
+                return
+            file.seek(0)
+            with tarfile.open(fileobj=file, mode="r:") as t:
+                for m in t:
+                    if m.isfile():
+                        yield path, m.name, "stored", m.offset_data, m.size, m.size, None
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for path in f["path"]:
+                try:
+                    rows = list(listed(path))
+                except Exception as e:  # as above
+                    rows = [(path, None, None, None, None, None, f"{type(e).__name__}: {e}")]
+                yield pd.DataFrame(rows, columns=[x.split()[0] for x in MEMBERS.split(", ")]).astype(object)
+
+    return found.mapInPandas(run, MEMBERS)
+
+
+def _blocks(file, kind: str, start: int, packed: int) -> Iterator[bytes]:
+    """A member's bytes, a block at a time."""
+    squeeze = zlib.decompressobj(-15) if kind == "deflated" else None
+    for at in range(start, start + packed, BLOCK):
+        data = file.read_at(min(BLOCK, start + packed - at), at)
+        if squeeze is None:
+            yield data
+            continue
+        while data:
+            yield squeeze.decompress(data, BLOCK)
+            data = squeeze.unconsumed_tail
+    if squeeze is not None:
+        yield squeeze.flush()
+        if not squeeze.eof:
+            raise EOFError("the member is cut short")
+
+
+def _contents(path: str, member: str, kind: str, start: int, packed: int) -> Iterator[tuple[str, Iterator[bytes]]]:
+    """(member, blocks) of one row of ``archive_members``; a stream has many members."""
+    store, at = store_of(path)
+    with store.open_input_file(at) as file:
+        if kind != "stream":
+            yield member, _blocks(file, kind, start, packed)
+            return
+        with tarfile.open(fileobj=file, mode="r|*") as t:
+            for m in t:
+                if m.isfile():
+                    body = t.extractfile(m)
+                    yield m.name, iter(lambda: body.read(BLOCK), b"")
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    total = members.agg(F.sum("packed")).first()[0] or 0
+    parts = max(members.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    return members.filter("error IS NULL").repartition(parts, "archive", "member")
+
+
 def unpack(spark: SparkSession, directory: str, limit: int | None = None) -> DataFrame:
-    """(archive, member, content, error) of zip and tar files; a bad archive is a row with its error.
+    """(archive, member, content, error) of zip and tar files; a bad archive or member is a row with its error.
 
-    ``unpacked_paths`` gives where a member belongs in an output tree that mirrors the input's.
+    Members are dealt over tasks and read by their ranges, so that a task holds one member and no archive. What is too large
+    for a row goes by ``unpack_to``.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory)
-    files = files if limit is None else files.orderBy("path").limit(limit)
+    members = archive_members(spark, directory, limit)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = []
-            for path, content in zip(f["path"], f["content"]):
+            for m in f.itertuples(index=False):
                 try:
-                    if zipfile.is_zipfile(io.BytesIO(content)):
-                        with zipfile.ZipFile(io.BytesIO(content)) as z:
-                            out += [(path, n, z.read(n), None) for n in z.namelist() if not n.endswith("/")]
-                    else:
-                        with tarfile.open(fileobj=io.BytesIO(content)) as t:
-                            out += [(path, m.name, t.extractfile(m).read(), None) for m in t.getmembers() if m.isfile()]
+                    for name, blocks in _contents(m.archive, m.member, m.kind, m.start, m.packed):
+                        yield pd.DataFrame([(m.archive, name, b"".join(blocks), None)], columns=["archive", "member", "content", "error"])
                 except Exception as e:  # as above
-                    out.append((path, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=["archive", "member", "content", "error"])
+                    yield pd.DataFrame([(m.archive, m.member, None, f"{type(e).__name__}: {e}")], columns=["archive", "member", "content", "error"])
+
+    good = _dealt(members).mapInPandas(run, "archive string, member string, content binary, error string")
+    return good.unionByName(members.filter("error IS NOT NULL").select("archive", "member", F.lit(None).cast("binary").alias("content"), "error"))
 
-    return files.select("path", "content").mapInPandas(run, "archive string, member string, content binary, error string")
+
+def mirrored(base: str, archive: str, member: str | None) -> str:
+    """A member's place in a tree that mirrors the one below ``base``: the archive's folders, one of its own stem, its own name."""
+    inner = archive.removeprefix(base.rstrip("/") + "/")
+    stem = re.sub(r"(\.tar)?\.[^./]*$", "", inner)
+    return stem if member is None else f"{stem}/{member}"
 
 
 def unpacked_paths(members: DataFrame, directory: str) -> DataFrame:
     """``members`` of ``unpack`` with ``path``: the archive's folders below ``directory``, one of its own stem, and the member's name."""
-    rel = F.substring_index("archive", directory.rstrip("/").rsplit("/", 1)[-1] + "/", -1)
-    return members.withColumn("path", F.concat_ws("/", F.regexp_replace(rel, r"(\.tar)?\.[^./]*$", ""), "member"))
+    base = qualified(members.sparkSession, directory).rstrip("/") + "/"
+    inner = F.when(F.startswith("archive", F.lit(base)), F.substring("archive", F.lit(len(base) + 1), F.length("archive"))).otherwise(F.col("archive"))
+    return members.withColumn("path", F.concat_ws("/", F.regexp_replace(inner, r"(\.tar)?\.[^./]*$", ""), "member"))
+
+
+def unpack_to(spark: SparkSession, directory: str, folder: str, limit: int | None = None) -> DataFrame:
+    """Writes all members below ``folder`` in a tree that mirrors the input's; gives (archive, member, path, length, error) when acted on.
+
+    Members go over in blocks from range to file, so that neither an archive nor a member is held whole. A task that runs again
+    writes the same files. Names that would leave their archive's folder are errors.
+    """
+    base, target = qualified(spark, directory), qualified(spark, folder).rstrip("/")
+    members = archive_members(spark, directory, limit)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = store_of(target)
+        for f in frames:
+            out = []
+            for m in f.itertuples(index=False):
+                try:
+                    for name, blocks in _contents(m.archive, m.member, m.kind, m.start, m.packed):
+                        if name.startswith("/") or ".." in name.split("/"):
+                            raise ValueError("the name leaves its folder")
+                        path, length = mirrored(base, m.archive, name), 0
+                        store.create_dir(f"{root}/{path}".rsplit("/", 1)[0], recursive=True)
+                        with store.open_output_stream(f"{root}/{path}") as to:
+                            for data in blocks:
+                                to.write(data)
+                                length += len(data)
+                        out.append((m.archive, name, path, length, None))
+                except Exception as e:  # as above
+                    out.append((m.archive, m.member, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["archive", "member", "path", "length", "error"]).astype(object)
+
+    good = _dealt(members).mapInPandas(run, "archive string, member string, path string, length long, error string")
+    nothing = [F.lit(None).cast("string").alias("path"), F.lit(None).cast("long").alias("length")]
+    return good.unionByName(members.filter("error IS NOT NULL").select("archive", "member", *nothing, "error"))
 
 
 def invalid_inputs(files: DataFrame, tiles: DataFrame, expected: DataFrame | None = None) -> DataFrame:
