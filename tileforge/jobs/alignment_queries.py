@@ -353,12 +353,45 @@ def shapes_to_pixels(spark, sf):
     return points.select("scene_id", "shape_id", "ring", "poly", "hole", "position", "p.x", "p.y")
 
 
-@register("ras090_mask_outside_shapes", f"WITH {SHAPES} SELECT scene_id, y, x, CASE WHEN EXISTS (SELECT 1 FROM held h WHERE h.scene_id = px.scene_id AND h.y = px.y AND h.x = px.x) THEN label ELSE 2 END AS label FROM px")
+PAINTED = """rings AS (SELECT scene_id, 1 AS shape_id, 0 AS ring, true AS fills, unnest([[k % 5 + 2, 5, 40.5, 8], [40.5, 8, 20, k % 7 + 38], [20, k % 7 + 38, k % 5 + 2, 5]])::DOUBLE[] AS e FROM s
+    UNION ALL SELECT scene_id, 2, 0, true, unnest([[10, 10, 30, 10], [30, 10, 30, 30], [30, 30, 10, 30], [10, 30, 10, 10]])::DOUBLE[] FROM s
+    UNION ALL SELECT scene_id, 2, 1, false, unnest([[15, 15, 25, 15], [25, 15, 25, 25], [25, 25, 15, 25], [15, 25, 15, 15]])::DOUBLE[] FROM s
+    UNION ALL SELECT scene_id, 2, 2, true, unnest([[44, 44, 49, 44], [49, 44, 49, 49], [49, 49, 44, 49], [44, 49, 44, 44]])::DOUBLE[] FROM s
+    UNION ALL SELECT scene_id, 3, 0, true, unnest([[18, 18, 22.5, 18], [22.5, 18, 22.5, 27], [22.5, 27, 18, 27], [18, 27, 18, 18]])::DOUBLE[] FROM s),
+inside AS (SELECT px.scene_id, y, x, shape_id, ring, fills FROM px JOIN rings USING (scene_id) WHERE (e[2] > y + 0.5) <> (e[4] > y + 0.5) AND x + 0.5 < (e[3] - e[1]) * (y + 0.5 - e[2]) / (e[4] - e[2]) + e[1]
+    GROUP BY px.scene_id, y, x, shape_id, ring, fills HAVING count(*) % 2 = 1),
+painted AS (SELECT scene_id, y, x, arg_max(fills, shape_id * 10 + ring) AS held FROM inside {only} GROUP BY scene_id, y, x)"""
+
+
+@register("ras090_mask_outside_shapes", f"WITH {SHAPES}, {PAINTED.format(only='WHERE shape_id < 3')} SELECT px.scene_id, px.y, px.x, CASE WHEN held THEN label ELSE 2 END AS label FROM px LEFT JOIN painted USING (scene_id, y, x)")
 def mask_outside_shapes(spark, sf):
+    """The square's hole clears the triangle's part of it, too: shapes are painted in order."""
     px = demo.orders_raster(spark, sf).select(*KEY, "label")
     return regions.mask_outside(px, order_shapes(spark, sf), "label", demo.NODATA, demo.SIDE, demo.SIDE)
 
 
+@register("ras090_painted_shape_files", f"""
+WITH {SHAPES}, {PAINTED.format(only='')}, named AS (SELECT px.scene_id, label, (v / 500000 >= 0.5)::INT AS pred, held, substr(px.scene_id, 2)::INT % 3 = 2 AS bare FROM px LEFT JOIN painted USING (scene_id, y, x))
+SELECT scene_id, count(*) FILTER (label < 2 AND (held OR bare)) AS pixels, count(*) FILTER (label < 2 AND (held OR bare) AND label = pred) AS hits FROM named GROUP BY scene_id""")
+def painted_shape_files(spark, sf):
+    """Shapes in a file for each image, found by its path: a hole over an earlier shape, and a later shape that fills a part of
+    it again. Every third image has no file and stays as it is. Geo coordinates become pixels by the image's geotransform."""
+    root = scratch(spark)
+    px = demo.orders_raster(spark, sf).select(*KEY, "label", (demo.probability() >= 0.5).cast("int").alias("pred"))
+    images = px.select("scene_id").distinct().withColumns({"path": F.concat(F.lit("in/deep/"), "scene_id", F.lit(".tiff")), "k": F.substring("scene_id", 2, 9).cast("int")})
+    tri = F.format_string("POLYGON ((%d 195, 140.5 192, 120 %d, %d 195))", F.col("k") % 5 + 102, 162 - F.col("k") % 7, F.col("k") % 5 + 102)
+    square = "MULTIPOLYGON (((110 190, 130 190, 130 170, 110 170, 110 190), (115 185, 125 185, 125 175, 115 175, 115 185)), ((144 156, 149 156, 149 151, 144 151, 144 156)))"
+    again = "POLYGON ((118 182, 122.5 182, 122.5 173, 118 173, 118 182))"
+    text = F.concat(F.lit('# WKT, region\n"'), tri, F.lit(f'",urban\n"{square}",\n"{again}"," river, urban"\n"POINT (1 1)",x\n'))
+    made = images.filter("k % 3 <> 2").select(files.shapes_path(F.col("path"), "regions").alias("path"), F.encode(text, "utf-8").alias("content"))
+    files.write_files(made, root).write.format("noop").mode("overwrite").save()
+    gt = F.array(*map(F.lit, (100.0, 1.0, 0.0, 200.0, 0.0, -1.0)))
+    shapes = files.read_shapes(spark, root).withColumn("rings", regions.to_pixels(F.col("rings"), gt))
+    masked = regions.mask_outside(px, shapes, "label", demo.NODATA, demo.SIDE, demo.SIDE, keep_unshaped=True)
+    good = F.col("label") != demo.NODATA
+    return masked.groupBy("scene_id").agg(F.count(F.when(good, 1)).alias("pixels"), F.count(F.when(good & (F.col("label") == F.col("pred")), 1)).alias("hits"))
+
+
 @register("ras123_clip_to_cutline", f"WITH {SHAPES} SELECT px.scene_id, px.y, px.x, CASE WHEN h.y IS NOT NULL THEN v END AS v FROM px LEFT JOIN held h ON h.shape_id = 1 AND h.scene_id = px.scene_id AND h.y = px.y AND h.x = px.x")
 def clip_to_cutline(spark, sf):
     px = demo.orders_raster(spark, sf).select(*KEY, F.get("bands", F.lit(0)).alias("v"))

@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..operators import catalog, evaluate, grid, registry, sampling
+from ..operators import batch, catalog, evaluate, grid, registry, sampling
 from ..sources import files
 from ..streaming import scenes as streams
 from . import demo, evaluation_queries
@@ -503,6 +503,47 @@ def _scratch(spark) -> str:
     return os.path.join(files.shared_folder(spark), f"scratch-{uuid.uuid4().hex}")
 
 
+@register("ras013_resumed_batch", f"""
+WITH {demo.PX}, g AS (SELECT scene_id, substr(scene_id, 2)::INT AS k, count(*) AS pixels, count(*) FILTER (v >= 250000) AS bright FROM px GROUP BY scene_id)
+SELECT scene_id, pixels, bright, k % 2 = 1 OR k % 4 = 0 AS in_second_run, false AS in_third_run FROM g""")
+def resumed_batch(spark, sf):
+    """Every other scene was done before the batch was stopped, and some of these have lost rows since: the second run works on
+    the missing and the damaged ones, the third on none."""
+    base = _scratch(spark)
+    px = demo.orders_raster(spark, sf).withColumn("k", F.substring("scene_id", 2, 18).cast("int"))
+
+    def work(rows):
+        return rows.select("scene_id", "y", "x", (F.get("bands", F.lit(0)) >= 250000).alias("bright"))
+
+    batch.resume(spark, px.filter("k % 2 = 0"), base, work)
+    hurt = work(px.filter("k % 4 = 0 AND y < 3"))
+    hurt.repartition("scene_id").write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("scene_id").parquet(f"{base}/scenes")
+    runs = []
+    for name in ("in_second_run", "in_third_run"):
+        done = batch.resume(spark, px, base, work).withColumn(name, F.lit(True))
+        done.write.parquet(f"{base}/{name}")
+        runs.append(spark.read.schema(done.schema).parquet(f"{base}/{name}"))
+    out = spark.read.parquet(f"{base}/scenes").groupBy("scene_id").agg(F.count(F.lit(1)).alias("pixels"), F.count(F.when(F.col("bright"), 1)).alias("bright"))
+    return out.join(runs[0], "scene_id", "left").join(runs[1], "scene_id", "left").fillna(False)
+
+
+@register("ras006_unpacked_tree", "SELECT p_brand || '/' || p_partkey || '/m.txt' AS path, octet_length(encode(p_partkey || ',' || p_name)) AS length FROM part WHERE p_partkey % 10 <> 0")
+def unpacked_tree(spark, sf):
+    """Members of all archives written from their ranges to a tree that mirrors the archives' folders."""
+
+    @F.pandas_udf("binary")
+    def archive(content: pd.Series) -> pd.Series:
+        return _member(content)
+
+    p = demo.table(spark, sf, "part")
+    text = F.concat_ws(",", F.col("p_partkey").cast("string"), "p_name")
+    root, out = _scratch(spark), _scratch(spark)
+    _act(files.write_files(p.select(F.concat("p_brand", F.lit("/"), F.col("p_partkey").cast("string"), F.lit(".zip")).alias("path"), archive(text).alias("content")), root))
+    _act(files.unpack_to(spark, root, out))
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(out)
+    return found.select(F.concat_ws("/", F.slice(F.split("path", "/"), -3, 3)).alias("path"), "length")
+
+
 @register("ras012_write_and_read_tiles", f"""
 WITH {demo.PX}, t AS (SELECT scene_id, substr(scene_id, 2)::INT AS k, (y // 16)::INT AS tile_row, (x // 16)::INT AS tile_col, count(*) AS pixels, sum(px.v)::DECIMAL(18, 2)::VARCHAR AS total FROM px GROUP BY ALL)
 SELECT scene_id, tile_row, tile_col, pixels, total, -1.0::DOUBLE AS nodata, k * 25 + tile_col * 8.0::DOUBLE AS corner_x, 100 - tile_row * 4.0::DOUBLE AS corner_y, CASE WHEN k % 4 <> 1 THEN 'EPSG:32610' END AS projection FROM t""")

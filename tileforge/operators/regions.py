@@ -1,7 +1,7 @@
 """Polygon regions: reading WKT, pixel coordinates, masks and evaluation by region.
 
 Rings are ``array<struct<poly, hole, pts: array<struct<x, y>>>>``. A pixel belongs to a region when its centre (x + 0.5, y + 0.5)
-lies inside by the even-odd rule, edge by edge; holes of a polygon are cut out of that polygon only.
+lies inside by the even-odd rule, edge by edge; shapes are painted in order, so that a hole also clears what earlier shapes filled.
 """
 
 from __future__ import annotations
@@ -49,29 +49,46 @@ def bounds(rings: Column) -> Column:
 def row_spans(shapes: DataFrame, width: int, height: int, *keys: str) -> DataFrame:
     """(keys, y, spans): of each pixel row the runs [x0, x1) that the shapes of a key cover, sorted and apart from each other.
 
-    By scan lines: every edge gives one crossing for each row of pixel centres that it crosses, so that work grows with the
-    length of the outlines and not with their area, and no shape stays in one task. A polygon's crossings of a row, sorted,
-    are starts and ends of its runs in turn (the even-odd rule over all its rings); runs of other polygons and shapes of
-    the key are then merged. ``shapes`` has scene_id, shape_id and rings besides the keys.
+    Shapes are painted in the order of their ids, and of a shape its rings in theirs: an outer ring fills, a hole clears what
+    lies there by then, and a later shape may fill it again. By scan lines: every edge gives one crossing for each row of
+    pixel centres that it crosses, so that work grows with the length of the outlines and not with their area, and no shape
+    stays in one task. A ring's crossings of a row, sorted, are starts and ends of its runs in turn (even-odd); the last run
+    that holds a pixel decides. ``shapes`` has scene_id, shape_id and rings besides the keys.
     """
     ring = shapes.select(*keys, "shape_id", F.posexplode("rings").alias("_ring", "_r")).withColumn("_n", F.size("_r.pts"))
-    edge = ring.select(*keys, "shape_id", F.col("_r.poly").alias("_poly"), F.posexplode("_r.pts").alias("_at", "a"), F.get("_r.pts", F.when(F.col("_at") + 1 < F.col("_n"), F.col("_at") + 1).otherwise(0)).alias("b"))
+    edge = ring.select(*keys, "shape_id", "_ring", F.col("_r.hole").alias("_hole"), F.posexplode("_r.pts").alias("_at", "a"), F.get("_r.pts", F.when(F.col("_at") + 1 < F.col("_n"), F.col("_at") + 1).otherwise(0)).alias("b"))
     low, high = F.least("a.y", "b.y"), F.greatest("a.y", "b.y")
     first, last = F.greatest(F.lit(0), F.ceil(low - 0.5)), F.least(F.lit(height), F.ceil(high - 0.5)) - 1
     rows = edge.withColumns({"_first": first, "_last": last}).filter("_last >= _first").withColumn("y", F.explode(F.sequence("_first", "_last")))
     cross = (F.col("b.x") - F.col("a.x")) * (F.col("y") + 0.5 - F.col("a.y")) / (F.col("b.y") - F.col("a.y")) + F.col("a.x")
-    lines = rows.groupBy(*keys, "shape_id", "_poly", "y").agg(F.sort_array(F.collect_list(cross)).alias("_x"))
+    lines = rows.groupBy(*keys, "shape_id", "_ring", "_hole", "y").agg(F.sort_array(F.collect_list(cross)).alias("_x"))
     at = lambda k: F.least(F.lit(width), F.greatest(F.lit(0), F.ceil(F.get("_x", k) - 0.5))).cast("int")
-    runs = F.transform(F.sequence(F.lit(0), F.floor(F.size("_x") / 2).cast("int") - 1), lambda i: F.struct(at(2 * i).alias("x0"), at(2 * i + 1).alias("x1")))
+    runs = F.transform(F.sequence(F.lit(0), F.floor(F.size("_x") / 2).cast("int") - 1), lambda i: F.struct(F.col("shape_id").alias("shape"), F.col("_ring").alias("ring"), at(2 * i).alias("x0"), at(2 * i + 1).alias("x1"), F.col("_hole").alias("hole")))
     runs = lines.select(*keys, F.col("y").cast("int").alias("y"), F.explode(runs).alias("_run")).filter("_run.x1 > _run.x0")
     found = runs.groupBy(*keys, "y").agg(F.sort_array(F.collect_list("_run")).alias("_runs"))
 
-    def merged(done: Column, run: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        longer = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["x0"].alias("x0"), F.greatest(last["x1"], run["x1"]).alias("x1"))))
-        return F.when((F.size(done) > 0) & (last["x1"] >= run["x0"]), longer).otherwise(F.concat(done, F.array(run)))
+    def span(x0: Column, x1: Column) -> Column:
+        return F.struct(x0.alias("x0"), x1.alias("x1"))
 
-    return found.select(*keys, "y", F.aggregate("_runs", F.array().cast("array<struct<x0:int,x1:int>>"), merged).alias("spans"))
+    def painted(done: Column, run: Column) -> Column:
+        rest = F.flatten(F.transform(done, lambda s: F.filter(F.array(span(s["x0"], F.least(s["x1"], run["x0"])), span(F.greatest(s["x0"], run["x1"]), s["x1"])), lambda p: p["x1"] > p["x0"])))
+        return F.when(run["hole"], rest).otherwise(F.concat(rest, F.array(span(run["x0"], run["x1"]))))
+
+    spans = F.aggregate("_runs", F.array().cast("array<struct<x0:int,x1:int>>"), painted)
+    return found.select(*keys, "y", F.array_sort(spans).alias("spans")).filter(F.size("spans") > 0)
+
+
+#: Bytes of runs that are sent to every task; more are joined by a shuffle.
+SENT_BYTES = 16 << 20
+
+
+def sent(spans: DataFrame, shapes: DataFrame) -> DataFrame:
+    """``spans`` of the ``shapes``, to be sent to every task where they are few: each edge gives a run for each pixel row at most."""
+    def height(pts: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.size(pts)), F.lit(0.0), lambda n, k: n + F.abs(F.get(pts, k - 1)["y"] - F.get(pts, k % F.size(pts))["y"]) + 1)
+
+    runs = shapes.agg(F.sum(F.aggregate("rings", F.lit(0.0), lambda n, r: n + F.when(F.size(r["pts"]) > 0, height(r["pts"])).otherwise(0.0)))).first()[0] or 0
+    return F.broadcast(spans) if runs * 64 <= SENT_BYTES else spans
 
 
 def span_pixels(spans: DataFrame, *keys: str) -> DataFrame:
@@ -86,25 +103,29 @@ def shape_pixels(shapes: DataFrame, width: int, height: int) -> DataFrame:
     return span_pixels(row_spans(named.withColumnsRenamed({"shape_id": "_shape", "_id": "shape_id"}), width, height, "scene_id", "_shape"), "scene_id", "_shape").withColumnRenamed("_shape", "shape_id")
 
 
-def mask_outside(pixels: DataFrame, shapes: DataFrame, value: str, nodata, width: int, height: int) -> DataFrame:
-    """``value`` is nodata outside all shapes of the scene; a scene without shapes is masked wholly."""
-    covered = row_spans(shapes, width, height, "scene_id")
+def mask_outside(pixels: DataFrame, shapes: DataFrame, value: str, nodata, width: int, height: int, keep_unshaped: bool = False) -> DataFrame:
+    """``value`` is nodata outside the shapes of the scene; a scene without shapes is masked wholly, or left as it is with ``keep_unshaped``."""
+    covered = sent(row_spans(shapes, width, height, "scene_id"), shapes)
     rows = pixels.join(covered, ["scene_id", "y"], "left")
-    held = F.exists("spans", lambda s: (F.col("x") >= s["x0"]) & (F.col("x") < s["x1"]))
-    return rows.withColumn(value, F.when(held, F.col(value)).otherwise(F.lit(nodata))).drop("spans")
+    held = F.coalesce(F.exists("spans", lambda s: (F.col("x") >= s["x0"]) & (F.col("x") < s["x1"])), F.lit(False))
+    if keep_unshaped:
+        shaped = shapes.select("scene_id").distinct().withColumn("_shaped", F.lit(True))
+        rows = rows.join(F.broadcast(shaped) if shaped.count() * 64 <= SENT_BYTES else shaped, "scene_id", "left")
+        held = held | F.col("_shaped").isNull()
+    return rows.withColumn(value, F.when(held, F.col(value)).otherwise(F.lit(nodata))).drop("spans", "_shaped")
 
 
 def by_region(pixels: DataFrame, shapes: DataFrame, tags: list[str], width: int, height: int) -> DataFrame:
     """``pixels`` once for region ``all`` and once for each region that holds it.
 
-    A wanted tag pools its shapes (a pixel counts once); every untagged shape is a region of its own, ``shape <id>``.
+    A wanted tag pools its shapes, painted in order (a pixel counts once); every untagged shape is a region of its own, ``shape <id>``.
     """
     own = F.when(F.size("tags") == 0, F.array(F.concat(F.lit("shape "), F.col("shape_id").cast("string")))).otherwise(F.filter("tags", lambda t: t.isin(tags)))
     named = shapes.select("scene_id", "shape_id", "rings", F.explode(own).alias("region"))
     rows = row_spans(named, width, height, "scene_id", "region").groupBy("scene_id", "y").agg(F.collect_list(F.struct("region", "spans")).alias("_regions"))
     held = F.filter("_regions", lambda r: F.exists(r["spans"], lambda s: (F.col("x") >= s["x0"]) & (F.col("x") < s["x1"])))
     every = F.concat(F.array(F.lit("all")), F.coalesce(F.transform(held, lambda r: r["region"]), F.array().cast("array<string>")))
-    return pixels.join(rows, ["scene_id", "y"], "left").withColumn("region", F.explode(every)).drop("_regions")
+    return pixels.join(sent(rows, named), ["scene_id", "y"], "left").withColumn("region", F.explode(every)).drop("_regions")
 
 
 def region_confusion(pixels: DataFrame, shapes: DataFrame, tags: list[str], width: int, height: int, true: str, pred: str, classes: int, nodata: int) -> DataFrame:

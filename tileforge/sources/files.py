@@ -12,11 +12,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Usual extensions by kind of image.
 EXTENSIONS = {"tiff": ".tiff", "worldview": ".zip", "landsat": ".zip", "npy": ".npy", "sentinel1": ".zip"}
+#: Fixed value: the extension of files with shapes.
+SHAPES = ".wkt.csv"
 #: Fixed values of elevation grids: side, nodata, pixels a degree.
 HGT_SIDE, HGT_NODATA, HGT_STEP = 3601, -32768, 3600
 
@@ -99,13 +101,26 @@ def write_files(files: DataFrame, folder: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, length long")
 
 
+def shapes_path(image: Column, folder: str | None = None) -> Column:
+    """Where the shapes of an image are: beside it, or in ``folder``, under its own name with another extension."""
+    place = image if folder is None else F.concat(F.lit(folder.rstrip("/") + "/"), F.substring_index(image, "/", -1))
+    return F.concat(F.regexp_replace(place, r"\.[^./]*$", ""), F.lit(SHAPES))
+
+
 def read_shapes(spark: SparkSession, path: str) -> DataFrame:
-    """(shape_id, tags, rings) of a CSV with a quoted WKT and tags per line; other lines are skipped."""
+    """(scene_id, shape_id, tags, rings) of files with a quoted WKT and tags per line; other lines are skipped.
+
+    The scene is the file's name without its extension, as ``shapes_path`` has it; ``shape_id`` is the line's number, the order in
+    which shapes are painted. ``path`` may be a file or a folder.
+    """
     from ..operators.regions import parse_tags, parse_wkt
 
-    rows = spark.read.schema("wkt string, tag_text string, _rest string").csv(path, quote='"', ignoreLeadingWhiteSpace=True)
-    rows = rows.filter(F.upper("wkt").contains("POLYGON") & F.col("_rest").isNull()).withColumn("shape_id", F.monotonically_increasing_id())
-    return rows.select("shape_id", parse_tags(F.col("tag_text")).alias("tags"), parse_wkt(F.col("wkt")).alias("rings"))
+    whole = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).withColumn("_path", F.col("_metadata.file_path"))
+    scene = F.regexp_replace(F.substring_index("_path", "/", -1), r"(\.wkt\.csv|\.[^.]*)$", "")
+    lines = whole.select(scene.alias("scene_id"), F.posexplode(F.split("value", "\r?\n")).alias("shape_id", "line"))
+    row = F.from_csv("line", "wkt string, tag_text string, rest string", {"quote": '"', "ignoreLeadingWhiteSpace": "true"})
+    rows = lines.select("scene_id", F.col("shape_id").cast("long").alias("shape_id"), row.alias("_r")).filter(F.upper("_r.wkt").contains("POLYGON") & F.col("_r.rest").isNull())
+    return rows.select("scene_id", "shape_id", parse_tags(F.col("_r.tag_text")).alias("tags"), parse_wkt(F.col("_r.wkt")).alias("rings"))
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
