@@ -1,5 +1,7 @@
 """Exact cases for boxes and tile grids."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +73,30 @@ def test_tiles_and_back(spark, parts):
     px = spark.range(300).select(F.lit("a").alias("scene_id"), (F.col("id") / 20).cast("int").alias("y"), (F.col("id") % 20).cast("int").alias("x"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("bands")).repartition(parts)
     back = grid.tiles_to_pixels(grid.pixels_to_tiles(px, 8, 8))
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, px.collect()))
+
+
+@pytest.mark.parametrize("most", [20_000, 3, 0])
+def test_boxes_of_all_sizes_meet_once(spark, monkeypatch, most):
+    """Small boxes, a few large ones and one over the whole plane, against a plain loop; grids sent, some sent, none sent."""
+    monkeypatch.setattr(grid, "SENT_BOXES", most)
+    rng = random.Random(3)
+
+    def boxes(n, shift):
+        out = [(k, (x := rng.randint(-300, 300)), (y := rng.randint(-300, 300)), x + rng.randint(0, 9), y + rng.randint(1, 9)) for k in range(n)]
+        return out + [(n + k, -200 + 40 * k, shift, -100 + 90 * k, 120) for k in range(4)] + [(n + 4, -1000, -1000, 1000, 1000)]
+
+    a, b = boxes(150, -90), boxes(120, 7)
+    left, right = (spark.createDataFrame(rows, f"{n} long, x0 int, y0 int, x1 int, y1 int").select(n, G.box(*map(F.col, ("x0", "y0", "x1", "y1"))).alias(f"{n}_box")) for rows, n in ((a, "a"), (b, "b")))
+    got = sorted((r.a, r.b) for r in grid.box_overlap_join(left, right, "a_box", "b_box", 8).collect())
+    want = sorted((p[0], q[0]) for p in a for q in b if p[3] > p[1] and q[3] > q[1] and p[1] < q[3] and q[1] < p[3] and p[2] < q[4] and q[2] < p[4])
+    assert got == want and len(want) > 300
+    assert grid.box_overlap_join(left.limit(0), right, "a_box", "b_box", 8).count() == 0
+
+
+def test_one_box_over_the_plane_gathers_nothing(spark):
+    small = spark.range(40_000).select("id", G.box(F.col("id") % 200 * 10, F.floor(F.col("id") / 200) * 10, F.col("id") % 200 * 10 + 8, F.floor(F.col("id") / 200) * 10 + 8).alias("a_box"))
+    other = small.select(F.col("id").alias("b"), F.col("a_box").alias("b_box")).unionByName(spark.createDataFrame([(-1, 0, 0, 3000, 3000)], "b long, x0 int, y0 int, x1 int, y1 int").select("b", G.box(*(F.col(c).cast("long") for c in ("x0", "y0", "x1", "y1"))).alias("b_box")))
+    pairs = grid.box_overlap_join(small, other, "a_box", "b_box", 10)
+    assert pairs.count() == 80_000
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan

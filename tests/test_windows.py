@@ -130,3 +130,18 @@ def test_scenes_report_once_however_tiles_come(spark, tmp_path):
             for p in range(2):
                 want.append((s, t, p, sum(a == t and b == p for q in tiles if q[0] == s for a, b in zip(q[4], q[5]))))
     assert got == want
+
+
+def test_scenes_of_several_sizes_are_mirrored_by_their_own(spark):
+    sizes = {"a": (4, 3), "b": (7, 5)}
+    rows = [(s, y, x, w, h, float(100 * y + x)) for s, (w, h) in sizes.items() for y in range(h) for x in range(w)]
+    px = spark.createDataFrame(rows, "scene_id string, y int, x int, w int, h int, value double")
+    for r in sampling.flips(px, F.col("w"), F.col("h"), 1.0, 3).collect():
+        w, h = sizes[r.scene_id]
+        assert r.value == 100 * (h - 1 - r.y) + w - 1 - r.x
+    moved = sampling.translated(px, F.col("w"), F.col("h"), 3, 5).collect()
+    assert len(moved) == len(rows)
+    for s, (w, h) in sizes.items():
+        got = {(r.y, r.x): r.value for r in moved if r.scene_id == s}
+        want = [{(y, x): 100.0 * K.mirror(np.array([y - dy]), h)[0] + K.mirror(np.array([x - dx]), w)[0] for y in range(h) for x in range(w)} for dy in range(-3, 4) for dx in range(-3, 4)]
+        assert got in want

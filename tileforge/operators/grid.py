@@ -137,6 +137,10 @@ def read_window(pixels: DataFrame, window: tuple[int, int, int, int], size: tupl
     return rows if bands is None else rows.withColumn("bands", select_bands(F.col("bands"), bands))
 
 
+#: Boxes of one side that are sent to every task.
+SENT_BOXES = 20_000
+
+
 def box_overlap_join(left: DataFrame, right: DataFrame, left_box: str, right_box: str, cell: int, on: tuple[str, ...] = ()) -> DataFrame:
     """All pairs of rows whose boxes overlap (touching is no overlap) and that agree in the columns of ``on``.
 
@@ -144,34 +148,49 @@ def box_overlap_join(left: DataFrame, right: DataFrame, left_box: str, right_box
     than it, so that it lies in four of them at most, however large it is. Two boxes meet in the grid of the larger one, in
     the cell that holds the lower left corner of their intersection, so every pair comes once and no distinct is needed.
     ``cell`` should be near the median box size.
+
+    Boxes are counted by grid first. Grids that hold few boxes, as those of very large boxes do, are sent to every task, so that
+    one box over the whole plane does not gather all others at its key; only grids of many boxes are shuffled, by cell.
     """
 
     def levelled(df: DataFrame, b: str) -> DataFrame:
         side = F.greatest(G.width(F.col(b)), G.height(F.col(b))) / F.lit(float(cell))
         return df.filter(G.has_area(F.col(b))).withColumn("_own", F.greatest(F.lit(0), F.ceil(F.log2(side))).cast("int"))
 
-    sides = [levelled(left, left_box), levelled(right, right_box)]
-    top = sides[0].select("_own").union(sides[1].select("_own")).agg(F.max("_own")).first()[0] or 0
+    sides = [(levelled(left, left_box), left_box), (levelled(right, right_box), right_box)]
+    counts = [{r["_own"]: r["count"] for r in df.groupBy("_own").count().collect()} for df, _ in sides]  # a row for each grid
 
-    def cells(df: DataFrame, b: str, first: Column | None) -> DataFrame:
-        """At the own level, or from ``first`` to the top."""
-        df = df.withColumn("_level", F.col("_own")) if first is None else df.filter(first <= top).withColumn("_level", F.explode(F.sequence(first, F.lit(top))))
+    def cells(df: DataFrame, b: str, level: Column) -> DataFrame:
+        df = df.withColumn("_level", level)
         size = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("_level"))
 
         def span(lo: str, hi: str) -> Column:
             # the last cell is that of the far edge, which the box does not hold: an empty meeting at most
             return F.sequence(F.floor(F.col(f"{b}.{lo}") / size), F.ceil(F.col(f"{b}.{hi}") / size) - 1)
 
-        rows = df.withColumn("_cx", F.explode(span("min_x", "max_x"))).withColumn("_cy", F.explode(span("min_y", "max_y")))
-        return rows.drop("_own")
+        return df.withColumn("_cx", F.explode(span("min_x", "max_x"))).withColumn("_cy", F.explode(span("min_y", "max_y"))).drop("_own")
 
     met = G.intersection(F.col(left_box), F.col(right_box))
     size = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("_level"))
     here = (F.floor(met["min_x"] / size) == F.col("_cx")) & (F.floor(met["min_y"] / size) == F.col("_cy"))
     keys = [*on, "_level", "_cx", "_cy"]
-
-    def joined(a: DataFrame, b: DataFrame) -> DataFrame:
-        return a.join(b, keys).filter(G.overlaps(F.col(left_box), F.col(right_box)) & here).drop("_level", "_cx", "_cy")
-
-    low = joined(cells(sides[0], left_box, F.col("_own")), cells(sides[1], right_box, None))
-    return low if top == 0 else low.unionByName(joined(cells(sides[0], left_box, None), cells(sides[1], right_box, F.col("_own") + 1)))
+    out = None
+    for large, small, above in ((1, 0, 0), (0, 1, 1)):  # boxes of one grid meet once, with the right ones as the larger
+        sent, total = [], 0
+        for level, n in sorted(counts[large].items(), key=lambda x: x[1]):
+            total += n
+            if total > SENT_BOXES:
+                break
+            sent.append(level)
+        for levels, near in ((sent, True), ([x for x in counts[large] if x not in sent], False)):
+            if not levels or not counts[small]:
+                continue
+            (big, big_box), (little, little_box) = sides[large], sides[small]
+            big = cells(big.filter(F.col("_own").isin(levels)), big_box, F.col("_own"))
+            higher = F.explode(F.filter(F.array(*map(F.lit, sorted(levels))), lambda x: x >= F.col("_own") + above))
+            little = cells(little, little_box, higher)
+            pairs = (little.join(F.broadcast(big) if near else big, keys) if small == 0 else (F.broadcast(big) if near else big).join(little, keys)).filter(G.overlaps(F.col(left_box), F.col(right_box)) & here).drop("_level", "_cx", "_cy")
+            out = pairs if out is None else out.unionByName(pairs)
+    if out is None:
+        return left.join(right, list(on)).limit(0) if on else left.crossJoin(right.limit(0)).limit(0)
+    return out

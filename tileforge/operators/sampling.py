@@ -113,8 +113,11 @@ def autoencoder_pairs(samples: DataFrame) -> DataFrame:
     return samples.withColumn("label", F.col("image"))
 
 
-def flips(pixels: DataFrame, width: int, height: int, probability: float, seed: int, key: str = "scene_id") -> DataFrame:
-    """Each scene mirrored left-right and top-down with the probability; all bands and labels of a pixel move together."""
+def flips(pixels: DataFrame, width: int | Column, height: int | Column, probability: float, seed: int, key: str = "scene_id") -> DataFrame:
+    """Each scene mirrored left-right and top-down with the probability; all bands and labels of a pixel move together.
+
+    Scenes of several sizes give theirs by columns.
+    """
     lr, ud = uniform(seed, F.lit("lr"), F.col(key)) <= probability, uniform(seed, F.lit("ud"), F.col(key)) <= probability
     return pixels.withColumns({"x": F.when(lr, width - 1 - F.col("x")).otherwise(F.col("x")), "y": F.when(ud, height - 1 - F.col("y")).otherwise(F.col("y"))})
 
@@ -134,14 +137,15 @@ def brightened(pixels: DataFrame, probability: float, seed: int, low: float = 0.
     return pixels.withColumn(value, F.when(applied(probability, seed, "light", key), brightness(F.col(value), low, high, seed, F.col(key))).otherwise(F.col(value)))
 
 
-def reflected(at: Column, size: int) -> Column:
+def reflected(at: Column, size: int | Column) -> Column:
     """An index mirrored at the edges, which are not repeated (period 2 size - 2)."""
-    period = max(1, 2 * size - 2)
-    p = F.pmod(at, F.lit(period))
+    size = F.lit(size) if isinstance(size, int) else size
+    period = F.greatest(F.lit(1), 2 * size - 2)
+    p = F.pmod(at, period)
     return F.when(p < size, p).otherwise(period - p)
 
 
-def translated(pixels: DataFrame, width: int, height: int, most: int, seed: int, key: str = "scene_id", probability: float = 1.0) -> DataFrame:
+def translated(pixels: DataFrame, width: int | Column, height: int | Column, most: int, seed: int, key: str = "scene_id", probability: float = 1.0) -> DataFrame:
     """Each scene, labels and all, with the probability moved by its own (dx, dy) in [-most, most]; what comes in at an edge is the mirror image."""
     go = applied(probability, seed, "move", key)
     dx = F.when(go, F.floor(uniform(seed, F.lit("dx"), F.col(key)) * (2 * most + 1)) - most).otherwise(0)
@@ -149,7 +153,7 @@ def translated(pixels: DataFrame, width: int, height: int, most: int, seed: int,
     return moved(pixels, key, reflected(F.col("y") - dy, height), reflected(F.col("x") - dx, width))
 
 
-def rotated(pixels: DataFrame, width: int, height: int, most: float, seed: int, key: str = "scene_id", probability: float = 1.0) -> DataFrame:
+def rotated(pixels: DataFrame, width: int | Column, height: int | Column, most: float, seed: int, key: str = "scene_id", probability: float = 1.0) -> DataFrame:
     """Each scene, labels and all, with the probability turned about its centre by its own angle in [-most, most) degrees.
 
     Nearest pixel, mirrored outside.
