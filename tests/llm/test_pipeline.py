@@ -3,10 +3,10 @@
 import collections
 
 from tests.conftest import SMALL
-from tests.llm.test_operators import check_packing, plain_components
+from tests.llm.test_operators import SCHEMA, check_packing, odd_rows, plain_components
 
 import corpus_pipeline
-from tileforge.llm import common, quality
+from tileforge.llm import common, licenses, quality
 
 
 def test_stages(spark, tmp_path):
@@ -45,3 +45,32 @@ def test_stages(spark, tmp_path):
 
 def test_run_gives_rows(spark):
     assert corpus_pipeline.run(spark, SMALL).count() > 0
+
+
+def test_run_on_odd_and_empty_tables(spark, tmp_path):
+    """Nulls in every column, repeated rows, very long texts, columns with the names of the operators' own, and no rows at all."""
+    long = " ".join(f"word{i} of" for i in range(4000))
+    more = [(100 + i, f"text {i} " + " ".join(f"w{(i * 7 + k) % 901}" for k in range(90)), None if i % 3 else "en", None if i % 4 == 0 else f"s{i % 2}", 0, "r", 7, *["c"] * 4) for i in range(60)]
+    odd = [*odd_rows(), *more, more[0], more[1], (200, long, None, None, None, *[None] * 6), (201, long + " end", None, None, None, *[None] * 6)]
+    for name, rows in (("odd", odd), ("empty", [])):
+        folder = tmp_path / name
+        spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame([(1, None, None), (None, 1, 0)] if rows else [], "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+        docs = common.table(spark, str(folder), "documents")
+        for stage_name, stage in corpus_pipeline.STAGES[:-1]:
+            path = str(folder / stage_name)
+            stage(spark, docs, str(folder)).write.parquet(path)
+            before, docs = docs, spark.read.parquet(path)
+            assert docs.columns == before.columns
+        out = corpus_pipeline.pack_stage(spark, docs, str(folder)).collect()
+        check_packing(out, [(r.doc_id, r.text) for r in docs.collect()]) if rows else None
+        assert bool(out) == bool(rows) and corpus_pipeline.run(spark, str(folder)).count() == len(out)
+        kept = {r.doc_id for r in docs.collect()}
+        assert not rows or (len({200, 201} & kept) <= 1 and kept & set(range(100, 160)) and 1 not in kept)
+
+
+def test_columns_of_the_caller_stay(spark):
+    docs = spark.createDataFrame([(1, "the text of a page under the mit license", "en", "kept", "too", "and this")], "doc_id long, text string, lang string, _words string, _known string, _lines string")
+    for out in (licenses.scan(docs), quality.judge(docs, quality.calibrate(docs, spark.createDataFrame([], "doc_id long, quality int")))):
+        r = out.first()
+        assert (r._words, r._known, r._lines) == ("kept", "too", "and this") and set(docs.columns) <= set(out.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -87,6 +87,12 @@ def hot_join(rows: DataFrame, facts: DataFrame, on: str, count: str, spread: lis
     return left.join(right, [on, "_salt"]).drop("_salt", "_parts")
 
 
+def set_aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str], Callable[[DataFrame], DataFrame]]:
+    """``docs`` with all columns renamed that begin with an underscore, as those of operators do; their new names; what undoes it."""
+    names = {c: f"caller{k}{c}" for k, c in enumerate(docs.columns) if c.startswith("_")}
+    return docs.withColumnsRenamed(names), names, lambda out: out.withColumnsRenamed({v: c for c, v in names.items()})
+
+
 def text_slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
     """The batch in slices of whole rows with at most ``most`` bytes of text each (a longer text is alone)."""
     texts = batch.column(column)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import set_aside, table
 
 #: Phrases whose words stand consecutively, and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -154,13 +154,15 @@ def best_share(words: str, notice: Column) -> Column:
 
 
 def scan(docs: DataFrame, text: str = "text", notices: list[tuple] = NOTICES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with n_words, n_base, first_word, last_word, base_labels, labels and score, which replace columns of these names.
+    """``docs`` with n_words, n_base, first_word, last_word, base_labels, labels and score, which replace columns of these names; all others stay.
 
     ``notices`` are (text, label, naming phrases). Null and empty texts have no words; labels are distinct, sorted and joined
     with commas, empty where there is none; the score is the best share of a notice that some block meets, 0 where none
     does. Texts of any length are read whole; rows alike in text have the same result, and every row is kept.
     """
     vocabulary = sorted({w for t, *_ in notices for w in t.split()})
+    docs, names, back = set_aside(docs)
+    text = names.get(text, text)
     rows = docs.withColumn("_words", words_of(F.col(text)))
     known, first = prepared(notices, word_counts(rows, "_words", vocabulary), threshold)
     least = min(least_overlap(len(set(t.split())), threshold) for t, *_ in notices)
@@ -171,7 +173,7 @@ def scan(docs: DataFrame, text: str = "text", notices: list[tuple] = NOTICES, ph
     rows = rows.withColumn("_found", F.when(F.size("_near") > 0, F.filter(shares, lambda x: x["score"].isNotNull())))
     rows = rows.withColumns({"_all": F.flatten("_places"), "_named": F.filter(F.array(*[F.when(F.size(F.get("_places", k)) > 0, F.lit(x)) for k, x in enumerate(phrases.values())]), lambda x: x.isNotNull())})
     added = F.coalesce(F.transform("_found", lambda x: x["label"]), F.array().cast("array<string>"))
-    return rows.withColumns(
+    out = rows.withColumns(
         {
             "n_words": F.size("_words").cast("long"),
             "n_base": F.size("_all").cast("long"),
@@ -181,7 +183,8 @@ def scan(docs: DataFrame, text: str = "text", notices: list[tuple] = NOTICES, ph
             "labels": F.array_join(F.array_sort(F.array_union("_named", added)), ","),
             "score": F.coalesce(F.array_max(F.transform("_found", lambda x: x["score"])), F.lit(0.0)),
         }
-    ).drop("_words", "_known", "_places", "_near", "_found", "_all", "_named")
+    )
+    return back(out.drop("_words", "_known", "_places", "_near", "_found", "_all", "_named"))
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

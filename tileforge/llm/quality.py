@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, SPACE_CLASS, durable, small, table
+from .common import SPACE_CHARS, SPACE_CLASS, durable, set_aside, small, table
 
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS = 50
@@ -137,16 +137,18 @@ def calibrate(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
 
 def judge(docs: DataFrame, chosen: DataFrame, text: str = "text", stratum: str = "lang") -> DataFrame:
-    """``docs`` with the measures, ``base_failed`` and ``kept``, which replace columns of these names.
+    """``docs`` with the measures, ``base_failed`` and ``kept``, which replace columns of these names; all others stay as they came.
 
     Null and empty texts have no words and fail the base rules; texts of any length are measured whole; rows alike are judged alike.
     """
     wide = durable(chosen.groupBy("_stratum").pivot("rule", list(RULES)).agg(F.max("cutoff")).withColumnsRenamed({r: f"_cut_{r}" for r in RULES}))
+    docs, names, back = set_aside(docs)
+    text, stratum = names.get(text, text), names.get(stratum, stratum)
     rows = with_measures(docs, text).withColumn("_stratum", stratum_key(F.col(stratum))).join(small(wide), "_stratum", "left")
     rejected = F.lit(False)
     for r in RULES:
         rejected = rejected | F.coalesce(ratio(r) > F.col(f"_cut_{r}"), F.lit(False))
-    return rows.withColumn("kept", ~F.col("base_failed") & ~rejected).drop("_stratum", *[f"_cut_{r}" for r in RULES])
+    return back(rows.withColumn("kept", ~F.col("base_failed") & ~rejected).drop("_stratum", *[f"_cut_{r}" for r in RULES]))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
