@@ -2,6 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet to the cluster's shared folder
 and reads it again as the next stage's ``docs``, so a lost executor costs the stage's missing parts at most.
+
+All but the last return the columns of ``docs`` as they came, whatever their names and however many. Every stage takes null
+values in any column, repeated rows, texts of any length and empty tables; what it makes of them is said with it.
 """
 
 from __future__ import annotations
@@ -16,27 +19,46 @@ from tileforge.llm.common import shared_folder, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go.
+
+    A null or empty text has no words and goes, as every text of less than 50 words does; rows alike are judged alike, so
+    repeated rows stay or go together. A null language is a stratum of its own.
+    """
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts that are equal but for white space stays."""
+    """One document of each group of texts that are equal but for white space stays.
+
+    The one with the most characters, then the smallest doc_id (null last), then any of rows alike. Null and empty texts are
+    one group.
+    """
     return exact.drop_copies(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of word shingles connect stays: five words, a similarity of 0.8 or more."""
+    """One document of each group that links of word shingles connect stays: five words, a similarity of 0.8 or more.
+
+    The one with the smallest doc_id. Texts without words are linked with nothing and stay; those of less than five words are
+    one shingle. Documents with equal sets are one group.
+    """
     return ngram_join.keep_one(docs, size=5, percent=80)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents come as often as the mix takes them: not at all, or up to three times."""
+    """Documents come as often as the mix takes them: not at all, or up to three times.
+
+    A null source is a source of its own, the last in order. A document without words takes nothing of the budget; a source
+    without words has a target of 0 and its documents go.
+    """
     return mixing.mixed_rows(docs)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 2048 ids; a document that comes n times is packed n times."""
+    """The pieces of all documents in sequences of 2048 ids; a document that comes n times is packed n times.
+
+    A null or empty text is the one id that ends a document. Texts of any length are cut into pieces of 2048 ids.
+    """
     return packing.pack(docs)
 
 
