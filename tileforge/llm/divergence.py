@@ -72,8 +72,8 @@ def changes(columns: list[np.ndarray], order: np.ndarray) -> np.ndarray:
 
 def count_terms(texts: pa.Array, group: np.ndarray) -> tuple[list[np.ndarray], list[pa.Array], list[np.ndarray], list[np.ndarray]]:
     """Groups, terms, occurrences and documents of each (group, term) of the texts, in parts by length of term."""
-    texts = pc.fill_null(texts, "")
-    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     raw = texts.buffers()[2]
     body = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
     offsets = offsets - offsets[0]
