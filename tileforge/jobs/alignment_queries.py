@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..operators import align, catalog, regions, scoring, windows
+from ..operators import align, catalog, grid, regions, scoring, windows
 from ..sources import files
 from . import demo
 from .geometry_queries import flat
@@ -237,10 +237,16 @@ def _box_mean(a):
     return sum(a[:, dy : dy + n[0], dx : dx + n[1], :1] for dy in range(3) for dx in range(3)) / 9.0
 
 
-def _order_blocks(spark, sf, by_row=False):
-    """The orders' scenes as stored tiles of 16 x 16, written and read again, and the scenes' sizes."""
+def _order_blocks(spark, sf):
+    """The orders' scenes as tiles of 16 x 16, and the scenes' sizes."""
+    px = demo.orders_raster(spark, sf).select(*KEY, "bands")
+    return grid.pixels_to_tiles(px, 16, 16), px.groupBy("scene_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+
+
+def _stored_blocks(spark, sf):
+    """The same, written by rows of tiles and read again."""
     path = scratch(spark)
-    files.write_tiles(demo.orders_raster(spark, sf).select(*KEY, "bands"), path, 16, by_row=by_row)
+    files.write_tiles(demo.orders_raster(spark, sf).select(*KEY, "bands"), path, 16, by_row=True)
     blocks = spark.read.parquet(path)
     return blocks, blocks.groupBy("scene_id").agg(F.max("max_x").alias("width"), F.max("max_y").alias("height"))
 
@@ -255,7 +261,7 @@ def score_tiles(spark, sf):
 WITH {demo.PX} SELECT a.scene_id, a.y, a.x, round(avg(b.v), 4) AS p FROM px a JOIN px b ON a.scene_id = b.scene_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1
 GROUP BY a.scene_id, a.y, a.x HAVING count(*) = 9""")
 def stitch_owned(spark, sf):
-    """A 3 x 3 mean over overlapping tiles, cut from stored ones; every output pixel comes from the tile that owns it."""
+    """A 3 x 3 mean over overlapping tiles, cut from tiles side by side; every output pixel comes from the tile that owns it."""
     tiles = windows.overlapping_tiles(*_order_blocks(spark, sf), (20, 20), (6, 6))
     return scoring.stitch(scoring.score_tiles(tiles, _box_mean)).select(*KEY, F.round(F.get("probs", F.lit(0)), 4).alias("p"))
 
@@ -298,7 +304,7 @@ WHERE a.x >= 34 AND a.x < 49 GROUP BY a.scene_id, a.y, a.x""")
 def score_in_bounds(spark, sf):
     """A 3 x 3 mean inside bounds, over tiles of 12 that share 4: the last ones are moved back and read what lies before the
     bounds. Only blocks that a tile may reach are read, by folder."""
-    blocks, scenes = _order_blocks(spark, sf, by_row=True)
+    blocks, scenes = _stored_blocks(spark, sf)
     tiles = windows.overlapping_tiles(blocks, scenes, (12, 12), (4, 4), bounds=BOUNDS, block=(16, 16))
     return scoring.stitch(scoring.score_tiles(tiles, _box_mean)).select(*KEY, F.round(F.get("probs", F.lit(0)), 4).alias("p"))
 
