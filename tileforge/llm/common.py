@@ -153,25 +153,25 @@ def running_sum(df: DataFrame, group: str, place: str, order: list[str], value:
     if more is not None:
         placed = placed.join(more, group)
     full = sums.filter(F.col("_rows") > FULL_BUCKETS * BUCKET_ROWS).select(F.col(group).alias("_g"), F.col("_bucket").alias("_b"))
-    own = F.lit(True)
-    if not full.isEmpty():
+    own, crowd = F.lit(True), not full.isEmpty()
+    if crowd:
         # at most rows / (FULL_BUCKETS x BUCKET_ROWS) names
         near = small(durable(full))
         keyed = keyed.join(near, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_bucket") == F.col("_b")), "left")
         own = F.col("_b").isNull()
     ordinary = keyed.filter(own)
     within = Window.partitionBy(group, "_bucket").orderBy(place, *order).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = ordinary.withColumn("_within", F.coalesce(F.sum("_value").over(within), F.lit(0)))
-    if not full.isEmpty():
+    ranked = ordinary.withColumn("_within", F.coalesce(F.sum("_value").over(within), F.lit(0))).join(placed, [group, "_bucket"])
+    if crowd:
         alike = F.struct(place, *order)
         crowded = keyed.filter(~own).withColumns({"_alike": alike, "_part": F.shiftright("_id", 33)})
         kinds = durable(crowded.groupBy(group, "_bucket", "_alike", "_part").agg(F.sum("_value").alias("_n")))
         each = Window.partitionBy(group, "_bucket").orderBy("_alike").rowsBetween(Window.unboundedPreceding, -1)
         whole = kinds.groupBy(group, "_bucket", "_alike").agg(F.sum("_n").alias("_n")).withColumn("_first", F.coalesce(F.sum("_n").over(each), F.lit(0))).drop("_n")
         parts = Window.partitionBy(group, "_bucket", "_alike").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-        kinds = kinds.withColumn("_earlier", F.coalesce(F.sum("_n").over(parts), F.lit(0))).drop("_n").join(whole, [group, "_bucket", "_alike"])
+        kinds = kinds.withColumn("_earlier", F.coalesce(F.sum("_n").over(parts), F.lit(0))).drop("_n").join(whole, [group, "_bucket", "_alike"]).join(placed, [group, "_bucket"])
         inner = Window.partitionBy(group, "_bucket", "_alike", "_part").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
         crowded = crowded.withColumn("_inner", F.coalesce(F.sum("_value").over(inner), F.lit(0))).join(kinds, [group, "_bucket", "_alike", "_part"])
         crowded = crowded.withColumn("_within", F.col("_first") + F.col("_earlier") + F.col("_inner"))
         ranked = ranked.unionByName(crowded.select(ranked.columns)).drop("_g", "_b")
-    return ranked.join(placed, [group, "_bucket"]).withColumn(out, F.col("_offset") + F.col("_within")).drop("_bucket", "_value", "_id", "_offset", "_within")
+    return ranked.withColumn(out, F.col("_offset") + F.col("_within")).drop("_bucket", "_value", "_id", "_offset", "_within")
