@@ -186,23 +186,28 @@ def test_polygon_kernel_agrees_with_columns(spark):
 
 
 def test_scan_lines_agree_with_the_polygon_kernel(spark):
-    """Many random shapes with holes and overlapping polygons, beyond the raster too."""
+    """Many random shapes with holes and overlapping polygons, beyond the raster too, painted ring by ring; alone and one over another."""
     from tileforge.operators import regions
 
     rng = np.random.default_rng(9)
     rings, want = [], set()
     y, x = np.mgrid[:20, :24] + 0.5
+    together = np.zeros(y.shape, bool)
     for shape in range(25):
         own, inside = [], np.zeros(y.shape, bool)
         for poly in range(2):
             parts = [rng.uniform(-4, 26, (rng.integers(3, 7), 2)).round(rng.integers(0, 2)) for _ in range(rng.integers(1, 3))]
             own += [(poly, k > 0, [tuple(map(float, p)) for p in part]) for k, part in enumerate(parts)]
-            inside |= inside_polygon(x, y, parts)
+            for k, part in enumerate(parts):
+                for image in (inside, together):
+                    image[inside_polygon(x, y, [part])] = k == 0
         rings.append(("a", shape, own))
         want |= {(shape, int(v), int(u)) for v, u in zip(*np.nonzero(inside))}
     df = spark.createDataFrame(rings, "scene_id string, shape_id long, rings array<struct<poly:int,hole:boolean,pts:array<struct<x:double,y:double>>>>")
     got = [(r.shape_id, r.y, r.x) for r in regions.shape_pixels(df, 24, 20).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+    got = [(r.y, r.x) for r in regions.span_pixels(regions.row_spans(df, 24, 20, "scene_id"), "scene_id").collect()]
+    assert len(got) == len(set(got)) and set(got) == set(zip(*map(lambda v: v.tolist(), np.nonzero(together))))
 
 
 def test_large_and_small_boxes_meet_once(spark):

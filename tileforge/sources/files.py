@@ -166,7 +166,8 @@ def _splits(spark: SparkSession, directory: str, extension: str, layout, rows_pe
                     if len(shape) not in (2, 3):
                         raise ValueError(f"{len(shape)} dimensions")
                     if h * w * bands == 0:
-                        raise ValueError("no pixels")
+                        yield pd.DataFrame([(path, scene, None, None, None, None, None, None, 0, None, None, None, "no pixels")], columns=names).astype(object)
+                        continue
                     line = w * bands * np.dtype(kind).itemsize
                     if begin + h * line > size:
                         raise ValueError("the file is cut short")
