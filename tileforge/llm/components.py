@@ -9,7 +9,7 @@ from .common import stored
 
 
 #: Of fewer links than this the least neighbours are not stored: no hub can have enough neighbours to matter.
-FEW = 200_000
+FEW = 4_000
 
 
 def _least_neighbour(pairs: DataFrame, few: bool = False) -> DataFrame:
