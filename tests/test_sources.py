@@ -142,3 +142,26 @@ def test_catalogs_and_headers_are_read_from_files(spark, tmp_path):
         (tmp_path / "h" / f"s{k}" / "part.txt").write_text(f"A = {k}\nB = 2")
     assert sorted(r.id for r in files.read_catalog(spark, str(tmp_path / "c")).selectExpr("explode(data.results.displayId) AS id").collect()) == ["s1", "s2"]
     assert sorted(map(tuple, files.read_headers(spark, str(tmp_path / "h"), level=1).collect())) == [("s1", "A = 1\nB = 2"), ("s2", "A = 2\nB = 2")]
+
+
+def test_small_files_are_listed_and_read_by_few_tasks(spark, tmp_path):
+    """Files of many folders are found by tasks, as Spark's listing has them, and a scan of each is not planned."""
+    base = tmp_path / "in"
+    for k in range(400):
+        (base / f"b{k % 40}" / "c=1").mkdir(parents=True, exist_ok=True)
+        with zipfile.ZipFile(base / f"b{k % 40}" / "c=1" / f"{k}.zip", "w") as z:
+            z.writestr("m.txt", f"text {k}")
+    for name in (".hidden.zip", "_no.zip", "b1/_skip/x.zip", "b1/empty.zip", "b1/other.txt"):
+        (base / name).parent.mkdir(exist_ok=True)
+        (base / name).write_bytes(b"" if "empty" in name else b"x")
+    (base / "link.zip").symlink_to(base / "nowhere")
+    found = files.listed(spark, str(base), ".zip")
+    whole = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip").load(str(base / "b*"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, whole.select("path", "length").collect())) and found.count() == 400
+    assert files.archive_members(spark, str(base)).rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    rows = files.unpack(spark, str(base))
+    assert rows.rdd.getNumPartitions() < 100
+    got = rows.collect()
+    assert {bytes(r.content).decode() for r in got if r.error is None} == {f"text {k}" for k in range(400)} and sum(r.error is not None for r in got) == 1
+    one = str(base / "b3" / "c=1" / "3.zip")
+    assert [r.path for r in files.listed(spark, one).collect()] == ["file:" + one]

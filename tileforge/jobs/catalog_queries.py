@@ -130,7 +130,7 @@ def unpacked_archives(spark, sf):
     def archive(content: pd.Series) -> pd.Series:
         return _member(content)
 
-    p = demo.table(spark, sf, "part")
+    p = files.spread(demo.table(spark, sf, "part").select("p_brand", "p_partkey", "p_name"))
     text = F.concat_ws(",", F.col("p_partkey").cast("string"), "p_name")
     root = _scratch(spark)
     _act(files.write_files(p.select(F.concat("p_brand", F.lit("/"), F.col("p_partkey").cast("string"), F.lit(".zip")).alias("path"), archive(text).alias("content")), root))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import ast
+import os
 import re
 import tarfile
 import tempfile
+import uuid
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,6 +23,10 @@ EXTENSIONS = {"tiff": ".tiff", "worldview": ".zip", "landsat": ".zip", "npy": ".
 SHAPES = ".wkt.csv"
 #: Fixed values of elevation grids: side, nodata, pixels a degree.
 HGT_SIDE, HGT_NODATA, HGT_STEP = 3601, -32768, 3600
+#: Stores whose folders tasks list by themselves; those of others are listed by Spark's own readers.
+STORES = ("file", "hdfs", "s3", "gs", "gcs", "abfs", "abfss")
+#: Small files that one task makes, lists or reads at most; rows of a batch of names; bytes of a batch of contents.
+TASK_FILES, BATCH_ROWS, BATCH_BYTES = 5_000, 5_000, 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -46,11 +52,94 @@ def store_of(address: str):
     return (fs.LocalFileSystem(), local[1]) if local else fs.FileSystem.from_uri(address)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back, for what is read several times and costs more than its rows."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(rows: DataFrame, n: int | None = None, size: int = 0) -> DataFrame:
+    """``rows`` dealt evenly over tasks where each is a file to make or read: a table of few bytes is one task's otherwise.
+
+    ``n`` is their number, if known, ``size`` the bytes that they stand for.
+    """
+    n = rows.count() if n is None else n
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_FILES), -(-size // TASK_BYTES)))
+
+
+def _frames(rows: Iterable[tuple], schema: str, size=None) -> Iterator[pd.DataFrame]:
+    """Rows as frames of a batch each, as a frame of its own costs more than a small file; ``size`` gives a row's bytes."""
+    names, held, total = [x.split()[0] for x in schema.split(", ")], [], 0
+    for row in rows:
+        held.append(row)
+        total += 0 if size is None else size(row)
+        if len(held) >= BATCH_ROWS or total > BATCH_BYTES:
+            yield pd.DataFrame(held, columns=names).astype(object)
+            held, total = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=names).astype(object)
+
+
+def _hidden(name: str) -> bool:
+    """What Spark's listings leave out."""
+    return name.startswith(".") or name.endswith("._COPYING_") or name.startswith("_") and "=" not in name and not name.startswith(("_metadata", "_common_metadata"))
+
+
+def _entries(address: str, ending: str) -> Iterator[tuple[str, int, bool]]:
+    """(path, length, whether it is a folder) of what a folder holds; of a file, itself. A local folder is read a name at a time."""
+    from pyarrow import fs
+
+    store, at = store_of(address)
+    top = store.get_file_info(at)
+    if top.type == fs.FileType.File:
+        yield address, top.size, False
+    elif isinstance(store, fs.LocalFileSystem):
+        with os.scandir(at) as found:
+            for e in found:
+                try:
+                    if not _hidden(e.name) and (e.is_dir() or e.name.endswith(ending)):
+                        yield f"{address}/{e.name}", 0 if e.is_dir() else e.stat().st_size, e.is_dir()
+                except FileNotFoundError:  # gone since, or a link to nothing
+                    continue
+    else:
+        for e in store.get_file_info(fs.FileSelector(at)):
+            folder = e.type == fs.FileType.Directory
+            if not _hidden(e.base_name) and (folder or e.base_name.endswith(ending)):
+                yield f"{address}/{e.base_name}", 0 if folder else e.size, folder
+
+
+def listed(spark: SparkSession, directory: str, ending: str = "") -> DataFrame:
+    """(path, length) of all files below the folder whose name ends so, a stored table; hidden and empty files are left out as by Spark.
+
+    Tasks list folders, level by level, so that neither the driver nor a scan's plan holds the names of the files. Patterns, and folders of
+    stores that tasks cannot list, go by Spark's own listing.
+    """
+    context, address = spark.sparkContext, qualified(spark, directory).rstrip("/")
+    path = context._jvm.org.apache.hadoop.fs.Path(directory)
+    if address.split(":")[0] not in STORES or not path.getFileSystem(context._jsc.hadoopConfiguration()).exists(path):
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+        return (found.option("pathGlobFilter", "*" + ending) if ending else found).load(directory).select("path", "length")
+    schema = "path string, length long, folder boolean"
+
+    def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _frames((e for f in frames for folder in f["path"] for e in _entries(folder, ending)), schema)
+
+    level, out = spark.createDataFrame([(address,)], "path string"), None
+    while True:
+        seen = stored(level.mapInPandas(look, schema))
+        found = seen.filter("NOT folder AND length > 0").select("path", "length")
+        out = found if out is None else out.unionByName(found)
+        folders = seen.filter("folder").select("path")
+        n = folders.count()
+        if n == 0:
+            return out
+        level = spread(folders, n)
+
+
 def discover(spark: SparkSession, directory: str, image_type: str = "tiff", extension: str | None = None) -> DataFrame:
     """(path, length) of all files below the folder whose name ends with the extension; contents are not read."""
-    extension = extension or EXTENSIONS[image_type]
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*" + extension).load(directory)
-    return found.select("path", "length")
+    return listed(spark, directory, extension or EXTENSIONS[image_type])
 
 
 def read_list(spark: SparkSession, path: str) -> DataFrame:
@@ -91,9 +180,13 @@ def write_files(files: DataFrame, folder: str) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, base = store_of(address)
+        made = set()
         for f in frames:
             for path, content in zip(f["path"], f["content"]):
-                store.create_dir(f"{base}/{path}".rsplit("/", 1)[0], recursive=True)
+                parent = f"{base}/{path}".rsplit("/", 1)[0]
+                if parent not in made:
+                    store.create_dir(parent, recursive=True)
+                    made.add(parent)
                 with store.open_output_stream(f"{base}/{path}") as out:
                     out.write(content)
             yield pd.DataFrame({"path": f["path"], "length": [len(c) for c in f["content"]]})
@@ -260,10 +353,10 @@ def archive_members(spark: SparkSession, directory: str, limit: int | None = Non
     Of a zip file the central directory is read, of a tar file the headers, by ranges. A compressed tar file has no index: it is
     one row of kind ``stream``, whose members are known when it is read. A bad archive is a row with its error.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory).select("path")
+    found = listed(spark, directory).select("path")
     found = found if limit is None else found.orderBy("path").limit(limit)
 
-    def listed(path: str) -> Iterator[tuple]:
+    def inside(path: str) -> Iterator[tuple]:
         store, at = store_of(path)
         with store.open_input_file(at) as file:
             if zipfile.is_zipfile(file):
@@ -288,16 +381,16 @@ def archive_members(spark: SparkSession, directory: str, limit: int | None = Non
                     if m.isfile():
                         yield path, m.name, "stored", m.offset_data, m.size, m.size, None
 
+    def rows(path: str) -> list[tuple]:
+        try:
+            return list(inside(path))
+        except Exception as e:  # as above
+            return [(path, None, None, None, None, None, f"{type(e).__name__}: {e}")]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for path in f["path"]:
-                try:
-                    rows = list(listed(path))
-                except Exception as e:  # as above
-                    rows = [(path, None, None, None, None, None, f"{type(e).__name__}: {e}")]
-                yield pd.DataFrame(rows, columns=[x.split()[0] for x in MEMBERS.split(", ")]).astype(object)
+        return _frames((row for f in frames for path in f["path"] for row in rows(path)), MEMBERS)
 
-    return found.mapInPandas(run, MEMBERS)
+    return spread(found).mapInPandas(run, MEMBERS)
 
 
 def _blocks(file, kind: str, start: int, packed: int) -> Iterator[bytes]:
@@ -332,29 +425,31 @@ def _contents(path: str, member: str, kind: str, start: int, packed: int) -> Ite
 
 
 def _dealt(members: DataFrame) -> DataFrame:
-    total = members.agg(F.sum("packed")).first()[0] or 0
-    parts = max(members.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
-    return members.filter("error IS NULL").repartition(parts, "archive", "member")
+    good = members.filter("error IS NULL")
+    n, total = good.agg(F.count(F.lit(1)), F.sum("packed")).first()
+    return spread(good, n, total or 0)
 
 
 def unpack(spark: SparkSession, directory: str, limit: int | None = None) -> DataFrame:
     """(archive, member, content, error) of zip and tar files; a bad archive or member is a row with its error.
 
-    Members are dealt over tasks and read by their ranges, so that a task holds one member and no archive. What is too large
-    for a row goes by ``unpack_to``.
+    Members are dealt over tasks and read by their ranges, so that a task holds one member, or a batch of small ones, and no
+    archive. What is too large for a row goes by ``unpack_to``.
     """
-    members = archive_members(spark, directory, limit)
+    members = stored(archive_members(spark, directory, limit))
+    schema = "archive string, member string, content binary, error string"
+
+    def rows(m) -> Iterator[tuple]:
+        try:
+            for name, blocks in _contents(m.archive, m.member, m.kind, m.start, m.packed):
+                yield m.archive, name, b"".join(blocks), None
+        except Exception as e:  # as above
+            yield m.archive, m.member, None, f"{type(e).__name__}: {e}"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for m in f.itertuples(index=False):
-                try:
-                    for name, blocks in _contents(m.archive, m.member, m.kind, m.start, m.packed):
-                        yield pd.DataFrame([(m.archive, name, b"".join(blocks), None)], columns=["archive", "member", "content", "error"])
-                except Exception as e:  # as above
-                    yield pd.DataFrame([(m.archive, m.member, None, f"{type(e).__name__}: {e}")], columns=["archive", "member", "content", "error"])
+        return _frames((row for f in frames for m in f.itertuples(index=False) for row in rows(m)), schema, lambda row: len(row[2] or b""))
 
-    good = _dealt(members).mapInPandas(run, "archive string, member string, content binary, error string")
+    good = _dealt(members).mapInPandas(run, schema)
     return good.unionByName(members.filter("error IS NOT NULL").select("archive", "member", F.lit(None).cast("binary").alias("content"), "error"))
 
 
@@ -379,7 +474,7 @@ def unpack_to(spark: SparkSession, directory: str, folder: str, limit: int | Non
     writes the same files. Names that would leave their archive's folder are errors.
     """
     base, target = qualified(spark, directory), qualified(spark, folder).rstrip("/")
-    members = archive_members(spark, directory, limit)
+    members = stored(archive_members(spark, directory, limit))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, root = store_of(target)
