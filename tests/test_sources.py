@@ -165,3 +165,6 @@ def test_small_files_are_listed_and_read_by_few_tasks(spark, tmp_path):
     assert {bytes(r.content).decode() for r in got if r.error is None} == {f"text {k}" for k in range(400)} and sum(r.error is not None for r in got) == 1
     one = str(base / "b3" / "c=1" / "3.zip")
     assert [r.path for r in files.listed(spark, one).collect()] == ["file:" + one]
+    made = files.unpack_to(spark, str(base), str(tmp_path / "out"))
+    assert made.rdd.getNumPartitions() < 100 and made.filter("error IS NULL").count() == 400
+    assert files.listed(spark, str(tmp_path / "out")).count() == 400

@@ -535,12 +535,12 @@ def unpacked_tree(spark, sf):
     def archive(content: pd.Series) -> pd.Series:
         return _member(content)
 
-    p = demo.table(spark, sf, "part")
+    p = files.spread(demo.table(spark, sf, "part").select("p_brand", "p_partkey", "p_name"))
     text = F.concat_ws(",", F.col("p_partkey").cast("string"), "p_name")
     root, out = _scratch(spark), _scratch(spark)
     _act(files.write_files(p.select(F.concat("p_brand", F.lit("/"), F.col("p_partkey").cast("string"), F.lit(".zip")).alias("path"), archive(text).alias("content")), root))
     _act(files.unpack_to(spark, root, out))
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(out)
+    found = files.listed(spark, out)
     return found.select(F.concat_ws("/", F.slice(F.split("path", "/"), -3, 3)).alias("path"), "length")
 
 
