@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tileforge.jobs import catalog_queries
 from tileforge.sources import files
 from tileforge.streaming import scenes
 
@@ -168,3 +169,13 @@ def test_small_files_are_listed_and_read_by_few_tasks(spark, tmp_path):
     made = files.unpack_to(spark, str(base), str(tmp_path / "out"))
     assert made.rdd.getNumPartitions() < 100 and made.filter("error IS NULL").count() == 400
     assert files.listed(spark, str(tmp_path / "out")).count() == 400
+
+
+def test_heights_beyond_16_bits_and_degrees_that_come_again(spark, tmp_path):
+    """Scenes 4 and 184 are of the same degree; heights beyond 32,767 come back as they are."""
+    rows = [(k * 2500 + i, 40_000 * (k - 3) + i, "F" if i % 7 else "P", 1.0, "1-URGENT") for k in (4, 184) for i in range(60)]
+    table = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string")
+    table.write.parquet(str(tmp_path / "orders.parquet"))
+    got = catalog_queries.elevation_grids(spark, str(tmp_path)).collect()
+    want = [(4, -4, i // 50, i % 50, float(c - 500) if s == "F" else None, 1 / 49.0) for k, c, s, _, _ in rows for i in [k % 2500]]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))

@@ -19,6 +19,8 @@ from . import demo, evaluation_queries
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 KEY = ["scene_id", "y", "x"]
+#: Heights that the remainder of an elevation grid tells apart.
+HGT_SPAN = 1 << 15
 
 
 def register(name: str, sql: str | None = None):
@@ -101,24 +103,33 @@ def numpy_images(spark, sf):
 WITH {demo.PX}, h AS (SELECT scene_id, substr(scene_id, 2)::INT AS k, y, x, CASE WHEN label = 2 THEN NULL ELSE (w - 500)::INT END AS height FROM px WHERE substr(scene_id, 2)::INT % 2 = 0)
 SELECT k % 90 AS min_y, -(k % 180) AS min_x, y, x, height::DOUBLE AS height, 1 / 49.0::DOUBLE AS pixel_size FROM h""")
 def elevation_grids(spark, sf):
-    """Every other scene as big-endian grid named by its degree; nodata comes back as NULL, bounds by the name."""
+    """Every other scene as big-endian grids named by its degree; nodata comes back as NULL, bounds by the name.
+
+    A grid holds 16 bits, which heights may exceed: one grid has a height's remainder, another how often it goes over. Degrees
+    come again after 180 scenes, so that names also tell the turn.
+    """
 
     @F.pandas_udf("binary")
     def packed(rows: pd.Series) -> pd.Series:
         return pd.Series([np.asarray(list(r) + [files.HGT_NODATA] * (2500 - len(r)), ">i2").tobytes() for r in rows])
 
     px = demo.orders_raster(spark, sf).withColumn("k", F.substring("scene_id", 2, 18).cast("int")).filter("k % 2 = 0")
-    height = F.when(F.col("label") == demo.NODATA, files.HGT_NODATA).otherwise(F.get("bands", F.lit(1)) - 500).cast("int")
-    scenes = px.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", height.alias("h")))), lambda p: p["h"]).alias("heights"), F.count(F.lit(1)).alias("n"))
-    name = F.format_string("N%02dW%03d.hgt", F.col("k") % 90, F.col("k") % 180)
+    height = F.when(F.col("label") != demo.NODATA, (F.get("bands", F.lit(1)) - 500).cast("int"))
+    parts = {"low": F.pmod(height, F.lit(HGT_SPAN)) - HGT_SPAN // 2, "high": F.floor(height / HGT_SPAN)}
+    pixel = F.struct("y", "x", *[F.coalesce(v.cast("int"), F.lit(files.HGT_NODATA)).alias(n) for n, v in parts.items()])
+    name = F.format_string("N%02dW%03d_%d", F.col("k") % 90, F.col("k") % 180, F.floor(F.col("k") / 180))
+    scenes = files.stored(px.groupBy("k").agg(F.array_sort(F.collect_list(pixel)).alias("p"), F.count(F.lit(1)).alias("n")).select(name.alias("name"), "p", "n"))
+    grids = [scenes.select(F.concat("name", F.lit(f"_{n}.hgt")).alias("path"), F.transform("p", lambda p: p[n]).alias("v")) for n in parts]  # noqa: B023
     root = _scratch(spark)
-    _act(files.write_files(scenes.select(name.alias("path"), packed("heights").alias("content")), root))
-    tiles = files.elevation_bounds(files.read_elevation(spark, root, demo.SIDE, rows_per_tile=20), demo.SIDE)
-    out = grid.tiles_to_pixels(tiles).join(tiles.select("scene_id", "bounds", "pixel_size").distinct(), "scene_id")
-    out = out.select("scene_id", F.col("bounds.min_y").alias("min_y"), F.col("bounds.min_x").alias("min_x"), "y", "x", F.nanvl(F.get("bands", F.lit(0)).cast("double"), F.lit(None).cast("double")).alias("height"), "pixel_size")
+    _act(files.write_files(files.spread(grids[0].unionByName(grids[1])).select("path", packed("v").alias("content")), root))
+    px = grid.tiles_to_pixels(files.read_elevation(spark, root, demo.SIDE, rows_per_tile=20))
+    value = F.get("bands", F.lit(0)).cast("double")
+    both = px.groupBy(F.substring_index("scene_id", "_", 2).alias("scene_id"), "y", "x").agg(*[F.max(F.when(F.endswith("scene_id", F.lit(f"_{n}")), value)).alias(n) for n in parts])
+    height = F.col("high") * HGT_SPAN + F.col("low") + HGT_SPAN // 2
+    out = files.elevation_bounds(both, demo.SIDE).join(scenes.select(F.col("name").alias("scene_id"), "n"), "scene_id")
     # rows that were only padded in to make the last scene square are left out
-    size = scenes.select(F.format_string("N%02dW%03d", F.col("k") % 90, F.col("k") % 180).alias("scene_id"), "n")
-    return out.join(size, "scene_id").filter(F.col("y") * demo.SIDE + F.col("x") < F.col("n")).drop("scene_id", "n")
+    out = out.filter(F.col("y") * demo.SIDE + F.col("x") < F.col("n"))
+    return out.select(F.col("bounds.min_y").alias("min_y"), F.col("bounds.min_x").alias("min_x"), "y", "x", F.nanvl(height, F.lit(None).cast("double")).alias("height"), "pixel_size")
 
 
 @register("ras006_unpacked_archives", """

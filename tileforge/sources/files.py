@@ -246,32 +246,30 @@ def _splits(spark: SparkSession, directory: str, extension: str, layout, rows_pe
     """The tiles of whole rows of each file and where their bytes are; ``layout(file, size)`` is what ``npy_layout`` gives."""
     found = discover(spark, directory, extension=extension)
 
+    def planned(path: str, size: int) -> list[tuple]:
+        scene = path.rsplit("/", 1)[-1][: -len(extension)]
+        try:
+            store, at = store_of(path)
+            with store.open_input_file(at) as file:
+                kind, turned, shape, begin = layout(file, size)
+            if len(shape) not in (2, 3):
+                raise ValueError(f"{len(shape)} dimensions")
+            h, w, bands = (*shape, 1)[:3]
+            if h * w * bands == 0:
+                return [(path, scene, None, None, None, None, None, None, 0, None, None, None, "no pixels")]
+            line = w * bands * np.dtype(kind).itemsize
+            if begin + h * line > size:
+                raise ValueError("the file is cut short")
+            # an array with its columns first has no rows in one piece: one split of all of it
+            step = h if turned else rows_per_tile
+            return [(path, scene, kind, begin + y * line, turned, h, w, bands, y // rows_per_tile, y, min(h, y + step), (min(h, y + step) - y) * line, None) for y in range(0, h, step)]
+        except Exception as e:  # a bad file is a row of the report, not the end of the job
+            return [(path, scene, None, None, None, None, None, None, 0, None, None, None, f"{type(e).__name__}: {e}")]
+
     def plan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in SPLITS.split(", ")]
-        for f in frames:
-            for path, size in zip(f["path"], f["length"]):
-                scene = path.rsplit("/", 1)[-1][: -len(extension)]
-                try:
-                    store, at = store_of(path)
-                    with store.open_input_file(at) as file:
-                        kind, turned, shape, begin = layout(file, size)
-                    h, w, bands = (*shape, 1)[:3] if len(shape) in (2, 3) else (0, 0, 0)
-                    if len(shape) not in (2, 3):
-                        raise ValueError(f"{len(shape)} dimensions")
-                    if h * w * bands == 0:
-                        yield pd.DataFrame([(path, scene, None, None, None, None, None, None, 0, None, None, None, "no pixels")], columns=names).astype(object)
-                        continue
-                    line = w * bands * np.dtype(kind).itemsize
-                    if begin + h * line > size:
-                        raise ValueError("the file is cut short")
-                    # an array with its columns first has no rows in one piece: one split of all of it
-                    step = h if turned else rows_per_tile
-                    rows = [(path, scene, kind, begin + y * line, turned, h, w, bands, y // rows_per_tile, y, min(h, y + step), (min(h, y + step) - y) * line, None) for y in range(0, h, step)]
-                except Exception as e:  # a bad file is a row of the report, not the end of the job
-                    rows = [(path, scene, None, None, None, None, None, None, 0, None, None, None, f"{type(e).__name__}: {e}")]
-                yield pd.DataFrame(rows, columns=names).astype(object)
-
-    return found.mapInPandas(plan, SPLITS)
+        return _frames((row for f in frames for path, size in zip(f["path"], f["length"]) for row in planned(path, size)), SPLITS)
+
+    return spread(found).mapInPandas(plan, SPLITS)
 
 
 def npy_splits(spark: SparkSession, directory: str, rows_per_tile: int = 256) -> DataFrame:
@@ -297,32 +295,33 @@ def elevation_splits(spark: SparkSession, directory: str, side: int = HGT_SIDE,
 def read_splits(splits: DataFrame, rows_per_tile: int = 256, missing: float | None = None) -> DataFrame:
     """The tiles of ``splits`` (a filter on these reads less), each read by its range of bytes; ``missing`` becomes NaN.
 
-    Splits are dealt over tasks by their bytes, so that many tasks read one large file, and a task holds one split at a time.
+    Splits are dealt over tasks by their bytes and number, so that many tasks read one large file, and a task holds one split at a
+    time, or a batch of small ones.
     """
     names = [x.split()[0] for x in TILES.split(", ")]
 
+    def tiles(s) -> list[tuple]:
+        try:
+            store, at = store_of(s.path)
+            with store.open_input_file(at) as file:
+                data = file.read_at(s.bytes, s.offset)
+            flat = np.frombuffer(data, np.dtype(s.dtype))
+            image = flat.reshape((s.n_bands, s.width, s.height)).T if s.columns_first else flat.reshape(s.max_y - s.min_y, s.width, s.n_bands)
+            image = image.astype("float32")
+            image = image if missing is None else np.where(image == missing, np.float32("nan"), image)
+            return [(s.scene_id, (s.min_y + y) // rows_per_tile, 0, 0, s.min_y + y, s.width, s.min_y + y + len(part), s.n_bands, part.reshape(-1), None)
+                    for y in range(0, len(image), rows_per_tile) for part in [image[y : y + rows_per_tile]]]
+        except Exception as e:  # as above
+            return [(s.scene_id, s.tile_row, 0, 0, 0, 0, 0, 0, None, f"{type(e).__name__}: {e}")]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for s in f.itertuples(index=False):
-                try:
-                    store, at = store_of(s.path)
-                    with store.open_input_file(at) as file:
-                        data = file.read_at(s.bytes, s.offset)
-                    flat = np.frombuffer(data, np.dtype(s.dtype))
-                    image = flat.reshape((s.n_bands, s.width, s.height)).T if s.columns_first else flat.reshape(s.max_y - s.min_y, s.width, s.n_bands)
-                    image = image.astype("float32")
-                    image = image if missing is None else np.where(image == missing, np.float32("nan"), image)
-                    rows = [(s.scene_id, (s.min_y + y) // rows_per_tile, 0, 0, s.min_y + y, s.width, s.min_y + y + len(part), s.n_bands, part.reshape(-1), None)
-                            for y in range(0, len(image), rows_per_tile) for part in [image[y : y + rows_per_tile]]]
-                except Exception as e:  # as above
-                    rows = [(s.scene_id, s.tile_row, 0, 0, 0, 0, 0, 0, None, f"{type(e).__name__}: {e}")]
-                yield pd.DataFrame(rows, columns=names)
+        return _frames((row for f in frames for s in f.itertuples(index=False) for row in tiles(s)), TILES, lambda row: 0 if row[8] is None else row[8].nbytes)
 
-    spark = splits.sparkSession
-    total = splits.agg(F.sum("bytes")).first()[0] or 0
-    good = splits.filter("error IS NULL").repartition(max(spark.sparkContext.defaultParallelism, -(-total // TASK_BYTES)), "path", "tile_row")
+    splits = stored(splits)
+    good = splits.filter("error IS NULL")
+    n, total = good.agg(F.count(F.lit(1)), F.sum("bytes")).first()
     bad = splits.filter("error IS NOT NULL").select("scene_id", *[F.lit(0).alias(n) for n in names[1:7]], F.lit(0).alias("n_bands"), F.lit(None).cast("array<float>").alias("data"), "error")
-    return good.mapInPandas(run, TILES).unionByName(bad)
+    return spread(good, n, total or 0).mapInPandas(run, TILES).unionByName(bad)
 
 
 def read_npy(spark: SparkSession, directory: str, rows_per_tile: int = 256) -> DataFrame:
