@@ -93,7 +93,7 @@ def numpy_images(spark, sf):
         return pd.Series(out)
 
     root = _scratch(spark)
-    e = demo.table(spark, sf, "embeddings")
+    e = files.spread(demo.table(spark, sf, "embeddings"))
     _act(files.write_files(e.select(F.concat(F.col("vec_id").cast("string"), F.lit(".npy")).alias("path"), saved("embedding").alias("content")), root))
     px = grid.tiles_to_pixels(files.read_npy(spark, root, rows_per_tile=3).filter("error IS NULL"))
     return px.select(*KEY, F.get("bands", F.lit(0)).cast("double").alias("value"))
