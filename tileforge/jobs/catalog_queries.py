@@ -225,7 +225,7 @@ def invalid_inputs(spark, sf):
     e = demo.table(spark, sf, "embeddings")
     root = _scratch(spark)
     name = F.concat(F.lit("a/"), F.col("vec_id").cast("string"), F.lit(".npy"))
-    _act(files.write_files(e.filter("vec_id % 5 <> 3").select(name.alias("path"), saved("embedding", F.col("vec_id") % 5).alias("content")), root))
+    _act(files.write_files(files.spread(e.filter("vec_id % 5 <> 3")).select(name.alias("path"), saved("embedding", F.col("vec_id") % 5).alias("content")), root))
     found = files.invalid_inputs(files.discover(spark, root, "npy"), files.read_npy(spark, root), e.select(F.col("vec_id").cast("string").alias("scene_id")))
     return found.select("scene_id", F.when(F.col("reason").isin("no pixels", "missing"), F.col("reason")).otherwise("unreadable").alias("reason"))
 

@@ -506,6 +506,8 @@ def invalid_inputs(files: DataFrame, tiles: DataFrame, expected: DataFrame | Non
     Spark's listings leave files of 0 bytes out, so with these they are missing; lists from elsewhere may give their length.
     """
     scene = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("scene_id")
+    # read once: arrays are decoded for it
+    tiles = stored(tiles.select("scene_id", "max_x", "max_y", "error"))
     empty = files.filter("length = 0").select(scene, F.lit("empty").alias("reason"))
     bad = tiles.filter("error IS NOT NULL").select("scene_id", F.col("error").alias("reason"))
     flat = tiles.filter("error IS NULL").groupBy("scene_id").agg(F.max("max_x").alias("w"), F.max("max_y").alias("h")).filter("w <= 0 OR h <= 0").select("scene_id", F.lit("no pixels").alias("reason"))
