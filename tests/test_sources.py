@@ -179,3 +179,16 @@ def test_heights_beyond_16_bits_and_degrees_that_come_again(spark, tmp_path):
     got = catalog_queries.elevation_grids(spark, str(tmp_path)).collect()
     want = [(4, -4, i // 50, i % 50, float(c - 500) if s == "F" else None, 1 / 49.0) for k, c, s, _, _ in rows for i in [k % 2500]]
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_small_arrays_and_headers_are_read_by_few_tasks(spark, tmp_path):
+    for k in range(300):
+        np.save(tmp_path / f"{k}.npy", np.full((2, 2), k))
+        (tmp_path / "h" / f"s{k}").mkdir(parents=True)
+        (tmp_path / "h" / f"s{k}" / "part.txt").write_bytes(b"A = %d\n\xc3\xa9" % k)
+    assert files.npy_splits(spark, str(tmp_path)).rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    tiles = files.read_npy(spark, str(tmp_path))
+    assert tiles.rdd.getNumPartitions() < 20 and {r.scene_id: r.data[3] for r in tiles.collect()} == {str(k): k for k in range(300)}
+    assert not files.invalid_inputs(files.discover(spark, str(tmp_path), "npy"), tiles).collect()
+    headers = files.read_headers(spark, str(tmp_path / "h"), level=1)
+    assert headers.rdd.getNumPartitions() < 20 and sorted(map(tuple, headers.collect())) == sorted((f"s{k}", f"A = {k}\n\u00e9") for k in range(300))

@@ -153,8 +153,9 @@ def unpacked_archives(spark, sf):
 def header_files(spark, sf):
     """One text file in a folder for each scene, read whole."""
     root = _scratch(spark)
-    _mtl(spark, sf).repartition("scene_id").write.partitionBy("scene_id").text(root)
-    headers = files.read_headers(spark, root, level=1).withColumn("scene_id", F.substring_index("scene_id", "=", -1))
+    texts = files.spread(_mtl(spark, sf))
+    _act(files.write_files(texts.select(F.concat("scene_id", F.lit("/header.txt")).alias("path"), F.col("text").cast("binary").alias("content")), root))
+    headers = files.stored(files.read_headers(spark, root, level=1))
     sun = catalog.scalar_tag(catalog.header_lines(headers), "SUN_ELEVATION", "sun")
     lines = F.size(F.filter(F.split("text", "\n"), lambda x: x != "")).alias("lines")
     return headers.select("scene_id", lines).join(sun, "scene_id")

@@ -109,15 +109,21 @@ def _entries(address: str, ending: str) -> Iterator[tuple[str, int, bool]]:
                 yield f"{address}/{e.base_name}", 0 if folder else e.size, folder
 
 
+def _own(spark: SparkSession, directory: str) -> bool:
+    """Whether tasks can list the folder: it is there, in a store of STORES."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(directory)
+    return qualified(spark, directory).split(":")[0] in STORES and path.getFileSystem(context._jsc.hadoopConfiguration()).exists(path)
+
+
 def listed(spark: SparkSession, directory: str, ending: str = "") -> DataFrame:
     """(path, length) of all files below the folder whose name ends so, a stored table; hidden and empty files are left out as by Spark.
 
     Tasks list folders, level by level, so that neither the driver nor a scan's plan holds the names of the files. Patterns, and folders of
     stores that tasks cannot list, go by Spark's own listing.
     """
-    context, address = spark.sparkContext, qualified(spark, directory).rstrip("/")
-    path = context._jvm.org.apache.hadoop.fs.Path(directory)
-    if address.split(":")[0] not in STORES or not path.getFileSystem(context._jsc.hadoopConfiguration()).exists(path):
+    address = qualified(spark, directory).rstrip("/")
+    if not _own(spark, directory):
         found = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
         return (found.option("pathGlobFilter", "*" + ending) if ending else found).load(directory).select("path", "length")
     schema = "path string, length long, folder boolean"
@@ -164,7 +170,20 @@ def label_ids(lines: DataFrame, value: str = "value") -> DataFrame:
 
 def read_headers(spark: SparkSession, path: str, level: int = 0) -> DataFrame:
     """(scene_id, text): whole text files below the folder; the scene is the file's stem, or the name of a folder ``level`` above it."""
-    rows = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).withColumn("_path", F.input_file_name())
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def text(address: str) -> bytes:
+            store, at = store_of(address)
+            with store.open_input_stream(at) as file:
+                return file.read()
+
+        return _frames(((address, text(address)) for f in frames for address in f["_path"]), "_path string, value binary", lambda row: len(row[1]))
+
+    if _own(spark, path):
+        found = listed(spark, path)
+        n, size = found.agg(F.count(F.lit(1)), F.sum("length")).first()
+        rows = spread(found.select(F.col("path").alias("_path")), n, size or 0).mapInPandas(read, "_path string, value binary").withColumn("value", F.col("value").cast("string"))
+    else:
+        rows = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).withColumn("_path", F.input_file_name())
     parts = F.split("_path", "/")
     name = F.regexp_extract("_path", r"([^/]+?)(?:\.[^./]*)?$", 1) if level == 0 else F.element_at(parts, -1 - level)
     return rows.select(name.alias("scene_id"), F.col("value").alias("text"))
