@@ -86,3 +86,11 @@ def test_windows_are_those_of_the_reference(spark, name, kernel):
     want = {s: kernel(p[: height[s]]) for s, p in planes.items()}
     near = lambda r: r.value == pytest.approx(want[r.scene_id][r.y, r.x], abs=6e-3) if r.value is not None else np.isnan(want[r.scene_id][r.y, r.x])
     assert rows and all(near(r) for r in rows)
+
+
+def test_pixels_are_not_sent_by_an_estimate(spark):
+    """Pixels that explodes made are joined by shuffles: estimates are of the rows before."""
+    plan = queries.QUERIES["ras029_scene_label_rasters"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan
+    physical = queries.QUERIES["ras029_scene_label_rasters"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("SortMergeJoin") >= 4

@@ -171,9 +171,10 @@ def scene_labels(scenes: DataFrame, labels: DataFrame, pixels: DataFrame, cell:
     ``scenes`` has scene_id, gt, width, height, box and date; ``labels`` label_id, label_gt, label_box and date; ``pixels``
     label_id, y, x, label. Of overlapping tiles the one with the higher id wins; scene pixels that no tile covers are NULL.
     A scene pixel takes the label under its centre (nearest). Pixels of a label tile meet only scenes that it was chosen for.
+    All joins are shuffled: how many rows pixels have been made of is in no estimate of their size, by which they might be sent.
     """
     chosen = labels_on_date(scenes.select("scene_id", "box", "date"), labels.select("label_id", "label_box", "date"), cell, most)
-    met = chosen.join(scenes.select("scene_id", "gt", "width", "height", F.col("box").alias("_box")), "scene_id").join(labels.select("label_id", "label_gt", "label_box"), "label_id")
+    met = chosen.join(scenes.select("scene_id", "gt", "width", "height", F.col("box").alias("_box")).hint("merge"), "scene_id").join(labels.select("label_id", "label_gt", "label_box").hint("merge"), "label_id")
     # the part of the scene's grid whose centres lie in the tile
     both = intersection(F.col("_box"), F.col("label_box"))
 
@@ -189,10 +190,10 @@ def scene_labels(scenes: DataFrame, labels: DataFrame, pixels: DataFrame, cell:
     t = F.col("label_gt")
     rows = rows.select("scene_id", "label_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.floor((here["gx"] - t[0]) / t[1]).cast("int").alias("_sx"), F.floor((here["gy"] - t[3]) / t[5]).cast("int").alias("_sy"))
     source = pixels.select("label_id", F.col("y").alias("_sy"), F.col("x").alias("_sx"), "label").filter("label IS NOT NULL")
-    found = rows.join(source, ["label_id", "_sy", "_sx"]).groupBy("scene_id", "y", "x").agg(F.max_by("label", "label_id").alias("label"))
+    found = rows.join(source.hint("merge"), ["label_id", "_sy", "_sx"]).groupBy("scene_id", "y", "x").agg(F.max_by("label", "label_id").alias("label"))
     grid = scenes.select("scene_id", "width", F.explode(F.sequence(F.lit(0), F.col("height").cast("int") - 1)).alias("y"))
     grid = grid.select("scene_id", "y", F.explode(F.sequence(F.lit(0), F.col("width").cast("int") - 1)).alias("x"))
-    return grid.join(found, ["scene_id", "y", "x"], "left")
+    return grid.join(found.hint("merge"), ["scene_id", "y", "x"], "left")
 
 
 def labels_on_date(scenes: DataFrame, labels: DataFrame, cell: int, most: int = 12) -> DataFrame:
