@@ -271,6 +271,18 @@ def test_faults_are_rows(spark, tmp_path):
     assert sum(r.error is not None for r in rows) == 5
 
 
+def test_failures_are_no_results(spark, tmp_path):
+    """A report that has to be whole ends at a fault; a store that cannot be read is no fault of an archive."""
+    (tmp_path / "broken.zip").write_bytes(b"PK broken")
+    (tmp_path / "folder.zip").mkdir()
+    records = {n: lambda n=n: warc.read_records(spark.createDataFrame([(f"file://{tmp_path}/{n}.zip",)], "archive string")) for n in ("broken", "folder")}
+    assert warc.page_report(records["broken"]()).count() == 0
+    with pytest.raises(Exception, match="not all records could be read"):
+        warc.page_report(records["broken"](), strict=True).collect()
+    with pytest.raises(Exception, match="(?i)error"):
+        records["folder"]()
+
+
 # shared sums
 
 

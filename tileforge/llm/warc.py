@@ -190,6 +190,13 @@ def zip_directory(file, size: int) -> list[tuple[str, int, int, int, int]]:
     return out
 
 
+def _fault(error: Exception) -> str:
+    """What an archive's own fault is called in its row; a store that does not answer, or memory that ends, is the task's failure and raised."""
+    if isinstance(error, MemoryError) or isinstance(error, OSError) and not isinstance(error, FileNotFoundError):
+        raise error
+    return f"{type(error).__name__}: {error}"
+
+
 def _by_archive(archives: DataFrame, work, schema: str) -> DataFrame:
     """Rows of ``work(address, file, size)`` for each archive; a bad archive is a row with its error."""
     width = len(schema.split(", "))
@@ -203,7 +210,7 @@ def _by_archive(archives: DataFrame, work, schema: str) -> DataFrame:
                     with store.open_input_file(path) as file:
                         out = list(work(address, file, file.size()))
                 except Exception as e:  # a bad file is a row of the report, not the end of the job
-                    out = [(address, *[None] * (width - 2), f"{type(e).__name__}: {e}")]
+                    out = [(address, *[None] * (width - 2), _fault(e))]
                 yield pd.DataFrame(out, columns=names).astype(object)
 
     return archives.select("archive").mapInPandas(run, schema)
@@ -305,7 +312,7 @@ def read_records(archives: DataFrame, span: int = SPAN, batch: int = 8 << 20) ->
     """All records of the packages of the column ``archive``: (archive, offset, record_type, record_id, target_uri, refers_to, payload_digest, declared_bytes, payload, error).
 
     ``archives`` should be a stored table. Tasks get about ``TASK_BYTES`` of spans each. A package or span that cannot be read
-    is a row with its error; what stands before the fault is kept.
+    is a row with its error; what stands before the fault is kept. Failures of the store or the task are raised, so that Spark tries again.
     """
     places = durable(spans(archives, span))
     bad = places.filter("error IS NOT NULL").select("archive", *[F.lit(None).cast(f.dataType).alias(f.name) for f in _schema(archives.sparkSession, READ)[1:-1]], "error")
@@ -327,7 +334,7 @@ def read_records(archives: DataFrame, span: int = SPAN, batch: int = 8 << 20) ->
                                 yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in held], shape)
                                 held, size = [], 0
                 except Exception as e:  # as above
-                    held.append((address, start, *[None] * 7, f"{type(e).__name__}: {e}"))
+                    held.append((address, start, *[None] * 7, _fault(e)))
         if held:
             yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in held], shape)
 
@@ -340,13 +347,17 @@ def _schema(spark: SparkSession, text: str):
     return spark.createDataFrame([], text).schema
 
 
-def page_report(records: DataFrame) -> DataFrame:
+def page_report(records: DataFrame, strict: bool = False) -> DataFrame:
     """(key, payload_bytes, payload_digest, record_type, refers_to) of records that ``read_records`` could read.
 
+    With ``strict`` a row with an error ends the job: pages that are missing would look like a result.
+
     A response's figures are those of the payload that was read; a revisit's are the full payload's, as its headers tell.
     """
     whole = F.col("record_type") == "response"
-    return records.filter("error IS NULL").select(
+    said = F.raise_error(F.concat_ws(": ", F.lit("not all records could be read"), "archive", "error")).cast("boolean")
+    good = F.when(F.col("error").isNotNull(), said if strict else F.lit(False)).otherwise(True)
+    return records.filter(good).select(
         record_key(F.col("record_id")).alias("key"),
         F.when(whole, F.octet_length("payload").cast("long")).otherwise(F.col("declared_bytes")).alias("payload_bytes"),
         F.when(whole, F.sha2("payload", 256)).otherwise(F.regexp_replace("payload_digest", "^sha256:", "")).alias("payload_digest"),
@@ -359,7 +370,7 @@ def op13_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A record for each page, written to packages in the shared folder and read back from them."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     written = write_packages(planned(pages), f"{shared_folder(spark)}/packages-{uuid.uuid4().hex}")
-    report = page_report(read_records(written))
+    report = page_report(read_records(written), strict=True)
     return report.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
