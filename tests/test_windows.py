@@ -145,3 +145,12 @@ def test_scenes_of_several_sizes_are_mirrored_by_their_own(spark):
         got = {(r.y, r.x): r.value for r in moved if r.scene_id == s}
         want = [{(y, x): 100.0 * K.mirror(np.array([y - dy]), h)[0] + K.mirror(np.array([x - dx]), w)[0] for y in range(h) for x in range(w)} for dy in range(-3, 4) for dx in range(-3, 4)]
         assert got in want
+
+
+def test_rows_of_tiles_are_folders_of_all_scenes(spark, tmp_path):
+    px = spark.createDataFrame([(f"s{k}", y, x, [1.0 * k]) for k in range(40) for y in range(3) for x in range(2)], "scene_id string, y int, x int, bands array<double>")
+    files.write_tiles(px, str(tmp_path / "t"), 2, by_row=True)
+    assert sorted(p.name for p in (tmp_path / "t").iterdir() if p.is_dir()) == ["tile_row=0", "tile_row=1"]
+    assert len(list((tmp_path / "t").rglob("*.parquet"))) == 2
+    tiles = spark.read.parquet(str(tmp_path / "t")).collect()
+    assert sorted((r.scene_id, r.tile_row, len(r.data)) for r in tiles) == sorted((f"s{k}", r, 4 - 2 * r) for k in range(40) for r in (0, 1))

@@ -242,8 +242,8 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
 
 TILES = "scene_id string, tile_row int, tile_col int, min_x int, min_y int, max_x int, max_y int, n_bands int, data array<float>, error string"
 SPLITS = "path string, scene_id string, dtype string, offset long, columns_first boolean, height int, width int, n_bands int, tile_row int, min_y int, max_y int, bytes long, error string"
-#: Bytes of tiles that one task of a reader aims at.
-TASK_BYTES = 64 << 20
+#: Bytes of tiles that one task of a reader aims at; tiles of a row in one file; tasks of a write at most.
+TASK_BYTES, TASK_TILES, TASKS = 64 << 20, 10_000, 10_000
 
 
 def npy_layout(head: bytes) -> tuple[str, bool, tuple[int, ...], int]:
@@ -542,7 +542,7 @@ def block_side(side: int, other: int) -> int:
 
 
 def write_tiles(pixels: DataFrame, path: str, tile: int = 256, mode: str = "overwrite", nodata: float | None = None, headers: DataFrame | None = None, by_row: bool = False) -> None:
-    """Parquet tiles, a folder for each scene, or for each row of its tiles; rows are dealt by scene and tile row, so a giant scene takes many tasks.
+    """Parquet tiles, a folder for each scene, or ``by_row`` for each row of tiles of all scenes; rows are dealt by scene and tile row, so a giant scene takes many tasks.
 
     A raster with a side above 100 is cut into blocks of a multiple of 16 (``block_side`` of ``tile``); edge blocks may be
     short. Every tile carries the nodata value and, of ``headers`` (scene_id, gt, projection, tags), its scene's metadata,
@@ -555,4 +555,12 @@ def write_tiles(pixels: DataFrame, path: str, tile: int = 256, mode: str = "over
         g = F.col("gt")
         moved = F.array(g[0] + F.col("min_x") * g[1], g[1], g[2], g[3] + F.col("min_y") * g[5], g[4], g[5])
         tiles = tiles.join(headers.select("scene_id", "gt", "projection", "tags"), "scene_id", "left").withColumn("gt", F.when(F.size(g) == 6, moved))
-    tiles.repartition("scene_id", "tile_row").write.mode(mode).partitionBy("scene_id", *["tile_row"] * by_row).parquet(path)
+    if not by_row:
+        tiles.repartition("scene_id", "tile_row").write.mode(mode).partitionBy("scene_id").parquet(path)
+        return
+    # folders are as many as rows of tiles, files as rows and parts of scenes, of which each has TASK_TILES tiles of a row or so
+    tiles = stored(tiles)
+    rows, most = tiles.groupBy("tile_row").count().agg(F.count(F.lit(1)), F.max("count")).first()
+    parts = -(-(most or 0) // TASK_TILES) or 1
+    dealt = tiles.repartition(max(1, min((rows or 1) * parts, TASKS)), "tile_row", F.pmod(F.xxhash64("scene_id"), F.lit(parts)))
+    dealt.sortWithinPartitions("tile_row", "scene_id").write.mode(mode).partitionBy("tile_row").parquet(path)
