@@ -154,3 +154,12 @@ def test_rows_of_tiles_are_folders_of_all_scenes(spark, tmp_path):
     assert len(list((tmp_path / "t").rglob("*.parquet"))) == 2
     tiles = spark.read.parquet(str(tmp_path / "t")).collect()
     assert sorted((r.scene_id, r.tile_row, len(r.data)) for r in tiles) == sorted((f"s{k}", r, 4 - 2 * r) for k in range(40) for r in (0, 1))
+
+
+def test_batches_of_tiles_are_objects_a_slice_at_a_time():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"k": list(range(100)), "data": [np.full(40_000, k, float) for k in range(100)]})
+    frames = list(windows.slices([batch]))
+    assert sum(map(len, frames)) == 100 and max(f["data"].map(len).sum() * 8 for f in frames) <= 2 * windows.SLICE_BYTES
+    assert [f["data"].iloc[0][0] for f in frames] == [f["k"].iloc[0] for f in frames]

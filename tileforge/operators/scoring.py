@@ -6,11 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from .windows import put_together
+from .windows import arrow_schema, as_batch, put_together, slices
 
 
 #: Types of outputs by name: in the table, and in NumPy. An unsigned byte has no type of its own in Spark and is held in 16 bits.
@@ -32,8 +33,11 @@ def score_tiles(tiles: DataFrame, model: Callable[[np.ndarray], np.ndarray], pat
     body = "strips" if "strips" in tiles.columns else "data"
     fields = ["scene_id", "tile_row", "tile_col", "min_x", "min_y", "out_h", "out_w", "n_out", "scores", *owner]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+    schema = f"scene_id string, tile_row int, tile_col int, min_x int, min_y int, out_h int, out_w int, n_out int, scores {kind}" + "".join(f", {c} int" for c in owner)
+    shape = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in slices(batches):
             rows = []
             for t in f.itertuples(index=False):
                 h, w = t.max_y - t.min_y, t.max_x - t.min_x
@@ -46,10 +50,10 @@ def score_tiles(tiles: DataFrame, model: Callable[[np.ndarray], np.ndarray], pat
                 out = (out if numpy_kind.startswith("float") else np.nan_to_num(out, nan=0.0)).astype(numpy_kind)
                 out = out.astype("int16") if dtype == "byte" else out
                 rows.append((t.scene_id, t.tile_row, t.tile_col, t.min_x + ox, t.min_y + oy, *out.shape, out.reshape(-1), *(getattr(t, c) for c in owner)))
-            yield pd.DataFrame(rows, columns=fields)
+            yield as_batch(pd.DataFrame(rows, columns=fields), shape)
 
     columns = ["scene_id", "tile_row", "tile_col", "min_x", "min_y", "max_x", "max_y", "n_bands", body, *owner]
-    out = tiles.select(*columns).mapInPandas(run, f"scene_id string, tile_row int, tile_col int, min_x int, min_y int, out_h int, out_w int, n_out int, scores {kind}" + "".join(f", {c} int" for c in owner))
+    out = tiles.select(*columns).mapInArrow(run, schema)
     return out.withColumn("scores", F.transform("scores", lambda v: F.when(~F.isnan(v), v))) if nodata is not None and numpy_kind.startswith("float") else out
 
 

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,27 @@ SIDES = ("min_x", "min_y", "max_x", "max_y")
 WANTED = "array<struct<tile_row:int,tile_col:int,min_x:int,min_y:int,max_x:int,max_y:int,v_min_x:int,v_min_y:int,v_max_x:int,v_max_y:int>>"
 #: Scenes whose sizes are sent to every task; more are joined by a shuffle.
 SENT_SCENES = 500_000
+#: Bytes of tiles that are NumPy or Python objects at a time.
+SLICE_BYTES = 4 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    """Batches as frames of about ``SLICE_BYTES`` each: lists and structs take many times their bytes once they are Python objects."""
+    for b in batches:
+        step = max(1, b.num_rows * SLICE_BYTES // max(1, b.nbytes))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step).to_pandas()
+
+
+def as_batch(frame: pd.DataFrame, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(frame[f.name]), f.type) for f in schema], schema=schema)
+
+
+def arrow_schema(text: str) -> pa.Schema:
+    """Of columns of plain types and arrays of these, as Spark writes them."""
+    plain = {"string": pa.string(), "int": pa.int32(), "smallint": pa.int16(), "float": pa.float32(), "double": pa.float64()}
+    kind = lambda t: pa.list_(plain[t[6:-1]]) if t.startswith("array<") else plain[t]
+    return pa.schema([(n, kind(t)) for n, t in (f.split() for f in text.split(", "))])
 
 
 def _axis(low: Column, high: Column, first: Column, last: Column, size: Column, tile: int, overlap: int) -> Column:
@@ -75,8 +97,10 @@ def strips(blocks: DataFrame) -> DataFrame:
     fields = ["scene_id", "tile_row", "tile_col", *SIDES, *[f"v_{s}" for s in SIDES], "n_bands", *[f"s_{s}" for s in SIDES], "data"]
     schema = "scene_id string, " + ", ".join(f"{f} int" for f in fields[1:-1]) + f", data {kind}"
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+    shape = arrow_schema(schema)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in slices(batches):
             out = []
             for scene, x0, y0, x1, y1, bands, data, wanted in zip(*(f[c] for c in ("scene_id", *SIDES, "n_bands", "data", "wanted"))):
                 plane = np.asarray(data, np.float64).reshape(y1 - y0, x1 - x0, bands)
@@ -85,9 +109,9 @@ def strips(blocks: DataFrame) -> DataFrame:
                     c, d = min(x1, w["max_x"]), min(y1, w["max_y"])
                     part = np.ascontiguousarray(plane[b - y0 : d - y0, a - x0 : c - x0]).reshape(-1)
                     out.append((scene, *(w[n] for n in ("tile_row", "tile_col", *SIDES, *[f"v_{s}" for s in SIDES])), bands, a, b, c, d, part))
-            yield pd.DataFrame(out, columns=fields)
+            yield as_batch(pd.DataFrame(out, columns=fields), shape)
 
-    return blocks.select(F.col("scene_id").cast("string"), *SIDES, "n_bands", "data", "wanted").mapInPandas(cut, schema)
+    return blocks.select(F.col("scene_id").cast("string"), *SIDES, "n_bands", "data", "wanted").mapInArrow(cut, schema)
 
 
 def gathered(parts: DataFrame) -> DataFrame:
@@ -114,9 +138,12 @@ def with_data(windows: DataFrame) -> DataFrame:
     """``overlapping_tiles`` as plain tiles with ``data``, for all that does not score them."""
     fields = ["scene_id", "tile_row", "tile_col", *SIDES, *[f"v_{s}" for s in SIDES], "n_bands"]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+    schema = "scene_id string, " + ", ".join(f"{f} int" for f in fields[1:]) + ", data array<double>"
+    shape = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in slices(batches):
             data = [put_together(y1 - y0, x1 - x0, b, x0, y0, parts).reshape(-1) for x0, y0, x1, y1, b, parts in zip(*(f[c] for c in (*SIDES, "n_bands", "strips")))]
-            yield f[fields].assign(data=data)
+            yield as_batch(f[fields].assign(data=data), shape)
 
-    return windows.select(*fields, "strips").mapInPandas(run, "scene_id string, " + ", ".join(f"{f} int" for f in fields[1:]) + ", data array<double>")
+    return windows.select(*fields, "strips").mapInArrow(run, schema)
