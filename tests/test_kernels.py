@@ -261,3 +261,20 @@ def test_positions_are_gapless_whatever_the_number_of_parts(spark, monkeypatch):
     monkeypatch.setattr(sampling, "ORDERED", 10)
     many = {r.k: r.position for r in sampling.numbered(samples, sampling.shuffle_key(1, 2, "k"), ["k"]).collect()}
     assert one == many and sorted(one.values()) == list(range(3000))
+
+
+@pytest.mark.parametrize("shape", [(9, 7), (40, 150), (20, 300)])
+def test_near_sums_are_those_of_a_plain_loop(shape):
+    """Blocks of columns, and a fill that makes no pass for each offset of its reach."""
+    rng = np.random.default_rng(3)
+    plane = rng.random(shape)
+    weight = lambda far: 1 / far if 0 < far <= 4 else 0.0
+    got = K.near_sums([plane], 4)[0]
+    for y, x in zip(rng.integers(0, shape[0], 60), rng.integers(0, shape[1], 60)):
+        want = sum(plane[b, a] * weight(np.hypot(b - y, a - x)) for b in range(max(0, y - 4), min(shape[0], y + 5)) for a in range(max(0, x - 4), min(shape[1], x + 5)))
+        assert got[y, x] == pytest.approx(want)
+    plane[rng.random(shape) < 0.4] = np.nan
+    plane[:, :3] = np.nan
+    lone = plane.copy()
+    lone[0, -1] = np.inf  # goes the other way; out of reach of the first columns
+    assert np.allclose(K.fill_gaps(plane, 2)[:, :2], K.fill_gaps(lone, 2)[:, :2], equal_nan=True)

@@ -83,6 +83,25 @@ def blur(image: np.ndarray, sigma: float) -> np.ndarray:
     return convolve(convolve(np.pad(image, k, mode="symmetric"), g, 0), g, 1)
 
 
+def near_sums(planes: list[np.ndarray], reach: int, block: int = 128) -> list[np.ndarray]:
+    """The sums of the cells around each within ``reach``, by inverse distance: for each row offset a product with a band of weights.
+
+    Columns go in blocks, so that the band is no wider than a block and its margins. Planes have one size.
+    """
+    h, w = planes[0].shape
+    block = min(block, w)
+    around = [np.pad(p, ((reach, reach), (reach, reach + -w % block))) for p in planes]
+    out = [np.zeros((h, w + -w % block)) for _ in planes]
+    dx = np.arange(block + 2 * reach)[:, None] - reach - np.arange(block)
+    for dy in range(-reach, reach + 1):
+        far = np.hypot(dy, dx)
+        band = np.divide(1.0, far, out=np.zeros(far.shape), where=(far > 0) & (far <= reach))
+        for a, o in zip(around, out):
+            for x in range(0, w, block):
+                o[:, x : x + block] += a[reach + dy : reach + dy + h, x : x + block + 2 * reach] @ band
+    return [o[:, :w] for o in out]
+
+
 def fill_gaps(image: np.ndarray, reach: int = 16) -> np.ndarray:
     """NaN cells from valid cells within ``reach``, by inverse distance; then one 3 x 3 mean over what was filled.
 
@@ -108,7 +127,11 @@ def fill_gaps(image: np.ndarray, reach: int = 16) -> np.ndarray:
         return np.divide(total, weights, out=np.full(len(y), np.nan), where=weights > 0)
 
     out = image.copy()
-    out[y, x] = gathered(image, y, x, reach, lambda far: 1 / far if 0 < far <= reach else 0.0)
+    if np.isinf(image).any():  # zero times infinite is no number
+        out[y, x] = gathered(image, y, x, reach, lambda far: 1 / far if 0 < far <= reach else 0.0)
+    else:
+        total, weights = near_sums([np.nan_to_num(image), (~gaps).astype(float)], reach)
+        out[y, x] = np.divide(total[y, x], weights[y, x], out=np.full(len(y), np.nan), where=weights[y, x] > 0)
     filled = ~np.isnan(out[y, x])
     y, x = y[filled], x[filled]
     smooth = out.copy()
