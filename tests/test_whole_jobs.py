@@ -94,3 +94,13 @@ def test_pixels_are_not_sent_by_an_estimate(spark):
     assert "strategy=merge" in plan
     physical = queries.QUERIES["ras029_scene_label_rasters"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert physical.count("SortMergeJoin") >= 4
+
+
+@pytest.mark.parametrize("name, most", [("ras121_resample_bilinear", 0), ("ras120_resample_nearest", 1), ("ras122_crop_or_pad", 1)])
+def test_made_pixels_are_not_sent(spark, name, most):
+    """Pixels that explodes made of few scenes are dealt over tasks and never broadcast; only stored ones may be, by their bytes."""
+    df = queries.QUERIES[name](spark, SMALL)
+    assert df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("BroadcastHashJoin") <= most and "BuildLeft" not in plan
+    assert "Exchange RoundRobinPartitioning" in plan

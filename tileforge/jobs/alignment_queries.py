@@ -148,9 +148,14 @@ def scene_label_rasters(spark, sf):
     return rows.filter("label IS NOT NULL").groupBy("scene_id").agg(F.count(F.lit(1)).alias("covered"), F.sum("label").alias("total"))
 
 
-def _target(spark, sf, side):
+def _scenes(spark, sf):
+    """The orders' scenes, dealt over tasks: names are few bytes, from which many pixels are made."""
     scenes = demo.orders_raster(spark, sf).select("scene_id").distinct()
-    rows = scenes.select("scene_id", F.explode(F.sequence(F.lit(0), F.lit(side - 1))).alias("y"))
+    return scenes.repartition(spark.sparkContext.defaultParallelism)
+
+
+def _target(spark, sf, side):
+    rows = _scenes(spark, sf).select("scene_id", F.explode(F.sequence(F.lit(0), F.lit(side - 1))).alias("y"))
     return rows.select("scene_id", "y", F.explode(F.sequence(F.lit(0), F.lit(side - 1))).alias("x"))
 
 
@@ -181,7 +186,7 @@ def resample_bilinear(spark, sf):
 @register("ras122_crop_or_pad", f"WITH {demo.PX}, t AS (SELECT s.scene_id, (y.k - 3)::INT AS y, (x.k + 40)::INT AS x FROM (SELECT DISTINCT scene_id FROM px) s, range(13) y(k), range(20) x(k)) SELECT t.*, px.v FROM t LEFT JOIN px USING (scene_id, y, x)")
 def crop_or_pad(spark, sf):
     px = demo.orders_raster(spark, sf)
-    boxes = px.select("scene_id").distinct().select("scene_id", F.lit(40).alias("min_x"), F.lit(-3).alias("min_y"), F.lit(60).alias("max_x"), F.lit(10).alias("max_y"))
+    boxes = _scenes(spark, sf).select("scene_id", F.lit(40).alias("min_x"), F.lit(-3).alias("min_y"), F.lit(60).alias("max_x"), F.lit(10).alias("max_y"))
     return align.onto_grid(px, boxes).select(*KEY, F.get("bands", F.lit(0)).alias("v"))
 
 

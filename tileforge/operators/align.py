@@ -146,14 +146,15 @@ def resample_nearest(target: DataFrame, source: DataFrame, to_source_y: Column,
 def resample_bilinear(target: DataFrame, source: DataFrame, to_source_y: Column, to_source_x: Column) -> DataFrame:
     """Weighted mean of the four nearest source pixel centres per band; missing and NULL neighbours drop out of the weights.
 
-    Coordinates are in source pixels with centres at .5. Four rows per target pixel meet the source in an equi-join.
+    Coordinates are in source pixels with centres at .5. Four rows per target pixel meet the source in an equi-join that is shuffled:
+    how many rows target pixels have been made of is in no estimate of their size, by which they might be sent to every task.
     """
     rows = target.withColumns({"_fy": to_source_y - 0.5, "_fx": to_source_x - 0.5})
     near = F.array(*[F.struct((F.floor("_fy") + dy).cast("int").alias("sy"), (F.floor("_fx") + dx).cast("int").alias("sx"),
                               ((F.lit(1 - dy) + (2 * dy - 1) * (F.col("_fy") - F.floor("_fy"))) * (F.lit(1 - dx) + (2 * dx - 1) * (F.col("_fx") - F.floor("_fx")))).alias("w")) for dy in (0, 1) for dx in (0, 1)])
     rows = rows.withColumn("_n", F.explode(near)).filter("_n.w > 0").select(*PIXEL, F.col("_n.sy").alias("_sy"), F.col("_n.sx").alias("_sx"), F.col("_n.w").alias("_w"))
     src = source.select("scene_id", F.col("y").alias("_sy"), F.col("x").alias("_sx"), F.posexplode("bands").alias("band", "_v")).filter("_v IS NOT NULL")
-    met = rows.join(src, ["scene_id", "_sy", "_sx"])
+    met = rows.join(src.hint("merge"), ["scene_id", "_sy", "_sx"])
     return met.groupBy(*PIXEL, "band").agg((F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias("value"))
 
 
