@@ -192,3 +192,10 @@ def test_small_arrays_and_headers_are_read_by_few_tasks(spark, tmp_path):
     assert not files.invalid_inputs(files.discover(spark, str(tmp_path), "npy"), tiles).collect()
     headers = files.read_headers(spark, str(tmp_path / "h"), level=1)
     assert headers.rdd.getNumPartitions() < 20 and sorted(map(tuple, headers.collect())) == sorted((f"s{k}", f"A = {k}\n\u00e9") for k in range(300))
+
+
+def test_paths_and_lengths_come_of_one_listing(spark, monkeypatch):
+    calls, listed = [], files.listed
+    monkeypatch.setattr(files, "listed", lambda *a: calls.append(a) or listed(*a))
+    found = catalog_queries.QUERIES["ras001_paths_by_extension"](spark, "/root/testdata/sf0.001")
+    assert found.count() > 0 and found.columns == ["path", "length"] and len(calls) == 1

@@ -58,7 +58,7 @@ def paths_by_extension(spark, sf):
     name = F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), extension)
     root = _scratch(spark)
     _act(files.write_files(d.select(name.alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content")), root))
-    found = files.image_paths(spark, directory=root).join(files.discover(spark, root), "path")
+    found = files.image_paths(spark, directory=root)
     return found.select(F.concat_ws("/", F.slice(F.split("path", "/"), -2, 2)).alias("path"), "length")
 
 

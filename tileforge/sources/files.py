@@ -154,12 +154,12 @@ def read_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def image_paths(spark: SparkSession, files: list[str] | None = None, file_list: str | None = None, directory: str | None = None, **more) -> DataFrame:
-    """Paths from exactly one of a list, a list file or a folder."""
+    """Paths from exactly one of a list, a list file or a folder, whose listing also tells the files' ``length``."""
     if sum(x is not None for x in (files, file_list, directory)) != 1:
         raise ValueError("give one of files, file_list, directory")
     if files is not None:
         return spark.createDataFrame([(f,) for f in files], "path string")
-    return read_list(spark, file_list) if file_list is not None else discover(spark, directory, **more).select("path")
+    return read_list(spark, file_list) if file_list is not None else discover(spark, directory, **more)
 
 
 def label_ids(lines: DataFrame, value: str = "value") -> DataFrame:
