@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tileforge.jobs import catalog_queries
+from tileforge.operators import batch
 from tileforge.sources import files
 from tileforge.streaming import scenes
 
@@ -199,3 +200,31 @@ def test_paths_and_lengths_come_of_one_listing(spark, monkeypatch):
     monkeypatch.setattr(files, "listed", lambda *a: calls.append(a) or listed(*a))
     found = catalog_queries.QUERIES["ras001_paths_by_extension"](spark, "/root/testdata/sf0.001")
     assert found.count() > 0 and found.columns == ["path", "length"] and len(calls) == 1
+
+
+def test_batches_hold_a_folder_for_each_run(spark, tmp_path):
+    """Scenes "7", "007" and NULL are three; one makes no rows; a lost row and a run without marks are made good, nothing twice."""
+    out, worked = str(tmp_path / "out"), []
+    names = ["7", "007", None, "none"] + [f"s{k}" for k in range(40)]
+    inputs = spark.createDataFrame([(s, v) for s in names for v in range(3)], "scene_id string, v long")
+
+    def work(rows):
+        worked.append(sorted(str(r.scene_id) for r in rows.select("scene_id").distinct().collect()))
+        return rows.filter("scene_id IS NULL OR scene_id <> 'none'").withColumn("v", F.col("v") * 2)
+
+    def check():
+        got = sorted((str(r.scene_id), r.v) for r in batch.results(spark, out).collect())
+        assert got == sorted((str(s), 2 * v) for s in names for v in range(3) if s != "none")
+
+    batch.resume(spark, inputs.filter("scene_id IN ('7', '007', 'none')"), out, work)
+    assert batch.resume(spark, inputs, out, work).count() == len(names) - 3
+    check()
+    assert sorted(p.name for p in (tmp_path / "out" / "scenes").iterdir() if "=" in p.name) == ["attempt=0", "attempt=1"]
+    # a row of "007" is lost, and a run ends before its marks
+    inputs.filter("scene_id IN ('7', '007') AND (scene_id = '7' OR v > 0)").withColumn("v", F.col("v") * 2).coalesce(1).write.mode("overwrite").parquet(f"{out}/scenes/attempt=0")
+    inputs.filter("scene_id = '7'").withColumn("v", F.col("v") * 5).coalesce(1).write.parquet(f"{out}/scenes/attempt=2")
+    assert [r.scene_id for r in batch.resume(spark, inputs, out, work).collect()] == ["007"]
+    check()
+    assert batch.resume(spark, inputs, out, work).count() == 0
+    assert worked == [["007", "7", "none"], sorted(str(s) for s in names if s not in ("7", "007", "none")), ["007"]]
+    check()
