@@ -182,6 +182,17 @@ def test_heights_beyond_16_bits_and_degrees_that_come_again(spark, tmp_path):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
+def test_elevation_pixels_meet_no_join_and_keep_their_places(spark, tmp_path):
+    """What pixels are made of is no measure of their size, by which they might be sent; a scene with gaps has the same gaps again."""
+    rows = [(k * 2500 + i, 40_000 * k + i, "F" if i % 7 else "P", 1.0, "1-URGENT") for k in (2, 4) for i in (0, 3, 49, 50, 1007, 2499)]
+    table = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string")
+    table.write.parquet(str(tmp_path / "orders.parquet"))
+    df = catalog_queries.elevation_grids(spark, str(tmp_path))
+    assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+    want = [(k, -k, i // 50, i % 50, float(c - 500) if s == "F" else None, 1 / 49.0) for o, c, s, _, _ in rows for k, i in [divmod(o, 2500)]]
+    assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, want))
+
+
 def test_small_arrays_and_headers_are_read_by_few_tasks(spark, tmp_path):
     for k in range(300):
         np.save(tmp_path / f"{k}.npy", np.full((2, 2), k))

@@ -19,8 +19,8 @@ from . import demo, evaluation_queries
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 KEY = ["scene_id", "y", "x"]
-#: Heights that the remainder of an elevation grid tells apart.
-HGT_SPAN = 1 << 15
+#: Heights that the remainder of an elevation grid tells apart, and a remainder beyond these, of pixels that are not there.
+HGT_SPAN, HGT_ABSENT = 1 << 15, (1 << 15) - 1
 
 
 def register(name: str, sql: str | None = None):
@@ -105,30 +105,39 @@ SELECT k % 90 AS min_y, -(k % 180) AS min_x, y, x, height::DOUBLE AS height, 1 /
 def elevation_grids(spark, sf):
     """Every other scene as big-endian grids named by its degree; nodata comes back as NULL, bounds by the name.
 
-    A grid holds 16 bits, which heights may exceed: one grid has a height's remainder, another how often it goes over. Degrees
-    come again after 180 scenes, so that names also tell the turn.
+    A grid holds 16 bits, which heights may exceed: one grid has a height's remainder, another how often it goes over. A remainder
+    that no height has marks pixels that the scene lacks. Degrees come again after 180 scenes, so that names also tell the turn.
+    The two grids of a scene meet tile by tile, by shuffles only: what pixels are made of is in no estimate of their size.
     """
 
     @F.pandas_udf("binary")
-    def packed(rows: pd.Series) -> pd.Series:
-        return pd.Series([np.asarray(list(r) + [files.HGT_NODATA] * (2500 - len(r)), ">i2").tobytes() for r in rows])
+    def packed(at: pd.Series, rows: pd.Series) -> pd.Series:
+        out = []
+        for where, values in zip(at, rows):
+            plane = np.full(demo.SIDE * demo.SIDE, HGT_ABSENT, ">i2")
+            if np.any(np.abs(values) > -files.HGT_NODATA):
+                raise OverflowError("a height beyond two grids of 16 bits")
+            plane[where] = values
+            out.append(plane.tobytes())
+        return pd.Series(out)
 
     px = demo.orders_raster(spark, sf).withColumn("k", F.substring("scene_id", 2, 18).cast("int")).filter("k % 2 = 0")
     height = F.when(F.col("label") != demo.NODATA, (F.get("bands", F.lit(1)) - 500).cast("int"))
     parts = {"low": F.pmod(height, F.lit(HGT_SPAN)) - HGT_SPAN // 2, "high": F.floor(height / HGT_SPAN)}
-    pixel = F.struct("y", "x", *[F.coalesce(v.cast("int"), F.lit(files.HGT_NODATA)).alias(n) for n, v in parts.items()])
+    pixel = F.struct((F.col("y") * demo.SIDE + F.col("x")).alias("at"), *[F.coalesce(v.cast("int"), F.lit(files.HGT_NODATA)).alias(n) for n, v in parts.items()])
     name = F.format_string("N%02dW%03d_%d", F.col("k") % 90, F.col("k") % 180, F.floor(F.col("k") / 180))
-    scenes = files.stored(px.groupBy("k").agg(F.array_sort(F.collect_list(pixel)).alias("p"), F.count(F.lit(1)).alias("n")).select(name.alias("name"), "p", "n"))
-    grids = [scenes.select(F.concat("name", F.lit(f"_{n}.hgt")).alias("path"), F.transform("p", lambda p: p[n]).alias("v")) for n in parts]  # noqa: B023
+    scenes = files.stored(px.groupBy("k").agg(F.collect_list(pixel).alias("p")).select(name.alias("name"), "p"))
+    grids = [scenes.select(F.concat("name", F.lit(f"_{n}.hgt")).alias("path"), F.col("p.at").alias("at"), F.col(f"p.{n}").alias("v")) for n in parts]
     root = _scratch(spark)
-    _act(files.write_files(files.spread(grids[0].unionByName(grids[1])).select("path", packed("v").alias("content")), root))
-    px = grid.tiles_to_pixels(files.read_elevation(spark, root, demo.SIDE, rows_per_tile=20))
-    value = F.get("bands", F.lit(0)).cast("double")
-    both = px.groupBy(F.substring_index("scene_id", "_", 2).alias("scene_id"), "y", "x").agg(*[F.max(F.when(F.endswith("scene_id", F.lit(f"_{n}")), value)).alias(n) for n in parts])
-    height = F.col("high") * HGT_SPAN + F.col("low") + HGT_SPAN // 2
-    out = files.elevation_bounds(both, demo.SIDE).join(scenes.select(F.col("name").alias("scene_id"), "n"), "scene_id")
-    # rows that were only padded in to make the last scene square are left out
-    out = out.filter(F.col("y") * demo.SIDE + F.col("x") < F.col("n"))
+    _act(files.write_files(files.spread(grids[0].unionByName(grids[1])).select("path", packed("at", "v").alias("content")), root))
+    tiles = files.read_elevation(spark, root, demo.SIDE, rows_per_tile=20).filter("error IS NULL")
+    one = [F.max(F.when(F.endswith("scene_id", F.lit(f"_{n}")), F.col("data"))).alias(n) for n in parts]
+    met = tiles.groupBy(F.substring_index("scene_id", "_", 2).alias("scene_id"), "tile_row", "tile_col", "min_x", "min_y", "max_x", "max_y").agg(*one)
+    both = F.flatten(F.zip_with("low", "high", lambda low, high: F.array(low, high)))
+    px = grid.tiles_to_pixels(met.select("*", F.lit(2).alias("n_bands"), both.alias("data")))
+    low, high = [F.get("bands", F.lit(n)).cast("double") for n in range(2)]
+    out = files.elevation_bounds(px.filter(low != HGT_ABSENT), demo.SIDE)
+    height = high * HGT_SPAN + low + HGT_SPAN // 2
     return out.select(F.col("bounds.min_y").alias("min_y"), F.col("bounds.min_x").alias("min_x"), "y", "x", F.nanvl(height, F.lit(None).cast("double")).alias("height"), "pixel_size")
 
 
