@@ -63,6 +63,17 @@ def test_twelve_labels_of_the_date_and_place(spark):
     assert got == [("a", k) for k in range(12)] + [("b", 21)]
 
 
+def test_all_labels_of_the_date_and_place_are_put_together(spark):
+    """Fifteen tiles of one pixel each beside one another, all over one larger tile: each has its place, the larger one the rest."""
+    box = "struct<min_x:int,min_y:int,max_x:int,max_y:int>"
+    scenes = spark.createDataFrame([("a", [0.0, 1.0, 0.0, 2.0, 0.0, -1.0], 16, 2, (0, 0, 16, 2), "2024-01-01")], f"scene_id string, gt array<double>, width int, height int, box {box}, date string")
+    tiles = [(k, [float(k), 1.0, 0.0, 2.0, 0.0, -1.0], (k, 1, k + 1, 2), "2024-01-01") for k in range(1, 16)] + [(0, [0.0, 16.0, 0.0, 2.0, 0.0, -2.0], (0, 0, 16, 2), "2024-01-01")]
+    labels = spark.createDataFrame(tiles, f"label_id int, label_gt array<double>, label_box {box}, date string")
+    pixels = spark.createDataFrame([(k, 0, 0, 100 + k) for k in range(16)], "label_id int, y int, x int, label int")
+    got = {(r.y, r.x): r.label for r in catalog.scene_labels(scenes, labels, pixels, 16).collect()}
+    assert got == {(y, x): 100 + x if y == 0 else 100 for y in range(2) for x in range(16)}
+
+
 def test_all_points_of_all_shapes(spark):
     square = [(0, False, [(10, 10), (30, 10), (30, 30), (10, 30), (10, 10)]), (0, True, [(15, 15), (25, 15), (25, 25), (15, 25), (15, 15)]), (1, False, [(44, 44), (49, 44), (49, 49), (44, 49), (44, 44)])]
     want = set()

@@ -126,13 +126,13 @@ def calibrated_scenes(spark, sf):
 @register("ras029_scene_label_rasters", f"""
 WITH e AS (SELECT *, CAST(ts AS DATE) AS date, user_id * 4 AS x0 FROM events), s AS (SELECT event_id AS scene_id, date, x0, event_id % 20 AS y0 FROM e WHERE event_type NOT IN ('click', 'view')),
 t AS (SELECT event_id AS label_id, date, x0, event_id * 7 % 20 AS y0 FROM e WHERE event_type IN ('click', 'view')),
-m AS (SELECT scene_id, label_id, s.x0 AS sx, s.y0 AS sy, t.x0 AS tx, t.y0 AS ty, row_number() OVER (PARTITION BY scene_id ORDER BY label_id) AS n FROM s JOIN t ON t.date = s.date
+m AS (SELECT scene_id, label_id, s.x0 AS sx, s.y0 AS sy, t.x0 AS tx, t.y0 AS ty FROM s JOIN t ON t.date = s.date
       AND t.x0 < s.x0 + 60 AND t.x0 + 12 > s.x0 AND t.y0 < s.y0 + 12 AND t.y0 + 8 > s.y0),
 p AS (SELECT scene_id, label_id, gx.k AS gx, gy.k AS gy, label_id + (floor((sx + (gx.k + 0.5) * 4 - tx) / 2)::INT + floor((ty + 8 - (sy + 12 - (gy.k + 0.5) * 4)) / 2)::INT) AS label
-      FROM m, range(15) gx(k), range(3) gy(k) WHERE n <= 12 AND sx + (gx.k + 0.5) * 4 >= tx AND sx + (gx.k + 0.5) * 4 < tx + 12 AND sy + 12 - (gy.k + 0.5) * 4 > ty AND sy + 12 - (gy.k + 0.5) * 4 <= ty + 8)
+      FROM m, range(15) gx(k), range(3) gy(k) WHERE sx + (gx.k + 0.5) * 4 >= tx AND sx + (gx.k + 0.5) * 4 < tx + 12 AND sy + 12 - (gy.k + 0.5) * 4 > ty AND sy + 12 - (gy.k + 0.5) * 4 <= ty + 8)
 SELECT scene_id, count(*)::BIGINT AS covered, sum(label)::BIGINT AS total FROM (SELECT scene_id, gx, gy, arg_max(label, label_id) AS label FROM p GROUP BY scene_id, gx, gy) GROUP BY scene_id""")
 def scene_label_rasters(spark, sf):
-    """Label tiles of each scene's date and place, put together and resampled to the scene's grid; sums over the covered pixels.
+    """All label tiles of each scene's date and place, put together and resampled to the scene's grid; sums over the covered pixels.
 
     Scenes have 15 x 3 pixels of side 4, label tiles 6 x 4 of side 2 whose label is the tile's id plus column and row.
     """

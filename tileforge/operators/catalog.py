@@ -165,16 +165,16 @@ def first_per_scene(matches: DataFrame, scene: str, order: list[str], most: int
     return matches.withColumn("_n", F.row_number().over(Window.partitionBy(scene).orderBy(*order))).filter(F.col("_n") <= most).drop("_n")
 
 
-def scene_labels(scenes: DataFrame, labels: DataFrame, pixels: DataFrame, cell: int, most: int = 12) -> DataFrame:
-    """(scene_id, y, x, label): the label tiles of a scene's date and place, put together on the scene's own grid.
+def scene_labels(scenes: DataFrame, labels: DataFrame, pixels: DataFrame, cell: int) -> DataFrame:
+    """(scene_id, y, x, label): all label tiles of a scene's date and place, put together on the scene's own grid.
 
     ``scenes`` has scene_id, gt, width, height, box and date; ``labels`` label_id, label_gt, label_box and date; ``pixels``
     label_id, y, x, label. Of overlapping tiles the one with the higher id wins; scene pixels that no tile covers are NULL.
-    A scene pixel takes the label under its centre (nearest). Pixels of a label tile meet only scenes that it was chosen for.
+    A scene pixel takes the label under its centre (nearest). Pixels of a label tile meet only scenes that its box overlaps.
     All joins are shuffled: how many rows pixels have been made of is in no estimate of their size, by which they might be sent.
     """
-    chosen = labels_on_date(scenes.select("scene_id", "box", "date"), labels.select("label_id", "label_box", "date"), cell, most)
-    met = chosen.join(scenes.select("scene_id", "gt", "width", "height", F.col("box").alias("_box")).hint("merge"), "scene_id").join(labels.select("label_id", "label_gt", "label_box").hint("merge"), "label_id")
+    met = labels_on_date(scenes.select("scene_id", "box", "date"), labels.select("label_id", "label_box", "date"), cell, None)
+    met = met.join(scenes.select("scene_id", "gt", "width", "height", F.col("box").alias("_box")).hint("merge"), "scene_id").join(labels.select("label_id", "label_gt", "label_box").hint("merge"), "label_id")
     # the part of the scene's grid whose centres lie in the tile
     both = intersection(F.col("_box"), F.col("label_box"))
 
@@ -196,10 +196,10 @@ def scene_labels(scenes: DataFrame, labels: DataFrame, pixels: DataFrame, cell:
     return grid.join(found.hint("merge"), ["scene_id", "y", "x"], "left")
 
 
-def labels_on_date(scenes: DataFrame, labels: DataFrame, cell: int, most: int = 12) -> DataFrame:
-    """(scene_id, label_id): label tiles whose box overlaps the scene's on its date, at most ``most`` for each scene.
+def labels_on_date(scenes: DataFrame, labels: DataFrame, cell: int, most: int | None = 12) -> DataFrame:
+    """(scene_id, label_id): label tiles whose box overlaps the scene's on its date, at most ``most`` for each scene, if given.
 
     ``scenes`` has scene_id, box and date, ``labels`` label_id, label_box and date; the lowest label ids come first.
     """
     met = box_overlap_join(scenes, labels, "box", "label_box", cell, on=("date",))
-    return first_per_scene(met, "scene_id", ["label_id"], most).select("scene_id", "label_id")
+    return (met if most is None else first_per_scene(met, "scene_id", ["label_id"], most)).select("scene_id", "label_id")
