@@ -429,6 +429,26 @@ def test_components_equal_all_pairs(spark, settings):
     assert got == plain_components(rows, settings.get("size", 4), settings.get("percent", 85))
 
 
+def test_tokens_of_one_set_alone_are_not_moved(spark):
+    """Of 120 texts, three of them near copies and one with 40 copies, only the near copies' common tokens have counts and are posted."""
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(150)) for _ in range(117)]
+    near = [texts[0] + f" {x}" for x in ("one", "two", "three")]
+    rows = list(enumerate(texts[1:] + near + [texts[5]] * 40))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    facts = common.durable(ngram_join.set_facts(docs, "doc_id", "text", 4, 85, 0.3))
+    named = common.durable(facts.groupBy("set_key").agg(F.min("doc_id").alias("_doc"), F.first("name").alias("name"), F.first("n_shingles").alias("n")))
+    counts = common.durable(ngram_join.token_counts(docs, "doc_id", "text", named, 4, 85, 0.3, 64))
+    lists = [set(ngram_join.posted_part(ngram_join.shingle_set(t), 85, 0.3).tolist()) for t in set(texts[1:] + near)]
+    n = collections.Counter(t for tokens in lists for t in tokens)
+    want = {int(ngram_join.count_keys(np.array([t], np.uint64), 64)[0]): c for t, c in n.items() if c > 1}
+    got = {r.key: r.c for r in counts.collect()}
+    assert want and {k: got.get(k) for k in want} == want and len(got) <= len(want) + 60
+    moved = ngram_join.postings(docs, "doc_id", "text", named, 4, 85, 0.3, counts, 64).withColumn("key", ngram_join.count_key(F.col("token"), 64)).collect()
+    passed = [r for r in moved if r.key in want]
+    assert {t for t, c in n.items() if c > 1} == {r.token % 2**64 for r in passed} and len(moved) < 0.1 * sum(map(len, lists))
+
+
 def test_components_of_odd_rows(odd, empty):
     rows = ngram_join.components(odd).collect()
     assert len(rows) == 16 and ngram_join.components(empty).count() == 0

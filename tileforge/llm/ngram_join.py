@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import durable, hot_join, small, table
@@ -38,8 +38,10 @@ ORDERS = 3
 #: Most sets and tokens that meet in one task, and most blocks that a larger family is cut into. Families of up to a few sets
 #: share tasks, some so many sets in each.
 FAMILY_SETS, FAMILY_TOKENS, MOST_BLOCKS, FEW, BIN_SETS = 2048, 1_500_000, 64, 16, 256
-#: Tokens after which a task hands on what it has.
-BATCH_TOKENS = 200_000
+#: Tokens after which a task hands on what it has: sets, and what sets post.
+BATCH_TOKENS, POSTED_TOKENS = 200_000, 1_000_000
+#: Tokens of a bucket in which they are counted, and least buckets.
+BUCKET_TOKENS, LEAST_BUCKETS = 1_000_000, 64
 
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -109,45 +111,100 @@ def set_facts(docs: DataFrame, key: str, text: str, size: int, percent: int, reg
     return docs.select(key, text).mapInArrow(facts, f"`{key}` {kind}, n_shingles long, set_key binary, name long, gap int")
 
 
-def postings(docs: DataFrame, text: str, size: int, percent: int, region: float) -> DataFrame:
-    """(token, name) of what every set posts. A task posts an equal set once."""
+def posted(docs: DataFrame, key: str, text: str, named: DataFrame, size: int, percent: int, region: float, form, schema: str) -> DataFrame:
+    """What ``form`` makes of the tokens that sets post: batches of it from lists of token arrays and short names.
+
+    Of rows with equal sets only the one that ``named`` (a stored table) gives as ``_doc`` is read, and few others that its
+    Bloom filter lets pass; a task posts an equal set once.
+    """
+    first = docs.sparkSession.sparkContext.broadcast(bloom_of(named.select(key_hash("_doc").alias("key"))))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
+        tokens, names, n = [], [], 0
         for b in batches:
-            tokens, names, sizes = [], [], []
-            for t in b.column(0).to_pylist():
-                s = shingle_set(t, size)
+            for k in np.flatnonzero(held(first.value, b.column(0).to_numpy(zero_copy_only=False))):
+                s = shingle_set(b.column(1)[int(k)].as_py(), size)
                 if not len(s) or (name := set_key(s)) in seen:
                     continue
                 seen.add(name)
                 own = posted_part(s, percent, region)
                 tokens.append(own)
                 names.append(short_name(name))
-                sizes.append(len(own))
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(names, np.int64), sizes))], ["token", "name"])
+                n += len(own)
+                if n > POSTED_TOKENS:
+                    yield form(tokens, names)
+                    tokens, names, n = [], [], 0
+        if tokens:
+            yield form(tokens, names)
+
+    return docs.select(key_hash(key).alias("_hash"), text).mapInArrow(post, schema)
+
+
+def count_key(token: Column, buckets: int) -> Column:
+    """The name under which a token is counted: its bucket and half of its bits."""
+    return F.shiftleft(F.shiftrightunsigned(token, 32) % F.lit(buckets), 32).bitwiseOR(token.bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
+def count_keys(tokens: np.ndarray, buckets: int) -> np.ndarray:
+    """``count_key`` of an array."""
+    return (((tokens >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32)) | (tokens & np.uint64(0xFFFFFFFF))
+
+
+def token_counts(docs: DataFrame, key: str, text: str, named: DataFrame, size: int, percent: int, region: float, buckets: int) -> DataFrame:
+    """(key, c): under how many names tokens are posted twice or more, by ``count_key``.
+
+    Halves of tokens move, four bytes each, packed by bucket. Two tokens of one name are counted together: the count is the
+    same wherever either of them comes, which is all that an order needs.
+    """
+
+    def packed(tokens: list[np.ndarray], names: list[int]) -> pa.RecordBatch:
+        keys = np.sort(count_keys(np.concatenate(tokens), buckets))
+        of = (keys >> np.uint64(32)).astype(np.int64)
+        starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        halves = np.split(keys.astype(np.uint32), starts[1:])
+        return pa.RecordBatch.from_arrays([pa.array(of[starts].astype(np.int32)), pa.array([h.tobytes() for h in halves], pa.binary())], ["bucket", "halves"])
+
+    def counted(rows: pa.Table) -> pa.Table:
+        found, c = np.unique(np.concatenate([np.frombuffer(h.as_buffer(), np.uint32) for h in rows.column("halves")]), return_counts=True)
+        keys = (np.uint64(rows.column("bucket")[0].as_py()) << np.uint64(32)) | found[c > 1].astype(np.uint64)
+        return pa.table([pa.array(keys.view(np.int64)), pa.array(c[c > 1].astype(np.int64))], ["key", "c"])
+
+    halves = posted(docs, key, text, named, size, percent, region, packed, "bucket int, halves binary")
+    return halves.groupBy("bucket").applyInArrow(counted, "key long, c long")
+
+
+def postings(docs: DataFrame, key: str, text: str, named: DataFrame, size: int, percent: int, region: float, counts: DataFrame, buckets: int) -> DataFrame:
+    """(token, name) of what every set posts and ``counts`` (a stored table) has: tokens that its Bloom filter rules out are not moved."""
+    shared = docs.sparkSession.sparkContext.broadcast(bloom_of(counts.select("key")))
+
+    def rows(tokens: list[np.ndarray], names: list[int]) -> pa.RecordBatch:
+        every, of = np.concatenate(tokens), np.repeat(np.array(names, np.int64), [len(t) for t in tokens])
+        passed = held(shared.value, count_keys(every, buckets).view(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(every[passed].view(np.int64)), pa.array(of[passed])], ["token", "name"])
 
-    return docs.select(text).mapInArrow(post, "token long, name long")
+    return posted(docs, key, text, named, size, percent, region, rows, "token long, name long")
 
 
-def shared_prefixes(posted: DataFrame, gaps: DataFrame, orders: int) -> DataFrame:
+def shared_prefixes(docs: DataFrame, key: str, text: str, named: DataFrame, size: int, percent: int, region: float, orders: int) -> DataFrame:
     """(name, p1 .. pN): of each set that has any, the prefix tokens under each order that another set posts too.
 
     Tokens of one set alone come first in every order, so what is left of the prefix follows from their number. Where two
     sets share a name, their tokens are put together, and the longer prefix that this gives holds both of theirs.
     """
-    counts = posted.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("name").alias("a"), F.max("name").alias("b")).filter("a <> b").select("token", "c")
-    counts = durable(counts)
+    gaps = named.groupBy("name").agg(F.max("gap").alias("gap"))
+    buckets = max(LEAST_BUCKETS, int((named.agg(F.sum("n")).first()[0] or 0) * min(region, 1) / BUCKET_TOKENS))
+    counts = durable(token_counts(docs, key, text, named, size, percent, region, buckets))
     total = counts.agg(F.sum("c")).first()[0] or 0
-    held = hot_join(posted, counts, "token", "c", ["name"], total).groupBy("name").agg(F.collect_set(F.struct("token", "c")).alias("held"))
-    held = held.join(gaps, "name").withColumn("q", F.size("held") + F.col("gap")).filter("q > 0")
+    found = postings(docs, key, text, named, size, percent, region, counts, buckets).withColumn("key", count_key(F.col("token"), buckets))
+    met = hot_join(found, counts, "key", "c", ["name"], total).groupBy("name").agg(F.collect_set(F.struct("token", "c")).alias("held"))
+    met = met.join(gaps, "name").withColumn("q", F.size("held") + F.col("gap")).filter("q > 0")
 
     def first(k: int):
         rank = F.transform("held", lambda x: F.struct((x["c"] if k == 1 else F.floor(F.log2(x["c"]))).cast("long").alias("c"), F.xxhash64(x["token"], F.lit(k)).alias("h"), x["token"].alias("token")))
         return F.transform(F.slice(F.sort_array(rank), F.lit(1), F.col("q")), lambda x: x["token"])
 
-    return held.select("name", *[first(k).alias(f"p{k}") for k in range(1, orders + 1)])
+    return met.select("name", *[first(k).alias(f"p{k}") for k in range(1, orders + 1)])
 
 
 class Lists:
@@ -220,7 +277,7 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     full = facts.filter("set_key IS NOT NULL")
     named = full.groupBy("set_key").agg(F.min(key).alias("_doc"), F.first("name").alias("name"), F.first("n_shingles").alias("n"), F.first("gap").alias("gap"), F.count(F.lit(1)).alias("docs"))
     named = durable(named)
-    active = durable(shared_prefixes(postings(docs, text, size, percent, region), named.groupBy("name").agg(F.max("gap").alias("gap")), orders))
+    active = durable(shared_prefixes(docs, key, text, named, size, percent, region, orders))
 
     shared = active.select("name", F.explode("p1").alias("token"))
     leaders = shared.groupBy("token").agg(F.min("name").alias("leader"), F.count(F.lit(1)).alias("c"))
