@@ -10,6 +10,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -429,6 +430,19 @@ def test_components_equal_all_pairs(spark, settings):
     assert got == plain_components(rows, settings.get("size", 4), settings.get("percent", 85))
 
 
+@pytest.mark.parametrize("copies, stored", [(0, True), (10**9, False)])
+def test_blocks_are_stored_once(spark, monkeypatch, tmp_path, copies, stored):
+    """Sets of a family of many blocks are written once for all the tasks in which they meet, or met by token where few copies do."""
+    monkeypatch.setattr(ngram_join, "TOKEN_COPIES", copies)
+    monkeypatch.setattr(ngram_join, "shared_folder", lambda spark: str(tmp_path))
+    rows = near_copies()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in ngram_join.components(docs, family_sets=8, family_tokens=900, most_blocks=2).collect())
+    assert got == plain_components(rows, 4, 85)
+    names = [n for f in tmp_path.glob("blocks-*/*") for n in pa.ipc.open_file(f).read_all()["set_key"].to_pylist()]
+    assert len(names) == len(set(names)) and (len(names) > 100) == stored
+
+
 def test_tokens_of_one_set_alone_are_not_moved(spark):
     """Of 120 texts, three of them near copies and one with 40 copies, only the near copies' common tokens have counts and are posted."""
     rng = random.Random(8)

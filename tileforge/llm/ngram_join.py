@@ -9,13 +9,14 @@ region's tokens are ever counted, and tokens that no other set has come first: t
 are dropped. The orders differ in how they break ties. Sets are the unit of work: equal sets are one row throughout.
 
 Sets that share prefix tokens form families. Within a family (or, where it is too large for one task, within each two of
-its blocks; or, where these are too many, within each two blocks of the sets that share one token) every pair that passes
-the filters is verified exactly, once; what leaves a task is a spanning forest of the links and each set's number of links,
-never all pairs.
+its blocks; or, where these are too many and few copies do, within each two blocks of the sets that share one token) every
+pair that passes the filters is verified exactly, once; what leaves a task is a spanning forest of the links and each set's
+number of links, never all pairs. Blocks of a family are stored once and read by the tasks in which they meet.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, hot_join, small, table
+from ..sources.files import qualified, store_of
+from .common import durable, hot_join, shared_folder, small, table
 from .components import connected
 from .exact import bloom_of, held, key_hash, rows_without
 
@@ -38,6 +40,8 @@ ORDERS = 3
 #: Most sets and tokens that meet in one task, and most blocks that a larger family is cut into. Families of up to a few sets
 #: share tasks, some so many sets in each.
 FAMILY_SETS, FAMILY_TOKENS, MOST_BLOCKS, FEW, BIN_SETS = 2048, 1_500_000, 64, 16, 256
+#: Copies of a family's sets that meeting by shared token may make, and meetings of blocks that one task aims at.
+TOKEN_COPIES, TASK_PAIRS = 16, 4
 #: Tokens after which a task hands on what it has: sets, and what sets post.
 BATCH_TOKENS, POSTED_TOKENS = 200_000, 1_000_000
 #: Tokens of a bucket in which they are counted, and least buckets.
@@ -320,43 +324,91 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
                     names, sets, tokens = [], [], 0
             yield out(names, sets)
 
+    huge = members.filter(F.col("blocks") > most_blocks)
+    by_token = F.lit(False)
+    if huge.limit(1).count():
+        tokens = huge.select("set_key", "n", F.col("part").alias("family"), F.explode("p1").alias("part"))
+        lists = tokens.groupBy("family", "part").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("tokens")).filter("sets > 1").withColumn("blocks", blocks())
+        copies = lists.groupBy("family").agg(F.sum(F.col("tokens") * F.col("blocks")).alias("moved"))
+        cheap = copies.join(huge.groupBy(F.col("part").alias("family")).agg(F.sum("n").alias("all")), "family").filter(F.col("moved") <= TOKEN_COPIES * F.col("all"))
+        # at most a name for each most_blocks x family_sets / 2 sets
+        members = durable(members.join(small(durable(cheap.select(F.col("family").alias("part"), F.lit(True).alias("by_token")))), "part", "left"))
+        by_token = F.coalesce("by_token", F.lit(False))
+    members = members.withColumn("by_token", by_token)
+
     hits = docs.select(key_hash(key).alias("_hash"), text).mapInArrow(tokens_of, "set_key binary, `set` array<long>")
-    kept = hits.join(small(durable(members.select("set_key", "part", "blocks"))), "set_key")
+    kept = hits.join(small(durable(members.select("set_key", "part", "blocks", "by_token"))), "set_key")
     p = [f"p{k}" for k in range(1, orders + 1)]
+    columns, schema = ["node", "root", "links", "whole"], "node binary, root binary, links long, whole boolean"
+    own = F.pmod(F.xxhash64("set_key", F.lit("block")), F.col("blocks")).cast("int")
+    folder = qualified(spark, f"{shared_folder(spark)}/blocks-{uuid.uuid4().hex}")
+
+    def facts_of(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return left.drop_duplicates("set_key").merge(right, on="set_key").sort_values("set_key")
+
+    def linked(f: pd.DataFrame, apart: bool, token: int | None = None) -> list[tuple]:
+        if len(f) < 2:
+            return []
+        arrays = {c: [np.asarray(a, np.int64) for a in f[c]] for c in [*p, "set"]}
+        return link_group(list(f["set_key"]), arrays["set"], [arrays[c] for c in p], percent, f["docs"].to_numpy(np.int64), f["own"].to_numpy() if apart else None, token)
+
+    def whole_or_block(where: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """The links of what is one task, and a file of what is a block."""
+        part, blocks_, k = where
+        f = facts_of(left, right)
+        del left, right
+        if blocks_ == 1:
+            return pd.DataFrame([(*r, True) for r in linked(f, False)], columns=columns)
+        store, base = store_of(folder)
+        store.create_dir(base, recursive=True)
+        lists = {c: pa.array(list(f[c]), pa.list_(pa.int64())) for c in [*p, "set"]}
+        t = pa.table({"set_key": pa.array(list(f["set_key"]), pa.binary()), "docs": pa.array(f["docs"], pa.int64()), **lists})
+        with store.open_output_stream(f"{base}/{part}_{k}") as to, pa.ipc.new_file(to, t.schema) as file:
+            file.write_table(t)
+        return pd.DataFrame([], columns=columns)
+
+    def block(part: int, k: int) -> pd.DataFrame | None:
+        store, base = store_of(folder)
+        if not store.get_file_info(f"{base}/{part}_{k}").is_file:
+            return None  # no set has this block
+        with store.open_input_file(f"{base}/{part}_{k}") as file:
+            return pa.ipc.open_file(file).read_all().to_pandas().assign(own=k)
+
+    def met_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for part, i, j in frame[["part", "i", "j"]].itertuples(index=False):
+                found = [f for f in (block(part, k) for k in dict.fromkeys((i, j))) if f is not None]
+                if found:
+                    yield pd.DataFrame([(*r, False) for r in linked(pd.concat(found), i != j)], columns=columns)
+
+    def met_tokens(where: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        token, _, i, j = where
+        return pd.DataFrame([(*r, False) for r in linked(facts_of(left, right), i != j, token)], columns=columns)
+
+    of = members.select("set_key", "part", "blocks", "by_token", "docs", *p)
+    keys = ["part", "blocks", "own"]
+    # named anew, as both come of the same members
+    left, right = [x.filter("NOT by_token").drop("by_token").withColumn("own", own).select(*[F.col(c).alias(c) for c in (*x.drop("by_token").columns, "own")]) for x in (kept, of)]
+    links = durable(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(whole_or_block, schema))
+    cut = members.filter("blocks > 1 AND NOT by_token").select("part", "blocks").distinct()
+    pairs = cut.select("part", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i")).select("part", "i", F.explode(F.sequence("i", F.col("blocks") - 1)).alias("j"))
+    n = pairs.count()
+    if n:
+        dealt = pairs.repartition(max(min(n, spark.sparkContext.defaultParallelism), -(-n // TASK_PAIRS)))
+        links = links.unionByName(dealt.mapInPandas(met_blocks, schema))
+    if huge.limit(1).count() and not (some := members.filter("by_token")).isEmpty():
+        tokens = some.select("set_key", "n", F.explode("p1").alias("part"))
+        lists = tokens.groupBy("part").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("tokens")).filter("sets > 1")
+        met = durable(hot_join(tokens, lists.select("part", blocks().alias("blocks"), "sets"), "part", "sets", ["set_key"], some.agg(F.sum(F.size("p1"))).first()[0] or 0).select("set_key", "part", "blocks"))
 
-    def linked(sets: DataFrame, prefixes: DataFrame, by_token: bool) -> DataFrame:
-        """(node, root, links, whole): each two blocks of a part meet; a part of one block meets once."""
-
-        def link(where: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            part, blocks_, i, j = where
-            f = left.drop_duplicates("set_key").merge(right, on="set_key").sort_values("set_key")
-            rows = []
-            del left, right
-            if len(f) > 1:
-                arrays = {c: [np.asarray(a, np.int64) for a in f[c]] for c in [*p, "set"]}
-                block = f["own"].to_numpy() if i != j else None
-                rows = link_group(list(f["set_key"]), arrays["set"], [arrays[c] for c in p], percent, f["docs"].to_numpy(np.int64), block, part if by_token else None)
-            return pd.DataFrame([(*r, blocks_ == 1) for r in rows], columns=["node", "root", "links", "whole"])
-
-        def dealt(rows: DataFrame):
-            own = F.pmod(F.xxhash64("set_key", F.lit("block")), F.col("blocks")).cast("int")
-            rows = rows.withColumn("own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        def dealt_out(rows: DataFrame):
+            rows = rows.join(met, "set_key").withColumn("own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             rows = rows.withColumns({"i": F.least("own", "_other"), "j": F.greatest("own", "_other")}).drop("_other")
             return rows.select(*[F.col(c).alias(c) for c in rows.columns])
 
-        left, right = dealt(sets).drop("own"), dealt(prefixes)
+        sets = dealt_out(kept.filter("by_token").select("set_key", "set")).drop("own")
         keys = ["part", "blocks", "i", "j"]
-        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(link, "node binary, root binary, links long, whole boolean")
-
-    of = members.select("set_key", "part", "blocks", "docs", *p)
-    links = linked(kept.filter(F.col("blocks") <= most_blocks), of.filter(F.col("blocks") <= most_blocks), False)
-    huge = members.filter(F.col("blocks") > most_blocks)
-    if huge.limit(1).count():
-        tokens = huge.select("set_key", "n", F.explode("p1").alias("part"))
-        lists = tokens.groupBy("part").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("tokens")).filter("sets > 1")
-        met = durable(hot_join(tokens, lists.select("part", blocks().alias("blocks"), "sets"), "part", "sets", ["set_key"], huge.agg(F.sum(F.size("p1"))).first()[0] or 0).select("set_key", "part", "blocks"))
-        sets = kept.filter(F.col("blocks") > most_blocks).select("set_key", "set").join(met, "set_key")
-        links = links.unionByName(linked(sets, of.drop("part", "blocks").join(met, "set_key"), True).withColumn("whole", F.lit(False)))
+        links = links.unionByName(sets.groupBy(*keys).cogroup(dealt_out(of.filter("by_token").drop("part", "blocks", "by_token")).groupBy(*keys)).applyInPandas(met_tokens, schema))
     links = durable(links)
     # what was one task is done: its forest is one star for each component
     done, open_ = links.filter("whole").select("node", "root"), links.filter("NOT whole")
